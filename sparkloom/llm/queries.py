@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import media, tokencount, urlfilter
+from sparkloom.llm import linededup, media, packing, simhash, tokencount, urlfilter
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -29,6 +29,19 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    thinned = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return thinned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -51,7 +64,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_url_filters": op5_url_filters,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_token_counts": op9_token_counts,
     "op10_media_columns": op10_media_columns,
 }
@@ -77,4 +93,21 @@ ORACLE_SQL = {
         SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(r_verdict, 'allow') AS verdict
         FROM hits WHERE k = 1
     """,
+    "op6_line_dedup": r"""
+        WITH l AS (
+          SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                 unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+          FROM documents),
+        k AS (
+          SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+          FROM l),
+        f AS (
+          SELECT key, max(doc_id) AS last_id FROM k WHERE length(key) >= 20
+          GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        m AS (SELECT k.*, (f.key IS NOT NULL AND k.doc_id < f.last_id) AS gone FROM k LEFT JOIN f USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id
+    """,
 }

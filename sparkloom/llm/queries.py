@@ -5,10 +5,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import linededup, media, packing, simhash, tokencount, urlfilter
+from sparkloom.llm import chat, decontaminate, linededup, media, packing, simhash, tokencount, urlfilter
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -24,11 +24,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat.mismatched_replies(table(spark, sf_dir, "conversations"))
+
+    def runs(mask: str) -> Column:
+        return F.array_join(F.transform(mask, lambda m: F.concat(F.when(m["train"], "+").otherwise("-"), m["chars"].cast("string"))), " ")
+
+    return chat.format_preferences(pairs).withColumns({m: runs(m) for m in ("chosen_mask", "rejected_mask")})
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, urlfilter.RULE_SCHEMA)
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "item_words", "matched_words", "coverage", "longest_tile")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,7 +78,9 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_url_filters": op5_url_filters,
     "op6_line_dedup": op6_line_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
@@ -73,6 +89,32 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_chat_formatting": r"""
+        WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+        n AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
+                 '<|im_start|>' || coalesce(role, 'unknown') || chr(10) AS header,
+                 replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS body
+          FROM t),
+        c AS (
+          SELECT conv_id, count(*) AS turns, coalesce(max(k) FILTER (role = 'assistant'), 0) AS last FROM n GROUP BY conv_id),
+        reply AS (SELECT n.conv_id, text, header, body FROM n JOIN c ON n.conv_id = c.conv_id AND n.k = c.last),
+        j AS (
+          SELECT c.*, o.conv_id IS NOT NULL AS has_other, r.header AS h, r.body AS b, o.header AS oh, o.body AS ob,
+                 CASE WHEN last = 0 THEN turns
+                      WHEN o.conv_id IS NOT NULL AND o.text IS NOT DISTINCT FROM r.text THEN last
+                      ELSE last - 1 END AS prefix_turns
+          FROM c LEFT JOIN reply r ON r.conv_id = c.conv_id LEFT JOIN reply o ON o.conv_id = xor(c.conv_id, 1)),
+        p AS (
+          SELECT j.conv_id, coalesce(string_agg(header || body, '' ORDER BY k) FILTER (k <= prefix_turns), '') AS prompt
+          FROM j JOIN n USING (conv_id) GROUP BY j.conv_id)
+        SELECT conv_id, prefix_turns::INTEGER AS prefix_turns, prompt,
+               CASE WHEN prefix_turns < last THEN h || b ELSE '' END AS chosen,
+               CASE WHEN prefix_turns < last THEN '-' || length(h) || ' +' || length(b) ELSE '' END AS chosen_mask,
+               CASE WHEN prefix_turns < last AND has_other THEN oh || ob ELSE '' END AS rejected,
+               CASE WHEN prefix_turns < last AND has_other THEN '-' || length(oh) || ' +' || length(ob) ELSE '' END AS rejected_mask
+        FROM j JOIN p USING (conv_id)
+    """,
     "op5_url_filters": r"""
         WITH parts AS (
           SELECT page_id,

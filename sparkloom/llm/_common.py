@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,28 +34,32 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only the key and the text, under fixed names, so that other columns of ``docs`` cannot clash."""
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def keyed_text(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    """The key, the text and the columns in ``carry``, under fixed names, so that other columns of ``docs`` cannot clash."""
+    extra = [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(carry)]
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *extra)
 
 
 def id_field(docs: DataFrame, id_col: str, name: str = "id") -> T.StructField:
     return T.StructField(name, docs.schema[id_col].dataType, True)
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], max_bytes: int) -> Iterator[tuple[pa.Array, list[str | None]]]:
-    """Cut Arrow batches of (id, text) into runs of rows with about ``max_bytes`` of text; a longer row is a run of its own."""
+def text_chunks(batches: Iterable[pa.RecordBatch], max_bytes: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Cut Arrow batches, whose second column is a text, into runs of rows with about ``max_bytes`` of text, each with its texts.
+
+    A row with a longer text is a run of its own.
+    """
     for batch in batches:
-        ids, text = batch.column(0), batch.column(1)
+        text = batch.column(1)
         sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
         begin, held = 0, 0
-        for i, n in enumerate(sizes):
+        for i, n in enumerate(sizes.tolist()):
             if held and held + n > max_bytes:
-                yield ids.slice(begin, i - begin), text.slice(begin, i - begin).to_pylist()
+                yield batch.slice(begin, i - begin), text.slice(begin, i - begin).to_pylist()
                 begin, held = i, 0
-            held += int(n)
+            held += n
         if begin < len(sizes):
-            yield ids.slice(begin), text.slice(begin).to_pylist()
+            yield batch.slice(begin), text.slice(begin).to_pylist()
 
 
 def map_texts(
@@ -65,25 +69,26 @@ def map_texts(
     fields: list[T.StructField],
     make: Callable[[], Callable[[list[str | None]], dict]],
     max_bytes: int = 1 << 20,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Apply a function to runs of texts on the executors, through Arrow.
 
     ``make()`` is called once in each task and returns the function. It gets a list of texts and returns the columns
     named in ``fields``; if it returns ``row`` too, that column says from which text each output row comes (else one
-    row for each text, in order). The result's first column is the id.
+    row for each text, in order). The result has the id, ``fields``, and the columns of ``docs`` named in ``carry``.
     """
-    first = id_field(docs, id_col, id_col)
-    schema = T.StructType([first, *fields])
+    schema = T.StructType([id_field(docs, id_col, id_col), *fields, *(docs.schema[c] for c in carry)])
+    names = [f.name for f in schema.fields]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
-        for ids, texts in text_chunks(batches, max_bytes):
+        for rows, texts in text_chunks(batches, max_bytes):
             columns = function(texts)
             if "row" in columns:
-                ids = ids.take(pa.array(columns["row"], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *(to_arrow(columns[f.name], f.dataType) for f in fields)], names=[first.name, *(f.name for f in fields)])
+                rows = rows.take(pa.array(columns["row"], pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), *(to_arrow(columns[f.name], f.dataType) for f in fields), *rows.columns[2:]], names=names)
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(apply, schema)
+    return keyed_text(docs, id_col, text_col, carry).mapInArrow(apply, schema)
 
 
 _ARROW = {

@@ -19,7 +19,7 @@ that a third of all documents hold is probed in many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -274,45 +274,41 @@ def drops(index: LineIndex, lines: DataFrame) -> DataFrame:
     return lost.groupBy("id").agg(F.flatten(pairs).alias("gone"))
 
 
-def thin(index: LineIndex, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return id, text (without the lines that go), n_lines and n_dropped, one row for each row of ``docs``.
+def thin(index: LineIndex, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """Return id, text (without the lines that go), n_lines, n_dropped and the columns in ``carry``, one row for each row of ``docs``.
 
     Which keys a document holds is read from the index, not from its text again; a document that isn't in the index
     comes back whole.
     """
     lost = drops(index, index.holders.where("id IS NOT NULL"))
-    return _rewrite(docs, lost, index.min_chars, id_col, text_col)
-
-
-def _rewrite(docs: DataFrame, lost: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    schema = T.StructType([id_field(docs, id_col, id_col), field("text", "string"), field("n_lines", "bigint"), field("n_dropped", "bigint")])
+    min_chars = index.min_chars
+    schema = T.StructType([id_field(docs, id_col, id_col), field("text", "string"), field("n_lines", "bigint"), field("n_dropped", "bigint"), *(docs.schema[c] for c in carry)])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = pa.array(range(batch.num_rows), pa.int64())
-            for at, texts in text_chunks([pa.RecordBatch.from_arrays([rows, batch.column(1)], names=["row", "text"])], 4 << 20):
-                kept, lines, lost_lines = [], [], []
-                for text, gone in zip(texts, batch.column(2).take(at)):
-                    text = text or ""
-                    n = text.count("\n") + 1
-                    if gone.is_valid:
-                        own = np.ascontiguousarray(gone.values.to_numpy(zero_copy_only=False)).tobytes()
-                        own = {own[i : i + 16] for i in range(0, len(own), 16)}
-                        stay = [x for x in text.split("\n") if (k := line_key(x, min_chars)) is None or key_hash(k) not in own]
-                        text = "\n".join(stay)
-                        lost_lines.append(n - len(stay))
-                    else:
-                        lost_lines.append(0)
-                    kept.append(text)
-                    lines.append(n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(lost_lines, pa.int64())], names=schema.names)
-
-    joined = keyed_text(docs, id_col, text_col).join(lost, "id", "left").select("id", "text", "gone")
-    return joined.mapInArrow(rewrite, schema)
-
-
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+        for rows, texts in text_chunks(batches, 4 << 20):
+            kept, lines, lost_lines = [], [], []
+            for text, gone in zip(texts, rows.column(2)):
+                text = text or ""
+                n = stay = text.count("\n") + 1
+                if gone.is_valid:
+                    packed = np.ascontiguousarray(gone.values.to_numpy(zero_copy_only=False)).tobytes()
+                    hashes = {packed[i : i + 16] for i in range(0, len(packed), 16)}
+                    staying = [x for x in text.split("\n") if (k := line_key(x, min_chars)) is None or key_hash(k) not in hashes]
+                    text, stay = "\n".join(staying), len(staying)
+                kept.append(text)
+                lines.append(n)
+                lost_lines.append(n - stay)
+            made = [pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(lost_lines, pa.int64())]
+            yield pa.RecordBatch.from_arrays([rows.column(0), *made, *rows.columns[3:]], names=schema.names)
+
+    joined = keyed_text(docs, id_col, text_col, carry).join(lost, "id", "left")
+    return joined.select("id", "text", "gone", *(f"c{i}" for i in range(len(carry)))).mapInArrow(rewrite, schema)
+
+
+def dedup_lines(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, carry: Sequence[str] = ()
+) -> DataFrame:
     """Index all of ``docs`` and thin them: the whole of the operator over one table."""
     shards = max(16, docs.count() // 500_000)
     index = insert(empty_index(docs, id_col, min_chars=min_chars, min_docs=min_docs, shards=shards), docs, id_col=id_col, text_col=text_col)
-    return thin(index, docs, id_col=id_col, text_col=text_col)
+    return thin(index, docs, id_col=id_col, text_col=text_col, carry=carry)

@@ -373,20 +373,18 @@ def decode_jpeg(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "m
     schema = T.StructType([id_field(media, id_col, id_col), *kept, *fields])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = pa.array(range(batch.num_rows), pa.int64())
-            for at, streams in text_chunks([pa.RecordBatch.from_arrays([rows, batch.column(1)], names=["row", "media"])], batch_bytes):
-                got = thumbnails(streams)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(at),
-                        *(batch.column(2 + i).take(at) for i in range(len(kept))),
-                        pa.array([x is not None for x in got], pa.bool_()),
-                        *(pa.array([x and x[k] for x in got], pa.int32()) for k in range(3)),
-                        pa.array([None if x is None else x[3].tobytes() for x in got], pa.binary()),
-                        pa.array([None if x is None else average_hash(x[3]) for x in got], pa.string()),
-                    ],
-                    names=schema.names,
-                )
+        for rows, streams in text_chunks(batches, batch_bytes):
+            got = thumbnails(streams)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column(0),
+                    *rows.columns[2:],
+                    pa.array([x is not None for x in got], pa.bool_()),
+                    *(pa.array([x and x[k] for x in got], pa.int32()) for k in range(3)),
+                    pa.array([None if x is None else x[3].tobytes() for x in got], pa.binary()),
+                    pa.array([None if x is None else average_hash(x[3]) for x in got], pa.string()),
+                ],
+                names=schema.names,
+            )
 
     return media.select(F.col(id_col), F.col(media_col).cast("binary"), *(F.col(c) for c in keep)).mapInArrow(apply, schema)

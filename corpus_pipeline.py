@@ -1,10 +1,53 @@
-"""The corpus pipeline: stages over ``documents``, each calling one operator of ``sparkloom.llm``."""
+"""The corpus pipeline: stages over ``documents``, each calling one operator of ``sparkloom.llm``.
+
+Every stage takes all rows that its predecessor kept and, but for the last, returns the columns of ``documents``. Ids are
+taken to be unique within ``documents``; the stages that compare documents keep rows with a null id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.llm import decontaminate, langid, linededup, packing, simhash
+from sparkloom.llm.queries import table, tokenizer_path
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an accepted language go (among them those without any letter)."""
+    named = langid.identify(docs, langid.fit(docs), carry=[c for c in docs.columns if c != "doc_id"])
+    return named.where("accepted").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents hold go from all but one; texts and their lengths change, no document goes."""
+    thinned = linededup.dedup_lines(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
+    return thinned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    copies = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", best_fit_packing),
+]
 
 #: No single SQL statement expresses these stages; ``tests/llm`` compares them with brute force.
 ORACLE_SQL = None

@@ -230,9 +230,14 @@ def plan(histogram: dict[int, int], length: int = 1024, groups: int = 512, small
     return rows, sequences
 
 
-def ranked(pieces: DataFrame, buckets: int) -> DataFrame:
-    """Add ``rank``, from 0 within each length, to ``pieces``, which have a unique long ``uid``."""
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(buckets)))
+def ranked(pieces: DataFrame, sizes: DataFrame, rows_per_bucket: int) -> DataFrame:
+    """Add ``rank``, from 0 within each length, to ``pieces``, which have a unique long ``uid``.
+
+    ``sizes(length, n)`` is their histogram, no longer than a sequence and so broadcast. A length gets as many buckets
+    as its count asks for, and buckets are numbered apart from each other.
+    """
+    buckets = F.ceil(F.col("n") / rows_per_bucket)
+    dealt = pieces.join(F.broadcast(sizes), "length").withColumn("bucket", F.pmod(F.xxhash64("uid"), buckets)).drop("n")
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -240,14 +245,15 @@ def ranked(pieces: DataFrame, buckets: int) -> DataFrame:
     return numbered.join(offsets, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("k") - 1).drop("bucket", "base", "k")
 
 
-def pack(pieces: DataFrame, *, length: int = 1024, groups: int = 512, rows_per_bucket: int = 100_000) -> DataFrame:
+def pack(pieces: DataFrame, *, length: int = 1024, groups: int = 512, rows_per_bucket: int = 1000) -> DataFrame:
     """Add sequence_id and offset to a written table of pieces with a ``length`` (1 to ``length``) and a unique long ``uid``."""
-    histogram = {int(r["length"]): r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    counted = [(int(r["length"]), r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()]
+    histogram = dict(counted)
     rows, _ = plan(histogram, length, groups)
     rows.sort()
     places = np.array(rows, np.int64).reshape(-1, 5)
     key = places[:, 0] << 44 | places[:, 1]
-    buckets = max(1, -(-sum(histogram.values()) // rows_per_bucket))
+    sizes = pieces.sparkSession.createDataFrame(counted, "length long, n long")
     schema = T.StructType([f for f in pieces.schema.fields if f.name != "uid"] + [field("sequence_id", "bigint"), field("offset", "bigint")])
     keep = [f.name for f in schema.fields[:-2]]
 
@@ -259,7 +265,7 @@ def pack(pieces: DataFrame, *, length: int = 1024, groups: int = 512, rows_per_b
                 [*(batch.column(c) for c in keep), pa.array(places[k, 3] + rank - places[k, 1]), pa.array(places[k, 4])], names=schema.names
             )
 
-    return ranked(pieces, buckets).select(*keep, "rank").mapInArrow(place, schema)
+    return ranked(pieces, sizes, rows_per_bucket).select(*keep, "rank").mapInArrow(place, schema)
 
 
 def pack_documents(

@@ -53,7 +53,7 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     """A function from texts to their ids by the tokenizers file ``path``, without added special tokens.
 
     A byte-level BPE whose ids follow its merges is run by tiktoken, several times as fast with the same ids; any other
-    file by tokenizers itself.
+    file, and any text that tiktoken can't cut into words, by tokenizers itself.
     """
     import os
 
@@ -82,7 +82,14 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
 
     ranks = {bytes(byte_of[c] for c in piece): i for piece, i in vocabulary.items() if piece not in special}
     fast = tiktoken.Encoding("words", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda texts: [fast.encode(t, allowed_special="all") for t in texts]
+
+    def encode(text: str) -> list[int]:
+        try:
+            return fast.encode(text, allowed_special="all")
+        except ValueError:  # a run of white space that is too long for its pattern engine
+            return plain([text])[0]
+
+    return lambda texts: [encode(t) for t in texts]
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 2) -> DataFrame:

@@ -9,6 +9,7 @@ import email.utils
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The longest body that is kept, and the charsets tried where the named one is unknown.
 MAX_BODY = 5000
@@ -69,11 +70,11 @@ def parse_message(raw: bytes) -> dict:
     }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_header(headers: pd.Series) -> pd.Series:
     return headers.map(decode_words)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def header_date(headers: pd.Series) -> pd.Series:
     return headers.map(iso_date)

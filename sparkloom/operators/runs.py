@@ -57,7 +57,8 @@ def parallelism(spans: DataFrame, by: list[str] | None = None) -> DataFrame:
     """
     by = by or ["run_id"]
     open_ = spans.where(F.col("end") > F.col("begin"))
-    points = open_.select(*by, F.explode(F.array(F.struct(F.col("begin").alias("at"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("end").alias("at"), F.lit(0), F.lit(1)))).alias("p"))
+    change = lambda at, up: F.struct(F.col(at).alias("at"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"))
+    points = open_.select(*by, F.explode(F.array(change("begin", 1), change("end", 0))).alias("p"))
     moments = points.groupBy(*by, "p.at").agg(F.sum("p.up").alias("up"), F.sum("p.down").alias("down"))
     order = Window.partitionBy(*by).orderBy("at")
     level = F.sum(F.col("up") - F.col("down")).over(order.rowsBetween(Window.unboundedPreceding, 0))

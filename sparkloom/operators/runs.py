@@ -17,9 +17,15 @@ def seconds(stamp: str | Column) -> Column:
     return F.unix_micros(column.cast("timestamp")) / F.lit(1e6)
 
 
+def elapsed(begin: str | Column, end: str | Column) -> Column:
+    """Seconds from one stamp to another, taken from whole microseconds."""
+    a, b = (F.unix_micros((F.col(x) if isinstance(x, str) else x).cast("timestamp")) for x in (begin, end))
+    return (b - a) / F.lit(1e6)
+
+
 def duration(runs: DataFrame) -> DataFrame:
     """Add ``duration`` from the stamps; null if either is missing."""
-    return runs.withColumn("duration", seconds("finished_at") - seconds("started_at"))
+    return runs.withColumn("duration", elapsed("started_at", "finished_at"))
 
 
 def durations(runs: DataFrame) -> DataFrame:
@@ -37,14 +43,14 @@ def by_status(runs: DataFrame, *statuses: str) -> DataFrame:
 
 def wall_clock(runs: DataFrame) -> DataFrame:
     """(run_id, wall): last finish less first start, over all runs that have stamps; 0 without."""
-    return runs.groupBy("run_id").agg(F.coalesce(F.max(seconds("finished_at")) - F.min(seconds("started_at")), F.lit(0.0)).alias("wall"))
+    return runs.groupBy("run_id").agg(F.coalesce(elapsed(F.min("started_at"), F.max("finished_at")), F.lit(0.0)).alias("wall"))
 
 
 def wait_times(runs: DataFrame, edges: DataFrame) -> DataFrame:
     """(run_id, name, wait): start less the latest finish of the needs, not below 0; 0 without needs, start, or when skipped."""
-    ends = runs.select("run_id", F.col("name").alias("src"), seconds("finished_at").alias("end"))
+    ends = runs.select("run_id", F.col("name").alias("src"), F.col("finished_at").alias("end"))
     ready = edges.join(ends, ["run_id", "src"]).groupBy("run_id", F.col("dst").alias("name")).agg(F.max("end").alias("ready"))
-    wait = F.when(F.col("status") == "skipped", 0.0).otherwise(F.greatest(F.lit(0.0), seconds("started_at") - F.col("ready")))
+    wait = F.when(F.col("status") == "skipped", 0.0).otherwise(F.greatest(F.lit(0.0), elapsed("ready", "started_at")))
     return runs.join(ready, ["run_id", "name"], "left").select("run_id", "name", F.coalesce(wait, F.lit(0.0)).alias("wait"))
 
 

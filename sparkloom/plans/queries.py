@@ -625,7 +625,7 @@ def tasks_by_status(spark, sf_dir):
     return runs.by_status(event_runs(spark, sf_dir), "failed", "skipped").select("run_id", "name", "status")
 
 
-@query(f"WITH {_RUNS} SELECT run_id, name, CASE WHEN status = 'skipped' THEN 0.0::DOUBLE ELSE f / 1e6 - b / 1e6 END AS duration FROM r")
+@query(f"WITH {_RUNS} SELECT run_id, name, CASE WHEN status = 'skipped' THEN 0.0::DOUBLE ELSE (f - b) / 1e6 END AS duration FROM r")
 def durations(spark, sf_dir):
     stamped = event_runs(spark, sf_dir).withColumn("finished_at", F.when(F.col("status") != "skipped", F.col("finished_at")))
     return runs.durations(runs.duration(stamped))
@@ -636,13 +636,13 @@ def top_bottlenecks(spark, sf_dir):
     return runs.bottlenecks(event_runs(spark, sf_dir), 3)
 
 
-@query(f"WITH {_RUNS} SELECT run_id, max(f / 1e6) - min(b / 1e6) AS wall FROM r GROUP BY run_id")
+@query(f"WITH {_RUNS} SELECT run_id, (max(f) - min(b)) / 1e6 AS wall FROM r GROUP BY run_id")
 def wall_clock(spark, sf_dir):
     return runs.wall_clock(event_runs(spark, sf_dir))
 
 
 @query(f"""
-    WITH {_RUNS} SELECT run_id, name, CASE WHEN status = 'skipped' THEN 0.0::DOUBLE ELSE coalesce(greatest(0.0::DOUBLE, b / 1e6 - lag(f / 1e6) OVER (PARTITION BY run_id ORDER BY name)), 0.0::DOUBLE) END AS wait FROM r
+    WITH {_RUNS} SELECT run_id, name, CASE WHEN status = 'skipped' THEN 0.0::DOUBLE ELSE coalesce(greatest(0.0::DOUBLE, (b - lag(f) OVER (PARTITION BY run_id ORDER BY name)) / 1e6), 0.0::DOUBLE) END AS wait FROM r
 """)
 def wait_time(spark, sf_dir):
     made = event_runs(spark, sf_dir)
@@ -731,11 +731,11 @@ def run_profile(spark, sf_dir):
           UNION SELECT g.run_id, e.dst, total + len + wait FROM g JOIN e ON e.run_id = g.run_id AND e.src = g.node JOIN w ON w.run_id = e.run_id AND w.node = e.dst),
     x AS (SELECT run_id, node, max(total) AS f FROM g GROUP BY run_id, node),
     y AS (SELECT x.run_id, x.node, f - len AS b, f, min(f - len) OVER r AS first, max(f) OVER r AS last FROM x JOIN n ON n.run_id = x.run_id AND n.node = x.node WINDOW r AS (PARTITION BY x.run_id))
-    SELECT run_id, node::VARCHAR AS name, round(b / 1e6, 3) AS "begin", round(f / 1e6, 3) AS "end", round((b - first) / (last - first) * 100, 3) AS left_pct, round((f - b) / (last - first) * 100, 3) AS width_pct FROM y
+    SELECT run_id, node::VARCHAR AS name, round(b / 1e6, 3) AS "begin", round(f / 1e6, 3) AS "end", round((b - first) / (last - first) * 100, 4) AS left_pct, round((f - b) / (last - first) * 100, 4) AS width_pct FROM y
 """)
 def gantt(spark, sf_dir):
     bars = runs.gantt(*turn_runs(spark, sf_dir))
-    return bars.select("run_id", "name", *[F.round(c, 3).alias(c) for c in ("begin", "end", "left_pct", "width_pct")])
+    return bars.select("run_id", "name", *[F.round(c, 3).alias(c) for c in ("begin", "end")], "left_pct", "width_pct")
 
 
 # -- streaming -------------------------------------------------------------------------------------------------------

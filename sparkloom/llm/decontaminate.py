@@ -17,6 +17,7 @@ give a row each; items that repeat an id are items of their own.
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from functools import reduce
 
@@ -71,26 +72,23 @@ def tile(pattern: list[int], text: list[int | None], least: int) -> list[tuple[i
                     n += 1
                 if n >= size:
                     found.append((-n, p, t))
-        queue = sorted(found)
-        again = False
-        while queue:
-            n, p, t = queue.pop(0)
-            n = -n
-            free = 0  # what an earlier tile has left of this match, from its beginning or its end
-            runs = []
-            for k in range(n + 1):
-                if k < n and not used_p[p + k] and not used_t[t + k]:
+        heapq.heapify(found)
+        while found:
+            n, p, t = heapq.heappop(found)
+            free, runs = 0, []  # what earlier tiles have left of this match
+            for k in range(-n + 1):
+                if k < -n and not used_p[p + k] and not used_t[t + k]:
                     free += 1
                 elif free:
                     runs.append((k - free, free))
                     free = 0
-            if runs == [(0, n)]:
-                tiles.append((p, t, n))
-                used_p[p : p + n] = used_t[t : t + n] = [True] * n
-            elif any(length >= size for _, length in runs):
-                again = True  # a shorter rest is still long enough for this window: scan once more
-        if again:
-            continue
+            if runs == [(0, -n)]:
+                tiles.append((p, t, -n))
+                used_p[p : p - n] = used_t[t : t - n] = [True] * -n
+            else:  # a rest takes its turn by its own length
+                for k, length in runs:
+                    if length >= size:
+                        heapq.heappush(found, (-length, p + k, t + k))
         if size == least or not any(not u for u in used_p):
             return tiles
         size = max(least, size // 2)

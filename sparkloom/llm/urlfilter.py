@@ -62,6 +62,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", defa
     order = F.struct(
         (F.length("r_host") + F.length("r_path")).alias("chars"), F.length("r_host").alias("host_chars"), F.col("r_verdict").alias("verdict"), F.concat("r_host", "r_path").alias("rule")
     )
-    best = fitting.groupBy(F.col("host").alias("b_host"), F.col("path").alias("b_path")).agg(F.max(order).alias("best"))
-    judged = parted.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
-    return judged.withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))}).drop("b_host", "b_path", "best")
+    best = fitting.groupBy(F.col("host").alias("_b_host"), F.col("path").alias("_b_path")).agg(F.max(order).alias("_best"))
+    judged = parted.join(best, (F.col("host") == F.col("_b_host")) & (F.col("path") == F.col("_b_path")), "left")
+    return judged.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))}).drop("_b_host", "_b_path", "_best")

@@ -118,7 +118,7 @@ def _choose(rows: DataFrame, categories: tuple[str, ...], features: int, least_z
 
 def fit(
     docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], *, id_col: str = "doc_id", text_col: str = "text",
-    sample: int = 20_000, features: int = 2048, least_z: float = 3.0, folds: int = 4,
+    sample: int = 8_000, features: int = 2048, least_z: float = 3.0, folds: int = 4,
 ) -> Chain:
     """Train the chain on labelled documents; null labels count as 0."""
     given = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*[F.coalesce(F.max(c), F.lit(0)).cast("int").alias(c) for c in categories])

@@ -28,7 +28,7 @@ from sparkloom.llm._common import field, keyed_text, map_texts, text_chunks
 BUCKETS = 4096
 ORDERS = (2, 3, 4)
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # letters, and numbers such as ² that ``isalpha`` tells apart
 #: ASCII bytes that aren't letters become spaces; bytes of characters beyond ASCII stay.
 _FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 _AT_ONCE = 64  # texts in a block of dense vectors
@@ -160,7 +160,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                     best = np.argmax(all_, axis=1)
                     cosine = np.clip(all_[np.arange(len(block)), best].astype(np.float64), 0, 1)
                 for text, k, score in zip(block, best.tolist(), cosine.tolist()):
-                    known = bool(own.languages) and bool(text) and _LETTER.search(text) is not None
+                    known = bool(own.languages) and bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
                     languages.append(own.languages[k] if known else UNKNOWN)
                     scores.append(score if known else 0.0)
                     accepted.append(known and score >= floor)

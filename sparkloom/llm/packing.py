@@ -151,7 +151,7 @@ def _configurations(sizes: list[int], counts: list[int], length: int) -> Iterato
         yield sorted(used.items(), reverse=True), times
 
 
-def plan(histogram: dict[int, int], length: int = 1024, groups: int = 512, small: float = 1 / 8) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def plan(histogram: dict[int, int], length: int = 1024, groups: int = 4096, small: float = 1 / 8) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Places for ``histogram[n]`` pieces of each length n: rows (length, first rank, how many, first sequence, offset).
 
     The piece of rank ``first + k`` goes to sequence ``first sequence + k``. Also returns the number of sequences. The
@@ -252,7 +252,7 @@ def ranked(pieces: DataFrame, sizes: DataFrame, rows_per_bucket: int) -> DataFra
     return numbered.join(offsets, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("k") - 1).drop("bucket", "base", "k")
 
 
-def pack(pieces: DataFrame, *, length: int = 1024, groups: int = 512, rows_per_bucket: int = 1000) -> DataFrame:
+def pack(pieces: DataFrame, *, length: int = 1024, groups: int = 4096, rows_per_bucket: int = 1000) -> DataFrame:
     """Add sequence_id and offset to a written table of pieces with a ``length`` (1 to ``length``) and a unique long ``uid``."""
     counted = [(int(r["length"]), r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()]
     histogram = dict(counted)
@@ -276,7 +276,7 @@ def pack(pieces: DataFrame, *, length: int = 1024, groups: int = 512, rows_per_b
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 2, groups: int = 512
+    docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 2, groups: int = 4096
 ) -> DataFrame:
     """Return id, piece, start, length, ids_crc32, sequence_id and offset, one row for each piece of ``docs``."""
     pieces = tokenise(docs, tokenizer_path, id_col=id_col, text_col=text_col, length=length, end_id=end_id)

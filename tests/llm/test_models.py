@@ -71,12 +71,12 @@ def test_term_counts_equal_plain_counts():
 # -- toxicity --------------------------------------------------------------------------------------------------------
 
 
-def test_toxicity_of_held_out_documents(spark, docs):
-    labels = spark.read.parquet(f"{DATA}/sf0.01/labels.parquet")
+def test_toxicity_of_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     chain = toxicity.fit(docs, labels.where("doc_id % 3 <> 0"), ("quality", "toxic"))
     got = toxicity.score(docs.where("doc_id % 3 = 0"), chain).join(labels, "doc_id")
     hit, said, held = got.agg(F.count(F.when(F.col("is_toxic") & (F.col("toxic") == 1), 1)), F.count(F.when(F.col("is_toxic"), 1)), F.sum("toxic")).first()
-    assert 2 * hit / (said + held) > 0.8
+    assert held > 50 and 2 * hit / (said + held) > 0.9
 
 
 def test_later_models_get_earlier_probabilities(spark):

@@ -24,6 +24,7 @@ class Words(NamedTuple):
     end: np.ndarray
     text: np.ndarray  # which text each word is from
     hash: np.ndarray
+    sums: np.ndarray  # of the hash's terms up to each byte
 
     def bytes(self, k: int) -> bytes:
         return self.data[self.begin[k] : self.end[k]].tobytes()
@@ -65,7 +66,14 @@ def split(texts: list[str | None]) -> Words:
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
     hashed = mix((sums[end] - sums[begin]) * inverse[begin])
-    return Words(data, begin, end, np.searchsorted(first, begin, side="right") - 1, hashed)
+    return Words(data, begin, end, np.searchsorted(first, begin, side="right") - 1, hashed, sums)
+
+
+def beginnings(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are longer than ``size`` bytes, and hashes of their first ``size`` bytes (other ones than words have)."""
+    at = np.flatnonzero(words.end - words.begin > size)
+    begin = words.begin[at]
+    return at, ~mix((words.sums[begin + size] - words.sums[begin]) * _grow(len(words.data) + 1)[1][begin])
 
 
 def grams(hashes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, langid, linededup, packing, simhash
+from sparkloom.llm import decontaminate, langid, linededup, nearcopies, packing
 from sparkloom.llm.queries import table, tokenizer_path
 
 
@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    copies = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
+    """Of each group of near copies (0.8 or more of their five-word shingles shared, Jaccard) the document with the smallest id stays."""
+    copies = nearcopies.near_copies(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti")
 
 

@@ -93,7 +93,7 @@ def document_frequencies(train: DataFrame, text_col: str) -> tuple[np.ndarray, i
 def _sample(train: DataFrame, text_col: str, lang_col: str, sample: int) -> DataFrame:
     """At most ``sample`` distinct texts of each language: those whose hashes come first."""
     hashed = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    sizes = hashed.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))  # copies don't count
     part = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("n"))
     near = hashed.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "lang").where(F.pmod("h", F.lit(1_000_003)) < part * 1_000_003)
     once = near.groupBy("lang", "h").agg(F.first("text").alias("text"))

@@ -7,8 +7,10 @@ a bounded sample: at most ``sample`` distinct texts of each language, chosen by
 language of the centroid with the highest cosine, which is its score; ties go to the language that sorts first.
 
 A text that is null or has no letter is ``und`` with score 0 and not accepted. Any other text gets a learned language;
-it is accepted unless its cosine is below ``reject`` times the least that a sampled text has with its own centroid,
-which is where text of no learned language falls. Without training rows everything is ``und``. Texts are read whole.
+it is accepted if both its cosine and its lead over the best centroid of another language reach ``reject`` times what
+nearly all sampled texts of that language and about that length have: the ``LOW`` quantile, taken for each power of two
+of n-grams over the sampled texts and their beginnings, and less where few texts were sampled. Without training rows
+everything is ``und``. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import field, keyed_text, map_texts, text_chunks
+from sparkloom.llm._common import field, keyed_text, map_texts, text_chunks, written
 
 BUCKETS = 4096
 ORDERS = (2, 3, 4)
@@ -32,13 +34,17 @@ _LETTER = re.compile(r"[^\W\d_]")  # letters, and numbers such as ² that ``isal
 #: ASCII bytes that aren't letters become spaces; bytes of characters beyond ASCII stay.
 _FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 _AT_ONCE = 64  # texts in a block of dense vectors
+LOW = 0.01
+CUTS = (8, 16, 32, 64, 128, 256, 512, 1024, 2048)  # characters of the beginnings that floors are taken from
+SIZES = 40  # powers of two of n-grams
 
 
 class Model(NamedTuple):
     idf: np.ndarray
     languages: list[str]  # of each centroid
     centroids: np.ndarray
-    least: np.ndarray  # the lowest cosine of a sampled text with each centroid
+    floors: np.ndarray  # for each centroid and size: the cosine that nearly all sampled texts of its language reach
+    leads: np.ndarray  # the same of the lead over other languages
 
 
 def term_counts(texts: list[str | None]) -> np.ndarray:
@@ -60,12 +66,28 @@ def term_counts(texts: list[str | None]) -> np.ndarray:
     return counts.reshape(-1, BUCKETS)
 
 
-def vectors(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
-    weighted = np.log1p(term_counts(texts).astype(np.float32)) * idf
+def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    weighted = np.log1p(counts.astype(np.float32)) * idf
     norm = np.sqrt((weighted * weighted).sum(axis=1, keepdims=True))
     return weighted / np.where(norm > 0, norm, 1)
 
 
+def vectors(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
+    return _weighted(term_counts(texts), idf)
+
+
+def nearest(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text its nearest centroid, the cosine, the lead over other languages (1 if there are none) and the size."""
+    counts = term_counts(texts)
+    cosines = _weighted(counts, model.idf) @ model.centroids.T
+    best = np.argmax(cosines, axis=1)
+    score = np.clip(cosines[np.arange(len(best)), best].astype(np.float64), 0, 1)
+    names = np.unique(model.languages, return_inverse=True)[1]
+    other = np.where(names[best][:, None] == names[None, :], -1, cosines).max(axis=1)
+    lead = np.where(other < 0, 1.0, score - other)
+    return best, score, lead, np.log2(np.maximum(counts.sum(axis=1), 1)).astype(np.int64)
+
+
 def _blocks(texts: list) -> Iterator[list]:
     for k in range(0, len(texts), _AT_ONCE):
         yield texts[k : k + _AT_ONCE]
@@ -120,50 +142,70 @@ def cluster(points: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, n
     return made, np.argmax(points @ made.T, axis=1)
 
 
+def _floors(sampled: DataFrame, model: Model) -> Model:
+    """Add the floors: low quantiles of the sampled texts and their beginnings that get their own language."""
+    sent = sampled.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        def measure(texts: list[str]) -> dict:
+            cuts = [(i, t[:n]) for i, t in enumerate(texts) for n in (*[c for c in CUTS if c < len(t)], len(t))]
+            found = [nearest([t for _, t in block], sent.value) for block in _blocks(cuts)]
+            best, score, lead, size = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0)] * 4
+            return {"row": [i for i, _ in cuts], "pred": [sent.value.languages[int(k)] for k in best], "score": score, "lead": lead, "size": size.astype(np.int64)}
+
+        return measure
+
+    fields = [field("pred", "string"), field("score", "double"), field("lead", "double"), field("size", "bigint")]
+    own = map_texts(sampled, "lang", "text", fields, make, 1 << 18).where("lang = pred")
+    low = own.groupBy("lang", "size").agg(F.count("*").alias("n"), *[F.expr(f"percentile({c}, {LOW})").alias(c) for c in ("score", "lead")])
+    found = {}
+    for r in low.orderBy("lang", "size").collect():
+        trust = r["n"] / (r["n"] + 20)  # few texts are nearer to centroids of their own than others will be
+        floors = found.setdefault(r["lang"], np.zeros((2, SIZES)))
+        floors[:, r["size"] :] = np.array([[r["score"]], [r["lead"]]]) * trust
+    both = np.stack([found.get(x, np.zeros((2, SIZES))) for x in model.languages]) if model.languages else np.zeros((0, 2, SIZES))
+    return model._replace(floors=both[:, 0], leads=both[:, 1])
+
+
 def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_language: int = 4, sample: int = 500) -> Model:
     """Learn from the rows of ``train`` whose text and language aren't null."""
     rows = train.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     df, n = document_frequencies(rows, text_col)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    with_vectors = map_texts(_sample(rows, text_col, lang_col, sample), "lang", "text", [field("vector", "binary")], lambda: lambda texts: {"vector": [v.astype(np.float16).tobytes() for b in _blocks(texts) for v in vectors(b, idf)]})
+    sampled = written(_sample(rows, text_col, lang_col, sample), "sampled")
+    with_vectors = map_texts(sampled, "lang", "text", [field("vector", "binary")], lambda: lambda texts: {"vector": [v.astype(np.float16).tobytes() for b in _blocks(texts) for v in vectors(b, idf)]})
 
     def centroids(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         points = np.stack([np.frombuffer(v, np.float16) for v in sorted(rows.vector)]).astype(np.float32)
         points = points[np.linalg.norm(points, axis=1) > 0]
         if not len(points):
-            return pd.DataFrame({"lang": [], "centroid": [], "least": []})
+            return pd.DataFrame({"lang": [], "centroid": []})
         made, own = cluster(points, per_language)
         used = np.unique(own)
-        cosine = (points * made[own]).sum(axis=1)
-        return pd.DataFrame({"lang": [key[0]] * len(used), "centroid": [made[c].astype(np.float32).tobytes() for c in used], "least": [float(cosine[own == c].min()) for c in used]})
+        return pd.DataFrame({"lang": [key[0]] * len(used), "centroid": [made[c].astype(np.float32).tobytes() for c in used]})
 
-    found = sorted(with_vectors.groupBy("lang").applyInPandas(centroids, "lang string, centroid binary, least double").collect(), key=lambda r: (r["lang"], r["centroid"]))
+    found = sorted(with_vectors.groupBy("lang").applyInPandas(centroids, "lang string, centroid binary").collect(), key=lambda r: (r["lang"], r["centroid"]))
     made = np.stack([np.frombuffer(r["centroid"], np.float32) for r in found]) if found else np.zeros((0, BUCKETS), np.float32)
-    return Model(idf, [r["lang"] for r in found], made, np.array([r["least"] for r in found]))
+    model = Model(idf, [r["lang"] for r in found], made, np.zeros((len(found), SIZES)), np.zeros((len(found), SIZES)))
+    return _floors(sampled, model) if found else model
 
 
-def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", reject: float = 0.25, carry: Sequence[str] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", reject: float = 0.85, carry: Sequence[str] = ()) -> DataFrame:
     """Return id, lang_pred, score, accepted and the columns in ``carry``, one row for each row of ``docs``; only texts are looked at."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         own: Model = sent.value
-        floor = reject * own.least.min() if len(own.least) else 0.0
 
         def name(texts: list[str | None]) -> dict:
             languages, scores, accepted = [], [], []
             for block in _blocks(texts):
-                if not own.languages:
-                    best, cosine = np.zeros(len(block), np.int64), np.zeros(len(block))
-                else:
-                    all_ = vectors(block, own.idf) @ own.centroids.T
-                    best = np.argmax(all_, axis=1)
-                    cosine = np.clip(all_[np.arange(len(block)), best].astype(np.float64), 0, 1)
-                for text, k, score in zip(block, best.tolist(), cosine.tolist()):
+                best, cosine, lead, size = nearest(block, own) if own.languages else np.zeros((4, len(block)), np.int64)
+                for text, k, score, ahead, n in zip(block, best.tolist(), cosine.tolist(), lead.tolist(), size.tolist()):
                     known = bool(own.languages) and bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
                     languages.append(own.languages[k] if known else UNKNOWN)
                     scores.append(score if known else 0.0)
-                    accepted.append(known and score >= floor)
+                    accepted.append(known and score >= reject * own.floors[k, n] and ahead >= reject * own.leads[k, n])
             return {"lang_pred": languages, "score": scores, "accepted": accepted}
 
         return name

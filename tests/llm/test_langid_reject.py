@@ -1,0 +1,55 @@
+"""Language ID turns away what it hasn't learned, and keeps clean texts, short ones too."""
+
+from __future__ import annotations
+
+import base64
+import random
+
+import pytest
+from conftest import DATA
+from pyspark.sql import functions as F
+
+from sparkloom.llm import langid
+
+FOREIGN = {
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. ",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. ",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. ",
+    "zh": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+    "ja": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられている。",
+    "ar": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء. ",
+}
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    return docs, langid.fit(docs.where("NOT held_out"))
+
+
+def accepted(spark, model, texts):
+    odd = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r["accepted"], round(r["score"], 3), r["lang_pred"]) for r in langid.identify(odd, model).orderBy("doc_id").collect()]
+
+
+@pytest.mark.parametrize("times", [1, 8])
+def test_unlearned_languages_are_rejected(spark, learned, times):
+    got = dict(zip(FOREIGN, accepted(spark, learned[1], [t * times for t in FOREIGN.values()])))
+    assert not [(k, x) for k, x in got.items() if x[0]]
+
+
+def test_encoded_and_random_letters_are_rejected(spark, learned):
+    rng = random.Random(2)
+    data = rng.randbytes(3000)
+    texts = [base64.b64encode(data).decode()[:3000], data.hex()[:3000], "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3000))]
+    got = accepted(spark, learned[1], texts)
+    assert not [x for x in got if x[0]], got
+
+
+def test_clean_texts_stay(spark, learned):
+    docs, model = learned
+    clean = docs.where("held_out AND text RLIKE '[A-Za-z]'")
+    for n in (40, 100, 300, 100_000):
+        cut = clean.withColumn("text", F.substring("text", 1, n)).where("text RLIKE '[A-Za-z]{3}'")
+        share = langid.identify(cut, model).agg(F.avg(F.col("accepted").cast("double"))).first()[0]
+        assert share > 0.98, (n, share)

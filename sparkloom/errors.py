@@ -39,5 +39,9 @@ class StepTimeout(LoomError):
     """A step's Spark jobs were cancelled at its deadline."""
 
 
+class NoSharedFolder(LoomError):
+    """The cluster names no folder that driver and executors share."""
+
+
 class StateError(LoomError):
     """Stored state can't be read."""

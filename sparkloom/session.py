@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.errors import NoSharedFolder
 
-_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_BYTES, _DEFAULT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _scopes = threading.local()
 _known: set[str] = set()
@@ -105,5 +105,5 @@ def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
 
 def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Let Spark cut Arrow batches for Python by bytes: rows may be long texts. A size that the session sets is kept."""
-    if spark.conf.get(_BATCH_BYTES, None) == "67108864b" and not spark.sparkContext.getConf().contains(_BATCH_BYTES):
+    if not spark.sparkContext.getConf().contains(_BATCH_BYTES) and spark.conf.get(_BATCH_BYTES) == _DEFAULT_BYTES:
         spark.conf.set(_BATCH_BYTES, size)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.session import written  # noqa: F401
+from sparkloom.session import remove, scope, small_batches, written  # noqa: F401
 
 
 def keyed_text(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
@@ -41,6 +41,17 @@ def text_chunks(batches: Iterable[pa.RecordBatch], max_bytes: int) -> Iterator[t
             yield batch.slice(begin), text.slice(begin).to_pylist()
 
 
+def small(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it has no more than so many rows; else it is shuffled."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
+def carried(names: Sequence[str], made: Iterable[str]) -> list[str]:
+    """The columns of ``names`` that an operator can hand through: its own columns take the place of any of their names."""
+    own = {n.lower() for n in made}
+    return [n for n in dict.fromkeys(names) if n.lower() not in own]
+
+
 def map_texts(
     docs: DataFrame,
     id_col: str,
@@ -54,8 +65,13 @@ def map_texts(
 
     ``make()`` is called once in each task and returns the function. It gets a list of texts and returns the columns
     named in ``fields``; if it returns ``row`` too, that column says from which text each output row comes (else one
-    row for each text, in order). The result has the id, ``fields``, and the columns of ``docs`` named in ``carry``.
+    row for each text, in order). The result has the id, ``fields``, and the columns of ``docs`` named in ``carry``,
+    but for those whose names the others have. A carried text is sent to Python once.
     """
+    small_batches(docs.sparkSession)
+    carry = carried(carry, [id_col, *(f.name for f in fields)])
+    own = [c for c in carry if c != text_col or not isinstance(docs.schema[c].dataType, T.StringType)]
+    place = {c: own.index(c) + 2 if c in own else 1 for c in carry}
     schema = T.StructType([id_field(docs, id_col, id_col), *fields, *(docs.schema[c] for c in carry)])
     names = [f.name for f in schema.fields]
 
@@ -65,9 +81,9 @@ def map_texts(
             columns = function(texts)
             if "row" in columns:
                 rows = rows.take(pa.array(columns["row"], pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), *(to_arrow(columns[f.name], f.dataType) for f in fields), *rows.columns[2:]], names=names)
+            yield pa.RecordBatch.from_arrays([rows.column(0), *(to_arrow(columns[f.name], f.dataType) for f in fields), *(rows.column(place[c]) for c in carry)], names=names)
 
-    return keyed_text(docs, id_col, text_col, carry).mapInArrow(apply, schema)
+    return keyed_text(docs, id_col, text_col, own).mapInArrow(apply, schema)
 
 
 _ARROW = {

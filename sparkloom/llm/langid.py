@@ -2,15 +2,18 @@
 
 Features are hashed byte n-grams (2 to 4 bytes) of the lower-cased UTF-8 text, in which every run of anything but
 letters counts as one space; weights are log(1 + count) times inverse document frequency, vectors have length 1.
-Document frequencies come from all training rows. Centroids (several for each language, by spherical k-means) come from
-a bounded sample: at most ``sample`` distinct texts of each language, chosen by the texts' hashes. A text gets the
-language of the centroid with the highest cosine, which is its score; ties go to the language that sorts first.
+Document frequencies come from all training rows. Centroids (several for each language: bisections along the principal
+axis, then spherical k-means, none with less than ``LEAST`` of the points) come from a bounded sample: at most
+``sample`` distinct texts of each language, chosen by the texts' hashes. A text gets the language of the centroid with
+the highest cosine, which is its score; ties go to the language that sorts first. Cosines are sums of whole numbers, so
+equal texts have equal scores whatever else is in the table.
 
 A text that is null or has no letter is ``und`` with score 0 and not accepted. Any other text gets a learned language;
 it is accepted if both its cosine and its lead over the best centroid of another language reach ``reject`` times what
-nearly all sampled texts of that language and about that length have: the ``LOW`` quantile, taken for each power of two
-of n-grams over the sampled texts and their beginnings, and less where few texts were sampled. Without training rows
-everything is ``und``. Texts are read whole.
+nearly all sampled texts of that centroid and about that length have: the ``LOW`` quantile, taken for each power of two
+of n-grams over the sampled texts and their beginnings (of the whole language, where a centroid has few), and less where
+few texts were sampled. Without training rows everything is ``und``. Texts are read whole; repeated rows have rows of
+their own, with equal results. A carried column that is called like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -37,13 +40,17 @@ _AT_ONCE = 64  # texts in a block of dense vectors
 LOW = 0.01
 CUTS = (8, 16, 32, 64, 128, 256, 512, 1024, 2048)  # characters of the beginnings that floors are taken from
 SIZES = 40  # powers of two of n-grams
+LEAST = 0.05  # of a language's points, in each of its clusters
+OWN = 50  # sampled texts of one size from which on a centroid has floors of its own
+_WHOLE = float(1 << 24)  # parts of vectors are whole multiples of its inverse
+_LOGS = np.log1p(np.arange(1 << 16)).astype(np.float32)  # higher counts weigh no more
 
 
 class Model(NamedTuple):
     idf: np.ndarray
     languages: list[str]  # of each centroid
-    centroids: np.ndarray
-    floors: np.ndarray  # for each centroid and size: the cosine that nearly all sampled texts of its language reach
+    centroids: np.ndarray  # in whole multiples
+    floors: np.ndarray  # for each centroid and size: the cosine that nearly all its sampled texts reach
     leads: np.ndarray  # the same of the lead over other languages
 
 
@@ -67,11 +74,16 @@ def term_counts(texts: list[str | None]) -> np.ndarray:
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    weighted = np.log1p(counts.astype(np.float32)) * idf
+    weighted = _LOGS[np.minimum(counts, len(_LOGS) - 1)] * idf
     norm = np.sqrt((weighted * weighted).sum(axis=1, keepdims=True))
     return weighted / np.where(norm > 0, norm, 1)
 
 
+def _whole(points: np.ndarray) -> np.ndarray:
+    """Whole numbers whose products a float64 sums up exactly, in any order."""
+    return np.rint(points.astype(np.float64) * _WHOLE)
+
+
 def vectors(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
     return _weighted(term_counts(texts), idf)
 
@@ -79,9 +91,9 @@ def vectors(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
 def nearest(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each text its nearest centroid, the cosine, the lead over other languages (1 if there are none) and the size."""
     counts = term_counts(texts)
-    cosines = _weighted(counts, model.idf) @ model.centroids.T
+    cosines = _whole(_weighted(counts, model.idf)) @ model.centroids.T / (_WHOLE * _WHOLE)
     best = np.argmax(cosines, axis=1)
-    score = np.clip(cosines[np.arange(len(best)), best].astype(np.float64), 0, 1)
+    score = np.clip(cosines[np.arange(len(best)), best], 0, 1)
     names = np.unique(model.languages, return_inverse=True)[1]
     other = np.where(names[best][:, None] == names[None, :], -1, cosines).max(axis=1)
     lead = np.where(other < 0, 1.0, score - other)
@@ -123,23 +135,35 @@ def _sample(train: DataFrame, text_col: str, lang_col: str, sample: int) -> Data
     return once.withColumn("nth", nth).where(F.col("nth") <= sample).select("lang", "text")
 
 
+def _unit(points: np.ndarray, own: np.ndarray) -> np.ndarray:
+    sums = np.stack([points[own == c].sum(axis=0) for c in range(own.max() + 1)])
+    norm = np.linalg.norm(sums, axis=1, keepdims=True)
+    return sums / np.where(norm > 0, norm, 1)
+
+
 def cluster(points: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means: (centroids of length 1, each point's centroid). Begins with points far from each other."""
-    centroids = [points.mean(axis=0)]
-    centroids[0] /= max(np.linalg.norm(centroids[0]), 1e-12)
-    nearest = points @ centroids[0]
-    while len(centroids) < min(k, len(points)):
-        far = points[int(np.argmin(nearest))]
-        centroids.append(far)
-        nearest = np.maximum(nearest, points @ far)
-    made = np.stack(centroids)
+    """Up to k centroids of length 1 and each point's centroid, none with less than ``LEAST`` of the points.
+
+    The largest cluster is cut in two along its principal axis until there are k; rounds of k-means follow as long as
+    no cluster becomes too small.
+    """
+    least = max(1, int(np.ceil(LEAST * len(points))))
     own = np.zeros(len(points), np.int64)
+    while own.max() + 1 < k:
+        at = np.flatnonzero(own == np.argmax(np.bincount(own)))
+        if len(at) < 2 * least:
+            break
+        centred = points[at] - points[at].mean(axis=0)
+        along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0]
+        cut = int(np.clip((along < 0).sum(), least, len(at) - least))
+        own[at[np.argsort(along, kind="stable")[cut:]]] = own.max() + 1
+    made = _unit(points, own)
     for _ in range(rounds):
-        own = np.argmax(points @ made.T, axis=1)
-        sums = np.stack([points[own == c].sum(axis=0) for c in range(len(made))])
-        norm = np.linalg.norm(sums, axis=1, keepdims=True)
-        made = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), made)
-    return made, np.argmax(points @ made.T, axis=1)
+        near = np.argmax(points @ made.T, axis=1)
+        if np.bincount(near, minlength=len(made)).min() < least:
+            break
+        own, made = near, _unit(points, near)
+    return made, own
 
 
 def _floors(sampled: DataFrame, model: Model) -> Model:
@@ -150,20 +174,22 @@ def _floors(sampled: DataFrame, model: Model) -> Model:
         def measure(texts: list[str]) -> dict:
             cuts = [(i, t[:n]) for i, t in enumerate(texts) for n in (*[c for c in CUTS if c < len(t)], len(t))]
             found = [nearest([t for _, t in block], sent.value) for block in _blocks(cuts)]
-            best, score, lead, size = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0)] * 4
-            return {"row": [i for i, _ in cuts], "pred": [sent.value.languages[int(k)] for k in best], "score": score, "lead": lead, "size": size.astype(np.int64)}
+            best, score, lead, size = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
+            pred = [sent.value.languages[k] for k in best.tolist()]
+            return {"row": [i for i, _ in cuts], "pred": pred, "centroid": best.astype(np.int64), "score": score, "lead": lead, "size": size.astype(np.int64)}
 
         return measure
 
-    fields = [field("pred", "string"), field("score", "double"), field("lead", "double"), field("size", "bigint")]
+    fields = [field("pred", "string"), field("centroid", "bigint"), field("score", "double"), field("lead", "double"), field("size", "bigint")]
     own = map_texts(sampled, "lang", "text", fields, make, 1 << 18).where("lang = pred")
-    low = own.groupBy("lang", "size").agg(F.count("*").alias("n"), *[F.expr(f"percentile({c}, {LOW})").alias(c) for c in ("score", "lead")])
-    found = {}
-    for r in low.orderBy("lang", "size").collect():
+    lows = [F.count("*").alias("n"), *[F.expr(f"percentile({c}, {LOW})").alias(c) for c in ("score", "lead")]]
+    low = own.rollup("lang", "size", "centroid").agg(*lows).where("size IS NOT NULL")
+    both = np.zeros((len(model.languages), 2, SIZES))
+    for r in low.orderBy("size", F.col("centroid").asc_nulls_first(), "lang").collect():  # a language before its centroids
         trust = r["n"] / (r["n"] + 20)  # few texts are nearer to centroids of their own than others will be
-        floors = found.setdefault(r["lang"], np.zeros((2, SIZES)))
-        floors[:, r["size"] :] = np.array([[r["score"]], [r["lead"]]]) * trust
-    both = np.stack([found.get(x, np.zeros((2, SIZES))) for x in model.languages]) if model.languages else np.zeros((0, 2, SIZES))
+        for k, name in enumerate(model.languages):
+            if name == r["lang"] and (r["centroid"] is None or r["centroid"] == k and r["n"] >= OWN):
+                both[k, :, r["size"] :] = np.array([[r["score"]], [r["lead"]]]) * trust
     return model._replace(floors=both[:, 0], leads=both[:, 1])
 
 
@@ -180,17 +206,16 @@ def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per
         points = points[np.linalg.norm(points, axis=1) > 0]
         if not len(points):
             return pd.DataFrame({"lang": [], "centroid": []})
-        made, own = cluster(points, per_language)
-        used = np.unique(own)
-        return pd.DataFrame({"lang": [key[0]] * len(used), "centroid": [made[c].astype(np.float32).tobytes() for c in used]})
+        made, _ = cluster(points, per_language)
+        return pd.DataFrame({"lang": [key[0]] * len(made), "centroid": [c.astype(np.float32).tobytes() for c in made]})
 
     found = sorted(with_vectors.groupBy("lang").applyInPandas(centroids, "lang string, centroid binary").collect(), key=lambda r: (r["lang"], r["centroid"]))
-    made = np.stack([np.frombuffer(r["centroid"], np.float32) for r in found]) if found else np.zeros((0, BUCKETS), np.float32)
+    made = _whole(np.stack([np.frombuffer(r["centroid"], np.float32) for r in found])) if found else np.zeros((0, BUCKETS))
     model = Model(idf, [r["lang"] for r in found], made, np.zeros((len(found), SIZES)), np.zeros((len(found), SIZES)))
     return _floors(sampled, model) if found else model
 
 
-def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", reject: float = 0.85, carry: Sequence[str] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", reject: float = 0.45, carry: Sequence[str] = ()) -> DataFrame:
     """Return id, lang_pred, score, accepted and the columns in ``carry``, one row for each row of ``docs``; only texts are looked at."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

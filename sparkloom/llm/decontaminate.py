@@ -5,30 +5,36 @@ that its seeds alone could carry over the threshold, tiles are laid greedily: th
 either side first, found by running Karp-Rabin with falling window lengths, so passages are found in whatever order they
 stand. A pair is reported if tiles of at least ``seed_words`` words cover ``coverage`` of the item's words. Sentences
 shorter than a seed can't be tiles of their own, so a passage whose sentences stand in another order falls short of
-whole coverage; the default threshold allows for that.
+whole coverage; the default threshold allows for that. An item of fewer than ``seed_words`` words is found where it is a
+whole line of a document.
 
-The benchmark is the query set: it is split into blocks of about ``block_chars`` characters, each block is broadcast,
-and all documents are scanned against each, whatever their number. A seed that many documents hold costs nothing beyond
-those documents, and a seed that many items hold is compared once for each document. Documents are never shuffled.
+Items of the same words are one: a pair is a row of ``docs`` and such a class of items, named by its smallest id, with
+the number of its items (``item_classes`` says which). Items without a word, and null or empty texts, are never matched.
+Repeated rows of documents give a row each.
 
-Items of fewer than ``seed_words`` words are never matched; neither are null or empty texts. Repeated rows of documents
-give a row each; items that repeat an id are items of their own.
+The benchmark is the query set: it is split into blocks of no more than ``block_chars`` characters (or one item), each
+block is broadcast and documents are scanned against it. Where there are several blocks, documents are first scanned once
+against a Bloom filter of all seeds (64 bits for each seed, 64 MB at most), and the blocks see only what passes. A seed that many
+documents hold costs nothing beyond those documents, and a seed that many items hold is compared once for each document.
+Documents are never shuffled.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm import words as W
-from sparkloom.llm._common import field, map_texts
+from sparkloom.llm._common import field, map_texts, scope, written
 
 
 def _windows(tokens: list, used: list[bool], size: int) -> list[tuple[int, int]]:
@@ -97,12 +103,15 @@ def tile(pattern: list[int], text: list[int | None], least: int) -> list[tuple[i
 class Block:
     """A block of benchmark items, with its seeds."""
 
-    def __init__(self, ids: list, texts: list[str | None], seed_words: int) -> None:
-        self.ids, self.seed_words = ids, seed_words
+    def __init__(self, ids: list, copies: list[int], texts: list[str | None], seed_words: int) -> None:
+        self.ids, self.copies, self.seed_words = ids, copies, seed_words
         own = W.split(texts)
         cuts = np.searchsorted(own.text, np.arange(len(texts) + 1))
         self.words = [[own.bytes(k) for k in range(a, b)] for a, b in zip(cuts, cuts[1:])]
         self.length = np.diff(cuts)
+        self.short = defaultdict(list)  # items that are shorter than a seed, by their words
+        for i in np.flatnonzero((self.length > 0) & (self.length < seed_words)).tolist():
+            self.short[tuple(self.words[i])].append(i)
         at, hashes = W.grams(own.hash, own.text, seed_words)
         self.seeds = W.HashSet(hashes)
         place = np.searchsorted(self.seeds.sorted, hashes)
@@ -110,6 +119,9 @@ class Block:
         self.first = np.searchsorted(place[order], np.arange(len(self.seeds.sorted) + 1))
         self.item = own.text[at][order]
         self.pos = at[order] - cuts[self.item]
+        held = np.unique(own.text[at] * max(1, len(self.seeds.sorted)) + place)
+        self.held = held % max(1, len(self.seeds.sorted))  # the distinct seeds of each item, one item after another
+        self.held_cuts = np.searchsorted(held // max(1, len(self.seeds.sorted)), np.arange(len(texts) + 1))
 
     def match(self, texts: list[str | None], coverage: float) -> dict:
         out = defaultdict(list)
@@ -133,11 +145,12 @@ class Block:
             covered = np.add.reduceat(step, np.concatenate(([0], ends[:-1] + 1)))
             for g in group[ends][covered >= coverage * self.length[group[ends] % len(self.ids)]].tolist():
                 d, item = divmod(g, len(self.ids))
-                own_seeds = np.unique(np.searchsorted(self.first, np.flatnonzero(self.item == item), side="right") - 1)
                 a, b = np.searchsorted(docs.text[at], [d, d + 1])
-                starts = at[a:b][np.isin(seed[a:b], own_seeds)]
+                starts = at[a:b][np.isin(seed[a:b], self.held[self.held_cuts[item] : self.held_cuts[item + 1]])]
                 self._lay(docs, int(np.searchsorted(docs.text, d)), starts, d, item, coverage, out)
-        return self._columns(out)
+        if self.short:
+            self._lines(texts, docs, out)
+        return {name: out[name] for name in ("row", "item", "item_words", "matched_words", "longest_tile", "tiles")}
 
     def _lay(self, docs: W.Words, first: int, starts: np.ndarray, doc: int, item: int, coverage: float, out: dict) -> None:
         places = np.unique((starts[:, None] + np.arange(self.seed_words)).ravel())
@@ -154,48 +167,198 @@ class Block:
         tiles = tile(pattern, text, self.seed_words)
         matched = sum(t[2] for t in tiles)
         if matched and matched >= coverage * len(pattern):
-            out["row"].append(doc)
-            out["item"].append(item)
-            out["item_words"].append(len(pattern))
-            out["matched_words"].append(matched)
-            out["longest_tile"].append(max(t[2] for t in tiles))
-            out["tiles"].append([v for p, t, n in tiles for v in (where[t], p, n)])
-
-    def _columns(self, out: dict) -> dict:
-        return {name: out[name] for name in ("row", "item", "item_words", "matched_words", "longest_tile", "tiles")}
+            self._found(out, doc, item, max(t[2] for t in tiles), matched, [v for p, t, n in tiles for v in (where[t], p, n)])
+
+    def _lines(self, texts: list[str | None], docs: W.Words, out: dict) -> None:
+        """Items shorter than a seed: the first line of each document that has just their words."""
+        owner, lines = [], []
+        for i, t in enumerate(texts):
+            own = (t or "").split("\n")
+            owner += [i] * len(own)
+            lines += own
+        split = W.split(lines)
+        count = np.bincount(split.text, minlength=len(lines))
+        begin = np.cumsum(count) - count
+        seen = set()
+        for k in np.flatnonzero((count > 0) & (count < self.seed_words)).tolist():
+            for item in self.short.get(tuple(split.bytes(w) for w in range(begin[k], begin[k] + count[k])), ()):
+                if (owner[k], item) not in seen:
+                    seen.add((owner[k], item))
+                    n = int(count[k])
+                    self._found(out, owner[k], item, n, n, [int(begin[k]) - int(np.searchsorted(docs.text, owner[k])), 0, n])
+
+    def _found(self, out: dict, doc: int, item: int, longest: int, matched: int, tiles: list[int]) -> None:
+        values = {"row": doc, "item": item, "item_words": int(self.length[item]), "matched_words": matched, "longest_tile": longest, "tiles": tiles}
+        for name, value in values.items():
+            out[name].append(value)
+
+
+def item_classes(benchmark: DataFrame, *, item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(item_id, class_hash): items of the same words have the same hash; items without a word have none (null)."""
+
+    def make():
+        def classes(texts: list[str | None]) -> dict:
+            own = W.split(texts)
+            cuts = np.searchsorted(own.text, np.arange(len(texts) + 1))
+            return {"class_hash": [xxhash.xxh3_128_digest(b" ".join(own.bytes(k) for k in range(a, b))) if a < b else None for a, b in zip(cuts, cuts[1:])]}
+
+        return classes
+
+    return map_texts(benchmark, item_id_col, item_text_col, [field("class_hash", "binary")], make, carry=[item_text_col])
+
+
+_PROBES = 4
+
+
+def _bits(seeds: np.ndarray, bits: int) -> np.ndarray:
+    """The places of seeds in a Bloom filter of 2 ** bits bits, a row for each probe."""
+    more = W.mix(seeds ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    return np.stack([(x >> np.uint64(s)) & np.uint64((1 << bits) - 1) for x in (seeds, more) for s in (0, 32)])
+
+
+def _bloom(classes: DataFrame, seed_words: int) -> np.ndarray:
+    """A Bloom filter of all seeds, built on Spark a word of 64 bits at a time."""
+
+    def seeds_of(texts: list[str | None]) -> np.ndarray:
+        own = W.split(texts)
+        return W.grams(own.hash, own.text, seed_words)[1]
+
+    counted = map_texts(classes, "id", "text", [field("n", "bigint")], lambda: lambda texts: {"row": [0], "n": [len(seeds_of(texts))]} if texts else {"row": [], "n": []})
+    n = counted.agg(F.sum("n")).first()[0] or 0
+    bits = min(29, max(12, int(np.ceil(np.log2(max(1, n) * 64)))))
+
+    def places(texts: list[str | None]) -> dict:
+        at = np.unique(_bits(seeds_of(texts), bits).ravel())
+        return {"row": np.zeros(len(at), np.int64), "place": at.astype(np.int64)}
+
+    set_ = map_texts(classes, "id", "text", [field("place", "bigint")], lambda: places)
+    packed = set_.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS INT))")).alias("mask")).toPandas()
+    made = np.zeros(1 << (bits - 6), np.uint64)
+    made[packed["at"].to_numpy(np.int64)] = packed["mask"].to_numpy(np.int64).view(np.uint64)
+    return made
+
+
+def _candidates(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, seed_words: int) -> DataFrame:
+    """The rows of ``docs`` that may hold a seed of any item: (id, text), written."""
+    short = not classes.where(F.col("words") < seed_words).isEmpty()
+    if short:
+        return docs.select(id_col, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(_bloom(classes, seed_words))
+
+    def make():
+        words = sent.value
+        bits = int(len(words)).bit_length() - 1 + 6
+
+        def passing(texts: list[str | None]) -> dict:
+            own = W.split(texts)
+            at, hashes = W.grams(own.hash, own.text, seed_words)
+            hit = np.ones(len(at), bool)
+            for place in _bits(hashes, bits):
+                left = np.flatnonzero(hit)
+                place = place[left]
+                hit[left] = (words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+            rows = np.unique(own.text[at[hit]])
+            return {"row": rows, text_col: [texts[i] for i in rows.tolist()]}
+
+        return passing
+
+    return written(map_texts(docs, id_col, text_col, [field(text_col, "string")], make), "candidates")
+
+
+def _blocks(classes: DataFrame, block_chars: int) -> Iterator[tuple[list, list[int], list[str]]]:
+    """(ids, numbers of items, texts) of classes, a block at a time; the driver holds one partition and one block."""
+    held: tuple[list, list[int], list[str]] = ([], [], [])
+    chars = 0
+    for r in classes.select("id", "n_items", "text").toLocalIterator():
+        if held[0] and chars + len(r["text"]) > block_chars:
+            yield held
+            held, chars = ([], [], []), 0
+        for values, value in zip(held, r):
+            values.append(value)
+        chars += len(r["text"])
+    if held[0]:
+        yield held
+
+
+def _classes(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> DataFrame:
+    """(id, words, text, n_items) for each class of items, written."""
+    named = item_classes(benchmark, item_id_col=item_id_col, item_text_col=item_text_col).toDF("id", "class_hash", "text").where("class_hash IS NOT NULL")
+    classes = named.groupBy("class_hash").agg(F.min("id").alias("id"), F.count("*").alias("n_items"), F.min("text").alias("text"))
+    count = lambda texts: {"words": np.bincount(W.split(texts).text, minlength=len(texts)).astype(np.int32)}
+    return written(map_texts(classes, "id", "text", [field("words", "int")], lambda: count, carry=["text", "n_items"]).orderBy("id"), "items")
 
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
     seed_words: int = 5, coverage: float = 0.6, block_chars: int = 4_000_000,
 ) -> DataFrame:
-    """Return id, item_id, item_words, matched_words, coverage, longest_tile and tiles for every pair that is a leak.
+    """Return id, item_id, n_items, item_words, matched_words, coverage, longest_tile and tiles for every pair that is a leak.
 
     ``tiles`` has three numbers for each tile: its first word in the document, its first word in the item, its length.
     """
     spark = docs.sparkSession
-    given = benchmark.select(F.col(item_id_col).alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    chars = given.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(chars) // block_chars))
+    classes = _classes(benchmark, item_id_col, item_text_col)
     id_type = benchmark.schema[item_id_col].dataType
     arrow_type = spark.createDataFrame([], T.StructType([T.StructField("id", id_type)])).toArrow().schema.field(0).type
-    fields = [T.StructField("item_id", id_type), field("item_words", "int"), field("matched_words", "int"), field("longest_tile", "int"), field("tiles", "array<int>")]
+    fields = [T.StructField("item_id", id_type), field("n_items", "bigint"), field("item_words", "int"), field("matched_words", "int"), field("longest_tile", "int"), field("tiles", "array<int>")]
+    chars = classes.agg(F.sum(F.length("text"))).first()[0] or 0
+    rows = docs if chars <= block_chars else _candidates(docs, classes, id_col, text_col, seed_words)
 
-    def scan(number: int) -> DataFrame:
-        rows = given.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == number).collect()
-        sent = spark.sparkContext.broadcast(([r["id"] for r in rows], [r["text"] for r in rows]))
+    def scan(given: tuple[list, list[int], list[str]]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(given)
 
         def make():
             block = Block(*sent.value, seed_words)
-            ids = pa.array(block.ids, arrow_type)
+            ids, copies = pa.array(block.ids, arrow_type), pa.array(block.copies, pa.int64())
 
             def match(texts: list[str | None]) -> dict:
                 columns = block.match(texts, coverage)
-                return columns | {"item_id": ids.take(pa.array(columns["item"], pa.int64()))}
+                at = pa.array(columns["item"], pa.int64())
+                return columns | {"item_id": ids.take(at), "n_items": copies.take(at)}
 
             return match
 
-        return map_texts(docs, id_col, text_col, fields, make)
+        return map_texts(rows, id_col, text_col, fields, make)
 
-    found = reduce(DataFrame.union, [scan(k) for k in range(blocks)])
+    parts, last = [], ([], [], [])
+    for block in _blocks(classes, block_chars):
+        if last[0]:  # written, so that no plan and no task holds several blocks
+            parts.append(written(scan(last), "leaks"))
+        last = block
+    found = reduce(DataFrame.union, [*parts, scan(last)])
     return found.withColumn("coverage", F.col("matched_words") / F.col("item_words"))
+
+
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", seed_words: int = 5, coverage: float = 0.6, block_chars: int = 4_000_000
+) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item: row by row, so ids don't matter; a block after the other takes its leaks out."""
+    spark = docs.sparkSession
+    kept = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text_at = f"c{docs.columns.index(text_col)}"
+
+    def clean(rows: DataFrame, given: tuple[list, list[int], list[str]]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(given)
+
+        def make():
+            block = Block(*sent.value, seed_words)
+
+            def stay(texts: list[str | None]) -> dict:
+                left = np.ones(len(texts), bool)
+                left[block.match(texts, coverage)["row"]] = False
+                return {"row": np.flatnonzero(left)}
+
+            return stay
+
+        first = next((c for c in rows.columns if c != text_at), text_at)
+        return map_texts(rows, first, text_at, [], make, carry=[c for c in rows.columns if c != first]).select(*rows.columns)
+
+    with scope() as keep:
+        classes = _classes(benchmark, item_id_col, item_text_col)
+        last = None
+        for block in _blocks(classes, block_chars):  # a table between two blocks, so that no task holds several
+            if last is not None:
+                kept = written(clean(kept, last), "clean")
+            last = block
+        keep(kept)
+    return (kept if last is None else clean(kept, last)).toDF(*docs.columns)

@@ -72,12 +72,46 @@ def test_leaks_equal_brute_force(spark):
     frame = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, id int, item_id string")
     bench = spark.createDataFrame([(k, t) for k, t in items], "item_id long, text string")
     found = decontaminate.find_leaks(frame, bench, block_chars=500)  # several blocks
-    assert found.columns == ["doc_id", "item_id", "item_words", "matched_words", "longest_tile", "tiles", "coverage"]
+    assert found.columns == ["doc_id", "item_id", "n_items", "item_words", "matched_words", "longest_tile", "tiles", "coverage"]
     small = [d for d in docs if d[0] != 902]
     assert [r for r in rows(found.where("doc_id <> 902").select("doc_id", "item_id", "matched_words"))] == sorted(plain_leaks(small, [x for x in items if x[1]]), key=repr)
     assert 0 in {r["item_id"] for r in found.where("doc_id = 902").collect()}
 
 
+def test_blocks_behind_the_filter_find_the_same(spark):
+    rng = random.Random(8)
+    say = lambda n: rng.choices([f"w{k}" for k in range(300)], k=n)
+    items = [(k, " ".join(say(20))) for k in range(30)]
+    docs = [(i, " ".join(say(40) + (items[i % 30][1].split() if i % 5 == 0 else []) + say(9))) for i in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = ["doc_id", "item_id", "coverage"]
+    one, many = (decontaminate.find_leaks(frame, bench, block_chars=n).select(key) for n in (10_000_000, 200))
+    assert rows(one) == rows(many) and {r[0] for r in rows(one)} == set(range(0, 200, 5))
+    left = [decontaminate.without_leaks(frame, bench, block_chars=n) for n in (10_000_000, 200)]
+    assert [rows(x) for x in left] == [sorted((d for d in docs if d[0] % 5), key=repr)] * 2
+
+
+def test_items_of_equal_words_are_one_and_short_ones_are_whole_lines(spark):
+    long = "one two three four five six"
+    bench = spark.createDataFrame([(7, long), (3, long.upper()), (9, long + "!"), (4, "yes, indeed"), (5, "Yes indeed."), (6, "?"), (None, "no")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"a {long} b"), (1, f"a {long} b"), (2, "so\nYES INDEED\nno"), (3, "yes indeed not"), (4, None), (5, "")], "doc_id long, text string")
+    got = rows(decontaminate.find_leaks(docs, bench).select("doc_id", "item_id", "n_items", "matched_words", "tiles"))
+    assert got == sorted([(1, 3, 3, 6, [1, 0, 6])] * 2 + [(2, 4, 2, 2, [1, 0, 2]), (2, None, 1, 1, [3, 0, 1])], key=repr)
+    classes = dict(rows(decontaminate.item_classes(bench).select("item_id", "class_hash").where("item_id IS NOT NULL")))
+    assert classes[7] == classes[3] == classes[9] != classes[4] == classes[5] and classes[6] is None
+
+
+def test_the_rows_without_leaks(spark):
+    long = "one two three four five six"
+    docs = spark.createDataFrame([(1, long, 5), (1, "clean", 6), (None, f"x {long}", 7), (None, None, 8), (2, "clean", 9), (2, "clean", 9)], "doc_id long, text string, uid int")
+    bench = spark.createDataFrame([(1, long)], "item_id long, text string")
+    got = decontaminate.without_leaks(docs, bench)
+    assert got.columns == docs.columns
+    assert rows(got) == sorted([(1, "clean", 6), (None, None, 8), (2, "clean", 9), (2, "clean", 9)], key=repr)
+    assert rows(decontaminate.without_leaks(docs, bench.limit(0))) == rows(docs) and rows(decontaminate.without_leaks(docs.limit(0), bench)) == []
+
+
 def test_tiles_say_where_words_stand(spark):
     docs = spark.createDataFrame([(1, "x y z one two three four five six q")], "doc_id long, text string")
     bench = spark.createDataFrame([("b", "one two three four five six")], "item_id string, text string")

@@ -47,7 +47,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return leaks.select("doc_id", "item_id", "item_words", "matched_words", "coverage", "longest_tile")
+    return leaks.select("doc_id", "item_id", "n_items", "item_words", "matched_words", "coverage", "longest_tile")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

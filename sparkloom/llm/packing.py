@@ -15,9 +15,10 @@ histogram alone, on the driver:
 4. small pieces go, the longest first, into the least room that holds them; new sequences open when none does.
 
 The plan says for the pieces of a length, by their rank, which sequence and which place they get. Ranks are dealt out on
-Spark: pieces of a length are numbered within hash buckets, and buckets get offsets from their counts, so a length that
-a third of all pieces share is not numbered by one task. Repeated rows are pieces of their own. An empty table gives an
-empty result.
+Spark: every task numbers the pieces of each length that it cuts, and gets an offset for each length from what the tasks
+before it have cut. So a length that a third of all pieces share is not numbered by one task, nothing is sorted, and
+pieces are shuffled by the task that cut them, which makes even parts. Repeated rows are pieces of their own. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,10 +95,10 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 2) -> DataFrame:
-    """Return id, piece, start, length and ids_crc32 for every piece of every document."""
+    """Return id, piece, start, length and ids_crc32 for every piece of every document; and ``part`` and ``nth``, as ``numbered``."""
 
     def make():
-        encode = encoder(tokenizer_path)
+        encode, number = encoder(tokenizer_path), _Numbers(length)
 
         def cut(texts: list[str | None]) -> dict:
             out = defaultdict(list)
@@ -106,14 +108,44 @@ def tokenise(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", te
                 for piece, (a, b) in enumerate(zip(bounds, bounds[1:])):
                     for name, value in (("row", row), ("piece", piece), ("start", a), ("length", b - a), ("ids_crc32", zlib.crc32(data[a:b].tobytes()))):
                         out[name].append(value)
-            return out
+            return out | number(np.array(out["length"], np.int64))
 
         return cut
 
-    fields = [field("piece", "int"), field("start", "bigint"), field("length", "bigint"), field("ids_crc32", "bigint")]
+    fields = [field("piece", "int"), field("start", "bigint"), field("length", "bigint"), field("ids_crc32", "bigint"), *_NUMBERS]
     return map_texts(docs, id_col, text_col, fields, make, 1 << 18)
 
 
+_NUMBERS = (T.StructField("part", T.IntegerType()), T.StructField("nth", T.LongType()))
+
+
+class _Numbers:
+    """Numbers the pieces of each length within a task."""
+
+    def __init__(self, length: int) -> None:
+        self.seen, self.part = np.zeros(length + 1, np.int64), TaskContext.get().partitionId()
+
+    def __call__(self, lengths: np.ndarray) -> dict:
+        order = np.argsort(lengths, kind="stable")
+        ascending = lengths[order]
+        nth = np.empty(len(lengths), np.int64)
+        nth[order] = self.seen[ascending] + np.arange(len(lengths)) - np.searchsorted(ascending, ascending, side="left")
+        self.seen += np.bincount(lengths, minlength=len(self.seen))
+        return {"part": np.full(len(lengths), self.part, np.int32), "nth": nth}
+
+
+def numbered(pieces: DataFrame, length: int = 1024) -> DataFrame:
+    """Add ``part`` (the task) and ``nth`` (from 0 within task and length) to pieces with a ``length``; to be written, not to be computed twice."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Numbers(length)
+        for batch in batches:
+            made = own(batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made["part"]), pa.array(made["nth"])], names=[*batch.schema.names, "part", "nth"])
+
+    return pieces.mapInArrow(number, T.StructType([*pieces.schema.fields, *_NUMBERS]))
+
+
 def _configurations(sizes: list[int], counts: list[int], length: int) -> Iterator[tuple[list[tuple[int, int]], int]]:
     """Yield ([(size's index, how many), ...], how often) until all counts are used; sizes ascend."""
     left = list(counts)
@@ -237,34 +269,30 @@ def plan(histogram: dict[int, int], length: int = 1024, groups: int = 4096, smal
     return rows, sequences
 
 
-def ranked(pieces: DataFrame, sizes: DataFrame, rows_per_bucket: int) -> DataFrame:
-    """Add ``rank``, from 0 within each length, to ``pieces``, which have a unique long ``uid``.
+def offsets(pieces: DataFrame, length: int) -> DataFrame:
+    """(part, bases): for each length how many pieces of it are in the parts before, an array by length.
 
-    ``sizes(length, n)`` is their histogram, no longer than a sequence and so broadcast. A length gets as many buckets
-    as its count asks for, and buckets are numbered apart from each other.
+    The window of a length has a row for each part, that is for each task that cut pieces, not for each piece.
     """
-    buckets = F.ceil(F.col("n") / rows_per_bucket)
-    dealt = pieces.join(F.broadcast(sizes), "length").withColumn("bucket", F.pmod(F.xxhash64("uid"), buckets)).drop("n")
-    counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    numbered = dealt.withColumn("k", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("uid")))
-    return numbered.join(offsets, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("k") - 1).drop("bucket", "base", "k")
-
-
-def pack(pieces: DataFrame, *, length: int = 1024, groups: int = 4096, rows_per_bucket: int = 1000) -> DataFrame:
-    """Add sequence_id and offset to a written table of pieces with a ``length`` (1 to ``length``) and a unique long ``uid``."""
-    counted = [(int(r["length"]), r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()]
-    histogram = dict(counted)
+    counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    based = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    held = based.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("base"))
+    return held.select("part", F.transform(F.sequence(F.lit(0), F.lit(length)), lambda n: F.coalesce(F.element_at("base", n.cast("long")), F.lit(0))).alias("bases"))
+
+
+def pack(pieces: DataFrame, *, length: int = 1024, groups: int = 4096) -> DataFrame:
+    """Add sequence_id and offset to a written table of pieces with a ``length`` (1 to ``length``) and the numbers of ``numbered``."""
+    histogram = {int(r["length"]): r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rows, _ = plan(histogram, length, groups)
     rows.sort()
-    places = np.array(rows, np.int64).reshape(-1, 5)
-    key = places[:, 0] << 44 | places[:, 1]
-    sizes = pieces.sparkSession.createDataFrame(counted, "length long, n long")
-    schema = T.StructType([f for f in pieces.schema.fields if f.name != "uid"] + [field("sequence_id", "bigint"), field("offset", "bigint")])
+    sent = pieces.sparkSession.sparkContext.broadcast(np.array(rows, np.int64).reshape(-1, 5))
+    schema = T.StructType([f for f in pieces.schema.fields if f.name not in ("part", "nth")] + [field("sequence_id", "bigint"), field("offset", "bigint")])
     keep = [f.name for f in schema.fields[:-2]]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = sent.value
+        key = places[:, 0] << 44 | places[:, 1]
         for batch in batches:
             own_length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
             k = np.searchsorted(key, own_length << 44 | rank, side="right") - 1
@@ -272,12 +300,12 @@ def pack(pieces: DataFrame, *, length: int = 1024, groups: int = 4096, rows_per_
                 [*(batch.column(c) for c in keep), pa.array(places[k, 3] + rank - places[k, 1]), pa.array(places[k, 4])], names=schema.names
             )
 
-    return ranked(pieces, sizes, rows_per_bucket).select(*keep, "rank").mapInArrow(place, schema)
+    rank = F.col("nth") + F.element_at("bases", F.col("length").cast("int") + 1)
+    return pieces.join(offsets(pieces, length), "part").select(*keep, rank.alias("rank")).mapInArrow(place, schema)
 
 
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 2, groups: int = 4096
 ) -> DataFrame:
     """Return id, piece, start, length, ids_crc32, sequence_id and offset, one row for each piece of ``docs``."""
-    pieces = tokenise(docs, tokenizer_path, id_col=id_col, text_col=text_col, length=length, end_id=end_id)
-    return pack(written(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces"), length=length, groups=groups)
+    return pack(written(tokenise(docs, tokenizer_path, id_col=id_col, text_col=text_col, length=length, end_id=end_id), "pieces"), length=length, groups=groups)

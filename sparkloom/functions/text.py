@@ -22,15 +22,12 @@ def contains_like(text: Column, keyword: str) -> Column:
 
 # -- file names ------------------------------------------------------------------------------------------------------
 
-#: What may stand between the parts of a date, around a level mark, and the marks of each level.
-DATE_SEPARATORS = "-_#.~"
+#: A date of the years 1900 to 2099 with separators, what may stand around a level mark, the marks of each level.
+DATE = r"(?:19|20)[0-9]{2}[-_#.~]?(?:0[1-9]|1[0-2])[-_#.~]?(?:0[1-9]|[12][0-9]|3[01])[-_#.~]?"
 LEFT_MARKS = " ([_(【-"
 RIGHT_MARKS = " )]_）】"
 LEVELS = {0: "", 1: "PUB,NOR", 2: "INT", 3: "CON", 4: "CLA"}
 
-_BETWEEN = f"[{re.escape(DATE_SEPARATORS)}]?"
-_DATE = _BETWEEN.join(["(?:19|20)[0-9]{2}", "(?:0[1-9]|1[0-2])", "(?:0[1-9]|[12][0-9]|3[01])", ""])
-
 
 def stem(path: Column) -> Column:
     """The last part of a path without its last suffix."""
@@ -39,7 +36,7 @@ def stem(path: Column) -> Column:
 
 def strip_date_prefix(name: Column) -> Column:
     """Without dates like 20240131 or 2024-01-31, and a separator after each."""
-    return F.regexp_replace(name, _DATE, "")
+    return F.regexp_replace(name, DATE, "")
 
 
 def add_date_prefix(name: Column, modified: Column, created: Column) -> Column:
@@ -48,13 +45,13 @@ def add_date_prefix(name: Column, modified: Column, created: Column) -> Column:
 
 
 def strip_marks(name: Column, marks: list[str]) -> Column:
-    """Without the given marks, and the characters around them, where they stand between the characters that may."""
+    """Without the given marks, and the characters around them, where they stand between the characters that may.
+
+    Each mark is looked for once, from left to right: what comes to stand beside each other by a removal isn't looked at again.
+    """
     left, right = (f"[{re.escape(x)}]" for x in (LEFT_MARKS, RIGHT_MARKS))
     for mark in marks:
-        # A removed mark takes both of its neighbours with it, so what follows may come to stand beside what was before:
-        # the second pass gets those.
-        for _ in range(2):
-            name = F.regexp_replace(name, f"{left}{re.escape(mark)}{right}", "")
+        name = F.regexp_replace(name, f"{left}{re.escape(mark)}{right}", "")
     return name
 
 
@@ -81,36 +78,53 @@ def classify_stem(name: Column, parent: Column) -> Column:
     found = F.when(F.lit(False), F.lit(""))
     for keyword, label in KINDS.items():
         found = found.when(F.contains(F.lower(name), F.lit(keyword)), F.concat(F.lit(f"{label} "), parent, F.lit(".")))
-    return found.otherwise(F.concat(F.initcap(F.replace(name, F.lit("_"), F.lit(" "))), F.lit(" module.")))
+    return found.otherwise(F.concat(title_case(F.replace(name, F.lit("_"), F.lit(" "))), F.lit(" module.")))
+
+
+def title_case(text: Column) -> Column:
+    """Every run of letters with a large first letter and small ones after it, whatever stands between runs."""
+    runs = F.regexp_extract_all(text, F.lit(r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, F.lit(2), F.length(r))))), "")
 
 
 # -- versions --------------------------------------------------------------------------------------------------------
 
-VERSION = r"^v?(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(?:-([0-9A-Za-z.-]+))?(?:\+([0-9A-Za-z.-]+))?$"
+#: The grammar of semantic versions. Numbers have no leading zeros, also as parts of a pre-release.
+NUMBER = r"0|[1-9][0-9]*"
+PRE_PART = r"(?:0|[1-9][0-9]*|[0-9]*[A-Za-z-][0-9A-Za-z-]*)"
+BUILD_PART = r"[0-9A-Za-z-]+"
+VERSION_CORE = rf"({NUMBER})\.({NUMBER})\.({NUMBER})(?:-({PRE_PART}(?:\.{PRE_PART})*))?(?:\+({BUILD_PART}(?:\.{BUILD_PART})*))?"
+VERSION = rf"^v?{VERSION_CORE}$"
 
 
 def parse_version(text: Column) -> Column:
-    """Struct of major, minor, patch, pre and build; null if the text isn't a semantic version."""
-    number = lambda i: F.regexp_extract(text, VERSION, i).cast("long")
+    """Struct of major, minor, patch (decimals, null beyond 38 digits), pre and build; null if the text isn't a semantic version."""
+    number = lambda i: F.regexp_extract(text, VERSION, i).try_cast("decimal(38,0)")
     made = F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch"), F.regexp_extract(text, VERSION, 4).alias("pre"), F.regexp_extract(text, VERSION, 5).alias("build"))
     return F.when(text.rlike(VERSION), made)
 
 
+def next_number(digits: Column) -> Column:
+    """The number after a number in digits, of any length."""
+    nines = F.length(F.regexp_extract(digits, "(9*)$", 1))
+    head = F.substring(digits, F.lit(1), F.length(digits) - nines)
+    up = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), (F.substring(head, -1, 1).try_cast("int") + 1).cast("string"))
+    return F.concat(F.when(head == "", "1").otherwise(up), F.repeat(F.lit("0"), nines))
+
+
 def bump_version(text: Column, part: str) -> Column:
     """The next version: the part goes up by one, those below become 0, pre-release and build go. Null if it is no version."""
-    names = ["major", "minor", "patch"]
-    at = names.index(part)
-    number = lambda i: F.try_to_number(F.nullif(F.regexp_extract(text, VERSION, i + 1), F.lit("")), F.lit("9" * 18)).cast("long")
-    parts = [number(i) if i < at else number(i) + 1 if i == at else F.lit(0) for i in range(3)]
-    return F.when(text.rlike(VERSION), F.concat_ws(".", *[p.cast("string") for p in parts]))
+    at = ["major", "minor", "patch"].index(part)
+    number = lambda i: F.regexp_extract(text, VERSION, i + 1)
+    parts = [number(i) if i < at else next_number(number(i)) if i == at else F.lit("0") for i in range(3)]
+    return F.when(text.rlike(VERSION), F.concat_ws(".", *parts))
 
 
 def bump_assignment(line: Column, part: str) -> Column:
     """A line such as ``version = "1.2.3"`` with its version bumped; what stands before, and the quotes, stay."""
-    pattern = r"""^(\s*(?:__version__|version)\s*=\s*)(["'])([^"']+)(["'])(.*)$"""
+    pattern = rf"""^(\s*(?:__version__|version)\s*=\s*["'])({VERSION_CORE})(["'].*)$"""
     piece = lambda i: F.regexp_extract(line, pattern, i)
-    bumped = bump_version(piece(3), part)
-    return F.when(line.rlike(pattern) & bumped.isNotNull(), F.concat(piece(1), piece(2), bumped, piece(4), piece(5))).otherwise(line)
+    return F.when(line.rlike(pattern), F.concat(piece(1), bump_version(piece(2), part), piece(8))).otherwise(line)
 
 
 # -- other -----------------------------------------------------------------------------------------------------------

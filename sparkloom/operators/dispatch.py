@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators import graphs
 from sparkloom.operators.graphs import KEY
-from sparkloom.session import written
+from sparkloom.session import gathered, scope, written
 
 SATISFIED = ("success", "cached")
 
@@ -19,21 +20,20 @@ def skip_propagation(statuses: DataFrame, edges: DataFrame) -> DataFrame:
     """``statuses(graph, name, status, tolerant)`` with status ``skipped`` and the nearest cause for all that can't run.
 
     A node whose hard need is skipped or failed is skipped itself, unless it is ``tolerant``; a cached need is met.
-    Returns (graph, name, status, cause).
+    Returns (graph, name, status, cause). Each round follows what the round before it has reached, and nothing else.
     """
-    hard = edges.where("kind = 'hard'")
-    known = written(statuses.select(*KEY, "status", "tolerant", F.lit(None).cast("string").alias("cause")), "skips")
-    while True:
-        bad = known.where(F.col("status").isin("skipped", "failed")).select("graph", F.col("name").alias("src"))
-        cause = hard.join(bad, ["graph", "src"]).groupBy("graph", F.col("dst").alias("name")).agg(F.min("src").alias("new_cause"))
-        hit = F.col("new_cause").isNotNull() & ~F.col("status").isin("skipped", "failed") & ~F.coalesce("tolerant", F.lit(False))
-        marked = known.join(cause, KEY, "left").select(
-            *KEY, F.when(hit, "skipped").otherwise(F.col("status")).alias("status"), "tolerant", F.when(hit, F.col("new_cause")).otherwise(F.col("cause")).alias("cause"), hit.alias("hit")
-        )
-        marked = written(marked, "skips")
-        known = marked.drop("hit")
-        if marked.where("hit").isEmpty():
-            return known.drop("tolerant")
+    needs = graphs.hard(edges)
+    with scope() as keep:
+        start = written(statuses.select(*KEY, "status", F.coalesce("tolerant", F.lit(False)).alias("tolerant")), "statuses")
+        open_ = start.where(~F.col("status").isin("skipped", "failed") & ~F.col("tolerant")).select(KEY)
+        tables = [written(start.where(F.col("status").isin("skipped", "failed")).select(*KEY, F.lit(None).cast("string").alias("cause")), "skips")]
+        while not tables[-1].isEmpty():
+            front = tables[-1].select("graph", F.col("name").alias("src"))
+            found = needs.join(front, ["graph", "src"]).groupBy("graph", F.col("dst").alias("name")).agg(F.min("src").cast("string").alias("cause"))
+            tables.append(written(found.join(open_, KEY, "left_semi").join(gathered(tables), KEY, "left_anti"), "skips"))
+        hit = gathered(tables).where("cause IS NOT NULL")
+        made = start.join(hit, KEY, "left").select(*KEY, F.when(F.col("cause").isNotNull(), "skipped").otherwise(F.col("status")).alias("status"), "cause")
+        return keep(written(made, "skipped"))
 
 
 def dispatch_order(nodes: DataFrame, within: list[str] | None = None) -> DataFrame:

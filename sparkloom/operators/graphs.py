@@ -1,18 +1,22 @@
 """Task graphs as tables: ``nodes(graph, name, ...)`` and ``edges(graph, src, dst, kind, pos)``.
 
-``src`` is needed by ``dst``; ``kind`` is ``hard`` or ``soft``; ``pos`` orders the needs of a node. Many graphs are
-worked on at once: all joins and groups are by (graph, name). Operators that follow edges take one round for each layer
-and write every round to the shared folder, so plans don't grow with depth.
+``src`` is needed by ``dst``; ``kind`` is ``hard`` or ``soft``; ``pos`` orders the needs of a node. Soft edges carry values,
+not order: layers and paths follow hard edges only. Many graphs are worked on at once: all joins and groups are by
+(graph, name). Operators that follow edges keep a frontier, take a few rounds in one plan and write them to the shared
+folder, so plans don't grow with depth and what is done isn't touched again.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkloom.session import written
+from sparkloom.errors import CyclicGraph
+from sparkloom.session import gathered, scope, written
 
 KEY = ["graph", "name"]
+ROUNDS = 3  # in one plan
 
 
 def edges_of(nodes: DataFrame, needs_col: str = "needs", kind: str = "hard") -> DataFrame:
@@ -42,27 +46,58 @@ def duplicate_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def hard(edges: DataFrame) -> DataFrame:
+    return edges.where("kind = 'hard'")
+
+
+def _ordered(nodes: DataFrame, edges: DataFrame, weight: Column, paths: bool) -> DataFrame:
+    """(graph, name, layer, total, path) of all nodes over ``edges``, whatever their kind; layer null on or behind a cycle.
+
+    A node is ready when all of its needs are; in each round the nodes that have just become ready send their layer and
+    their heaviest path on. A table holds what isn't ready yet and what became ready while it was made.
+    """
+    with scope() as keep:
+        needs = written(edges.select("graph", "src", "dst", "pos"), "needs")
+        counts = needs.groupBy("graph", F.col("dst").alias("name")).agg(F.count("*").alias("open"))
+        path = F.array("name") if paths else F.lit(None).cast("array<string>")
+        start = nodes.select(*KEY, weight.alias("weight")).groupBy(KEY).agg(F.max("weight").alias("weight")).join(counts, KEY, "left").withColumn("open", F.coalesce("open", F.lit(0)))
+        ready = F.col("open") == 0
+        best = F.lit(None).cast("struct<total: double, pos: int, src: string, path: array<string>>")
+        held = start.select(*KEY, "weight", "open", best.alias("best"), F.when(ready, 0).alias("layer"), F.when(ready, F.col("weight")).alias("total"), F.when(ready, path).alias("path"))
+        tables, layer, first = [], 0, 0
+        while True:
+            for _ in range(ROUNDS):
+                sent = held.where(F.col("layer") == layer).select("graph", F.col("name").alias("src"), "total", "path")
+                into = needs.join(sent, ["graph", "src"]).groupBy("graph", F.col("dst").alias("name"))
+                got = into.agg(F.count("*").alias("met"), F.max(F.struct("total", F.col("pos").cast("int").alias("pos"), F.col("src").cast("string").alias("src"), "path")).alias("new"))
+                layer += 1
+                joined = held.join(got, KEY, "left").withColumns({"open": F.col("open") - F.coalesce("met", F.lit(0)), "best": F.greatest("best", "new")})
+                now = F.col("layer").isNull() & (F.col("open") == 0)
+                way = F.concat("best.path", F.array("name")) if paths else F.col("path")
+                held = joined.select(
+                    *KEY, "weight", "open", "best", F.when(now, layer).otherwise(F.col("layer")).alias("layer"),
+                    F.when(now, F.col("best.total") + F.col("weight")).otherwise(F.col("total")).alias("total"), F.when(now, way).otherwise(F.col("path")).alias("path"),
+                )
+            made = written(held.withColumn("first", F.lit(first)), "layers")
+            tables.append(made)
+            last = made.where(F.col("layer") == layer)
+            if last.isEmpty():
+                break
+            held, first = made.drop("first").where(F.col("layer").isNull() | (F.col("layer") == layer)), layer + 1
+        whole = gathered(tables)
+        done = whole.where("layer >= first").select(*KEY, "layer", "total", "path")
+        rest = tables[-1].where("layer IS NULL").select(*KEY, "layer", "total", "path")
+        return keep(written(done.union(rest), "ordered"))
+
+
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph, name, layer): 0 for nodes without needs, else one more than the highest need; null on or behind a cycle."""
-    left = written(nodes.select(KEY).distinct(), "layer")
-    needs = written(edges.select("graph", "src", "dst").distinct(), "layer")
-    done, layer = None, 0
-    while True:
-        blocked = needs.select("graph", F.col("dst").alias("name")).distinct()
-        ready = written(left.join(blocked, KEY, "left_anti").withColumn("layer", F.lit(layer)), "layer")
-        if ready.isEmpty():
-            rest = left.withColumn("layer", F.lit(None).cast("int"))
-            return rest if done is None else done.union(rest)
-        done = ready if done is None else done.union(ready)
-        gone = ready.select("graph", F.col("name").alias("src"))
-        needs = written(needs.join(gone, ["graph", "src"], "left_anti"), "layer")
-        left = written(left.join(ready, KEY, "left_anti"), "layer")
-        layer += 1
+    """(graph, name, layer): 0 for nodes without hard needs, else one more than the highest; null on or behind a cycle."""
+    return _ordered(nodes, hard(edges), F.lit(0.0), False).select(*KEY, "layer")
 
 
 def cyclic_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that never become ready: on a cycle, or behind one. Soft edges count too."""
-    return layers(nodes, edges).where("layer IS NULL").select(KEY)
+    return _ordered(nodes, edges, F.lit(0.0), False).where("layer IS NULL").select(KEY)
 
 
 def prune_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -92,57 +127,104 @@ def with_namespace(nodes: DataFrame, edges: DataFrame, namespace: str | Column)
     return nodes.select(own), edges.select([named(c) if c in ("src", "dst") else F.col(c) for c in edges.columns])
 
 
+def split_reference(ref: Column) -> tuple[Column, Column]:
+    """The graph and the task (null: all of them) that a reference ``graph`` or ``graph.task`` names."""
+    task = F.when(F.contains(ref, F.lit(".")), F.substring(ref, F.instr(ref, ".") + F.lit(1), F.length(ref)))
+    return F.substring_index(ref, ".", 1), task
+
+
+def reference_levels(members: DataFrame) -> DataFrame:
+    """(graph, level) of all graphs in ``members(graph, ref)``: 0 without references, null on or behind a circle of them."""
+    names = members.select(F.col("graph").cast("string").alias("name")).union(members.select(F.col("ref").cast("string"))).distinct()
+    inside = lambda df: df.withColumn("graph", F.lit(0))
+    edges = members.select(F.col("ref").cast("string").alias("src"), F.col("graph").cast("string").alias("dst"), F.lit("hard").alias("kind"), F.lit(0).alias("pos")).distinct()
+    return layers(inside(names), inside(edges)).select(F.col("name").alias("graph"), F.col("layer").alias("level"))
+
+
+def _expand_once(members: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    of_task = F.col("task").isNull() | (F.col("task") == F.col("name"))
+    placed = members.join(nodes.withColumnRenamed("graph", "ref").withColumnRenamed("pos", "own_pos"), "ref").where(of_task)
+    into_task = F.col("task").isNull() | (F.col("task") == F.col("dst"))
+    inner = members.join(edges.withColumnRenamed("graph", "ref").withColumnRenamed("pos", "edge_pos"), "ref").where(into_task)
+    ends = placed.groupBy("graph", "pos").agg(F.max_by("name", "own_pos").alias("last"), F.min_by("name", "own_pos").alias("first"))
+    # References of a graph are few; the window is over them, not over nodes.
+    before = ends.withColumn("src", F.lag("last").over(Window.partitionBy("graph").orderBy("pos"))).where("src IS NOT NULL").select("graph", "pos", "src", "first")
+    bound = hard(inner).select("graph", "pos", F.col("dst").alias("name"), F.lit(True).alias("bound")).distinct()
+    free = placed.join(before, ["graph", "pos"]).join(bound, ["graph", "pos", "name"], "left").where("bound IS NULL OR name = first")
+    links = free.select("graph", "src", F.col("name").alias("dst"), F.lit("hard").alias("kind"), F.lit(-1).alias("pos"))
+    own = nodes.join(members.select("graph").distinct(), "graph", "left_semi")
+    own_edges = edges.join(members.select("graph").distinct(), "graph", "left_semi")
+    lasts = ends.groupBy("graph").agg(F.max_by("last", "pos").alias("ref_last"))
+    chained = own.withColumn("before", F.lag("name").over(Window.partitionBy("graph").orderBy("pos"))).join(lasts, "graph", "left")
+    serial = chained.select("graph", F.coalesce("before", "ref_last").alias("src"), F.col("name").alias("dst"), F.lit("hard").alias("kind"), F.lit(-1).alias("pos")).where("src IS NOT NULL")
+    every = placed.drop("ref", "task").unionByName(own.withColumnRenamed("pos", "own_pos").withColumn("pos", F.lit(None).cast(members.schema["pos"].dataType)), allowMissingColumns=True)
+    order = F.row_number().over(Window.partitionBy("graph").orderBy(F.col("pos").asc_nulls_last(), "own_pos")) - 1
+    made = every.withColumn("pos", order).drop("own_pos")
+    columns = ["graph", "src", "dst", "kind", "pos"]
+    there = inner.select("graph", "src", "dst").union(own_edges.select("graph", "src", "dst"))
+    linked = links.union(serial).join(there, ["graph", "src", "dst"], "left_anti")
+    return made, inner.select("graph", "src", "dst", "kind", F.col("edge_pos").alias("pos")).union(own_edges.select(columns)).union(linked.select(columns))
+
+
 def expand_references(members: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Graphs that refer to other graphs, expanded by one level.
+    """Graphs that refer to other graphs, expanded through all levels: nodes and edges of the graphs in ``members``.
 
-    ``members(graph, pos, ref)`` lists in order what a graph is made of. The nodes of a referenced graph come in as they
-    are; those without needs, in every reference but the first, need the last node (by ``pos``) of the reference before
-    it, so parallel nodes of one reference stay parallel.
+    ``members(graph, pos, ref)`` lists in order what a graph is made of; ``ref`` is a graph or ``graph.task``, one task of
+    it (as it is there, its needs included). The nodes of a reference come in as they are. Of every reference but the
+    first, the first node and all nodes without needs need the last node (by ``pos``) of the reference before it, so
+    parallel nodes of one reference stay parallel. A graph's own nodes follow its references, one after the other.
+    References that go in a circle raise ``CyclicGraph``.
     """
-    placed = members.join(nodes.withColumnRenamed("graph", "ref").withColumnRenamed("pos", "own_pos"), "ref")
-    inner = members.join(edges.withColumnRenamed("graph", "ref").withColumnRenamed("pos", "edge_pos"), "ref")
-    lasts = placed.groupBy("graph", "pos").agg(F.max_by("name", "own_pos").alias("last"))
-    before = lasts.withColumn("src", F.lag("last").over(Window.partitionBy("graph").orderBy("pos"))).where("src IS NOT NULL").select("graph", "pos", "src")
-    free = placed.join(inner.select("graph", F.col("dst").alias("name")), KEY, "left_anti")
-    links = free.join(before, ["graph", "pos"]).select("graph", "src", F.col("name").alias("dst"), F.lit("hard").alias("kind"), F.lit(0).alias("pos"))
-    order = F.row_number().over(Window.partitionBy("graph").orderBy("pos", "own_pos")) - 1
-    made = placed.withColumn("pos", order).drop("ref", "own_pos")
-    return made, inner.select("graph", "src", "dst", "kind", F.col("edge_pos").alias("pos")).unionByName(links)
+    if isinstance(members.schema["ref"].dataType, T.StringType):
+        ref, task = split_reference(F.col("ref"))
+        members = members.select("graph", "pos", ref.alias("ref"), task.alias("task"))
+    else:
+        members = members.select("graph", "pos", "ref", F.lit(None).cast("string").alias("task"))
+    levels = reference_levels(members)
+    if bad := levels.where("level IS NULL").orderBy("graph").limit(20).collect():
+        raise CyclicGraph([r["graph"] for r in bad])
+    deepest = levels.agg(F.max("level")).first()[0] or 0
+    at = members.join(levels.withColumnRenamed("graph", "named"), F.col("graph").cast("string") == F.col("named")).drop("named")
+    made_nodes, made_edges = None, None
+    known_nodes, known_edges = nodes, edges
+    for level in range(1, deepest + 1):
+        here = at.where(F.col("level") == level).drop("level")
+        if level > 1:  # a graph that was expanded stands in for what it was made of
+            known_nodes = nodes.join(made_nodes.select("graph").distinct(), "graph", "left_anti").unionByName(made_nodes, allowMissingColumns=True)
+            known_edges = edges.join(made_nodes.select("graph").distinct(), "graph", "left_anti").unionByName(made_edges)
+        new_nodes, new_edges = _expand_once(here, known_nodes, known_edges)
+        if level < deepest:
+            new_nodes, new_edges = written(new_nodes, "expanded"), written(new_edges, "expanded")
+        made_nodes = new_nodes if made_nodes is None else made_nodes.unionByName(new_nodes, allowMissingColumns=True)
+        made_edges = new_edges if made_edges is None else made_edges.unionByName(new_edges)
+    if made_nodes is None:
+        return nodes.limit(0), edges.limit(0)
+    return made_nodes, made_edges
 
 
 def downstream(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph, name) of everything that can be reached from ``seeds`` along edges, the seeds included."""
-    reached = frontier = written(seeds.select(KEY).distinct(), "reach")
-    while not frontier.isEmpty():
-        nexts = edges.join(frontier.withColumnRenamed("name", "src"), ["graph", "src"]).select("graph", F.col("dst").alias("name")).distinct()
-        frontier = written(nexts.join(reached, KEY, "left_anti"), "reach")
-        reached = reached.union(frontier)
-    return reached
+    """(graph, name) of everything that can be reached from ``seeds`` along edges of any kind, the seeds included."""
+    with scope() as keep:
+        tables = [keep(written(seeds.select(KEY).distinct(), "reach"))]
+        while not tables[-1].isEmpty():
+            nexts = edges.join(tables[-1].withColumnRenamed("name", "src"), ["graph", "src"]).select("graph", F.col("dst").alias("name")).distinct()
+            tables.append(keep(written(nexts.join(gathered(tables), KEY, "left_anti"), "reach")))
+        return gathered(tables)
 
 
 def longest_paths(nodes: DataFrame, edges: DataFrame, weight_col: str) -> DataFrame:
-    """(graph, name, layer, total, path): for each node the heaviest path that ends there.
+    """(graph, name, layer, total, path): for each node the heaviest path of hard edges that ends there.
 
     Of needs that tie, the one that is listed last is taken. Nodes on or behind a cycle are left out.
     """
-    placed = written(layers(nodes, edges).where("layer IS NOT NULL").join(nodes.select(*KEY, F.coalesce(weight_col, F.lit(0.0)).cast("double").alias("weight")), KEY), "paths")
-    deepest = placed.agg(F.max("layer")).first()[0]
-    found = written(placed.where("layer = 0").select(*KEY, "layer", F.col("weight").alias("total"), F.array("name").alias("path")), "paths")
-    for layer in range(1, (deepest or 0) + 1):
-        here = placed.where(F.col("layer") == layer)
-        before = found.select("graph", F.col("name").alias("src"), "total", "path")
-        into = edges.join(here.select("graph", F.col("name").alias("dst"), "weight"), ["graph", "dst"]).join(before, ["graph", "src"])
-        best = into.groupBy("graph", "dst", "weight").agg(F.max(F.struct("total", "pos", "path")).alias("b"))
-        step = best.select("graph", F.col("dst").alias("name"), F.lit(layer).alias("layer"), (F.col("b.total") + F.col("weight")).alias("total"), F.concat("b.path", F.array("dst")).alias("path"))
-        found = found.union(written(step, "paths"))
-    return found
+    return _ordered(nodes, hard(edges), F.coalesce(weight_col, F.lit(0.0)).cast("double"), True).where("layer IS NOT NULL")
 
 
 def critical_path(nodes: DataFrame, edges: DataFrame, weight_col: str) -> DataFrame:
     """(graph, total, path): the heaviest path of each graph; of ends that tie, the first by layer and name."""
     ends = longest_paths(nodes, edges, weight_col)
-    order = Window.partitionBy("graph").orderBy(F.desc("total"), "layer", "name")
-    return ends.withColumn("k", F.row_number().over(order)).where("k = 1").select("graph", "total", "path")
+    best = F.min(F.struct((-F.col("total")).alias("less"), "layer", "name", "path")).alias("best")
+    return ends.groupBy("graph").agg(best).select("graph", (-F.col("best.less")).alias("total"), "best.path")
 
 
 def mermaid(nodes: DataFrame, edges: DataFrame, direction: str = "TD") -> DataFrame:

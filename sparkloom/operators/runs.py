@@ -47,9 +47,9 @@ def wall_clock(runs: DataFrame) -> DataFrame:
 
 
 def wait_times(runs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(run_id, name, wait): start less the latest finish of the needs, not below 0; 0 without needs, start, or when skipped."""
+    """(run_id, name, wait): start less the latest finish of the hard needs, not below 0; 0 without needs, start, or when skipped."""
     ends = runs.select("run_id", F.col("name").alias("src"), F.col("finished_at").alias("end"))
-    ready = edges.join(ends, ["run_id", "src"]).groupBy("run_id", F.col("dst").alias("name")).agg(F.max("end").alias("ready"))
+    ready = graphs.hard(edges).join(ends, ["run_id", "src"]).groupBy("run_id", F.col("dst").alias("name")).agg(F.max("end").alias("ready"))
     wait = F.when(F.col("status") == "skipped", 0.0).otherwise(F.greatest(F.lit(0.0), elapsed("ready", "started_at")))
     return runs.join(ready, ["run_id", "name"], "left").select("run_id", "name", F.coalesce(wait, F.lit(0.0)).alias("wait"))
 
@@ -95,8 +95,8 @@ def critical_path(runs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def profile(runs: DataFrame, edges: DataFrame) -> DataFrame:
-    """A row for each task: status, duration, attempts, wait, needs and whether it is on the critical path."""
-    needs = edges.groupBy("run_id", F.col("dst").alias("name")).agg(F.array_sort(F.collect_list(F.struct("pos", "src"))).alias("n"))
+    """A row for each task: status, duration, attempts, wait, hard needs and whether it is on the critical path."""
+    needs = graphs.hard(edges).groupBy("run_id", F.col("dst").alias("name")).agg(F.array_sort(F.collect_list(F.struct("pos", "src"))).alias("n"))
     path = critical_path(runs, edges).select("run_id", F.explode("path").alias("name"), F.lit(True).alias("critical"))
     joined = runs.join(wait_times(runs, edges), ["run_id", "name"]).join(needs, ["run_id", "name"], "left").join(path, ["run_id", "name"], "left")
     return joined.select(

@@ -7,11 +7,16 @@ stored results that later runs take up, and a report as a table that the operato
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import inspect
+import io
+import logging
+import random
+import time
 import uuid
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 from graphlib import CycleError, TopologicalSorter
 from typing import Any
 
@@ -24,18 +29,75 @@ RUNS = "run_id string, name string, status string, attempts int, started_at time
 EDGES = "run_id string, src string, dst string, kind string, pos int"
 
 
+EVENTS = "run_id string, name string, status string, attempts int, error string, duration double, reason string, ts timestamp"
+log = logging.getLogger("sparkloom")
+
+
+class Context(Mapping):
+    """Annotates a parameter that gets the results of all needs of a step at once, by their names."""
+
+
+@dataclass(frozen=True)
+class Retry:
+    """How often a step is tried, after which errors, and how long it waits before the next attempt.
+
+    Before attempt n + 1 it waits ``delay * backoff ** (n - 1)`` seconds and up to ``jitter`` more. Spark repeats failed
+    tasks by itself; this is for steps that fail as a whole, such as a source that isn't there yet.
+    """
+
+    attempts: int = 1
+    delay: float = 0.0
+    backoff: float = 1.0
+    jitter: float = 0.0
+    on: tuple[type[BaseException], ...] = (Exception,)
+
+    def __post_init__(self) -> None:
+        if self.attempts < 1 or min(self.delay, self.backoff, self.jitter) < 0:
+            raise ValueError("a step needs at least one attempt, and waits no less than 0 seconds")
+
+    def wait(self, attempt: int) -> float:
+        return self.delay * self.backoff ** (attempt - 1) + random.uniform(0, self.jitter)
+
+
+@dataclass(frozen=True)
+class Hooks:
+    """Called around a step: before it runs, with its result, or with the error it failed with for good.
+
+    What a hook raises is logged and changes nothing. A result is a lazy DataFrame: a hook that counts it runs a job;
+    ``df.observe`` in the step itself counts rows along the way.
+    """
+
+    before: Callable[[Step], None] | None = None
+    after: Callable[[Step, Any], None] | None = None
+    failed: Callable[[Step, BaseException], None] | None = None
+
+    def call(self, name: str, *args: Any) -> None:
+        try:
+            if hook := getattr(self, name):
+                hook(*args)
+        except Exception as e:
+            log.warning("hook %s of step %s raised %r", name, args[0].name, e)
+
+
 @dataclass(frozen=True)
 class Step:
-    """One step. ``soft`` needs may be missing or skipped: they then give their value in ``defaults``, else None."""
+    """One step. ``soft`` needs may be missing or skipped: they then give their value in ``defaults``, else None.
+
+    ``needs`` are steps it needs besides those that its parameters name; it sees them through a parameter annotated
+    ``Context`` or through ``**kwargs``.
+    """
 
     name: str
     fn: Callable[..., Any]
     soft: tuple[str, ...] = ()
+    needs: tuple[str, ...] = ()
     static: Mapping[str, Any] = field(default_factory=dict)
     defaults: Mapping[str, Any] = field(default_factory=dict)
     when: tuple[Condition, ...] = ()
     tags: tuple[str, ...] = ()
     attempts: int = 1
+    retry: Retry | None = None  # in place of ``attempts``
+    hooks: Hooks = Hooks()
     tolerate_skips: bool = False
     continue_on_error: bool = False
     store: bool = False  # write the result to the run's state, and take it from there next time
@@ -47,6 +109,22 @@ class Step:
         if self.attempts < 1:
             raise ValueError("a step needs at least one attempt")
 
+    @property
+    def tries(self) -> Retry:
+        return self.retry or Retry(self.attempts)
+
+
+@dataclass(frozen=True)
+class Defaults:
+    """What steps of a pipeline have where they say nothing themselves."""
+
+    retry: Retry | None = None
+    tags: tuple[str, ...] = ()
+    hooks: Hooks = Hooks()
+    tolerate_skips: bool = False
+    continue_on_error: bool = False
+    store: bool = False
+
 
 def step(fn: Callable | None = None, /, **options: Any) -> Any:
     """Make a function a step named after it: ``@step`` or ``@step(soft=("extra",), store=True)``."""
@@ -110,52 +188,91 @@ class Report:
     rows: list[dict]
     values: dict[str, Any]
     edges: list[tuple]
+    events: list[dict] = field(default_factory=list)
 
     def __getitem__(self, name: str) -> Any:
         return self.values[name]
 
+    def row(self, name: str) -> dict:
+        return next(r for r in self.rows if r["name"] == name)
+
     def status(self, name: str) -> str:
-        return next(r["status"] for r in self.rows if r["name"] == name)
+        return self.row(name)["status"]
+
+    def with_status(self, *statuses: str) -> list[str]:
+        return [r["name"] for r in self.rows if r["status"] in statuses]
+
+    def to_dict(self) -> dict:
+        """Plain values, seconds rounded to microseconds."""
+        keys = ("status", "attempts", "reason", "error")
+        return {"run_id": self.run_id, "steps": {r["name"]: {k: r.get(k) for k in keys} | {"duration": round(r.get("duration") or 0.0, 6)} for r in self.rows}}
+
+    def describe(self) -> str:
+        lines = [f"  {r['name']}: {r['status']}, {r.get('duration') or 0.0:.3f} s" + (f" ({r['reason']})" if r.get("reason") else "") for r in self.rows]
+        return "\n".join([f"run {self.run_id}: {len(self.rows)} steps", *lines])
 
     def runs(self, spark: SparkSession) -> DataFrame:
         """``task_runs``: one row for each step."""
-        names = [c.split()[0] for c in RUNS.split(", ")]
-        return spark.createDataFrame([tuple(r.get(c) for c in names) for r in self.rows], RUNS)
+        return spark.createDataFrame([tuple(r.get(c.split()[0]) for c in RUNS.split(", ")) for r in self.rows], RUNS)
+
+    def task_events(self, spark: SparkSession) -> DataFrame:
+        """``task_events``: running and the final status of each step, each once, as the operators in ``streaming`` read them."""
+        return spark.createDataFrame([tuple(e.get(c.split()[0]) for c in EVENTS.split(", ")) for e in self.events], EVENTS)
 
     def run_edges(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(self.run_id, *e) for e in self.edges], EDGES)
 
 
+def _takes_all(p: inspect.Parameter) -> bool:
+    """Whether a parameter is annotated as the mapping of all needs, by the class or by its name."""
+    named = p.annotation if isinstance(p.annotation, str) else getattr(p.annotation, "__name__", "")
+    return p.annotation is Context or named.rpartition(".")[2] == "Context"
+
+
 class Pipeline:
     """A set of steps. A parameter called ``spark`` gets the session; one named in ``static`` gets that value."""
 
-    def __init__(self, *steps: Step) -> None:
+    def __init__(self, *steps: Step, defaults: Defaults | None = None) -> None:
         self.steps: dict[str, Step] = {}
+        self.defaults = defaults
         for s in steps:
             if s.name in self.steps:
                 raise DuplicateStep(s.name)
             self.steps[s.name] = s
         for s in self.steps.values():
-            for need in s.soft:
+            for need in (*s.soft, *s.needs):
                 if need not in self.steps:
                     raise MissingInput(f"{s.name} needs {need}")
             self._needs(s)
         self.order = self._order()
 
+    def resolved(self, name: str) -> Step:
+        """A step with the pipeline's defaults where its own fields are as they come."""
+        s, plain = self.steps[name], Step("plain", lambda: None)
+        if self.defaults is None:
+            return s
+        own = {f.name: getattr(self.defaults, f.name) for f in fields(Defaults) if getattr(s, f.name) == getattr(plain, f.name)}
+        if s.attempts > 1:
+            own.pop("retry", None)
+        return replace(s, **own)
+
     def _needs(self, s: Step) -> dict[str, str]:
-        """Parameters that other steps fill, and whether the need is hard or soft."""
+        """Steps it needs, and whether hard or soft."""
         out: dict[str, str] = {}
+        rest = False
         for p in inspect.signature(s.fn).parameters.values():
             if p.name in s.static:
                 if p.name in self.steps:
                     raise BindingError(f"{s.name}: {p.name} is a step and a static value")
             elif p.name in self.steps and p.name != s.name:
                 out[p.name] = "soft" if p.name in s.soft else "hard"
-            elif p.kind is p.VAR_KEYWORD:
-                out |= {n: "soft" for n in s.soft if n not in out}
+            elif p.kind is p.VAR_KEYWORD or _takes_all(p):
+                rest = True
             elif p.name != "spark" and p.default is p.empty:
                 raise BindingError(f"{s.name}: nothing is called {p.name}")
-        return out
+        if rest:
+            out |= {n: "soft" for n in s.soft if n not in out}
+        return out | {n: "hard" for n in s.needs if n not in out}
 
     def _order(self) -> list[str]:
         try:
@@ -166,6 +283,45 @@ class Pipeline:
     def edges(self) -> list[tuple[str, str, str, int]]:
         return [(src, n, kind, pos) for n in self.order for pos, (src, kind) in enumerate(self._needs(self.steps[n]).items())]
 
+    def layers(self) -> list[list[str]]:
+        """Steps that could run at the same time, by name: one more than the highest layer of their hard needs."""
+        at: dict[str, int] = {}
+        sorter = TopologicalSorter({n: [x for x, kind in self._needs(s).items() if kind == "hard"] for n, s in self.steps.items()})
+        for n in sorter.static_order():
+            at[n] = 1 + max((at[x] for x, kind in self._needs(self.steps[n]).items() if kind == "hard"), default=-1)
+        return [sorted(n for n in at if at[n] == k) for k in range(max(at.values(), default=-1) + 1)]
+
+    def binding(self, name: str) -> str:
+        """Where a step's parameters get their values from, as text."""
+        s, parts = self.steps[name], []
+        needs = self._needs(s)
+        for p in inspect.signature(s.fn).parameters.values():
+            if p.kind is p.VAR_KEYWORD:
+                parts.append("**all needs")
+            elif p.name in s.static:
+                parts.append(f"{p.name}={s.static[p.name]!r}")
+            elif p.name in needs:
+                parts.append(f"{p.name}=<{needs[p.name]} {p.name}>")
+            elif _takes_all(p):
+                parts.append(f"{p.name}=<all needs>")
+            else:
+                parts.append(f"{p.name}=<session>" if p.name == "spark" else f"{p.name}=<default>")
+        return f"{name}({', '.join(parts)})"
+
+    def dry_run(self, spark: SparkSession | None = None) -> str:
+        """What a run would do, without doing it: layers and bindings; with a session, the plans of the last steps too."""
+        lines = [f"{len(self.steps)} steps in {len(self.layers())} layers"]
+        for k, layer in enumerate(self.layers(), 1):
+            lines += [f"layer {k}", *(f"  {self.binding(n)}" for n in layer)]
+        used = {src for src, *_ in self.edges()}
+        for n in [n for n in self.order if n not in used] if spark is not None else []:
+            made = self.plan(spark, n)
+            if isinstance(made, DataFrame):
+                with contextlib.redirect_stdout(io.StringIO()) as text:
+                    made.explain("formatted")
+                lines += [f"plan of {n}", text.getvalue()]
+        return "\n".join(lines)
+
     def merged(self, namespace: str, other: Pipeline) -> Pipeline:
         """This pipeline and another one, whose steps are renamed ``namespace_<name>``; their parameters follow."""
         renamed = {n: f"{namespace}_{n}" for n in other.steps}
@@ -175,9 +331,10 @@ class Pipeline:
             fn = lambda **given: s.fn(**{back.get(k, k): v for k, v in given.items()})
             back = {new: was for was, new in renamed.items()}
             fn.__signature__ = old.replace(parameters=[p.replace(name=renamed.get(p.name, p.name)) if p.name not in s.static else p for p in old.parameters.values()])
-            return replace(s, name=renamed[s.name], fn=fn, soft=tuple(renamed[n] for n in s.soft), defaults={renamed[n]: v for n, v in s.defaults.items()})
+            names = lambda given: tuple(renamed[n] for n in given)
+            return replace(s, name=renamed[s.name], fn=fn, soft=names(s.soft), needs=names(s.needs), defaults={renamed[n]: v for n, v in s.defaults.items()})
 
-        return Pipeline(*self.steps.values(), *(moved(s) for s in other.steps.values()))
+        return Pipeline(*(self.resolved(n) for n in self.steps), *(moved(other.resolved(n)) for n in other.steps))
 
     def only(self, *names: str, tags: Iterable[str] = ()) -> Pipeline:
         """The named or tagged steps and all that they need."""
@@ -190,7 +347,7 @@ class Pipeline:
             if (n := wanted.pop()) not in kept:
                 kept.add(n)
                 wanted += self._needs(self.steps[n])
-        return Pipeline(*(s for n, s in self.steps.items() if n in kept))
+        return Pipeline(*(s for n, s in self.steps.items() if n in kept), defaults=self.defaults)
 
     def tables(self, spark: SparkSession, graph: str = "pipeline") -> tuple[DataFrame, DataFrame]:
         """Nodes and edges for the operators in ``operators.graphs``."""
@@ -208,29 +365,46 @@ class Pipeline:
         return {n: s.defaults.get(n) if values.get(n) is None and kind == "soft" else values.get(n) for n, kind in self._needs(s).items()}
 
     def _call(self, spark: SparkSession, s: Step, values: Mapping[str, Any]) -> Any:
-        given = {**s.static, **self._inputs(s, values)}
-        if "spark" in inspect.signature(s.fn).parameters:
-            given["spark"] = spark
+        given, inputs = dict(s.static), self._inputs(s, values)
+        for p in inspect.signature(s.fn).parameters.values():
+            if p.kind is p.VAR_KEYWORD:
+                given |= inputs
+            elif p.name in inputs:
+                given[p.name] = inputs[p.name]
+            elif p.name == "spark":
+                given["spark"] = spark
+            elif p.name not in given and _takes_all(p):
+                given[p.name] = dict(inputs)
         return s.fn(**given)
 
-    def run(self, spark: SparkSession, state: Any = None) -> Report:
+    def run(self, spark: SparkSession, state: Any = None, listener: Callable[[dict], None] | None = None) -> Report:
         """Compose every step in order; ask conditions; store and resume those that say so.
 
+        ``listener`` gets each event as it happens: a step's status ``running``, then its final one, each once.
+
         A step is skipped if a condition doesn't hold (one that raises doesn't), or if a hard need was skipped or
         failed; a stored result counts as met. Results that aren't stored stay lazy: their cost, and any error in their
-        data, comes with the first action on them. Tasks that fail are repeated by Spark; ``attempts`` repeats a step.
+        data, comes with the first action on them. Tasks that fail are repeated by Spark; ``retry`` repeats a step.
         """
         report = Report(uuid.uuid4().hex, [], {}, self.edges())
         status: dict[str, str] = {}
+
+        def tell(row: dict, **more: Any) -> None:
+            event = {c.split()[0]: row.get(c.split()[0]) for c in EVENTS.split(", ")} | {"ts": datetime.datetime.now()} | more
+            report.events.append(event)
+            if listener is not None:
+                listener(event)
+
         try:
             for n in self.order:
-                s = self.steps[n]
+                s = self.resolved(n)
                 row = {"run_id": report.run_id, "name": n, "tags": list(s.tags), "started_at": datetime.datetime.now(), "attempts": 0}
-                self._settle(spark, s, state, report.values, status, row)
+                self._settle(spark, s, state, report.values, status, row, lambda row=row: tell(row, status="running"))
                 row["finished_at"] = datetime.datetime.now()
                 row["duration"] = (row["finished_at"] - row["started_at"]).total_seconds()
                 status[n] = row["status"]
                 report.rows.append(row)
+                tell(row)
                 if row["status"] == "failed" and not s.continue_on_error:
                     raise StepFailed(n, row["attempts"], report) from row["cause"]
         finally:
@@ -238,7 +412,7 @@ class Pipeline:
                 state.commit()
         return report
 
-    def _settle(self, spark: SparkSession, s: Step, state: Any, values: dict[str, Any], status: dict[str, str], row: dict) -> None:
+    def _settle(self, spark: SparkSession, s: Step, state: Any, values: dict[str, Any], status: dict[str, str], row: dict, begin: Callable[[], None]) -> None:
         inputs = self._inputs(s, values)
         key = s.name if s.cache_key is None else f"{s.name}:{s.cache_key(inputs)}"
         held = state.load(key) if state is not None and s.store else None
@@ -258,14 +432,19 @@ class Pipeline:
             if not met:
                 row |= {"status": "skipped", "reason": "condition"}
                 return
+        begin()
+        s.hooks.call("before", s)
         while True:
             row["attempts"] += 1
             try:
                 made = self._call(spark, s, values)
                 values[s.name] = state.save(key, made) if state is not None and s.store else made
                 row["status"] = "success"
+                s.hooks.call("after", s, values[s.name])
                 return
             except Exception as e:
-                if row["attempts"] >= s.attempts:
+                if row["attempts"] >= s.tries.attempts or not isinstance(e, s.tries.on):
                     row |= {"status": "failed", "error": str(e)[:2000], "cause": e}
+                    s.hooks.call("failed", s, e)
                     return
+            time.sleep(s.tries.wait(row["attempts"]))

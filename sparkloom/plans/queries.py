@@ -280,17 +280,45 @@ def directory_filters(spark, sf_dir):
     return relational.without_ignored(files, "path", directories=["economy"], suffixes=[".pyc"], substrings=["red_"])
 
 
-@query("""
-    SELECT doc_id, md5('From: ' || source || '@example.org' || chr(10) || 'To: all@example.org' || chr(10) || 'Subject: Re: ' || lang || chr(10) || 'Date: Mon, 1 Jan 2024 12:00:00 +0000' || chr(10) || chr(10) || text) AS file_hash,
-           source || '@example.org' AS sender, 'all@example.org' AS recipients, lang AS thread, '2024-01-01T12:00:00+00:00' AS date_parsed, substr(text, 1, 5000) AS body_text, 0 AS has_attachments
+_PLAIN = "coalesce(text, '')"
+_MAIL = f"""
+    SELECT doc_id, 'From: ' || source || '@example.org' || chr(10) || 'To: all@example.org' || chr(10)
+           || 'Subject: ' || CASE doc_id % 4 WHEN 0 THEN 'Re: ' || lang WHEN 1 THEN '=?utf-8?B?' || to_base64(encode('Re: ' || lang || ' «ü» 中')) || '?=' WHEN 2 THEN 'Fwd: =?iso-8859-1?Q?' || lang || '_gr=FC=DFt?=' ELSE '=?utf-8?q?a_?= =?utf-8?q?b?= ' || lang END || chr(10)
+           || 'Date: ' || CASE doc_id % 3 WHEN 0 THEN 'Mon, 1 Jan 2024 12:00:00 +0000' WHEN 1 THEN (doc_id % 28 + 1) || ' Feb 2023 0' || doc_id % 10 || ':30:15 +0130' ELSE 'Invalid Date' END || chr(10)
+           || CASE WHEN doc_id % 5 < 2 THEN 'MIME-Version: 1.0' || chr(10) || 'Content-Type: multipart/mixed; boundary="=cut="' || chr(10) || chr(10) || '--=cut=' || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(10) || chr(10) || '<b>' || lang || '</b>' || chr(10)
+                   || CASE WHEN doc_id % 5 = 0 THEN '--=cut=' || chr(10) || 'Content-Type: text/plain' || chr(10) || 'Content-Disposition: attachment; filename="a.txt"' || chr(10) || chr(10) || 'attached' || chr(10) ELSE '' END
+                   || '--=cut=' || chr(10) || 'Content-Type: text/plain; charset=utf-8' || chr(10) || 'Content-Transfer-Encoding: base64' || chr(10) || chr(10) || to_base64(encode({_PLAIN})) || chr(10) || '--=cut=--' || chr(10)
+              ELSE chr(10) || {_PLAIN} END AS mail,
+           CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN lang || ' «ü» 中' WHEN 2 THEN lang || ' grüßt' ELSE 'a b ' || lang END AS thread,
+           CASE doc_id % 3 WHEN 0 THEN '2024-01-01T12:00:00+00:00' WHEN 1 THEN '2023-02-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || 'T0' || doc_id % 10 || ':30:15+01:30' ELSE 'Invalid Date' END AS date_parsed,
+           CASE WHEN doc_id % 5 < 2 THEN '<b>' || lang || '</b>' ELSE '' END AS body_html, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS has_attachments, source, text
     FROM documents
+"""
+
+
+@query(f"""
+    SELECT doc_id, md5(mail) AS file_hash, source || '@example.org' AS sender, 'all@example.org' AS recipients, thread, date_parsed, substr({_PLAIN}, 1, 5000) AS body_text, body_html, has_attachments FROM ({_MAIL})
 """)
 def mail_parse(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    head = F.concat(F.lit("From: "), "source", F.lit("@example.org\nTo: all@example.org\nSubject: Re: "), "lang", F.lit("\nDate: Mon, 1 Jan 2024 12:00:00 +0000\n\n"), "text")
-    files = docs.select(F.col("doc_id").cast("string").alias("file_path"), head.cast("binary").alias("content"), F.length("text").cast("long").alias("file_size"))
+    """Mails of all kinds made of documents: encoded subjects, dates with zones, multipart bodies and attachments."""
+    key, lang, nl = F.col("doc_id"), F.col("lang"), F.lit("\n")
+    body = F.coalesce("text", F.lit(""))
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    coded = lambda c: F.base64(F.encode(c, "UTF-8"))
+    subject = (
+        F.when(key % 4 == 0, text("Re: ", lang)).when(key % 4 == 1, text("=?utf-8?B?", coded(text("Re: ", lang, " «ü» 中")), "?=")).when(key % 4 == 2, text("Fwd: =?iso-8859-1?Q?", lang, "_gr=FC=DFt?="))
+        .otherwise(text("=?utf-8?q?a_?= =?utf-8?q?b?= ", lang))
+    )
+    day = F.when(key % 3 == 0, "Mon, 1 Jan 2024 12:00:00 +0000").when(key % 3 == 1, text((key % 28 + 1).cast("string"), " Feb 2023 0", (key % 10).cast("string"), ":30:15 +0130")).otherwise("Invalid Date")
+    attached = F.when(key % 5 == 0, '--=cut=\nContent-Type: text/plain\nContent-Disposition: attachment; filename="a.txt"\n\nattached\n').otherwise("")
+    parts = text(
+        'MIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="=cut="\n\n--=cut=\nContent-Type: text/html; charset=utf-8\n\n<b>', lang, "</b>\n", attached,
+        "--=cut=\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n", F.regexp_replace(coded(body), "\\s", ""), "\n--=cut=--\n",
+    )
+    mail = text("From: ", F.col("source"), "@example.org\nTo: all@example.org\nSubject: ", subject, "\nDate: ", day, nl, F.when(key % 5 < 2, parts).otherwise(F.concat(nl, body)))
+    files = table(spark, sf_dir, "documents").select(key.cast("string").alias("file_path"), mail.cast("binary").alias("content"), F.length(mail).cast("long").alias("file_size"))
     thread = X.normalize_subject(F.col("subject")).alias("thread")
-    return parse_mails(files).select(F.col("file_path").cast("long").alias("doc_id"), "file_hash", "sender", "recipients", thread, "date_parsed", "body_text", "has_attachments")
+    return parse_mails(files).select(F.col("file_path").cast("long").alias("doc_id"), "file_hash", "sender", "recipients", thread, "date_parsed", "body_text", "body_html", "has_attachments")
 
 
 # -- text functions --------------------------------------------------------------------------------------------------
@@ -317,48 +345,56 @@ def add_date_prefix(spark, sf_dir):
 def _strip_marks_sql(column: str) -> str:
     left, right = (f"[{re.escape(x)}]" for x in (X.LEFT_MARKS, X.RIGHT_MARKS))
     for mark in [*(m for names in X.LEVELS.values() for m in names.split(",") if m), *map(str, range(1, 10))]:
-        for _ in range(2):
-            column = f"regexp_replace({column}, '{left}{mark}{right}', '', 'g')"
+        column = f"regexp_replace({column}, '{left}{mark}{right}', '', 'g')"
     return column
 
 
 @query(f"""
     SELECT p_partkey, {_strip_marks_sql('name')} || '(CON)' AS leveled
-    FROM (SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN '(PUB)' WHEN 1 THEN '[INT](NOR)' WHEN 2 THEN '_3_7_' ELSE '【CLA】PUB' END AS name FROM part)
+    FROM (SELECT p_partkey, p_name || CASE p_partkey % 5 WHEN 0 THEN '(PUB)' WHEN 1 THEN '[INT](NOR)' WHEN 2 THEN '_3_7_' WHEN 3 THEN '_(3)3_b' ELSE '【CLA】PUB' END AS name FROM part)
 """)
 def set_level(spark, sf_dir):
-    kind = F.col("p_partkey") % 4
-    name = F.concat("p_name", F.when(kind == 0, "(PUB)").when(kind == 1, "[INT](NOR)").when(kind == 2, "_3_7_").otherwise("【CLA】PUB"))
+    kind = F.col("p_partkey") % 5
+    name = F.concat("p_name", F.when(kind == 0, "(PUB)").when(kind == 1, "[INT](NOR)").when(kind == 2, "_3_7_").when(kind == 3, "_(3)3_b").otherwise("【CLA】PUB"))
     return table(spark, sf_dir, "part").select("p_partkey", X.set_level(name, 3).alias("leveled"))
 
 
-_VERSIONS = """SELECT p_partkey, CASE WHEN p_partkey % 6 = 5 THEN '1.02.x' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'v' ELSE '' END || p_size || '.' || p_partkey % 10 || '.' || p_partkey % 100
+_VERSIONS = """SELECT p_partkey, CASE p_partkey % 12 WHEN 5 THEN '1.02.x' WHEN 7 THEN '1.2.3-01' WHEN 8 THEN '1.2.3-a..b' WHEN 9 THEN '1234567890123456789999.99.9' WHEN 10 THEN '1.2.3-0a.-+01.b-c' WHEN 11 THEN '1.2'
+                      ELSE CASE WHEN p_partkey % 2 = 0 THEN 'v' ELSE '' END || p_size || '.' || p_partkey % 10 || '.' || p_partkey % 100
                       || CASE p_partkey % 3 WHEN 0 THEN '-rc.1' WHEN 1 THEN '+build5' ELSE '' END END AS version FROM part"""
-_V = r"^v?(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(?:-([0-9A-Za-z.-]+))?(?:\+([0-9A-Za-z.-]+))?$"
+#: The parts of a version by cutting at its signs; ``ok`` by looking at each part.
+_PARSED = f"""
+    SELECT *, len(core) = 3 AND list_bool_and(list_transform(core, lambda x: x <> '' AND translate(x, '0123456789', '') = '' AND (x = '0' OR x[1] <> '0')))
+           AND (NOT has_pre OR list_bool_and(list_transform(string_split(pre, '.'), lambda x: x <> '' AND (translate(x, '0123456789', '') <> '' OR x = '0' OR x[1] <> '0'))))
+           AND (build IS NULL OR list_bool_and(list_transform(string_split(build, '.'), lambda x: x <> ''))) AS ok
+    FROM (SELECT p_partkey, string_split(string_split(main, '-')[1], '.') AS core, contains(main, '-') AS has_pre, CASE WHEN contains(main, '-') THEN substr(main, instr(main, '-') + 1) ELSE '' END AS pre, build
+          FROM (SELECT p_partkey, string_split(ltrim(version, 'v'), '+')[1] AS main, string_split(version, '+')[2] AS build FROM ({_VERSIONS})))
+"""
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     numbers = F.concat_ws(".", F.col("p_size").cast("string"), (key % 10).cast("string"), (key % 100).cast("string"))
     full = F.concat(F.when(key % 2 == 0, "v").otherwise(""), numbers, F.when(key % 3 == 0, "-rc.1").when(key % 3 == 1, "+build5").otherwise(""))
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(key % 6 == 5, "1.02.x").otherwise(full).alias("version"))
+    odd = {5: "1.02.x", 7: "1.2.3-01", 8: "1.2.3-a..b", 9: "1234567890123456789999.99.9", 10: "1.2.3-0a.-+01.b-c", 11: "1.2"}
+    for k, version in odd.items():
+        full = F.when(key % 12 == k, version).otherwise(full)
+    return table(spark, sf_dir, "part").select("p_partkey", full.alias("version"))
 
 
-@query(rf"""
-    SELECT p_partkey, CASE WHEN ok THEN a || '.' || b || '.' || (c::BIGINT + 1) END AS patch, CASE WHEN ok THEN a || '.' || (b::BIGINT + 1) || '.0' END AS minor, CASE WHEN ok THEN (a::BIGINT + 1) || '.0.0' END AS major
-    FROM (SELECT p_partkey, regexp_full_match(version, '{_V}') AS ok, nullif(regexp_extract(version, '{_V}', 1), '') AS a, nullif(regexp_extract(version, '{_V}', 2), '') AS b, nullif(regexp_extract(version, '{_V}', 3), '') AS c FROM ({_VERSIONS}))
+@query(f"""
+    SELECT p_partkey, CASE WHEN ok THEN core[1] || '.' || core[2] || '.' || (core[3]::HUGEINT + 1) END AS patch, CASE WHEN ok THEN core[1] || '.' || (core[2]::HUGEINT + 1) || '.0' END AS minor,
+           CASE WHEN ok THEN (core[1]::HUGEINT + 1) || '.0.0' END AS major
+    FROM ({_PARSED})
 """)
 def bump_version(spark, sf_dir):
     return _versions(spark, sf_dir).select("p_partkey", *[X.bump_version(F.col("version"), p).alias(p) for p in ("patch", "minor", "major")])
 
 
-@query(rf"""
-    SELECT p_partkey, regexp_extract(version, '{_V}', 4) AS pre, regexp_extract(version, '{_V}', 5) AS build, regexp_extract(version, '{_V}', 1)::BIGINT AS major
-    FROM ({_VERSIONS}) WHERE regexp_full_match(version, '{_V}')
-""")
+@query(f"SELECT p_partkey, pre, coalesce(build, '') AS build, core[1] AS major FROM ({_PARSED}) WHERE ok")
 def parse_version(spark, sf_dir):
     parsed = _versions(spark, sf_dir).select("p_partkey", X.parse_version(F.col("version")).alias("v")).where("v IS NOT NULL")
-    return parsed.select("p_partkey", "v.pre", "v.build", "v.major")
+    return parsed.select("p_partkey", "v.pre", "v.build", F.col("v.major").cast("string").alias("major"))
 
 
 @query("""
@@ -372,12 +408,13 @@ def bump_assignment(spark, sf_dir):
 
 @query("""
     SELECT p_partkey, CASE WHEN contains(stem, 'cli') THEN 'Command-line interface for ' || p_type || '.' WHEN contains(stem, 'test') THEN 'Tests for ' || p_type || '.'
-           ELSE array_to_string(list_transform(string_split(replace(stem, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' module.' END AS doc
-    FROM (SELECT p_partkey, p_type, replace(p_name, ' ', '_') || CASE p_partkey % 4 WHEN 0 THEN '_cli' WHEN 1 THEN '_test_cli' WHEN 2 THEN '_test' ELSE '' END AS stem FROM part)
+           ELSE array_to_string(list_transform(string_split(regexp_replace(replace(stem, '_', ' '), '([^A-Za-z])', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda w: upper(w[1]) || lower(w[2:])), '') || ' module.' END AS doc
+    FROM (SELECT p_partkey, p_type, replace(p_name, ' ', '_') || CASE p_partkey % 5 WHEN 0 THEN '_cli' WHEN 1 THEN '_test_cli' WHEN 2 THEN '_test' WHEN 3 THEN '_it''s_4ever_MAD' ELSE '' END AS stem FROM part)
 """)
 def classify_stem(spark, sf_dir):
-    kind = F.col("p_partkey") % 4
-    name = F.concat(F.lit("/a.b/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.when(kind == 0, "_cli").when(kind == 1, "_test_cli").when(kind == 2, "_test").otherwise(""), F.lit(".py"))
+    kind = F.col("p_partkey") % 5
+    mark = F.when(kind == 0, "_cli").when(kind == 1, "_test_cli").when(kind == 2, "_test").when(kind == 3, "_it's_4ever_MAD").otherwise("")
+    name = F.concat(F.lit("/a.b/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), mark, F.lit(".py"))
     return table(spark, sf_dir, "part").select("p_partkey", X.classify_stem(X.stem(name), F.col("p_type")).alias("doc"))
 
 
@@ -397,22 +434,25 @@ def requirement_lines(spark, sf_dir):
 
 
 def turn_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Turn k needs turn k - 1, unless k is a multiple of 3, and turn k - 2."""
+    """Turn k needs turn k - 1 (softly, if k is a multiple of 3) and turn k - 2."""
     turns = table(spark, sf_dir, "conversations")
     weight = (F.length("text") * 1024 + F.pow(F.lit(2.0), F.col("turn"))) / 1024.0
     nodes = turns.select(F.col("conv_id").alias("graph"), F.col("turn").cast("string").alias("name"), "turn", "role", F.length("text").alias("chars"), weight.alias("weight"))
-    near = F.when(F.col("turn") % 3 != 0, F.struct((F.col("turn") - 1).alias("src"), F.lit(0).alias("pos")))
-    needs = F.array_compact(F.array(near, F.struct((F.col("turn") - 2).alias("src"), F.lit(1).alias("pos"))))
+    need = lambda back, kind, pos: F.struct((F.col("turn") - back).alias("src"), kind.alias("kind"), F.lit(pos).alias("pos"))
+    needs = F.array(need(1, F.when(F.col("turn") % 3 == 0, "soft").otherwise("hard"), 0), need(2, F.lit("hard"), 1))
     edges = nodes.select("graph", F.explode(needs).alias("e"), F.col("name").alias("dst"))
-    edges = edges.select("graph", F.col("e.src").cast("string").alias("src"), "dst", F.lit("hard").alias("kind"), "e.pos")
+    edges = edges.select("graph", F.col("e.src").cast("string").alias("src"), "dst", "e.kind", "e.pos")
     return nodes, graphs.prune_edges(nodes, edges)
 
 
 _TURNS = "n AS (SELECT conv_id AS graph, turn AS node, role, length(text) AS chars, (length(text) * 1024 + power(2.0, turn)) / 1024.0 AS weight FROM conversations)"
-_TURN_EDGES = _TURNS + ", e AS (SELECT b.graph, a.node AS src, b.node AS dst FROM n a JOIN n b ON a.graph = b.graph AND ((a.node = b.node - 1 AND b.node % 3 <> 0) OR a.node = b.node - 2))"
+_TURN_EDGES = _TURNS + """,
+    a AS (SELECT b.graph, a.node AS src, b.node AS dst, CASE WHEN a.node = b.node - 1 AND b.node % 3 = 0 THEN 'soft' ELSE 'hard' END AS kind
+          FROM n a JOIN n b ON a.graph = b.graph AND (a.node = b.node - 1 OR a.node = b.node - 2)),
+    e AS (SELECT graph, src, dst FROM a WHERE kind = 'hard')"""
 _TURN_PATHS = _TURN_EDGES + """, p AS (
-      SELECT graph, node, 0 AS depth, weight AS total FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.graph = n.graph AND e.dst = n.node)
-      UNION SELECT p.graph, e.dst, depth + 1, total + weight FROM p JOIN e ON e.graph = p.graph AND e.src = p.node JOIN n ON n.graph = e.graph AND n.node = e.dst)"""
+      SELECT graph, node, 0 AS depth, weight AS total, [node] AS path FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.graph = n.graph AND e.dst = n.node)
+      UNION SELECT p.graph, e.dst, depth + 1, total + weight, list_append(path, e.dst) FROM p JOIN e ON e.graph = p.graph AND e.src = p.node JOIN n ON n.graph = e.graph AND n.node = e.dst)"""
 
 
 @query(f"WITH RECURSIVE {_TURN_PATHS} SELECT graph, node::VARCHAR AS name, max(depth)::INTEGER AS layer FROM p GROUP BY graph, node")
@@ -425,25 +465,25 @@ def longest_paths(spark, sf_dir):
     return graphs.longest_paths(*turn_graph(spark, sf_dir), "weight").select("graph", "name", "total")
 
 
-@query(f"WITH RECURSIVE {_TURN_PATHS} SELECT graph, max(total) AS total FROM p GROUP BY graph")
+@query(f"WITH RECURSIVE {_TURN_PATHS} SELECT graph, max(total) AS total, array_to_string(arg_max(path, total), '>') AS path FROM p GROUP BY graph")
 def critical_path(spark, sf_dir):
-    return graphs.critical_path(*turn_graph(spark, sf_dir), "weight").select("graph", "total")
+    return graphs.critical_path(*turn_graph(spark, sf_dir), "weight").select("graph", "total", F.array_join("path", ">").alias("path"))
 
 
-@query(f"WITH {_TURN_EDGES} SELECT graph, src::VARCHAR AS src, dst::VARCHAR AS dst FROM e WHERE (SELECT role = 'user' OR chars > 500 FROM n WHERE n.graph = e.graph AND n.node = e.src) AND (SELECT role = 'user' OR chars > 500 FROM n WHERE n.graph = e.graph AND n.node = e.dst)")
+@query(f"WITH {_TURN_EDGES} SELECT graph, src::VARCHAR AS src, dst::VARCHAR AS dst, kind FROM a WHERE (SELECT role = 'user' OR chars > 500 FROM n WHERE n.graph = a.graph AND n.node = a.src) AND (SELECT role = 'user' OR chars > 500 FROM n WHERE n.graph = a.graph AND n.node = a.dst)")
 def tag_subgraph(spark, sf_dir):
     nodes, edges = turn_graph(spark, sf_dir)
     tagged = nodes.withColumn("tags", F.array_compact(F.array("role", F.when(F.col("chars") > 500, "long"))))
-    return graphs.subgraph_by_tags(tagged, edges, ["user", "long"])[1].select("graph", "src", "dst")
+    return graphs.subgraph_by_tags(tagged, edges, ["user", "long"])[1].select("graph", "src", "dst", "kind")
 
 
-@query(f"WITH {_TURN_EDGES} SELECT graph, src::VARCHAR AS src, dst::VARCHAR AS dst FROM e WHERE src < 3 AND dst < 3")
+@query(f"WITH {_TURN_EDGES} SELECT graph, src::VARCHAR AS src, dst::VARCHAR AS dst, kind FROM a WHERE src < 3 AND dst < 3")
 def names_subgraph(spark, sf_dir):
     nodes, edges = turn_graph(spark, sf_dir)
-    return graphs.subgraph_by_names(nodes, edges, nodes.where("turn < 3"))[1].select("graph", "src", "dst")
+    return graphs.subgraph_by_names(nodes, edges, nodes.where("turn < 3"))[1].select("graph", "src", "dst", "kind")
 
 
-@query(f"WITH RECURSIVE {_TURN_EDGES}, r AS (SELECT graph, node FROM n WHERE node = 1 UNION SELECT r.graph, e.dst FROM r JOIN e ON e.graph = r.graph AND e.src = r.node) SELECT graph, node::VARCHAR AS name FROM r")
+@query(f"WITH RECURSIVE {_TURN_EDGES}, r AS (SELECT graph, node FROM n WHERE node = 1 UNION SELECT r.graph, a.dst FROM r JOIN a ON a.graph = r.graph AND a.src = r.node) SELECT graph, node::VARCHAR AS name FROM r")
 def downstream(spark, sf_dir):
     nodes, edges = turn_graph(spark, sf_dir)
     return graphs.downstream(nodes.where("turn = 1"), edges)
@@ -462,13 +502,13 @@ def fan_out(spark, sf_dir):
     return graphs.fan_out(nodes, items).select("graph", "name", "item")
 
 
-@query(f"WITH {_TURN_EDGES}, k AS (SELECT * FROM n WHERE node % 4 <> 2) SELECT graph, src::VARCHAR AS src, dst::VARCHAR AS dst, (CASE WHEN dst % 4 = 2 THEN dst ELSE src END)::VARCHAR AS missing FROM e WHERE src % 4 = 2 OR dst % 4 = 2")
+@query(f"WITH {_TURN_EDGES}, k AS (SELECT * FROM n WHERE node % 4 <> 2) SELECT graph, src::VARCHAR AS src, dst::VARCHAR AS dst, kind, (CASE WHEN dst % 4 = 2 THEN dst ELSE src END)::VARCHAR AS missing FROM a WHERE src % 4 = 2 OR dst % 4 = 2")
 def missing_inputs(spark, sf_dir):
     nodes, edges = turn_graph(spark, sf_dir)
-    return graphs.missing_inputs(nodes.where("turn % 4 <> 2"), edges).select("graph", "src", "dst", "missing")
+    return graphs.missing_inputs(nodes.where("turn % 4 <> 2"), edges).select("graph", "src", "dst", "kind", "missing")
 
 
-@query(f"WITH {_TURN_EDGES} SELECT 'ns:' || node AS name, n.graph, count(e.src) AS needs FROM n LEFT JOIN e ON e.graph = n.graph AND e.dst = n.node GROUP BY n.graph, node")
+@query(f"WITH {_TURN_EDGES} SELECT 'ns:' || node AS name, n.graph, count(a.src) AS needs FROM n LEFT JOIN a ON a.graph = n.graph AND a.dst = n.node GROUP BY n.graph, node")
 def namespaces(spark, sf_dir):
     nodes, edges = graphs.with_namespace(*turn_graph(spark, sf_dir), "ns")
     needs = edges.groupBy("graph", F.col("dst").alias("name")).agg(F.count("*").alias("needs"))
@@ -477,7 +517,7 @@ def namespaces(spark, sf_dir):
 
 @query(f"""
     WITH {_TURN_EDGES},
-    l AS (SELECT graph, 0 AS part, '    ' || node AS line FROM n UNION ALL SELECT graph, 1, '    ' || src || ' --> ' || dst FROM e)
+    l AS (SELECT graph, 0 AS part, '    ' || node AS line FROM n UNION ALL SELECT graph, 1, '    ' || src || CASE kind WHEN 'soft' THEN ' -.-> ' ELSE ' --> ' END || dst FROM a)
     SELECT graph, 'graph LR' || chr(10) || string_agg(line, chr(10) ORDER BY part, line) AS diagram FROM l GROUP BY graph
 """)
 def mermaid(spark, sf_dir):
@@ -486,26 +526,47 @@ def mermaid(spark, sf_dir):
 
 @query(f"""
     WITH RECURSIVE {_TURN_PATHS}, d AS (SELECT graph, max(depth) + 1 AS n_layers FROM p GROUP BY graph)
-    SELECT graph, (SELECT count(*) FROM n WHERE n.graph = d.graph) AS n_nodes, (SELECT count(*) FROM e WHERE e.graph = d.graph) AS n_hard, 0::BIGINT AS n_soft, n_layers::INTEGER AS n_layers FROM d
+    SELECT graph, (SELECT count(*) FROM n WHERE n.graph = d.graph) AS n_nodes, (SELECT count(*) FROM e WHERE e.graph = d.graph) AS n_hard, (SELECT count(*) FROM a WHERE a.graph = d.graph AND kind = 'soft') AS n_soft, n_layers::INTEGER AS n_layers FROM d
 """)
 def describe_graph(spark, sf_dir):
     return graphs.describe(*turn_graph(spark, sf_dir))
 
 
 @query(f"""
-    WITH {_TURN_EDGES}, m AS (SELECT DISTINCT graph AS ref, graph // 2 AS graph, graph % 2 AS pos FROM n),
-    last AS (SELECT m.graph, m.pos, m.ref || ':' || max(node) AS name FROM m JOIN n ON n.graph = m.ref GROUP BY m.graph, m.pos, m.ref)
-    SELECT m.graph, m.ref || ':' || src AS src, m.ref || ':' || dst AS dst FROM m JOIN e ON e.graph = m.ref
-    UNION ALL
-    SELECT m.graph, last.name, m.ref || ':' || node FROM m JOIN n ON n.graph = m.ref JOIN last ON last.graph = m.graph AND last.pos = m.pos - 1
-    WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.graph = n.graph AND e.dst = n.node)
+    WITH {_TURN_EDGES}, m AS (SELECT DISTINCT graph AS ref, graph // 2 AS m FROM n),
+    last1 AS (SELECT m.m, m.ref, m.ref || ':' || max(node) AS name FROM m JOIN n ON n.graph = m.ref GROUP BY m.m, m.ref),
+    free1 AS (SELECT m.m, m.ref, m.ref || ':' || node AS name FROM m JOIN n ON n.graph = m.ref WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.graph = n.graph AND e.dst = n.node)),
+    x AS (SELECT m, m.ref || ':' || src AS src, m.ref || ':' || dst AS dst, kind FROM m JOIN a ON a.graph = m.ref
+          UNION ALL SELECT f.m, l.name, f.name, 'hard' FROM free1 f JOIN last1 l ON l.m = f.m AND l.ref < f.ref),
+    last2 AS (SELECT m, arg_max(name, ref) AS name FROM last1 GROUP BY m)
+    SELECT 'm' || m AS graph, src, dst, kind FROM x
+    UNION ALL SELECT 't' || m // 2, src, dst, kind FROM x
+    UNION ALL SELECT 't' || f.m // 2, l.name, f.name, 'hard' FROM free1 f JOIN last2 l ON l.m = f.m - 1 AND l.m // 2 = f.m // 2 WHERE f.ref = (SELECT min(ref) FROM last1 WHERE last1.m = f.m)
+    UNION ALL SELECT 'k' || a.graph, a.graph || ':' || src, a.graph || ':' || dst, kind FROM a WHERE dst = (SELECT max(node) FROM n WHERE n.graph = a.graph)
 """)
 def expand_references(spark, sf_dir):
+    """Graphs m of two conversations, t of two graphs m, and k of a conversation's last turn (a reference to one task)."""
     nodes, edges = turn_graph(spark, sf_dir)
+    key = lambda kind, column: F.concat(F.lit(kind), column.cast("string"))
     named = lambda c: F.concat(F.col("graph").cast("string"), F.lit(":"), F.col(c)).alias(c)
-    unique = nodes.select("graph", named("name"), F.col("turn").alias("pos"))
-    members = nodes.select(F.expr("graph div 2").alias("graph"), (F.col("graph") % 2).alias("pos"), F.col("graph").alias("ref")).distinct()
-    return graphs.expand_references(members, unique, edges.select("graph", named("src"), named("dst"), "kind", "pos"))[1].select("graph", "src", "dst")
+    own = key("g", F.col("graph")).alias("graph")
+    unique = nodes.select(own, named("name"), F.col("turn").alias("pos"))
+    every = nodes.groupBy("graph").agg(F.max("turn").alias("last"))
+    half = F.expr("graph div 2")
+    twos = every.select(key("m", half).alias("graph"), (F.col("graph") % 2).alias("pos"), key("g", F.col("graph")).alias("ref"))
+    fours = every.select(key("t", F.expr("graph div 4")).alias("graph"), (half % 2).alias("pos"), key("m", half).alias("ref")).distinct()
+    ends = every.select(key("k", F.col("graph")).alias("graph"), F.lit(0).cast("long").alias("pos"), F.concat(F.lit("g"), F.col("graph").cast("string"), F.lit("."), F.col("graph").cast("string"), F.lit(":"), F.col("last").cast("string")).alias("ref"))
+    members = twos.union(fours).union(ends)
+    return graphs.expand_references(members, unique, edges.select(own, named("src"), named("dst"), "kind", "pos"))[1].select("graph", "src", "dst", "kind")
+
+
+@query(f"WITH RECURSIVE {_TURNS}, r AS (SELECT graph, CASE WHEN graph % 10 = 0 AND role = 'user' THEN graph ELSE graph // 2 END AS ref FROM n WHERE graph >= 8), k AS (SELECT DISTINCT graph, ref FROM r), bad AS (SELECT graph FROM k WHERE graph = ref UNION SELECT k.graph FROM k JOIN bad ON k.ref = bad.graph) SELECT DISTINCT 'g' || graph AS graph FROM bad WHERE graph IN (SELECT graph FROM k)")
+def cyclic_references(spark, sf_dir):
+    """Graphs that refer to themselves, or to one that does, however far away."""
+    nodes, _ = turn_graph(spark, sf_dir)
+    ref = F.when((F.col("graph") % 10 == 0) & (F.col("role") == "user"), F.col("graph")).otherwise(F.expr("graph div 2"))
+    members = nodes.where("graph >= 8").select(F.concat(F.lit("g"), F.col("graph").cast("string")).alias("graph"), F.concat(F.lit("g"), ref.cast("string")).alias("ref"))
+    return graphs.reference_levels(members).where("level IS NULL").select("graph")
 
 
 # -- how tasks run, as tables ----------------------------------------------------------------------------------------
@@ -747,8 +808,9 @@ def _streamed(spark: SparkSession, sf_dir: str, made: Callable[[DataFrame], Data
     out = f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
     writer = made(spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")).writeStream
     writer = writer.trigger(availableNow=True).outputMode(mode).option("checkpointLocation", f"{out}/checkpoint")
-    writer.foreachBatch(lambda df, k: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/rows")).start().awaitTermination()
-    return spark.read.schema(made(events).schema).parquet(f"{out}/rows")
+    part = (lambda k: "all") if mode == "complete" else str  # a batch that is repeated after a failure replaces itself
+    writer.foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{out}/rows/batch={part(k)}")).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select(*made(events).columns)
 
 
 @query("""
@@ -761,5 +823,5 @@ def stream_status_counts(spark, sf_dir):
 
 @query("SELECT DISTINCT event_id, user_id, event_type FROM events")
 def stream_without_repeats(spark, sf_dir):
-    made = lambda df: task_events.without_repeats(df.union(df), ["event_id"], late="3650 days").select("event_id", "user_id", "event_type")
+    made = lambda df: task_events.without_repeats(df.union(df), ["event_id"], late="2 days").select("event_id", "user_id", "event_type")
     return _streamed(spark, sf_dir, made, "append")

@@ -73,6 +73,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return made
 
 
+def gathered(tables: list[DataFrame]) -> DataFrame:
+    """All rows of tables of one schema that ``written`` made, as one scan: plans don't grow with their number."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[_paths[t] for t in tables])
+
+
 def remove(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made and that no later action will read; other DataFrames are left alone."""
     for df in tables:

@@ -31,3 +31,8 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def delete_all(spark: SparkSession, path: str) -> None:
+    """Leave a Parquet table without rows, its columns as they are."""
+    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)

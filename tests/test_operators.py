@@ -8,9 +8,11 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from sparkloom.errors import CyclicGraph
 from sparkloom.functions import mime
 from sparkloom.functions import text as X
 from sparkloom.operators import dispatch, graphs, relational, runs
+from sparkloom.session import written
 from sparkloom.sources import files, mail
 from sparkloom.streaming import task_events
 
@@ -72,6 +74,57 @@ def test_cyclic_graphs_have_no_critical_path(spark):
     assert rows(graphs.cyclic_nodes(spark.createDataFrame([("r", n) for n in "abcd"], "graph string, name string"), edges(spark, ("a", "b"), ("b", "a"), ("b", "c"), key="graph"))) == [("r", "a"), ("r", "b"), ("r", "c")]
 
 
+def test_soft_edges_carry_no_order(spark):
+    made = task_runs(spark, ("a", 0, 5), ("b", 0, 1), ("c", 6, 7))
+    needs = edges(spark, ("a", "b"), ("b", "c")).withColumn("kind", F.when(F.col("src") == "a", "soft").otherwise("hard"))
+    (row,) = runs.critical_path(made, needs).collect()
+    assert (row["total"], row["path"]) == (5.0, ["a"])
+    nodes, own = runs.as_graph(made, needs)
+    assert rows(graphs.layers(nodes, own)) == [("r", "a", 0), ("r", "b", 0), ("r", "c", 1)]
+    assert rows(graphs.describe(nodes, own)) == [("r", 3, 1, 1, 2)]
+    assert dict(rows(runs.wait_times(made, needs).select("name", "wait"))) == {"a": 0.0, "b": 0.0, "c": 5.0}
+    assert [r["needs"] for r in runs.profile(made, needs).orderBy("name").collect()] == [[], [], ["b"]]
+    back = needs.union(edges(spark, ("c", "a")).withColumn("kind", F.lit("soft")))
+    assert rows(graphs.layers(nodes, runs.as_graph(made, back)[1]).where("layer IS NULL")) == []
+    assert rows(graphs.cyclic_nodes(nodes, runs.as_graph(made, back)[1])) == [("r", "a"), ("r", "b"), ("r", "c")]
+
+
+def test_deep_graphs_take_rounds_not_plans(spark):
+    n = 14
+    nodes = spark.createDataFrame([(g, f"n{k:02d}", float(k % 3)) for g in (1, 2) for k in range(n)], "graph int, name string, w double")
+    needs = spark.createDataFrame([(g, f"n{k:02d}", f"n{k + 1:02d}", "hard", 0) for g in (1, 2) for k in range(n - 1)] + [(2, "n05", "n05", "hard", 1)], "graph int, src string, dst string, kind string, pos int")
+    got = graphs.longest_paths(nodes, needs, "w")
+    assert rows(got.where("graph = 1").select("layer", "total")) == sorted([(k, float(sum(j % 3 for j in range(k + 1)))) for k in range(n)], key=repr)
+    assert got.where("graph = 2").count() == 5 and graphs.layers(nodes, needs).where("layer IS NULL").count() == n - 5
+    last = got.where("name = 'n13'").first()
+    assert last["path"] == [f"n{k:02d}" for k in range(n)]
+    statuses = nodes.select("graph", "name", F.when(F.col("name") == "n01", "failed").otherwise("success").alias("status"), (F.col("name") == "n09").alias("tolerant"))
+    skipped = dispatch.skip_propagation(statuses, needs)
+    assert skipped.where("status = 'skipped'").count() == 14 and skipped.where("status = 'success'").count() == 12
+    assert graphs.downstream(nodes.where("name = 'n10'"), needs).count() == 8
+
+
+def test_references_in_several_levels(spark):
+    """A chain of graphs that refer to each other, one task of another graph, own nodes after references, and circles."""
+    names = lambda g, *given: [(g, f"{g}_{x}", k) for k, x in enumerate(given)]
+    nodes = spark.createDataFrame(names("base", "a", "b") + names("tool", "x", "y", "z") + names("top", "one", "two"), "graph string, name string, pos int")
+    own = spark.createDataFrame([("base", "base_a", "base_b", "hard", 0), ("tool", "tool_x", "tool_y", "soft", 0)], "graph string, src string, dst string, kind string, pos int")
+    refs = spark.createDataFrame([("mid", 0, "base"), ("mid", 1, "tool"), ("top", 0, "mid"), ("top", 1, "tool.tool_y")], "graph string, pos int, ref string")
+    made, links = graphs.expand_references(refs, nodes, own)
+    order = lambda g: [r["name"] for r in made.where(F.col("graph") == g).orderBy("pos").collect()]
+    assert order("mid") == ["base_a", "base_b", "tool_x", "tool_y", "tool_z"]
+    assert order("top") == ["base_a", "base_b", "tool_x", "tool_y", "tool_z", "tool_y", "top_one", "top_two"]
+    pairs = lambda g: sorted((r["src"], r["dst"]) for r in links.where((F.col("graph") == g) & (F.col("kind") == "hard")).collect())
+    mid = [("base_a", "base_b"), ("base_b", "tool_x"), ("base_b", "tool_y"), ("base_b", "tool_z")]
+    assert pairs("mid") == mid
+    assert pairs("top") == sorted([*mid, ("tool_z", "tool_y"), ("tool_y", "top_one"), ("top_one", "top_two")])
+    circle = refs.union(spark.createDataFrame([("base", 0, "top")], refs.schema))
+    with pytest.raises(CyclicGraph) as e:
+        graphs.expand_references(circle, nodes, own)
+    assert set(e.value.path) == {"base", "mid", "top"}
+    assert rows(graphs.expand_references(refs.limit(0), nodes, own)[0]) == []
+
+
 def test_gantt_bars(spark):
     bars = runs.gantt(task_runs(spark, ("a", 0, 1), ("b", 2, 4)), edges(spark, ("a", "b"))).orderBy("name").collect()
     assert [(b["begin"], b["end"], b["left_pct"], b["width_pct"]) for b in bars] == [(0.0, 1.0, 0.0, 25.0), (2.0, 4.0, 50.0, 50.0)]
@@ -118,14 +171,14 @@ def test_lookup_takes_the_last_duplicate(spark):
 
 
 def test_search_wildcards_and_backslashes(spark):
-    df = spark.createDataFrame([("Important Meeting",), ("casual\\chat",), (None,), ("100%",)], "subject string")
+    df = spark.createDataFrame([("Harbour Ledger",), ("stone\\lamp",), (None,), ("100%",)], "subject string")
     found = lambda k: [r[0] for r in relational.search(df, k, ["subject"]).collect()]
-    assert found("meeting") == ["Important Meeting"] and found("l\\c") == ["casual\\chat"] and found("I_p%t") == ["Important Meeting"] and len(found("")) == 3
+    assert found("ledger") == ["Harbour Ledger"] and found("e\\l") == ["stone\\lamp"] and found("H_r%r") == ["Harbour Ledger"] and len(found("")) == 3
 
 
 def test_threads_upserts_and_imports(spark):
-    mails = spark.createDataFrame([(1, "Meeting Tomorrow", 1), (2, "Re: Meeting Tomorrow", 2), (3, "Different Topic", 3), (4, None, 4)], "id int, subject string, at int")
-    assert rows(relational.group_threads(mails, "subject", "id", "at").select("subject", "n")) == sorted([("Meeting Tomorrow", 2), ("Different Topic", 1), (relational.NO_SUBJECT, 1)])
+    mails = spark.createDataFrame([(1, "Night train", 1), (2, "Re: Night train", 2), (3, "Barley prices", 3), (4, None, 4)], "id int, subject string, at int")
+    assert rows(relational.group_threads(mails, "subject", "id", "at").select("subject", "n")) == sorted([("Night train", 2), ("Barley prices", 1), (relational.NO_SUBJECT, 1)])
     old = spark.createDataFrame([("p", "h1", 1)], "file_path string, file_hash string, at int")
     new = spark.createDataFrame([("p", "h2", 2), ("q", "h3", 2)], "file_path string, file_hash string, at int")
     assert rows(relational.upsert_latest(old, new, ["file_path"], "at")) == [("p", "h2", 2), ("q", "h3", 2)]
@@ -146,20 +199,26 @@ def applied(spark, fn, *texts):
 
 
 def test_subjects(spark):
-    got = applied(spark, X.normalize_subject, "Re: Fwd: Meeting", "FW: x ", "re:y", "Regarding: z", "", None)
-    assert got == ["Fwd: Meeting", "x", "y", "Regarding: z", "", None]
+    got = applied(spark, X.normalize_subject, "Re: Fwd: Kiln", "FW: x ", "re:y", "Regarding: z", "", None)
+    assert got == ["Fwd: Kiln", "x", "y", "Regarding: z", "", None]
 
 
 def test_versions(spark):
-    texts = ["1.2.3", "v0.9.10-rc.1+b", "1.2", "01.2.3", None]
-    assert applied(spark, lambda c: X.bump_version(c, "minor"), *texts) == ["1.3.0", "0.10.0", None, None, None]
+    texts = ["1.2.3", "v0.9.10-rc.1+b", "1.2", "01.2.3", None, "1.2.3-01", "1.2.3-a..b", "1.2.3-0a.-+01.b", "1.2.3+", "0.0.0-0"]
+    assert applied(spark, lambda c: X.bump_version(c, "minor"), *texts) == ["1.3.0", "0.10.0", None, None, None, None, None, "1.3.0", None, "0.1.0"]
+    long = ["1234567890123456789.2.3", "0.999999999999999999999999999999999999999999.1", "99.0.0"]
+    assert applied(spark, lambda c: X.bump_version(c, "major"), *long) == ["1234567890123456790.0.0", "1.0.0", "100.0.0"]
+    assert applied(spark, lambda c: X.bump_version(c, "minor"), *long)[1] == "0.1" + "0" * 42 + ".0"
+    assert applied(spark, lambda c: X.parse_version(c).getField("major").cast("string"), *long, "x") == ["1234567890123456789", "0", "99", None]
+    assert applied(spark, lambda c: X.bump_assignment(c, "patch"), 'version = "v1.2.3"', 'version = "1.2.3-01"') == ['version = "v1.2.3"', 'version = "1.2.3-01"']
     assert applied(spark, lambda c: X.bump_assignment(c, "patch"), 'version = "1.2.3"', "__version__ = '1.0.0'  # x", 'name = "1.2.3"', 'version = "x"') == ['version = "1.2.4"', "__version__ = '1.0.1'  # x", 'name = "1.2.3"', 'version = "x"']
 
 
 def test_names(spark):
     assert applied(spark, X.stem, "/a/b.c/d.tar.gz", "plain", ".hidden") == ["d.tar", "plain", ".hidden"]
     assert applied(spark, lambda c: X.set_level(c, 2), "report(PUB)", "report [CON](3)", "report") == ["report(INT)", "report (INT)", "report(INT)"]
-    assert applied(spark, lambda c: X.set_level(c, 0), "a(PUB)") == ["a"]
+    assert applied(spark, lambda c: X.set_level(c, 0), "a(PUB)", "a_(3)3_b", "_3_3_", "PUB)", "((PUB))") == ["a", "a_3_b", "3_", "PUB)", "()"]
+    assert applied(spark, X.title_case, "it's a1b2 o_x", "HELLO there", "élan ÉTÉ", "") == ["It'S A1B2 O_X", "Hello There", "Élan Été", ""]
     assert applied(spark, X.requirement_name, "a==1", " b == 2", "c>=1", "") == ["a", "b", None, None]
 
 
@@ -184,11 +243,11 @@ def test_mails_are_imported_once(spark, tmp_path):
     (tmp_path / "a.eml").write_bytes(PLAIN)
     (tmp_path / "sub" / "b.eml").write_bytes(PARTS)
     (tmp_path / "c.txt").write_bytes(b"no mail")
-    first = mail.import_mails(spark, str(tmp_path), mail.empty_archive(spark), F.lit(START)).localCheckpoint()
+    first = written(mail.import_mails(spark, str(tmp_path), mail.empty_archive(spark), F.lit(START)), "mails")
     assert first.count() == 2 and mail.list_view(first).columns == mail.LISTED
-    (tmp_path / "a.eml").write_bytes(PLAIN.replace(b"tail", b"Updated Subject"))
+    (tmp_path / "a.eml").write_bytes(PLAIN.replace(b"tail", b"second edition"))
     later = mail.import_mails(spark, str(tmp_path), first, F.lit(START + dt.timedelta(days=1)))
-    assert sorted(r["subject"] for r in later.collect()) == ["parts", "Äö Updated Subject"]
+    assert sorted(r["subject"] for r in later.collect()) == ["parts", "Äö second edition"]
     assert files.list_files(spark, str(tmp_path), "*.txt").count() == 1
     assert files.has_content(spark, str(tmp_path / "c.txt"), "no mail") and not files.has_content(spark, str(tmp_path / "c.txt"), "zz")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.errors import BindingError, CyclicGraph, DuplicateStep, MissingInput, StateError, StepFailed
 from sparkloom.operators import graphs
 from sparkloom.operators import runs as run_operators
-from sparkloom.plans.pipeline import Pipeline, Step, all_of, any_of, first_value, negate, non_empty, present, sql_step, step, template
+from sparkloom.plans.pipeline import Context, Defaults, Hooks, Pipeline, Retry, Step, all_of, any_of, first_value, negate, non_empty, present, sql_step, step, template
 from sparkloom.sources.state import SessionState, TableState
 
 
@@ -148,3 +148,86 @@ def test_merged_pipelines_rename_their_steps(spark):
     assert rows(p.plan(spark, "more_double")) == [(0,), (2,), (4,)]
     nodes, edges = p.tables(spark)
     assert rows(graphs.layers(nodes, edges).select("name", "layer")) == [("more_double", 1), ("more_numbers", 0), ("numbers", 0), ("squares", 1)]
+
+
+def test_retries_wait_and_look_at_the_error(spark):
+    tried = []
+
+    def flaky(spark):
+        tried.append(1)
+        if len(tried) < 3:
+            raise OSError("not there yet")
+        return spark.range(1)
+
+    report = Pipeline(Step("flaky", flaky, retry=Retry(5, delay=0.01, backoff=2.0, on=(OSError,)))).run(spark)
+    assert report.row("flaky")["attempts"] == 3 and report.row("flaky")["duration"] >= 0.03
+    tried.clear()
+    with pytest.raises(StepFailed):
+        Pipeline(Step("flaky", flaky, retry=Retry(5, on=(KeyError,)))).run(spark)
+    assert len(tried) == 1
+    assert [Retry(4, 0.5, 3.0).wait(n) for n in (1, 2, 3)] == [0.5, 1.5, 4.5] and 1 <= Retry(2, 1.0, jitter=2.0).wait(1) <= 3
+    for wrong in ({"attempts": 0}, {"delay": -1}, {"backoff": -0.1}, {"jitter": -2}):
+        with pytest.raises(ValueError):
+            Retry(**wrong)
+
+
+def test_defaults_fill_only_what_a_step_leaves_open(spark):
+    retry = Retry(2)
+    p = Pipeline(numbers, Step("own", lambda spark: spark.range(1), attempts=3), Step("plain", lambda spark: spark.range(1)), defaults=Defaults(retry=retry, tags=("all",), continue_on_error=True))
+    assert p.resolved("numbers").tags == ("in",) and p.resolved("plain").tags == ("all",)
+    assert p.resolved("own").tries.attempts == 3 and p.resolved("plain").tries is retry and p.resolved("own").continue_on_error
+    assert p.only("plain").resolved("plain").tags == ("all",)
+    assert p.run(spark).row("plain")["tags"] == ["all"]
+
+
+def test_hooks_and_events_come_once_each(spark):
+    seen, heard = [], []
+    hooks = Hooks(before=lambda s: seen.append(("before", s.name)), after=lambda s, value: seen.append((s.name, value.count())), failed=lambda s, e: seen.append((s.name, str(e))))
+    angry = Hooks(after=lambda s, value: 1 / 0)
+    steps = [
+        Step("good", lambda spark: spark.range(4), hooks=hooks), Step("bad", lambda spark: 1 / 0, hooks=hooks, attempts=2, continue_on_error=True),
+        Step("behind", lambda bad: bad, hooks=hooks), Step("calm", lambda spark: spark.range(1), hooks=angry),
+    ]
+    report = Pipeline(*steps).run(spark, listener=heard.append)
+    assert seen == [("before", "good"), ("good", 4), ("before", "bad"), ("bad", "division by zero")]
+    assert heard == report.events
+    got = sorted((e["name"], e["status"]) for e in heard)
+    assert got == [("bad", "failed"), ("bad", "running"), ("behind", "skipped"), ("calm", "running"), ("calm", "success"), ("good", "running"), ("good", "success")]
+    events = report.task_events(spark)
+    assert events.count() == 7 and events.where("status = 'failed' AND attempts = 2 AND error IS NOT NULL").count() == 1
+    assert report.with_status("failed", "skipped") == ["bad", "behind"] and "behind: skipped" in report.describe()
+    assert report.to_dict()["steps"]["bad"]["attempts"] == 2
+
+
+def test_a_context_has_all_needs(spark):
+    def both(ctx: Context, extra=1):
+        return ctx["numbers"].union(ctx["squares"].toDF("id")), sorted(ctx)
+
+    def rest(**given):
+        return sorted(given)
+
+    p = Pipeline(numbers, squares, Step("both", both, needs=("numbers", "squares")), Step("rest", rest, needs=("both",), soft=("numbers",)))
+    report = p.run(spark)
+    assert report["both"][0].count() == 10 and report["both"][1] == ["numbers", "squares"] and report["rest"] == ["both", "numbers"]
+    assert p.binding("both") == "both(ctx=<all needs>, extra=<default>)" and p.binding("rest") == "rest(**all needs)"
+    with pytest.raises(MissingInput):
+        Pipeline(Step("x", both, needs=("nowhere",)))
+
+
+def test_a_dry_run_tells_layers_bindings_and_plans(spark):
+    ran = []
+    late = Step("late", lambda total, numbers: ran.append(1) or total, soft=("numbers",))
+    p = Pipeline(numbers, squares, total, late, Step("fixed", lambda spark, n: spark.range(n), static={"n": 7}))
+    assert p.layers() == [["fixed", "numbers"], ["squares"], ["total"], ["late"]]
+    told = p.dry_run()
+    assert "5 steps in 4 layers" in told and "late(total=<hard total>, numbers=<soft numbers>)" in told and "fixed(spark=<session>, n=7)" in told
+    assert not ran and "Range" in p.dry_run(spark)
+
+
+def test_delete_all_keeps_the_columns(spark, tmp_path):
+    from sparkloom.sources.files import delete_all
+
+    spark.range(5).withColumn("x", F.lit("a")).write.parquet(f"{tmp_path}/t")
+    delete_all(spark, f"{tmp_path}/t")
+    left = spark.read.parquet(f"{tmp_path}/t")
+    assert left.columns == ["id", "x"] and left.count() == 0

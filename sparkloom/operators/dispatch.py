@@ -22,16 +22,19 @@ def skip_propagation(statuses: DataFrame, edges: DataFrame) -> DataFrame:
     A node whose hard need is skipped or failed is skipped itself, unless it is ``tolerant``; a cached need is met.
     Returns (graph, name, status, cause). Each round follows what the round before it has reached, and nothing else.
     """
-    needs = graphs.hard(edges)
+    stopped = F.col("status").isin("skipped", "failed")
     with scope() as keep:
+        needs = written(graphs.hard(edges).select("graph", "src", "dst"), "needs")
         start = written(statuses.select(*KEY, "status", F.coalesce("tolerant", F.lit(False)).alias("tolerant")), "statuses")
-        open_ = start.where(~F.col("status").isin("skipped", "failed") & ~F.col("tolerant")).select(KEY)
-        tables = [written(start.where(F.col("status").isin("skipped", "failed")).select(*KEY, F.lit(None).cast("string").alias("cause")), "skips")]
+        part = graphs.dealt(needs, start)
+        needs, start = part(needs), part(start)
+        open_ = start.where(~stopped & ~F.col("tolerant")).select(KEY)
+        tables = [written(start.where(stopped).select(*KEY, F.lit(None).cast("string").alias("cause")), "skips")]
         while not tables[-1].isEmpty():
-            front = tables[-1].select("graph", F.col("name").alias("src"))
+            front = part(tables[-1]).select("graph", F.col("name").alias("src"))
             found = needs.join(front, ["graph", "src"]).groupBy("graph", F.col("dst").alias("name")).agg(F.min("src").cast("string").alias("cause"))
-            tables.append(written(found.join(open_, KEY, "left_semi").join(gathered(tables), KEY, "left_anti"), "skips"))
-        hit = gathered(tables).where("cause IS NOT NULL")
+            tables.append(written(found.join(open_, KEY, "left_semi").join(part(gathered(tables)), KEY, "left_anti"), "skips"))
+        hit = part(gathered(tables)).where("cause IS NOT NULL")
         made = start.join(hit, KEY, "left").select(*KEY, F.when(F.col("cause").isNotNull(), "skipped").otherwise(F.col("status")).alias("status"), "cause")
         return keep(written(made, "skipped"))
 

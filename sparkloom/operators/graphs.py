@@ -8,6 +8,8 @@ folder, so plans don't grow with depth and what is done isn't touched again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,7 @@ from sparkloom.session import gathered, scope, written
 
 KEY = ["graph", "name"]
 ROUNDS = 3  # in one plan
+SMALL = 100_000  # rows that one task takes without a shuffle
 
 
 def edges_of(nodes: DataFrame, needs_col: str = "needs", kind: str = "hard") -> DataFrame:
@@ -46,6 +49,11 @@ def duplicate_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def dealt(*tables: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What puts a table into one part, if these written ones are small together: rounds over them then need no shuffle."""
+    return (lambda df: df.coalesce(1)) if sum(t.count() for t in tables) <= SMALL else (lambda df: df)
+
+
 def hard(edges: DataFrame) -> DataFrame:
     return edges.where("kind = 'hard'")
 
@@ -60,7 +68,10 @@ def _ordered(nodes: DataFrame, edges: DataFrame, weight: Column, paths: bool) ->
         needs = written(edges.select("graph", "src", "dst", "pos"), "needs")
         counts = needs.groupBy("graph", F.col("dst").alias("name")).agg(F.count("*").alias("open"))
         path = F.array("name") if paths else F.lit(None).cast("array<string>")
-        start = nodes.select(*KEY, weight.alias("weight")).groupBy(KEY).agg(F.max("weight").alias("weight")).join(counts, KEY, "left").withColumn("open", F.coalesce("open", F.lit(0)))
+        weighted = nodes.select(*KEY, weight.alias("weight")).groupBy(KEY).agg(F.max("weight").alias("weight"))
+        start = written(weighted.join(counts, KEY, "left").withColumn("open", F.coalesce("open", F.lit(0))), "nodes")
+        part = dealt(needs, start)
+        needs, start = part(needs), part(start)
         ready = F.col("open") == 0
         best = F.lit(None).cast("struct<total: double, pos: int, src: string, path: array<string>>")
         held = start.select(*KEY, "weight", "open", best.alias("best"), F.when(ready, 0).alias("layer"), F.when(ready, F.col("weight")).alias("total"), F.when(ready, path).alias("path"))
@@ -83,7 +94,7 @@ def _ordered(nodes: DataFrame, edges: DataFrame, weight: Column, paths: bool) ->
             last = made.where(F.col("layer") == layer)
             if last.isEmpty():
                 break
-            held, first = made.drop("first").where(F.col("layer").isNull() | (F.col("layer") == layer)), layer + 1
+            held, first = part(made).drop("first").where(F.col("layer").isNull() | (F.col("layer") == layer)), layer + 1
         whole = gathered(tables)
         done = whole.where("layer >= first").select(*KEY, "layer", "total", "path")
         rest = tables[-1].where("layer IS NULL").select(*KEY, "layer", "total", "path")
@@ -205,10 +216,13 @@ def expand_references(members: DataFrame, nodes: DataFrame, edges: DataFrame) ->
 def downstream(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph, name) of everything that can be reached from ``seeds`` along edges of any kind, the seeds included."""
     with scope() as keep:
+        needs = written(edges.select("graph", "src", "dst"), "needs")
         tables = [keep(written(seeds.select(KEY).distinct(), "reach"))]
+        part = dealt(needs, tables[0])
         while not tables[-1].isEmpty():
-            nexts = edges.join(tables[-1].withColumnRenamed("name", "src"), ["graph", "src"]).select("graph", F.col("dst").alias("name")).distinct()
-            tables.append(keep(written(nexts.join(gathered(tables), KEY, "left_anti"), "reach")))
+            front = part(tables[-1]).withColumnRenamed("name", "src")
+            nexts = part(needs).join(front, ["graph", "src"]).select("graph", F.col("dst").alias("name")).distinct()
+            tables.append(keep(written(nexts.join(part(gathered(tables)), KEY, "left_anti"), "reach")))
         return gathered(tables)
 
 

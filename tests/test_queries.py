@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import subprocess
 import sys
 
@@ -13,6 +14,7 @@ from conftest import ROOT
 
 from sparkloom.plans import queries as own
 
+HAS_LLM = os.path.exists(f"{ROOT}/sparkloom/llm/__init__.py")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -61,6 +63,11 @@ def test_entry_without_the_llm_folders():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
 
 
+def test_entry_with_a_broken_llm_folder_fails():
+    code = "import sys; sys.modules['numpy'] = None; import __spark_entry__"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, timeout=120).returncode or not HAS_LLM
+
+
 def test_plans_push_down_and_stay_in_the_jvm(spark, sf):
     plan = own.etl_enrich(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(c_acctbal), GreaterThanOrEqual(c_acctbal,0.0)" in plan and "c_mktsegment" not in plan

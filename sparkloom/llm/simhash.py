@@ -22,28 +22,37 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import field, map_texts, written
+from sparkloom.llm._common import field, map_texts, remove, scope, written
 
 SEED = 42
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = SEED) -> int:
-    """The 64-bit fingerprint of one text, unsigned."""
+def shingle_hashes(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
+    """The hashes of a text's shingles in order, repeats included."""
     found = (text or "").encode().lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     first = [0, *(ends[:-1] + 1).tolist()]
     last = ends.tolist()[min(words, len(found)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(first, last)), np.uint64, len(last))
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(first, last)), np.uint64, len(last))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The word whose bits are set in more than half of the hashes; 0 for none."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int((np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64))[0])
 
 
+def fingerprint(text: str | None, words: int = 3, seed: int = SEED) -> int:
+    """The 64-bit fingerprint of one text, unsigned."""
+    return majority(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = SEED) -> DataFrame:
     """Return id and ``fp`` (the fingerprint's 64 bits as a signed long), one row for each row of ``docs``."""
 
@@ -69,12 +78,15 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return chained.where(F.col("a").isNotNull() & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).distinct()
 
 
+SMALL = 100_000  # edges that one task takes without a shuffle
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Return (node, root) for every node of ``edges(a, b)``: root is the smallest node that can be reached.
 
     Alternates large-star and small-star steps (each a group-by and a join over the edges left) until nothing moves.
     Every round is written to the shared folder, so a lost executor repeats one round at most, and nothing but two sums
-    reaches the driver.
+    reaches the driver. A round over no more than ``SMALL`` edges is one task: its shuffles would cost more than they deal out.
     """
     edges, before = written(edges, "links"), None
     while True:
@@ -82,13 +94,17 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(state) == before or not state[0]:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())
         before = tuple(state)
-        both = edges.union(edges.select("b", "a")).toDF("u", "v")
+        dealt = (lambda df: df.coalesce(1)) if state[0] <= SMALL else (lambda df: df)
+        ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")
+        both = dealt(edges).select(ends).select("e.*")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
         large = both.join(low, "u").where("v > u").select(F.col("low").alias("a"), F.col("v").alias("b"))
-        large = large.union(low.where("low < u").select("low", "u")).where("a < b").distinct()
+        large = dealt(large.union(low.where("low < u").select("low", "u"))).where("a < b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("low"))
         small = large.join(low, "b").where("a > low").select(F.col("low").alias("a"), F.col("a").alias("b"))
-        edges = written(small.union(low.select("low", "b")).distinct(), "links")
+        after = written(dealt(small.union(low.select("low", "b"))).distinct(), "links")
+        remove(edges)
+        edges = after
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, seed: int = SEED) -> DataFrame:
@@ -97,9 +113,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Components are found among fingerprints and named by their smallest id afterwards. A null id is never the smallest;
     a component has a null name only if all of its ids are null.
     """
-    rows = written(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed).toDF("id", "fp"), "fingerprints")
-    groups = rows.groupBy("fp").agg(F.min("id").alias("low"))
-    rooted = groups.join(components(links(groups.select("fp"), radius)).withColumnRenamed("node", "fp"), "fp", "left")
-    lowest = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("lowest"))
-    named = rooted.join(lowest, "root", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
+    with scope() as keep:
+        rows = keep(written(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed).toDF("id", "fp"), "fingerprints"))
+        groups = rows.groupBy("fp").agg(F.min("id").alias("low"))
+        rooted = groups.join(components(links(groups.select("fp"), radius)).withColumnRenamed("node", "fp"), "fp", "left")
+        lowest = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("lowest"))
+        named = keep(written(rooted.join(lowest, "root", "left").select("fp", F.coalesce("lowest", "low").alias("component_id")), "named"))
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,20 +1,24 @@
 """Media columns: baseline JPEG parsed and Huffman-decoded in numpy, down to DC-only luminance thumbnails.
 
-``decode_jpeg`` reads any column of baseline (sequential, 8-bit, Huffman) JPEG streams. Only DC coefficients are kept;
-AC codes are walked over. A value holds one stream or several one after another (a motion JPEG); the thumbnails of
-several are stacked in order. Null, empty, truncated or other data (progressive, arithmetic) gives null features and
-``ok`` false, never an error. Restart intervals are independent, so all intervals of a run of values are decoded at
-once, one numpy step for each block of an interval.
+``decode_jpeg`` reads any column of baseline (sequential, 8-bit, Huffman) JPEG streams. Only DC coefficients of the
+luminance are kept; AC codes are walked over, and scans of other components passed by. A value holds one stream or
+several one after another (a motion JPEG); the thumbnails of several are stacked in order. Bytes after the last image
+that begin no other are left alone. Null, empty, damaged or other data (progressive, arithmetic) gives null features and
+``ok`` false, never an error; a header that claims more blocks than its scan has room for is damage, so memory follows
+the bytes that are there. Restart intervals are independent, so all intervals of a run of images are decoded at once, one
+numpy step for each block of an interval; an image without restart markers is a single one.
 
 ``encode_jpeg`` stores bytes as the DC coefficients of grey images of 24 blocks a row, a restart interval for each row,
 with all quantisers 8: the mean grey level of a block, which is what a DC-only thumbnail shows, is then the byte itself,
-and the round trip is exact. Null text counts as empty. Payloads above 195,840 bytes become several streams.
+and the round trip is exact. Null text counts as empty. Payloads above 195,840 bytes become several streams. Equal texts
+have equal streams; repeated rows are encoded each for itself. Both directions work on about a megabyte at a time.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,20 +26,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm._common import field, id_field, map_texts, text_chunks
+from sparkloom.llm._common import carried, field, id_field, map_texts, small_batches, text_chunks
 
 BLOCKS = 24  # in a row of an encoded image
 UNIT = BLOCKS * BLOCKS  # payloads are padded to a multiple of this many bytes
 ROWS = 340 * BLOCKS  # most rows in an image: 8 x 8160 lines fit in the 16 bits of its height
 PAD = 255
+AT_ONCE = 1 << 20  # bytes of images that are encoded or decoded together
 
 # Code lengths of the luminance DC table in the JPEG standard (Annex K.3), categories 0 to 11 in order.
 DC_LENGTHS = (2, 3, 3, 3, 3, 3, 4, 5, 6, 7, 8, 9)
 
 
+class NotBaseline(ValueError):
+    """The data isn't a baseline JPEG stream."""
+
+
 def canonical(counts: bytes, values: bytes) -> list[tuple[int, int, int]]:
     """(code, length, symbol) of a Huffman table from its DHT fields."""
     out, code, at = [], 0, 0
+    if len(counts) != 16 or len(values) != sum(counts):
+        raise NotBaseline("a table lacks values")
     for length in range(1, 17):
         for _ in range(counts[length - 1]):
             out.append((code, length, values[at]))
@@ -68,8 +79,29 @@ def _header(rows: int) -> bytes:
     ))
 
 
+def runs(sizes: list[int], most: int = AT_ONCE) -> Iterator[slice]:
+    """Stretches of a list with about ``most`` bytes, or of one entry."""
+    begin = held = 0
+    for i, n in enumerate(sizes):
+        if i > begin and held + n > most:
+            yield slice(begin, i)
+            begin, held = i, 0
+        held += n
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
+
+
 def encode_payloads(payloads: list[bytes]) -> list[bytes]:
-    """JPEG streams of payloads whose lengths are multiples of ``UNIT``."""
+    """JPEG streams of payloads whose lengths are multiples of ``UNIT``: one image for each ``ROWS`` rows."""
+    images = [(n, p[k : k + ROWS * BLOCKS]) for n, p in enumerate(payloads) for k in range(0, len(p), ROWS * BLOCKS)]
+    made: list[list[bytes]] = [[] for _ in payloads]
+    for run in runs([len(x) for _, x in images]):
+        for (n, _), stream in zip(images[run], _encode_images([x for _, x in images[run]])):
+            made[n].append(stream)
+    return [b"".join(x) for x in made]
+
+
+def _encode_images(payloads: list[bytes]) -> list[bytes]:
     levels = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int32).reshape(-1, BLOCKS) - 128
     diff = levels.copy()
     diff[:, 1:] -= levels[:, :-1]
@@ -96,24 +128,13 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     out[to] = made
     out[row_end] = 255
 
-    images: list[list[int]] = []  # rows of each image, by payload
-    for p in payloads:
-        rows = len(p) // BLOCKS
-        images.append([min(ROWS, rows - k) for k in range(0, rows, ROWS)])
-    flat = np.array([n for x in images for n in x])
-    image_end = np.cumsum(flat)
-    out[row_end + 1] = 0xD0 + (np.arange(len(row_end)) - np.repeat(image_end - flat, flat)) % 8
+    rows = np.array([len(p) // BLOCKS for p in payloads])
+    image_end = np.cumsum(rows)
+    out[row_end + 1] = 0xD0 + (np.arange(len(row_end)) - np.repeat(image_end - rows, rows)) % 8
     out[row_end[image_end - 1] + 1] = 0xD9
     cuts = [0, *(row_end[image_end - 1] + 2).tolist()]
-    scans, made_of, k = out.tobytes(), [], 0
-    for x in images:
-        made_of.append(b"".join(_header(n) + scans[cuts[k + i] : cuts[k + i + 1]] for i, n in enumerate(x)))
-        k += len(x)
-    return made_of
-
-
-class NotBaseline(ValueError):
-    """The data isn't a baseline JPEG stream."""
+    scans = out.tobytes()
+    return [_header(n) + scans[a:b] for n, a, b in zip(rows.tolist(), cuts, cuts[1:])]
 
 
 @functools.lru_cache(maxsize=64)
@@ -125,29 +146,65 @@ def _lookup(table: bytes) -> np.ndarray:
     return out
 
 
-def _scan_end(data: np.ndarray, begin: int) -> tuple[int, np.ndarray]:
-    """Where the scan that begins here ends, and the places of its restart markers."""
-    ff = np.flatnonzero(data[begin:-1] == 255) + begin
-    after = data[ff + 1]
-    restart = (after & 0xF8) == 0xD0
-    other = np.flatnonzero(~restart & (after != 0) & (after != 255))
-    if not len(other):
-        raise NotBaseline("the scan has no end")
-    return int(ff[other[0]]), ff[: other[0]][restart[: other[0]]]
+class Stream:
+    """A value's bytes and where its markers may be: an 0xFF before anything but a zero or another 0xFF."""
+
+    def __init__(self, raw: bytes) -> None:
+        self.raw, self.data = raw, np.frombuffer(raw, np.uint8)
+        after = self.data[1:]
+        self.marks = np.flatnonzero((self.data[:-1] == 255) & (after != 0) & (after != 255))
+        self.restart = (self.data[self.marks + 1] & 0xF8) == 0xD0
+        self.others = self.marks[~self.restart]
+
+    def scan_end(self, begin: int) -> tuple[int, np.ndarray]:
+        """Where the scan that begins here ends, and the places of its restart markers."""
+        k = int(np.searchsorted(self.others, begin))
+        if k == len(self.others):
+            raise NotBaseline("the scan has no end")
+        a, b = np.searchsorted(self.marks, [begin, self.others[k]])
+        return int(self.others[k]), self.marks[a:b]
+
+
+def _scan(body: bytes, frame: dict, quant: dict, tables: dict, interval: int) -> dict | None:
+    """What the scan of this header needs to be decoded, its place apart; None if the luminance isn't in it."""
+    used = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
+    inside = [p for p in frame["parts"] if p[0] in used]
+    if len(inside) != body[0]:
+        raise NotBaseline("a scan of unknown components")
+    first, (wide, high) = frame["parts"][0], frame["scale"]
+    if first not in inside:
+        return None
+    columns, rows = -(-frame["width"] * first[1] // (8 * wide)), -(-frame["height"] * first[2] // (8 * high))
+    if len(inside) == 1:
+        inside, across, down = [(first[0], 1, 1, first[3])], columns, rows
+    else:
+        across, down = -(-frame["width"] // (8 * wide)), -(-frame["height"] // (8 * high))
+    order = [(i, used[p[0]]) for i, p in enumerate(inside) for _ in range(p[1] * p[2])]
+    return {
+        "interval": interval, "across": across, "down": down, "columns": columns, "rows": rows, "unit": inside[0][1:3], "quant": quant[first[3]],
+        "order": [(i, tables[t >> 4], tables[0x10 | t & 15]) for i, t in order], "width": frame["width"], "height": frame["height"],
+    }
 
 
-def parse(stream: bytes, begin: int) -> tuple[dict, int]:
-    """Read the markers of one image from ``begin``; returns what its scan needs, and where the image ends."""
-    if stream[begin : begin + 2] != b"\xff\xd8":
+def parse(stream: Stream, begin: int) -> tuple[dict, int]:
+    """Read the markers of one image from ``begin``; returns what its luminance scan needs, and where the image ends."""
+    raw = stream.raw
+    if raw[begin : begin + 2] != b"\xff\xd8":
         raise NotBaseline("no start of image")
-    at, quant, tables, image = begin + 2, {}, {}, {"interval": 0}
+    at, quant, tables, interval = begin + 2, {}, {}, 0
+    frame = found = None
     while True:
-        while stream[at : at + 2] == b"\xff\xff":
+        while raw[at : at + 2] == b"\xff\xff":
             at += 1
-        if len(stream) < at + 4 or stream[at] != 255:
+        if len(raw) < at + 2 or raw[at] != 255:
             raise NotBaseline("a marker is missing")
-        kind, size = stream[at + 1], int.from_bytes(stream[at + 2 : at + 4], "big")
-        body = stream[at + 4 : at + 2 + size]
+        kind = raw[at + 1]
+        if kind == 0xD9:
+            if found is None:
+                raise NotBaseline("no luminance")
+            return found, at + 2
+        size = int.from_bytes(raw[at + 2 : at + 4], "big")
+        body = raw[at + 4 : at + 2 + size]
         if size < 2 or len(body) != size - 2:
             raise NotBaseline("a segment is cut off")
         at += 2 + size
@@ -164,30 +221,25 @@ def parse(stream: bytes, begin: int) -> tuple[dict, int]:
                 tables[body[k]] = bytes(body[k + 1 : k + 17 + n])
                 k += 17 + n
         elif kind == 0xDD:
-            image["interval"] = int.from_bytes(body, "big")
-        elif kind == 0xC0 and body[0] == 8:
-            image["height"], image["width"] = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
-            image["parts"] = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
+            interval = int.from_bytes(body, "big")
+        elif kind == 0xC0 and body[0] == 8 and frame is None:
+            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
+            frame = {"height": int.from_bytes(body[1:3], "big"), "width": int.from_bytes(body[3:5], "big"), "parts": parts}
+            if not parts or not frame["width"] or not frame["height"] or any(not (1 <= p[1] <= 4 and 1 <= p[2] <= 4) for p in parts):
+                raise NotBaseline("no frame")
+            frame["scale"] = max(p[1] for p in parts), max(p[2] for p in parts)
         elif 0xC0 <= kind <= 0xCF and kind != 0xCC:
             raise NotBaseline("another coding process")
         elif kind == 0xDA:
-            break
-    parts, used = image.get("parts"), {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
-    if not parts or not image["width"] or not image["height"] or len(used) != len(parts):
-        raise NotBaseline("no frame, or components in scans of their own")
-    if len(parts) == 1:
-        parts = [(parts[0][0], 1, 1, parts[0][3])]
-    wide, high = max(p[1] for p in parts), max(p[2] for p in parts)
-    across, down = -(-image["width"] // (8 * wide)), -(-image["height"] // (8 * high))
-    order = [(i, used[p[0]]) for i, p in enumerate(parts) for _ in range(p[1] * p[2])]
-    end, restarts = _scan_end(np.frombuffer(stream, np.uint8), at)
-    if stream[end + 1] != 0xD9:
-        raise NotBaseline("more than one scan")
-    image |= {
-        "begin": at, "end": end, "restarts": restarts, "across": across, "down": down, "first": parts[0], "scale": (wide, high), "quant": quant[parts[0][3]],
-        "order": [(i, tables[t >> 4], tables[0x10 | t & 15]) for i, t in order],
-    }
-    return image, end + 2
+            if frame is None:
+                raise NotBaseline("no frame")
+            end, restarts = stream.scan_end(at)
+            scan = _scan(body, frame, quant, tables, interval)
+            if scan is not None and found is None:
+                if scan["across"] * scan["down"] * len(scan["order"]) > 4 * (end - at):  # a block has two bits at least
+                    raise NotBaseline("more blocks than bits")
+                found = scan | {"begin": at, "end": end, "restarts": restarts}
+            at = end
 
 
 def _decode_blocks(images: list[tuple[np.ndarray, dict]]) -> list[np.ndarray]:
@@ -224,7 +276,8 @@ def _decode_blocks(images: list[tuple[np.ndarray, dict]]) -> list[np.ndarray]:
     lut = np.concatenate([_lookup(t) for t in tables])
     lanes = np.argsort(-count, kind="stable")
     at_bit, sizes, table_of, step_of = 8 * first[lanes], count[lanes], patterns[own[lanes]], steps[own[lanes]]
-    diff = np.zeros((int(sizes[0]), len(lanes)), np.int32)
+    place = np.cumsum(count) - count  # of each lane's blocks among all
+    diff, to = np.zeros(int(count.sum()), np.int32), place[lanes]
     one, plain = np.int64(1), len(tables) == 2 and (steps == 1).all()
 
     def symbol(window: np.ndarray, used: np.ndarray, table: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +285,7 @@ def _decode_blocks(images: list[tuple[np.ndarray, dict]]) -> list[np.ndarray]:
         return found >> 8, found & 255
 
     lost = False
-    for t in range(len(diff)):
+    for t in range(int(sizes[0])):
         n = int(np.searchsorted(-sizes, -t, side="left"))
         bit = at_bit[:n]
         if (bit >= limit).any():
@@ -247,7 +300,7 @@ def _decode_blocks(images: list[tuple[np.ndarray, dict]]) -> list[np.ndarray]:
         lost |= bool((length == 0).any() or (size > 11).any())
         used = used + length + size
         extra = (window >> (64 - used).astype(np.uint64)).astype(np.int64) & ((one << size) - 1)
-        diff[t, :n] = np.where((size > 0) & (extra < (one << size >> 1)), extra - (one << size) + 1, extra)
+        diff[to[:n] + t] = np.where((size > 0) & (extra < (one << size >> 1)), extra - (one << size) + 1, extra)
         length, code = symbol(window, used, ac)
         lost |= bool((length == 0).any())
         bit = (bit & ~7) + used
@@ -267,75 +320,73 @@ def _decode_blocks(images: list[tuple[np.ndarray, dict]]) -> list[np.ndarray]:
         at_bit[:n] = done
         if lost:
             raise NotBaseline("a code isn't in the table")
-    out = []
-    back = np.empty(len(lanes), np.int64)
-    back[lanes] = np.arange(len(lanes))
-    begin = 0
+    out, begin = [], 0
     for n, (_, x) in enumerate(images):
-        lane = back[begin : begin + len(blocks[n])]
-        begin += len(lane)
         order = [part for part, _, _ in x["order"]]
-        own_first = [k for k, part in enumerate(order) if part == 0]
-        got = []
-        by_lane = diff[:, lane]
-        for j, total in enumerate(blocks[n].tolist()) if len(order) > 1 else ():
-            values = by_lane[:total, j].reshape(-1, len(order))[:, own_first]
-            got.append(np.cumsum(values.ravel()).reshape(values.shape))
-        if len(order) == 1:
-            whole = np.cumsum(by_lane, axis=0).T
-            got = [whole.ravel()[: int(blocks[n].sum())].reshape(-1, 1)]
-        out.append(np.concatenate(got))
+        ends = np.cumsum(blocks[n])
+        values = diff[begin : begin + int(ends[-1])].astype(np.int64)
+        begin += len(values)
+        # Differences begin anew with each interval; only those of the luminance are summed.
+        own_first = np.tile(np.array(order) == 0, len(values) // len(order))
+        kept = np.cumsum(values[own_first])
+        starts = (ends - blocks[n]) // len(order) * order.count(0)
+        base = np.concatenate(([0], kept))[starts]
+        out.append((kept - np.repeat(base, blocks[n] // len(order) * order.count(0))).reshape(-1, order.count(0)))
     return out
 
 
+_DAMAGE = (NotBaseline, LookupError, ArithmeticError, ValueError)
+
+
 def thumbnails(streams: list[bytes | None]) -> list[tuple[int, int, int, np.ndarray] | None]:
     """(width, height, images, thumbnail) of each value: one grey level for each 8 x 8 block; None if it can't be read."""
     found: list[tuple[int, np.ndarray, dict]] = []
     bad: set[int] = set()
-    for n, stream in enumerate(streams):
-        if not stream:
-            bad.add(n)
-            continue
-        data, at, own = np.frombuffer(stream, np.uint8), 0, []
+    for n, raw in enumerate(streams):
+        own, at = [], 0
         try:
-            while at < len(stream):
+            stream = Stream(raw or b"")
+            while not own or raw[at : at + 2] == b"\xff\xd8":
                 image, at = parse(stream, at)
-                own.append((n, data, image))
+                own.append((n, stream.data, image))
             found += own
-        except (NotBaseline, IndexError, KeyError):
+        except _DAMAGE:
             bad.add(n)
-    grids: dict[int, list[np.ndarray]] = {}
-    sizes: dict[int, tuple[int, int]] = {}
+    grids: dict[int, list[np.ndarray]] = defaultdict(list)
+    sizes: dict[int, list[tuple[int, int]]] = defaultdict(list)
 
-    def decode(group: list[tuple[int, np.ndarray, dict]]) -> None:
-        for (n, _, x), dc in zip(group, _decode_blocks([y[1:] for y in group]), strict=True):
-            _, wide, high, _ = x["first"]
+    def decode(group: list[tuple[int, np.ndarray, dict]]) -> list[np.ndarray]:
+        made = []
+        for (_, _, x), dc in zip(group, _decode_blocks([y[1:] for y in group]), strict=True):
+            wide, high = x["unit"]
             grid = dc.reshape(x["down"], x["across"], high, wide).transpose(0, 2, 1, 3).reshape(x["down"] * high, x["across"] * wide)
-            rows, columns = -(-x["height"] * high // (8 * x["scale"][1])), -(-x["width"] * wide // (8 * x["scale"][0]))
-            level = (grid[:rows, :columns].astype(np.int64) * x["quant"] + 4 >> 3) + 128
-            grids.setdefault(n, []).append(np.clip(level, 0, 255).astype(np.uint8))
-            width, height = sizes.get(n, (0, 0))
-            sizes[n] = max(width, x["width"]), height + x["height"]
-
-    try:
-        if found:
-            decode(found)
-    except NotBaseline:  # find out which of them it is
-        grids.clear()
-        sizes.clear()
-        for n in sorted({x[0] for x in found}):
-            try:
-                decode([x for x in found if x[0] == n])
-            except NotBaseline:
-                bad.add(n)
+            level = (grid[: x["rows"], : x["columns"]] * x["quant"] + 4 >> 3) + 128
+            made.append(np.clip(level, 0, 255).astype(np.uint8))
+        return made
+
+    for run in runs([x["end"] - x["begin"] for _, _, x in found]):
+        group = found[run]
+        try:
+            made = decode(group)
+        except _DAMAGE:  # find out which of them it is
+            made = []
+            for x in group:
+                try:
+                    made.append((x, decode([x])[0]))
+                except _DAMAGE:
+                    bad.add(x[0])
+            group, made = [x for x, _ in made], [y for _, y in made]
+        for (n, _, x), grid in zip(group, made, strict=True):
+            grids[n].append(grid)
+            sizes[n].append((x["width"], x["height"]))
     out: list[tuple[int, int, int, np.ndarray] | None] = []
     for n in range(len(streams)):
         if n in bad:
             out.append(None)
             continue
-        own = grids[n]
-        columns = max(g.shape[1] for g in own)
-        out.append((*sizes[n], len(own), np.concatenate([np.pad(g, ((0, 0), (0, columns - g.shape[1]))) for g in own]) if len(own) > 1 else own[0]))
+        own, columns = grids[n], max(g.shape[1] for g in grids[n])
+        grid = np.concatenate([np.pad(g, ((0, 0), (0, columns - g.shape[1]))) for g in own]) if len(own) > 1 else own[0]
+        out.append((max(w for w, _ in sizes[n]), sum(h for _, h in sizes[n]), len(own), grid))
     return out
 
 
@@ -366,9 +417,11 @@ def encode_jpeg(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return map_texts(docs, id_col, text_col, [field("n_bytes", "bigint"), field("media", "binary")], make, batch_bytes)
 
 
-def decode_jpeg(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = (), batch_bytes: int = 1 << 18) -> DataFrame:
+def decode_jpeg(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media", keep: Sequence[str] = (), batch_bytes: int = 1 << 18) -> DataFrame:
     """Return id, the columns in ``keep``, ok, width, height, images, thumbnail and thumbnail_hash for each row."""
     fields = [field("ok", "boolean"), field("width", "int"), field("height", "int"), field("images", "int"), field("thumbnail", "binary"), field("thumbnail_hash", "string")]
+    small_batches(media.sparkSession)
+    keep = carried(keep, [id_col, *(f.name for f in fields)])
     kept = [T.StructField(c, media.schema[c].dataType, True) for c in keep]
     schema = T.StructType([id_field(media, id_col, id_col), *kept, *fields])
 

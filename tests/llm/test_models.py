@@ -90,6 +90,35 @@ def test_later_models_get_earlier_probabilities(spark):
     assert got.where("is_rude <> (rude = 1)").isEmpty()
 
 
+def test_newton_steps_find_the_least_loss():
+    rng = np.random.default_rng(5)
+    lists = [np.flatnonzero(rng.random(30) < 0.2) for _ in range(400)]
+    dense = np.hstack([rng.random((400, 2)), np.ones((400, 1))])
+    y = np.array([float(3 in x) if rng.random() < 0.9 else 1.0 for x in lists])
+    rows_ = toxicity._Rows(lists, 30, dense)
+    full = np.zeros((400, 30))
+    for i, x in enumerate(lists):
+        full[i, x] = 1
+    full = np.hstack([full, dense])
+    w = rng.random(33)
+    assert np.allclose(rows_.times(w), full @ w) and np.allclose(rows_.back(y), full.T @ y)
+    made = toxicity._train(rows_, y, np.ones(400, bool))
+    gradient = full.T @ (1 / (1 + np.exp(-full @ made)) - y)
+    gradient[:-1] += 1.0 * made[:-1]
+    assert np.abs(gradient).max() < 0.05
+
+
+def test_categories_may_have_any_names_and_ids_may_repeat(spark, docs):
+    some = docs.limit(60).select("doc_id", "text")
+    twice = some.union(some.withColumn("text", F.concat("text", F.lit(" ~")))).withColumns({"n": F.lit(1), "words": F.lit("x")})
+    labels = some.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("n"), (F.col("doc_id") % 3 == 0).cast("int").alias("words"))
+    chains = [toxicity.fit(d, labels, ("n", "words")) for d in (twice, twice.repartition(3), some)]
+    assert chains[0].categories == ("n", "words")
+    assert all(np.array_equal(chains[0].hashes, c.hashes) and np.allclose(chains[0].weights[1], c.weights[1]) for c in chains[1:])
+    got = toxicity.score(twice, chains[0])
+    assert got.columns == ["doc_id", "p_n", "is_n", "p_words", "is_words"] and got.count() == 120
+
+
 def test_odd_tables(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     chain = toxicity.fit(docs, labels, ("toxic",))
@@ -99,3 +128,29 @@ def test_odd_tables(spark, docs):
     odd = spark.createDataFrame([(1, None, 1), (1, "", 2), (None, "word " * 100_000, 3)], "doc_id long, text string, p_toxic int")
     assert toxicity.score(odd, chain).count() == 3
     assert rows(toxicity.score(odd.limit(0), chain)) == []
+
+
+def test_the_query_equals_brute_force(spark, sf):
+    """Every document scored by itself: sets of words and beginnings, three shares, one model after the other."""
+    from sparkloom.llm import words as W
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.fit(docs, labels, ("quality", "toxic"))
+    got = {r["doc_id"]: r for r in queries.op8_toxicity(spark, sf).collect()}
+    assert len(got) == docs.count()
+    for r in docs.collect():
+        text = r["text"] or ""
+        own = W.split([text])
+        words = [own.bytes(k) for k in range(len(own.begin))]
+        long = [k for k, w in enumerate(words) if len(w) > toxicity.BEGINNING]
+        assert W.beginnings(own, toxicity.BEGINNING)[0].tolist() == long
+        terms = set(own.hash.tolist()) | set(W.beginnings(own, toxicity.BEGINNING)[1].tolist())
+        has = [float(h in terms) for h in chain.hashes.tolist()]
+        letters = [c for c in text if c.isascii() and c.isalpha()]
+        signs = sum(33 <= ord(c) < 127 and not c.isalnum() for c in text)
+        dense = [sum(c.isupper() for c in letters) / max(1, len(letters)), signs / max(1, len(text.encode())), 1 - len(set(words)) / max(1, len(words))]
+        for c, w in zip(("quality", "toxic"), chain.weights):
+            p = 1 / (1 + np.exp(-float(np.dot(has + dense + [1.0], w))))
+            assert abs(got[r["doc_id"]][f"p_{c}"] - p) < 1e-6
+            dense.append(p)
+        assert got[r["doc_id"]]["toxic_pred"] == (dense[-1] >= chain.cuts[1])

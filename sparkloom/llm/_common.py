@@ -58,7 +58,7 @@ def map_texts(
     text_col: str,
     fields: list[T.StructField],
     make: Callable[[], Callable[[list[str | None]], dict]],
-    max_bytes: int = 1 << 20,
+    max_bytes: int = 1 << 18,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """Apply a function to runs of texts on the executors, through Arrow.
@@ -82,6 +82,7 @@ def map_texts(
             if "row" in columns:
                 rows = rows.take(pa.array(columns["row"], pa.int64()))
             yield pa.RecordBatch.from_arrays([rows.column(0), *(to_arrow(columns[f.name], f.dataType) for f in fields), *(rows.column(place[c]) for c in carry)], names=names)
+        pa.default_memory_pool().release_unused()  # the worker lives on and may have nothing to do with Arrow next
 
     return keyed_text(docs, id_col, text_col, own).mapInArrow(apply, schema)
 

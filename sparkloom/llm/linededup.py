@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm._common import field, id_field, keyed_text, map_texts, text_chunks, written
+from sparkloom.llm._common import carried, field, id_field, keyed_text, map_texts, small_batches, text_chunks, written
 
 SPACE = " \t\n\x0b\x0c\r"
 SALTS = 32
@@ -278,14 +278,16 @@ def thin(index: LineIndex, docs: DataFrame, *, id_col: str = "doc_id", text_col:
     """Return id, text (without the lines that go), n_lines, n_dropped and the columns in ``carry``, one row for each row of ``docs``.
 
     Which keys a document holds is read from the index, not from its text again; a document that isn't in the index
-    comes back whole.
+    comes back whole. A carried column that is called like a result gives way to it.
     """
+    small_batches(docs.sparkSession)
+    carry = carried(carry, [id_col, "text", "n_lines", "n_dropped"])
     lost = drops(index, index.holders.where("id IS NOT NULL"))
     min_chars = index.min_chars
     schema = T.StructType([id_field(docs, id_col, id_col), field("text", "string"), field("n_lines", "bigint"), field("n_dropped", "bigint"), *(docs.schema[c] for c in carry)])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_chunks(batches, 4 << 20):
+        for rows, texts in text_chunks(batches, 1 << 20):
             kept, lines, lost_lines = [], [], []
             for text, gone in zip(texts, rows.column(2)):
                 text = text or ""

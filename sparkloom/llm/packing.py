@@ -62,14 +62,17 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+    @functools.lru_cache(maxsize=1)
+    def whole() -> Tokenizer:
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
 
     def plain(texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [x.ids for x in whole().encode_batch_fast(texts, add_special_tokens=False)]
 
-    spec = json.loads(tokenizer.to_str())
+    spec = json.loads(Tokenizer.from_file(path).to_str())
     model, before = spec["model"], spec["pre_tokenizer"] or {}
     if model["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or spec["normalizer"] or model.get("ignore_merges"):
         return plain

@@ -41,7 +41,7 @@ def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n of each."""
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            factors = np.full(2 * n, base, np.uint64)
+            factors = np.full(n + n // 4, base, np.uint64)
             factors[0] = 1
             _powers[k] = np.cumprod(factors)
     return _powers[0], _powers[1]

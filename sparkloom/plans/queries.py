@@ -420,8 +420,8 @@ _PATHS = "SELECT p_partkey, '/src/' || lower(p_type) || '/' || replace(p_name, '
 def directory_filters(spark, sf_dir):
     suffix = F.when(F.col("p_partkey") % 3 == 0, ".PYC").otherwise(".py")
     path = F.concat(F.lit("/src/"), F.lower("p_type"), F.lit("/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), suffix)
-    files = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
-    return relational.without_ignored(files, "path", directories=["economy"], suffixes=[".pyc"], substrings=["red_"])
+    listed = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+    return relational.without_ignored(listed, "path", directories=["economy"], suffixes=[".pyc"], substrings=["red_"])
 
 
 _PLAIN = "coalesce(text, '')"
@@ -460,9 +460,9 @@ def mail_parse(spark, sf_dir):
         "--=cut=\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n", F.regexp_replace(coded(body), "\\s", ""), "\n--=cut=--\n",
     )
     mail = text("From: ", F.col("source"), "@example.org\nTo: all@example.org\nSubject: ", subject, "\nDate: ", day, nl, F.when(key % 5 < 2, parts).otherwise(F.concat(nl, body)))
-    files = table(spark, sf_dir, "documents").select(key.cast("string").alias("file_path"), mail.cast("binary").alias("content"), F.length(mail).cast("long").alias("file_size"))
+    mails = table(spark, sf_dir, "documents").select(key.cast("string").alias("file_path"), mail.cast("binary").alias("content"), F.length(mail).cast("long").alias("file_size"))
     thread = X.normalize_subject(F.col("subject")).alias("thread")
-    return parse_mails(files).select(F.col("file_path").cast("long").alias("doc_id"), "file_hash", "sender", "recipients", thread, "date_parsed", "body_text", "body_html", "has_attachments")
+    return parse_mails(mails).select(F.col("file_path").cast("long").alias("doc_id"), "file_hash", "sender", "recipients", thread, "date_parsed", "body_text", "body_html", "has_attachments")
 
 
 # -- text functions --------------------------------------------------------------------------------------------------

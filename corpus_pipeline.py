@@ -1,7 +1,9 @@
 """The corpus pipeline: stages over ``documents``, each calling one operator of ``sparkloom.llm``.
 
-Every stage takes all rows that its predecessor kept and, but for the last, returns the columns of ``documents``. Ids are
-taken to be unique within ``documents``; the stages that compare documents keep rows with a null id.
+Every stage takes all rows that its predecessor kept and, but for the last, returns the columns of ``documents``, whatever
+they are called (columns are renamed while an operator works). Decisions are made for rows, not ids: of rows that are
+alike in every way one stays after near-dedup, and a row whose id another row shares stands for itself. Null ids are
+allowed; null and empty texts have no language and go in the first stage. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -11,30 +13,41 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, langid, linededup, nearcopies, packing
 from sparkloom.llm.queries import table, tokenizer_path
+from sparkloom.session import remove, scope, written
+
+
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The columns under names that no operator uses, and those names."""
+    names = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an accepted language go (among them those without any letter)."""
-    named = langid.identify(docs, langid.fit(docs), carry=[c for c in docs.columns if c != "doc_id"])
-    return named.where("accepted").select(*docs.columns)
+    plain, names = _plain(docs)
+    own = {"id_col": names["doc_id"], "text_col": names["text"]}
+    model = langid.fit(plain, text_col=names["text"], lang_col=names["lang"])
+    named = langid.identify(plain, model, carry=[c for c in plain.columns if c != names["doc_id"]], **own)
+    return named.where("accepted").select(*plain.columns).toDF(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents hold go from all but one; texts and their lengths change, no document goes."""
-    thinned = linededup.dedup_lines(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
-    return thinned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    plain, names = _plain(docs)
+    rest = [c for c in plain.columns if c not in (names["doc_id"], names["text"])]
+    thinned = linededup.dedup_lines(plain, id_col=names["doc_id"], text_col=names["text"], carry=rest)
+    thinned = thinned.withColumn(names["n_chars"], F.length("text").cast("long")).withColumnRenamed("text", names["text"])
+    return thinned.select(*plain.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (0.8 or more of their five-word shingles shared, Jaccard) the document with the smallest id stays."""
-    copies = nearcopies.near_copies(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti")
+    return nearcopies.without_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti")
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``: each result is written once and read again, and goes when the next one is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        with scope() as keep:
+            after = keep(written(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        remove(docs)
+        docs = after
     return docs

@@ -1,97 +1,206 @@
-"""Near copies by exact Jaccard similarity of word shingles: every pair of at least 0.8 is linked, no other pair is.
+"""SimHash near-dedup at a similarity: every pair of texts of at least 0.8 (Jaccard of word shingles) is linked, no other is.
+
+Fingerprints alone can't do that: at 0.8 two of 64 bits are about ten bits apart, and a ball of half that radius has
+millions of variants. So balls (of ``simhash``, over fingerprints of the same shingles) bring together the closest pairs,
+whose sets are compared, and a filter that loses nothing finds the others.
 
 Words and shingles are those of ``simhash``, ``words`` neighbouring words each; a text counts as the set of its
-shingles' XXH64 hashes, and texts of one set (among them all without a word) are one representative. Two sets of at
-least 0.8 share ``ceil(0.8 n)`` shingles or more, n the larger size. So in any order that holds for all shingles they
-share ``extra`` of the first ``n - ceil(0.8 n) + extra`` of each (or all they must share, if that is less), and only
-those are shuffled. The order puts shingles last that many documents of a bounded sample hold; the sample decides how
-much is compared, never what is found.
-
-Pairs that meet often enough are verified on their whole sets. Neighbours among those that meet at a shingle come first,
-in two orders; what they link needs no further comparison, so a large group of near copies isn't compared pair by pair.
-Then every pair of different components that meets often enough is verified.
+shingles' XXH64 hashes, and texts of one set (among them all without a word) are one representative. Two sets of a and b
+shingles of at least 0.8 share 4/9 of a + b or more, and so at least 0.8 n, n the larger size. In any order that holds
+for all shingles, all but ``0.8 n - extra`` of them are then among the first ``0.2 n + extra`` of each, and only those
+are shuffled. The order puts shingles last that many documents of a bounded sample hold; the sample decides how much is
+compared, never what is found.
+
+Pairs that meet often enough are verified on their whole sets. Those that meet in a ball and neighbours among those that
+meet at a shingle come first, in ``ORDERS`` orders (in later ones ``NEIGHBOURS`` of other components on either side); what
+they link needs no further comparison, so a large group of near copies isn't compared pair by pair. Then every pair of
+different components that meets often enough is verified.
+
+Null and empty texts are copies of each other. Rows that repeat an id are rows of their own. Where one row of each group
+is to stay it is the one with the smallest id (nulls last); of rows that share that id, one of them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import field, map_texts, written
-from sparkloom.llm.simhash import SEED, components
-
-#: A set of n shingles must share 4 n / 5 of them, rounded up.
-_NEED = "int((4 * n + 4) DIV 5)"
+from sparkloom.llm._common import field, map_texts, scope, small, written
+from sparkloom.llm.simhash import SEED, components, links, majority, shingle_hashes
 
 
 def shingles(text: str | None, words: int = 5, seed: int = SEED) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending."""
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    first = [0, *(ends[:-1] + 1).tolist()]
-    last = ends.tolist()[min(words, len(found)) - 1 :]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(first, last)), np.uint64, len(last)))
-
-
-def _common(docs: DataFrame, words: int, sample: int, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles, ascending, that at least 3 texts of a sample hold, and how many do."""
+    return np.unique(shingle_hashes(text, words, seed))
+
+
+def _keys(docs: DataFrame) -> DataFrame:
+    """Add ``t1`` and ``t2``, which are equal for equal texts."""
+    return docs.withColumns({"t1": F.xxhash64("text"), "t2": F.hash("text")})
+
+
+def _common(docs: DataFrame, words: int, sample: int, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, ascending, that at least 3 texts of a sample hold, and how many do; the ``most`` that most hold."""
     part = min(1.0, sample / max(1, docs.count()))
-    near = docs.where(F.pmod("text_hash", F.lit(1_000_003)) <= part * 1_000_003).dropDuplicates(["text_hash"])
+    near = docs.where(F.pmod("t1", F.lit(1_000_003)) <= part * 1_000_003).dropDuplicates(["t1"])
 
-    sets = map_texts(near, "id", "text", [field("own", "array<bigint>")], lambda: lambda texts: {"own": [shingles(t, words).view(np.int64) for t in texts]})
+    sets = map_texts(near, "t1", "text", [field("own", "array<bigint>")], lambda: lambda texts: {"own": [shingles(t, words).view(np.int64) for t in texts]})
     counts = sets.select(F.explode("own").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n >= 3")
-    rows = counts.orderBy(F.desc("n"), "shingle").limit(most).collect()
-    held = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)
+    rows = counts.orderBy(F.desc("n"), "shingle").limit(most).toPandas()
+    held = rows["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(held)
-    return held[order], np.array([r["n"] for r in rows], np.int64)[order]
+    return held[order], rows["n"].to_numpy(np.int64)[order]
 
 
 def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, extra: int) -> DataFrame:
-    """(id, set_hash, n, prefix, text_hash), one row for each row of ``docs``."""
+    """(id, s1, s2, n, fp, prefix, t1, t2), one row for each row of ``docs``; s1 and s2 are equal for equal sets.
+
+    Each task gives the prefix of a set once, so copies of a text aren't sent again and again.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def make():
         held, n_held = sent.value
+        seen: set[bytes] = set()
 
         def found(texts: list[str | None]) -> dict:
-            out = {"set_hash": [], "n": [], "prefix": []}
+            out = {"s": [], "n": [], "fp": [], "prefix": []}
             for t in texts:
-                own = shingles(t, words)
-                n = len(own)
+                every = shingle_hashes(t, words)
+                own = np.unique(every)
+                n, digest = len(own), xxhash.xxh3_128_digest(own.tobytes())
+                out["s"].append(digest)
+                out["n"].append(n)
+                out["fp"].append(majority(every))
+                if digest in seen:
+                    out["prefix"].append(None)
+                    continue
+                if len(seen) >= 100_000:
+                    seen.clear()
+                seen.add(digest)
                 rank = np.zeros(n, np.int64)
                 if len(held) and n:
                     at = np.minimum(np.searchsorted(held, own), len(held) - 1)
                     rank = np.where(held[at] == own, n_held[at], 0)
-                out["set_hash"].append(xxhash.xxh3_128_digest(own.tobytes()))
-                out["n"].append(n)
-                out["prefix"].append(own[np.lexsort((own, rank))][: n - (4 * n + 4) // 5 + extra].view(np.int64))
-            return out
+                out["prefix"].append(own[np.lexsort((own, rank))][: n - max(0, (4 * n + 4) // 5 - extra)].view(np.int64))
+            both = np.frombuffer(b"".join(out["s"]), np.int64).reshape(-1, 2)
+            return out | {"s1": np.ascontiguousarray(both[:, 0]), "s2": np.ascontiguousarray(both[:, 1]), "fp": np.array(out["fp"], np.uint64).view(np.int64)}
 
         return found
 
-    return map_texts(docs, "id", "text", [field("set_hash", "binary"), field("n", "int"), field("prefix", "array<bigint>")], make, carry=["text_hash"])
+    fields = [field("s1", "bigint"), field("s2", "bigint"), field("n", "int"), field("fp", "bigint"), field("prefix", "array<bigint>")]
+    return map_texts(docs, "id", "text", fields, make, carry=["t1", "t2"])
+
+
+def _in_balls(reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of representatives: those of equal fingerprints with their first, and the first ones of neighbouring fingerprints."""
+    first = reps.groupBy("fp").agg(F.min("uid").alias("first"))
+    equal = reps.join(first, "fp").where("uid > first").select(F.col("first").alias("a"), F.col("uid").alias("b"))
+    near = links(first.select("fp")).join(first.toDF("a", "ua"), "a").join(first.toDF("b", "ub"), "b")
+    return equal.union(near.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) of those ``pairs(a, b)`` whose sets are at least 0.8 alike."""
-    first = pairs.join(sets.toDF("a", "own"), "a")
-    both = first.join(sets.toDF("b", "other"), "b")
+    """Links (a, b) of those ``pairs(a, b)``, written, whose sets are at least 0.8 alike."""
+    first = sets.toDF("a", "own").join(small(pairs), "a")
+    used = sets.join(small(pairs).select(F.col("b").alias("uid")), "uid", "left_semi").toDF("b", "other")
+    both = first.join(used, "b")
     shared = F.size(F.array_intersect("own", "other"))
     return both.where(9 * shared >= 4 * (F.size("own") + F.size("other"))).select("a", "b")
 
 
 def _often(met: DataFrame, extra: int, share: int = 1) -> DataFrame:
     """Pairs of ``met(a, b, na, nb)``, a row for each meeting, that meet as often as near copies must, or a ``share`` of it."""
+    fits = met.where(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
+    return fits.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("times")).where(F.col("times") * share >= _need(extra)).select("a", "b")
+
+
+def _need(extra: int) -> Column:
+    """How many shingles of their prefixes two near copies of na and nb shingles share at least."""
     most = F.greatest("na", "nb")
-    need = F.least(F.lit(extra), ((4 * most + 4) / 5).cast("int"))
-    fits = met.where(5 * F.least("na", "nb") >= 4 * most)
-    return fits.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("times")).where(F.col("times") * share >= need).select("a", "b")
+    return F.ceil(4 * (F.col("na") + F.col("nb")) / 9) - F.greatest(F.lit(0), F.ceil(4 * most / 5) - extra)
+
+
+def _across(mixed: DataFrame, extra: int, first: int = 1) -> DataFrame:
+    """Pairs (a, b) of different components that may be near copies, from ``mixed(shingle, uid, n, root)``.
+
+    Each prefix is put in one order for all: first the shingles that no other component has, then those that few rows
+    have. Of p shingles, ``need`` or more of which are shared, the ``first`` shared ones stand among the first
+    ``p - need + first``, on both sides; only those meet, and a pair has to meet so often. Shingles that most of a group
+    of texts have stand last and meet least.
+    """
+    often = mixed.groupBy("shingle").agg(F.count("*").alias("held"))
+    own = Window.partitionBy("uid")
+    size = F.col("n") - F.greatest(F.lit(0), F.ceil(4 * F.col("n") / 5) - extra)
+    place = size - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "shingle"))
+    placed = mixed.join(often, "shingle").select("shingle", "uid", "n", "root", size.alias("p"), place.alias("place"))
+    placed = placed.where(F.col("place") <= F.col("p") - F.least(F.lit(extra), F.ceil(4 * F.col("n") / 5)) + first)
+    left, right = placed.toDF("shingle", "a", "na", "ra", "pa", "at"), placed.toDF("shingle", "b", "nb", "rb", "pb", "bt")
+    need = _need(extra)
+    beyond = need - F.least(need, F.lit(first))
+    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))
+    meets = left.join(right, "shingle").where(fits & (F.col("at") <= F.col("pa") - beyond) & (F.col("bt") <= F.col("pb") - beyond))
+    counted = meets.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("times"))
+    return counted.where(F.col("times") >= F.least(need, F.lit(first))).select("a", "b")
+
+
+ORDERS, NEIGHBOURS = 2, 8
+
+
+def _neighbours(shared: DataFrame, turn: int, width: int) -> DataFrame:
+    """Meetings (a, b, na, nb) of each row with the ``width`` rows before it at its shingle, of other components, in an order of ``turn``."""
+    order = Window.partitionBy("shingle").orderBy(F.xxhash64("uid", F.lit(turn)), "uid")
+    before = F.array(*[F.struct(*[F.lag(c, k).over(order).alias(c) for c in ("uid", "n", "root")]) for k in range(1, width + 1)])
+    met = shared.withColumn("before", before).select("uid", "n", "root", F.explode("before").alias("o")).where("o.uid IS NOT NULL AND o.root <> root")
+    rises = F.col("uid") > F.col("o.uid")
+    ends = (("o.uid", "uid", "a"), ("uid", "o.uid", "b"), ("o.n", "n", "na"), ("n", "o.n", "nb"))
+    return met.select(*[F.when(rises, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in ends])
+
+
+def _named(docs: DataFrame, words: int, extra: int, sample: int) -> DataFrame:
+    """(id, t1, t2, component_id, first) for the rows of ``docs(id, text, t1, t2)``; the row ``first`` is the one to stay."""
+    with scope() as keep:
+        rows = written(_prefixes(docs, _common(docs, words, sample), words, extra).withColumn("uid", F.monotonically_increasing_id()), "prefixes")
+        low = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("uid").alias("row")))
+        own = F.min_by(F.struct("t1", "t2", "n", "fp"), "uid")
+        groups = rows.groupBy("s1", "s2").agg(low.alias("low"), F.min("uid").alias("uid"), own.alias("own"))
+        reps = written(groups.select("s1", "s2", "uid", "low", "own.*"), "representatives")
+
+        order = Window.partitionBy("shingle").orderBy("s1", "s2")
+        other = lambda move: F.coalesce((move("s1").over(order) != F.col("s1")) | (move("s2").over(order) != F.col("s2")), F.lit(False))
+        met = rows.select("s1", "s2", F.explode("prefix").alias("shingle")).withColumn("other", other(F.lag) | other(F.lead))
+        several = met.where("other").select("shingle", "s1", "s2").distinct()
+        shared = written(several.join(reps.select("s1", "s2", "uid", "n"), ["s1", "s2"]).select("shingle", "uid", "n"), "shared")
+        least = F.least(F.lit(extra), F.ceil(4 * F.col("n") / 5))
+        able = shared.groupBy("uid", "n").agg(F.count("*").alias("times")).where(F.col("times") >= least).select("uid")
+        able = written(reps.select("uid", "t1", "t2", "fp").join(able, "uid"), "able")
+        shared = written(shared.join(small(able).select("uid"), "uid", "left_semi"), "shared")
+        texts = docs.join(small(able).select("t1", "t2"), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))
+        sets = map_texts(texts.join(small(able), ["t1", "t2"]), "uid", "text", [field("own", "array<bigint>")], lambda: lambda ts: {"own": [shingles(t, words).view(np.int64) for t in ts]})
+        sets = written(sets, "sets")
+
+        steps = _in_balls(able).union(_often(_neighbours(shared.withColumn("root", F.col("uid")), 0, 1), extra, 2)).distinct()
+        found, last = written(_verified(written(steps, "pairs"), sets), "links"), None
+        for turn in range(1, ORDERS + 1):
+            roots = small(written(components(found).toDF("uid", "root"), "roots"))
+            at = shared.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+            several = at.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+            last = written(at.join(several, "shingle", "left_semi").select("shingle", "uid", "n", "root"), "mixed")
+            if turn < ORDERS:
+                more = _verified(written(_often(_neighbours(last, turn, NEIGHBOURS), extra, 2), "pairs"), sets)
+                found = written(found.union(more), "links")
+        roots = small(written(components(found.union(_verified(written(_across(last, extra), "pairs"), sets))), "roots"))
+
+        rooted = reps.select("s1", "s2", "uid", "low").join(roots.withColumnRenamed("node", "uid"), "uid", "left")
+        lowest = written(rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("lowest")), "lowest")
+        named = rooted.join(small(lowest), "root", "left").select("s1", "s2", F.coalesce("lowest", "low").alias("low"))
+        made = rows.select("id", "t1", "t2", "uid", "s1", "s2").join(named, ["s1", "s2"])
+        return keep(written(made.select("id", "t1", "t2", F.col("low.id").alias("component_id"), (F.col("uid") == F.col("low.row")).alias("first")), "named"))
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, extra: int = 8, sample: int = 16_000) -> DataFrame:
@@ -99,38 +208,23 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     A null id is never the smallest; a component has a null name only if all of its ids are null.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
-    rows = written(_prefixes(own, _common(own, words, sample), words, extra), "prefixes")
-    groups = rows.groupBy("set_hash").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.min("text_hash").alias("text_hash"), F.first("prefix").alias("prefix"))
-    reps = written(groups.withColumn("uid", F.monotonically_increasing_id()), "representatives")
-
-    order = Window.partitionBy("shingle").orderBy("uid")
-    spread = reps.select("uid", "n", F.explode("prefix").alias("shingle"))
-    met = spread.select("*", F.lag("uid").over(order).alias("before"), F.lead("uid").over(order).alias("after"))
-    shared = written(met.where("before IS NOT NULL OR after IS NOT NULL").select("shingle", "uid", "n"), "shared")
-    able = shared.groupBy("uid", "n").agg(F.count("*").alias("times")).where(f"times >= least({extra}, {_NEED})").select("uid")
-    able = written(reps.select("uid", "text_hash").join(able, "uid"), "able")
-    shared = written(shared.join(able.select("uid"), "uid", "left_semi"), "shared")
-    texts = own.join(able.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
-    sets = map_texts(texts.join(able, "text_hash"), "uid", "text", [field("own", "array<bigint>")], lambda: lambda ts: {"own": [shingles(t, words).view(np.int64) for t in ts]})
-    sets = written(sets, "sets")
-
-    steps = None
-    for turn in range(2):
-        near = Window.partitionBy("shingle").orderBy(F.xxhash64("uid", F.lit(turn)), "uid")
-        chained = shared.select("uid", "n", *[F.lag(c).over(near).alias(f"{c}_before") for c in ("uid", "n")]).where("uid_before IS NOT NULL")
-        rises = F.col("uid") > F.col("uid_before")
-        ends = [F.when(rises, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in (("uid_before", "uid", "a"), ("uid", "uid_before", "b"), ("n_before", "n", "na"), ("n", "n_before", "nb"))]
-        steps = _often(chained.select(*ends), extra, 2) if steps is None else steps.union(_often(chained.select(*ends), extra, 2)).distinct()
-    links = written(_verified(written(steps, "pairs"), sets), "links")
-    at = shared.join(components(links).toDF("uid", "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    several = at.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    mixed = written(at.join(several, "shingle", "left_semi").select("shingle", "uid", "n", "root"), "mixed")
-    left, right = mixed.toDF("shingle", "a", "na", "ra"), mixed.toDF("shingle", "b", "nb", "rb")
-    rest = left.join(right, "shingle").where("a < b AND ra <> rb AND 5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b", "na", "nb")
-    roots = components(links.union(_verified(written(_often(rest, extra), "pairs"), sets)))
-
-    rooted = reps.select("set_hash", "uid", "low").join(roots.withColumnRenamed("node", "uid"), "uid", "left")
-    lowest = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("lowest"))
-    named = rooted.join(lowest, "root", "left").select("set_hash", F.coalesce("lowest", "low").alias("component_id"))
-    return rows.select("id", "set_hash").join(named, "set_hash").select(F.col("id").alias(id_col), "component_id")
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return _named(_keys(given), words, extra, sample).select(F.col("id").alias(id_col), "component_id")
+
+
+def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, extra: int = 8, sample: int = 16_000) -> DataFrame:
+    """The rows of ``docs`` less all but one of each group of near copies."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    id_at, text_at = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    given = _keys(plain.withColumns({"id": F.col(id_at), "text": F.col(text_at).cast("string")}))
+    with scope() as keep:
+        named = _named(given.select("id", "text", "t1", "t2"), words, extra, sample)
+        keys = named.groupBy("id", "t1", "t2").agg(F.max("first").alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1")
+        keys = written(keys, "keys")
+        gone, again = keep(written(keys.where("NOT stays").drop("stays", "n"), "gone")), keep(written(keys.where("stays").drop("stays", "n"), "again"))
+    same = lambda table: reduce(and_, [given[c].eqNullSafe(table[c]) for c in ("id", "t1", "t2")])
+    kept = given.join(small(gone), same(gone), "left_anti")
+    if not again.isEmpty():  # rows that are alike in id and text: one of them stays
+        once = given.join(small(again), same(again), "left_semi").dropDuplicates(["id", "t1", "t2"])
+        kept = kept.join(small(again), same(again), "left_anti").unionByName(once)
+    return kept.drop("id", "text", "t1", "t2").toDF(*docs.columns)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 import pytest
+from conftest import rows
+from pyspark.sql import functions as F
 from test_decontaminate import plain_leaks
-from test_dedup import plain_components, plain_fingerprint, plain_line_dedup
+from test_dedup import plain_line_dedup
+from test_nearcopies import plain_components
 
 
 @pytest.fixture(scope="module")
@@ -42,18 +45,60 @@ def test_line_dedup_equals_brute_force(stages):
 
 
 def test_near_dedup_equals_brute_force(stages):
+    """Five words and a similarity of 0.8, every document against every other."""
     docs = texts(stages[2])
-    names = plain_components([plain_fingerprint(t) for _, t in docs], [i for i, _ in docs])
-    assert texts(stages[3]) == [d for d, name in zip(docs, names) if d[0] == name]
+    names = plain_components(docs)
+    assert texts(stages[3]) == [d for d in docs if d[0] == names[d[0]]]
 
 
 def test_decontamination_equals_brute_force(spark, sf, stages):
-    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()][:8]
-    docs = [d for d in texts(stages[3]) if len(d[1].split()) < 250][:60]
-    gone = {i for i, _ in texts(stages[3])} - {i for i, _ in texts(stages[4])}
-    assert {i for i, _, _ in plain_leaks(docs, items)} <= gone
-    clean = {i for i, t in docs if i not in gone}
-    assert len(clean) > len(docs) / 2
+    """Both ways: what holds an item goes, and nothing else does."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = [d for d in texts(stages[3]) if len(d[1].split()) < 120][:60]
+    left = {i for i, _ in texts(stages[4])}
+    clean = [(i, t) for i, t in docs if i in left]
+    assert not plain_leaks(clean, items[:8])
+    gone = [d for d in texts(stages[3]) if d[0] not in left]
+    assert gone and all(plain_leaks([d], items) for d in gone if len(d[1].split()) < 400)
+
+
+ODD = [
+    (1, None, "en"), (2, "", "en"), (None, " \n ", None), (3, "123 ?!", "en"), (4, "Der Hund und die Katze sind heute im Garten", None),
+    (5, "The same line that is long enough\n" * 3, "en"), (5, "The same line that is long enough\n" * 3, "en"), (6, "The same line that is long enough", "en"),
+    (7, "the same line that is long enough \nanother line", "en"), (8, "word " * 30_000, "en"), (None, "The same line that is long enough", "en"),
+]
+CLASHES = ["accepted", "score", "lang_pred", "n_lines", "n_dropped", "fp", "uid", "id", "row", "length", "piece", "sequence_id", "t1", "column_0", "c0"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows_ = [(*r, "x", len(r[1] or ""), *range(len(CLASHES))) for r in ODD]
+    return spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in CLASHES))
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_take_odd_rows_and_clashing_columns(spark, sf, odd, k):
+    stage = corpus_pipeline.STAGES[k][1]
+    got = stage(spark, odd, sf)
+    assert got.columns == odd.columns and got.schema.simpleString() == odd.schema.simpleString()
+    ids = sorted((r["doc_id"] for r in got.collect()), key=repr)
+    if k == 1 or k == 3:  # no row goes; rows of one id are one document
+        assert ids == sorted((r[0] for r in ODD), key=repr)
+    if k == 1:
+        lines = {(r["doc_id"], r["text"]) for r in got.collect()}
+        assert (6, "") in lines and (7, "the same line that is long enough \nanother line") in lines and (2, "") in lines
+        assert (None, "The same line that is long enough") in lines
+    if k == 2:  # empty texts are one group, the rows of id 5 another, 6 and the null id a third
+        assert ids == sorted([1, 3, 4, 5, 6, 7, 8], key=repr)
+    assert got.where(F.col("score") != 1).isEmpty()
+    assert rows(stage(spark, odd.limit(0), sf)) == []
+
+
+def test_packing_takes_odd_rows(spark, sf, odd):
+    got = corpus_pipeline.best_fit_packing(spark, odd, sf)
+    assert got.select("doc_id", "piece", "start").distinct().count() <= got.count()
+    assert got.where("piece = 0").count() == len(ODD)
+    assert rows(corpus_pipeline.best_fit_packing(spark, odd.limit(0), sf)) == []
 
 
 def test_packing_takes_every_document(spark, sf, stages):

@@ -7,7 +7,9 @@ rejected conversation, rendered once; the completions are what follows on either
 Null roles are rendered as ``unknown``, null texts as empty. ``<|`` inside a text becomes ``< |``, so that no text can
 forge a turn. Equal conversations give empty completions, and so does a missing side. Turns given twice count once;
 turns with the same number are ordered by role and text, nulls first. Rows without a conversation id belong to no
-conversation and are left out. A conversation is one training example and is held in one row.
+conversation and are left out; ids that aren't whole numbers have no neighbour. A conversation is one training example
+and is held in one row. Empty tables give empty tables. Results called like a column of the table take its place; other
+columns are handed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.urlfilter import fresh
+
 HEAD, MIDDLE, TAIL = "<|im_start|>", "\n", "<|im_end|>\n"
 TRAINED = "assistant"
 
@@ -48,17 +52,21 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
 
 
+RESULTS = ("prefix_turns", "prompt", "chosen", "chosen_mask", "rejected", "rejected_mask")
+
+
 def format_preferences(pairs: DataFrame, *, chosen_col: str = "chosen", rejected_col: str = "rejected") -> DataFrame:
     """Replace two columns of turns, array<struct<role, text>>, by prefix_turns, prompt, chosen, chosen_mask, rejected and rejected_mask."""
     empty = F.array().cast(pairs.schema[chosen_col].dataType)
-    given = pairs.withColumns({"_chosen": F.coalesce(F.col(chosen_col), empty), "_rejected": F.coalesce(F.col(rejected_col), empty)}).drop(chosen_col, rejected_col)
-    cut = given.withColumn("prefix_turns", common_prefix(F.col("_chosen"), F.col("_rejected")))
-    rest = {side: F.slice(f"_{side}", F.col("prefix_turns") + 1, F.size(f"_{side}")) for side in ("chosen", "rejected")}
-    rest = {side: F.when(F.size(f"_{side}") > F.col("prefix_turns"), turns).otherwise(empty) for side, turns in rest.items()}
-    made = {"prompt": render(F.slice("_chosen", F.lit(1), F.col("prefix_turns")))}
-    for side, turns in rest.items():
-        made |= {side: render(turns), f"{side}_mask": mask(turns)}
-    return cut.withColumns(made).drop("_chosen", "_rejected")
+    rest = [c for c in pairs.columns if c not in (chosen_col, rejected_col) and c.lower() not in RESULTS]
+    a, b, n = fresh(rest, "turns_chosen", "turns_rejected", "turns_shared")
+    given = pairs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(f"`{chosen_col}`"), empty).alias(a), F.coalesce(F.col(f"`{rejected_col}`"), empty).alias(b))
+    cut = given.withColumn(n, common_prefix(F.col(a), F.col(b)))
+    made = {"prefix_turns": F.col(n), "prompt": render(F.slice(a, F.lit(1), F.col(n)))}
+    for side, turns in (("chosen", a), ("rejected", b)):
+        after = F.when(F.size(turns) > F.col(n), F.slice(turns, F.col(n) + 1, F.size(turns))).otherwise(empty)
+        made |= {side: render(after), f"{side}_mask": mask(after)}
+    return cut.select(*[F.col(f"`{c}`") for c in rest], *[c.alias(name) for name, c in made.items()])
 
 
 def mismatched_replies(conversations: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -68,8 +76,10 @@ def mismatched_replies(conversations: DataFrame, *, id_col: str = "conv_id", tur
     neighbours) in that place, a negative that answers something else. Without a neighbour's reply the rejected side
     ends before the reply; without a reply of its own both sides are the whole conversation. One shuffle, by the pair.
     """
-    rows = conversations.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    pairs = rows.where("conv_id IS NOT NULL").groupBy(F.shiftright("conv_id", 1).alias("pair"))
+    rows = conversations.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    number = F.expr("try_cast(conv_id AS bigint)")
+    pair = F.coalesce(F.shiftright(number, 1).cast("string"), F.concat(F.lit("="), F.col("conv_id").cast("string")))
+    pairs = rows.where("conv_id IS NOT NULL").groupBy(pair.alias("pair"))
     held = pairs.agg(F.sort_array(F.collect_set(F.struct("conv_id", "turn", "role", "text"))).alias("turns"))
     each = held.withColumn("conv_id", F.explode(F.array_distinct(F.col("turns.conv_id"))))
     own = F.filter("turns", lambda t: t["conv_id"] == F.col("conv_id"))

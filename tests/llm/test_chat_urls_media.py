@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 
@@ -85,6 +86,32 @@ def test_rules_may_be_missing(spark):
     assert rows(urlfilter.judge_urls(pages.limit(0), nulls)) == []
 
 
+def test_clashing_columns_of_pages_and_pairs(spark):
+    names = ["best", "best_host", "BEST_PATH", "host", "rule", "short", "r_host", "expression", "a.b"]
+    pages = spark.createDataFrame([(1, "https://A.example.net/x?y", *range(len(names)))], "page_id long, url string, " + ", ".join(f"`{n}` int" for n in names))
+    rules = spark.createDataFrame([("net", "/", "block")], urlfilter.RULE_SCHEMA)
+    got = urlfilter.judge_urls(pages, rules)
+    assert got.columns == ["page_id", "url", "best", "best_host", "BEST_PATH", "short", "r_host", "expression", "a.b", "host", "path", "rule", "verdict"]
+    assert tuple(got.first()) == (1, "https://A.example.net/x?y", 0, 1, 2, 5, 6, 7, 8, "a.example.net", "/x", "net/", "block")
+    assert urlfilter.judge_urls(pages.select(F.col("url").alias("host")), rules, url_col="host").columns == ["host", "path", "rule", "verdict"]
+
+    turn = "array<struct<role: string, text: string>>"
+    talk = [("user", "hi"), ("assistant", "yes")]
+    pairs = spark.createDataFrame([(5, "p", 7, 8, 9, talk, talk[:1])], f"prefix_turns int, prompt string, turns_chosen int, _chosen int, x int, chosen {turn}, rejected {turn}")
+    made = chat.format_preferences(pairs)
+    assert made.columns == ["turns_chosen", "_chosen", "x", "prefix_turns", "prompt", "chosen", "chosen_mask", "rejected", "rejected_mask"]
+    row = made.first()
+    assert (row["turns_chosen"], row["_chosen"], row["x"], row["prefix_turns"], row["rejected"]) == (7, 8, 9, 1, "")
+    assert rows(chat.format_preferences(pairs.limit(0))) == []
+
+
+def test_conversations_with_text_ids(spark):
+    talk = [("a-1", 0, "user", "q"), ("a-1", 1, "assistant", "r"), ("2", 0, "user", "q"), ("2", 1, "assistant", "s"), ("3", 0, "assistant", "t"), (None, 0, "user", "u")]
+    got = {r["conv_id"]: r for r in chat.mismatched_replies(spark.createDataFrame(talk, "conv_id string, turn long, role string, text string")).collect()}
+    assert set(got) == {"a-1", "2", "3"}
+    assert [t["text"] for t in got["a-1"]["rejected"]] == ["q"] and [t["text"] for t in got["2"]["rejected"]] == ["q", "t"]
+
+
 def test_native_operators_have_no_python_in_their_plans(spark, sf):
     for fn in (queries.op4_chat_formatting, queries.op5_url_filters):
         plan = fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
@@ -159,6 +186,53 @@ def test_ac_coefficients_and_chroma_are_walked_over():
     assert (width, height, images, grid.tolist()) == (25, 16, 1, level.tolist())
 
 
+def test_damaged_streams_give_nulls_and_leave_others_alone():
+    rng = random.Random(1)
+    payloads = [rng.randbytes(576), rng.randbytes(3 * 576)]
+    streams = media.encode_payloads(payloads)
+    lost = 0
+    for _ in range(2500):
+        raw = bytearray(rng.choice(streams))
+        for _ in range(rng.randint(1, 4)):
+            how, at = rng.random(), rng.randrange(rng.choice([min(len(raw), 140), len(raw)]))
+            if how < 0.7:
+                raw[at] = rng.randrange(256)
+            elif how < 0.8 and at:
+                del raw[at:]
+            else:
+                raw[at:at] = rng.randbytes(rng.randint(1, 9))
+        got = media.thumbnails([bytes(raw), streams[1]])
+        assert got[1][3].tobytes() == payloads[1]
+        lost += got[0] is None
+    assert lost > 500
+
+
+def test_headers_that_claim_too_much_are_damage():
+    (stream,) = media.encode_payloads([bytes(576)])
+    at = stream.index(b"\xff\xc0") + 5
+    assert media.thumbnails([stream[:at] + b"\xff\xf8\xff\xf8" + stream[at + 4 :]]) == [None]
+    assert media.thumbnails([stream[: at + 6] + b"\x00" + stream[at + 7 :]]) == [None], "sampling factors of 0"
+
+
+def test_bytes_after_the_last_image_are_left_alone():
+    payload = bytes(range(192)) * 3
+    (stream,) = media.encode_payloads([payload])
+    one, tail, two = media.thumbnails([stream, stream + b"trailing \xff bytes", stream + stream])
+    assert one[3].tobytes() == tail[3].tobytes() == payload and two[2] == 2 and two[3].tobytes() == payload * 2
+
+
+def test_components_in_scans_of_their_own():
+    payload = bytes(range(192)) * 3
+    (stream,) = media.encode_payloads([payload])
+    scan = stream[stream.index(b"\xff\xda") + 10 : -2]
+    head = stream[: stream.index(b"\xff\xc0")]
+    frame = media._segment(0xC0, b"\x08" + (192).to_bytes(2, "big") * 2 + b"\x02" + b"\x01\x11\x00" + b"\x02\x11\x00")
+    between = stream[stream.index(b"\xff\xc4") : stream.index(b"\xff\xda")]
+    scans = [media._segment(0xDA, bytes([1, c]) + b"\x00\x00\x3f\x00") + scan for c in (2, 1)]
+    ((width, height, images, grid),) = media.thumbnails([head + frame + between + b"".join(scans) + b"\xff\xd9"])
+    assert (width, height, images) == (192, 192, 1) and grid.tobytes() == payload
+
+
 def test_average_hash_reads_light_and_dark():
     grid = np.zeros((16, 16), np.uint8)
     grid[:8] = 200
@@ -170,3 +244,17 @@ def test_equal_texts_have_equal_values(spark):
     docs = spark.createDataFrame([(1, "same"), (2, "other"), (3, "same")], "doc_id long, text string")
     one, _, two = media.decode_jpeg(media.encode_jpeg(docs).withColumn("h", F.sha2("media", 256)), keep=("h",)).orderBy("doc_id").collect()
     assert tuple(one)[1:] == tuple(two)[1:]
+
+
+def test_the_media_query_gives_every_documents_bytes(spark, sf):
+    import hashlib
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op10_media_columns(spark, sf).collect()
+    assert {r["doc_id"] for r in got} == set(texts) and len(got) == len(texts)
+    for r in got:
+        raw = texts[r["doc_id"]]
+        padded = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        want = (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == want
+        assert r["media_bytes"] > 0 and r["feature"].startswith(f"192x{len(padded) // 24 * 8}:")

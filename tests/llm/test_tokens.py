@@ -90,14 +90,23 @@ def test_packing_of_odd_tables(spark):
     assert len(same) == 700 and check_packed(same, 8) == 350
 
 
-def test_a_hot_length_is_numbered_in_buckets(spark):
-    pieces = spark.range(5000).selectExpr("id AS uid", "CASE WHEN id % 3 = 0 THEN 10L ELSE id % 40 + 1 END AS length")
-    sizes = pieces.groupBy("length").count().toDF("length", "n")
-    got = packing.ranked(pieces, sizes, 100).collect()
-    by = defaultdict(list)
-    for r in got:
-        by[r["length"]].append(r["rank"])
-    assert all(sorted(x) == list(range(len(x))) for x in by.values()) and sum(map(len, by.values())) == 5000
+def test_every_rank_of_a_hot_length_is_given_once(spark):
+    from sparkloom.session import written
+
+    pieces = spark.range(5000).repartition(7).selectExpr("id AS piece", "CASE WHEN id % 3 = 0 THEN 10L ELSE id % 40 + 1 END AS length")
+    numbered = written(packing.numbered(pieces, 40), "numbered")
+    got = packing.pack(numbered, length=40)
+    assert got.columns == ["piece", "length", "sequence_id", "offset"]
+    spans = defaultdict(list)
+    for r in got.collect():
+        spans[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sum(map(len, spans.values())) == 5000
+    for own in spans.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 40
 
 
 # -- token counts ----------------------------------------------------------------------------------------------------
@@ -125,9 +134,30 @@ def test_counts_by_tokenizers(spark):
 def test_safe_parts_join_to_the_whole():
     rng = random.Random(6)
     text = "".join(rng.choice(["word", " ", "  ", "\n", ".", "é", "▁"]) for _ in range(5000))
-    parts = list(tokencount.safe_parts(text, 50))
+    parts = [p for p, _ in tokencount.safe_parts(text, 50)]
     assert len(parts) > 5 and " ".join(parts) == text
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     assert sum(len(model.encode(p)) for p in parts) == len(model.encode(text))
+
+
+@pytest.mark.parametrize("path", [PIECES, BYTES])
+def test_long_texts_of_any_script_are_counted_as_the_library_does(path):
+    rng = random.Random(9)
+    chars = {
+        "cjk": "的一是不了人我在有他这中大来上个国到说们", "kana": "あいうえおかきくけこがぎぐアイウﾊﾞ゙", "hangul": "가나다라한국어\u1112\u1161\u11ab", "thai": "กขคงจกิ่ำ", "marks": "ae\u0301o\u0308éﬁ①Ａ",
+        "mixed": "ab的 é.▁\u200b\n\t😀👍🏽c1", "odd": "\U0001f9ff\u0e01\ue000xyz",
+    }
+    texts = ["".join(rng.choices(c, k=3000)) for c in chars.values()] + ["a" * 5000, "word " * 900, "no-space." * 700, "x  y " * 900, " <unk> </s> <s> " * 300]
+    cut = [len(list(tokencount.safe_parts(t, 100, tokencount._sentencepiece(PIECES)[2]))) for t in texts]
+    assert cut[0] > 20, "a text without spaces is cut"
+    if path == PIECES:
+        import sentencepiece
+
+        want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)]
+    else:
+        from tokenizers import Tokenizer
+
+        want = [len(x.ids) for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert tokencount.lengths(path, texts, 100) == want

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, clusters, decontaminate, hardnegatives, langid, linededup, media, packing, simhash, tokencount, toxicity, urlfilter
+from sparkloom.llm import chat, clusters, decontaminate, hardnegatives, langid, linededup, media, packing, passages, simhash, tokencount, toxicity, urlfilter
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 

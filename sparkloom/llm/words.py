@@ -55,10 +55,14 @@ def normalise(text: str | None) -> bytes:
 
 
 def split(texts: list[str | None]) -> Words:
-    parts = [normalise(t) for t in texts]
+    return cut([normalise(t) for t in texts], _IN_WORD)
+
+
+def cut(parts: list[bytes], in_word: np.ndarray) -> Words:
+    """The words of some texts, where ``in_word`` says which bytes belong to one; a space doesn't."""
     data = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
     inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = _IN_WORD[data]
+    inside[1:-1] = in_word[data]
     turn = np.diff(inside)
     begin, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
     first = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])]) if parts else np.zeros(0, np.int64)

@@ -110,40 +110,39 @@ def _seeds(texts: DataFrame, window: int) -> DataFrame:
 
 
 def _windows(held: DataFrame, window: int) -> DataFrame:
-    """(tid, id, n, pos, seed, w) of the windows of ``held(tid, text, id, n, marks)`` whose seed is among the marks."""
-    schema = T.StructType([held.schema["tid"], held.schema["id"], held.schema["n"], *(field(c, k) for c, k in (("pos", "int"), ("seed", "bigint"), ("w", "bigint")))])
+    """(tid, id, n, seed, w) of the windows of ``held(tid, text, id, n, marks)`` whose seed is among the marks."""
+    schema = T.StructType([held.schema["tid"], held.schema["id"], held.schema["n"], field("seed", "bigint"), field("w", "bigint")])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_chunks(batches, 1 << 18):
             own = Windows(_encoded(texts), window)
             cuts = np.searchsorted(own.of, np.arange(len(texts) + 1))
-            first = np.searchsorted(own.text, np.arange(len(texts)))
             taken = [a + np.flatnonzero(np.isin(own.seed[a:b], np.array(rows.column(4)[i].as_py(), np.int64).view(np.uint64))) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-            row = np.repeat(np.arange(len(texts)), [len(x) for x in taken])
+            row = np.repeat(np.arange(len(texts)), [len(x) for x in taken]).astype(np.int64)
             at = np.concatenate(taken)
-            whose = rows.take(pa.array(row))
-            pos = pa.array((own.at[at] - first[row]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([whose.column(0), whose.column(2), whose.column(3), pos, pa.array(own.seed[at].view(np.int64)), pa.array(own.hash[at].view(np.int64))], names=schema.names)
+            whose = [rows.column(k).take(pa.array(row)) for k in (0, 2, 3)]
+            yield pa.RecordBatch.from_arrays([*whose, pa.array(own.seed[at].view(np.int64)), pa.array(own.hash[at].view(np.int64))], names=schema.names)
         pa.default_memory_pool().release_unused()
 
     return held.select("tid", "text", "id", "n", "marks").mapInArrow(emit, schema)
 
 
 def _passages(owners: DataFrame, window: int) -> DataFrame:
-    """(tid, id, text): the passages of ``owners(tid, id, text, places)``, whose windows at the places it owns."""
+    """(tid, id, text): the passages of ``owners(tid, id, text, owned)``, runs of windows whose hashes are among those it owns."""
     schema = T.StructType([owners.schema["tid"], owners.schema["id"], field("text", "string")])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                words = batch.column(2)[i].as_py().encode().split()
-                at = np.unique(np.array(batch.column(3)[i].as_py(), np.int64))
+                text = batch.column(2)[i].as_py().encode()
+                own, words = Windows([text], window), text.split()
+                at = own.at[np.isin(own.hash, np.array(batch.column(3)[i].as_py(), np.int64).view(np.uint64))]
                 runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
                 made = [b" ".join(words[r[0] : r[-1] + window]).decode() for r in runs]
-                whose = batch.slice(i, 1).take(pa.array([0] * len(made)))
-                yield pa.RecordBatch.from_arrays([whose.column(0), whose.column(1), pa.array(made, pa.string())], names=schema.names)
+                whose = [batch.column(k).take(pa.array([i] * len(made), pa.int64())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*whose, pa.array(made, pa.string())], names=schema.names)
 
-    return owners.select("tid", "id", "text", "places").mapInArrow(emit, schema)
+    return owners.select("tid", "id", "text", "owned").mapInArrow(emit, schema)
 
 
 class Automaton:
@@ -263,17 +262,16 @@ def _cut_texts(texts: DataFrame, window: int) -> DataFrame:
         held = written(held.withColumns({"tid": F.monotonically_increasing_id(), "n": word_count(joined(F.col("text")))}), "held")
 
         windows = _windows(held, window)
-        owner = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tid", "pos")).alias("owner")
-        owned = windows.groupBy("seed", "w").agg(owner, _recurs().alias("recurs")).where("recurs")
-        owned = written(owned.select("seed", "w", F.col("owner.id").alias("owner_id"), F.col("owner.tid").alias("owner_tid"), F.col("owner.pos").alias("pos")), "owned")
+        owned = windows.groupBy("seed", "w").agg(F.min("id").alias("owner_id"), F.min_by("tid", "id").alias("owner_tid"), _recurs().alias("recurs"))
+        owned = written(owned.where("recurs").drop("recurs"), "owned")
         shards = owned.count() // SHARD + 1
         shard = F.pmod(F.xxhash64("owner_tid"), F.lit(shards)).cast("int").alias("shard")
         later = F.col("id").isNull() | (F.col("id") > F.col("owner_id"))
-        routes = windows.select("tid", "id", "n", "seed", "w").join(owned.select("seed", "w", "owner_id", "owner_tid"), ["seed", "w"]).where(later)
+        routes = windows.select("tid", "id", "n", "seed", "w").join(owned, ["seed", "w"]).where(later)
         routes = written(routes.select("tid", "n", shard).distinct(), "routes")
         copies = written(routes.groupBy("shard").agg((F.floor(F.sum("n") / STREAM) + 1).cast("int").alias("copies")), "copies")
 
-        owners = owned.groupBy(F.col("owner_tid").alias("tid")).agg(F.collect_list("pos").alias("places"))
+        owners = owned.groupBy(F.col("owner_tid").alias("tid")).agg(F.collect_set("w").alias("owned"))
         owners = owners.join(held.select("tid", "id", "text"), "tid")
         passages = _passages(owners, window).withColumn("owner_tid", F.col("tid")).select("tid", "id", "text", shard).join(small(copies), "shard")
         passages = passages.select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("kind"), "tid", "id", "text")

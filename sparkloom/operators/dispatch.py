@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators import graphs
+from sparkloom.operators import chains, graphs, scans
 from sparkloom.operators.graphs import KEY
-from sparkloom.session import gathered, scope, written
 
 SATISFIED = ("success", "cached")
 
@@ -20,23 +19,13 @@ def skip_propagation(statuses: DataFrame, edges: DataFrame) -> DataFrame:
     """``statuses(graph, name, status, tolerant)`` with status ``skipped`` and the nearest cause for all that can't run.
 
     A node whose hard need is skipped or failed is skipped itself, unless it is ``tolerant``; a cached need is met.
-    Returns (graph, name, status, cause). Each round follows what the round before it has reached, and nothing else.
+    Returns (graph, name, status, cause). Chains are walked in one step (``chains.nearest``).
     """
     stopped = F.col("status").isin("skipped", "failed")
-    with scope() as keep:
-        needs = written(graphs.hard(edges).select("graph", "src", "dst"), "needs")
-        start = written(statuses.select(*KEY, "status", F.coalesce("tolerant", F.lit(False)).alias("tolerant")), "statuses")
-        part = graphs.dealt(needs, start)
-        needs, start = part(needs), part(start)
-        open_ = start.where(~stopped & ~F.col("tolerant")).select(KEY)
-        tables = [written(start.where(stopped).select(*KEY, F.lit(None).cast("string").alias("cause")), "skips")]
-        while not tables[-1].isEmpty():
-            front = part(tables[-1]).select("graph", F.col("name").alias("src"))
-            found = needs.join(front, ["graph", "src"]).groupBy("graph", F.col("dst").alias("name")).agg(F.min("src").cast("string").alias("cause"))
-            tables.append(written(found.join(open_, KEY, "left_semi").join(part(gathered(tables)), KEY, "left_anti"), "skips"))
-        hit = part(gathered(tables)).where("cause IS NOT NULL")
-        made = start.join(hit, KEY, "left").select(*KEY, F.when(F.col("cause").isNotNull(), "skipped").otherwise(F.col("status")).alias("status"), "cause")
-        return keep(written(made, "skipped"))
+    nodes = statuses.select(*KEY, "status", F.lit(0.0).alias("weight"), stopped.alias("start"), (F.coalesce("tolerant", F.lit(False)) & ~stopped).alias("closed"))
+    made = chains.nearest(nodes, graphs.hard(edges).select("graph", "src", "dst", F.lit(0).alias("pos")))
+    hit = F.col("dist") > 0
+    return made.select(*KEY, F.when(hit, "skipped").otherwise(F.col("status")).alias("status"), F.when(hit, F.col("before")).cast("string").alias("cause"))
 
 
 def dispatch_order(nodes: DataFrame, within: list[str] | None = None) -> DataFrame:
@@ -118,11 +107,15 @@ def resume_pending(nodes: DataFrame, live: DataFrame) -> DataFrame:
     return nodes.join(live.select("key").distinct(), "key", "left_anti")
 
 
-def event_log(runs: DataFrame) -> DataFrame:
-    """Events of runs, each once: ``running`` for those that started, then the final status; numbered within each run."""
+def event_log(runs: DataFrame, rows: int = scans.ROWS) -> DataFrame:
+    """Events of runs, each once: ``running`` for those that started, then the final status; numbered within each run.
+
+    A run may hold all events: it is numbered in parts of about so many ``rows``.
+    """
     keyed = runs.select("run_id", "name", "status", "attempts", "error", "duration", "reason", "started_at", "finished_at")
     began = keyed.where("started_at IS NOT NULL AND status <> 'skipped'")
     first = began.select("run_id", "name", F.lit("running").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("double").alias("duration"), F.lit(None).cast("string").alias("reason"), F.col("started_at").alias("ts"))
     last = keyed.where("status <> 'pending'").select("run_id", "name", "status", "attempts", "error", "duration", "reason", F.coalesce("finished_at", "started_at").alias("ts"))
     rank = F.when(F.col("status") == "running", 0).otherwise(1)
-    return first.unionByName(last).withColumn("seq", F.row_number().over(Window.partitionBy("run_id").orderBy("ts", rank, "name")))
+    numbered = scans.running(first.unionByName(last).withColumn("rank", rank), ["run_id"], ["ts", "rank", "name"], place="seq", rows=rows)
+    return numbered.withColumn("seq", F.col("seq").cast("int")).drop("rank")

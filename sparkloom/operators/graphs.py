@@ -2,24 +2,20 @@
 
 ``src`` is needed by ``dst``; ``kind`` is ``hard`` or ``soft``; ``pos`` orders the needs of a node. Soft edges carry values,
 not order: layers and paths follow hard edges only. Many graphs are worked on at once: all joins and groups are by
-(graph, name). Operators that follow edges keep a frontier, take a few rounds in one plan and write them to the shared
-folder, so plans don't grow with depth and what is done isn't touched again.
+(graph, name). Operators that follow edges contract chains first (``chains``), keep a frontier and write their rounds to
+the shared folder, so plans don't grow with depth and what is done isn't touched again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.errors import CyclicGraph
-from sparkloom.session import gathered, scope, written
+from sparkloom.operators import chains, scans
 
 KEY = ["graph", "name"]
-ROUNDS = 3  # in one plan
-SMALL = 100_000  # rows that one task takes without a shuffle
 
 
 def edges_of(nodes: DataFrame, needs_col: str = "needs", kind: str = "hard") -> DataFrame:
@@ -27,16 +23,17 @@ def edges_of(nodes: DataFrame, needs_col: str = "needs", kind: str = "hard") ->
     return nodes.select("graph", F.col("name").alias("dst"), F.posexplode(needs_col).alias("pos", "src")).select("graph", "src", "dst", F.lit(kind).alias("kind"), "pos")
 
 
-def chain_edges(nodes: DataFrame, order_col: str) -> DataFrame:
+def chain_edges(nodes: DataFrame, order_col: str, rows: int = scans.ROWS) -> DataFrame:
     """Each node needs the one before it."""
-    before = F.lag("name").over(Window.partitionBy("graph").orderBy(order_col, "name"))
-    return nodes.select("graph", before.alias("src"), F.col("name").alias("dst"), F.lit("hard").alias("kind"), F.lit(0).alias("pos")).where("src IS NOT NULL")
+    order = [order_col] if order_col == "name" else [order_col, "name"]
+    made = scans.running(nodes.select("graph", *dict.fromkeys([*order, "name"])), ["graph"], order, previous={"src": "name"}, rows=rows)
+    return made.where("src IS NOT NULL").select("graph", "src", F.col("name").alias("dst"), F.lit("hard").alias("kind"), F.lit(0).alias("pos"))
 
 
-def fan_out(nodes: DataFrame, items: DataFrame, item_col: str = "item") -> DataFrame:
+def fan_out(nodes: DataFrame, items: DataFrame, item_col: str = "item", rows: int = scans.ROWS) -> DataFrame:
     """One node for each item of its graph, named ``name[k]`` by the item's order; the item comes along."""
-    at = F.row_number().over(Window.partitionBy("graph").orderBy(item_col)) - 1
-    return nodes.join(items.withColumn("k", at), "graph").withColumn("name", F.concat("name", F.lit("["), F.col("k").cast("string"), F.lit("]")))
+    numbered = scans.running(items, ["graph"], [item_col], place="place", rows=rows).withColumn("k", (F.col("place") - 1).cast("int")).drop("place")
+    return nodes.join(numbered, "graph").withColumn("name", F.concat("name", F.lit("["), F.col("k").cast("string"), F.lit("]")))
 
 
 def missing_inputs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -49,66 +46,24 @@ def duplicate_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def dealt(*tables: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """What puts a table into one part, if these written ones are small together: rounds over them then need no shuffle."""
-    return (lambda df: df.coalesce(1)) if sum(t.count() for t in tables) <= SMALL else (lambda df: df)
-
-
 def hard(edges: DataFrame) -> DataFrame:
     return edges.where("kind = 'hard'")
 
 
-def _ordered(nodes: DataFrame, edges: DataFrame, weight: Column, paths: bool) -> DataFrame:
-    """(graph, name, layer, total, path) of all nodes over ``edges``, whatever their kind; layer null on or behind a cycle.
-
-    A node is ready when all of its needs are; in each round the nodes that have just become ready send their layer and
-    their heaviest path on. A table holds what isn't ready yet and what became ready while it was made.
-    """
-    with scope() as keep:
-        needs = written(edges.select("graph", "src", "dst", "pos"), "needs")
-        counts = needs.groupBy("graph", F.col("dst").alias("name")).agg(F.count("*").alias("open"))
-        path = F.array("name") if paths else F.lit(None).cast("array<string>")
-        weighted = nodes.select(*KEY, weight.alias("weight")).groupBy(KEY).agg(F.max("weight").alias("weight"))
-        start = written(weighted.join(counts, KEY, "left").withColumn("open", F.coalesce("open", F.lit(0))), "nodes")
-        part = dealt(needs, start)
-        needs, start = part(needs), part(start)
-        ready = F.col("open") == 0
-        best = F.lit(None).cast("struct<total: double, pos: int, src: string, path: array<string>>")
-        held = start.select(*KEY, "weight", "open", best.alias("best"), F.when(ready, 0).alias("layer"), F.when(ready, F.col("weight")).alias("total"), F.when(ready, path).alias("path"))
-        tables, layer, first = [], 0, 0
-        while True:
-            for _ in range(ROUNDS):
-                sent = held.where(F.col("layer") == layer).select("graph", F.col("name").alias("src"), "total", "path")
-                into = needs.join(sent, ["graph", "src"]).groupBy("graph", F.col("dst").alias("name"))
-                got = into.agg(F.count("*").alias("met"), F.max(F.struct("total", F.col("pos").cast("int").alias("pos"), F.col("src").cast("string").alias("src"), "path")).alias("new"))
-                layer += 1
-                joined = held.join(got, KEY, "left").withColumns({"open": F.col("open") - F.coalesce("met", F.lit(0)), "best": F.greatest("best", "new")})
-                now = F.col("layer").isNull() & (F.col("open") == 0)
-                way = F.concat("best.path", F.array("name")) if paths else F.col("path")
-                held = joined.select(
-                    *KEY, "weight", "open", "best", F.when(now, layer).otherwise(F.col("layer")).alias("layer"),
-                    F.when(now, F.col("best.total") + F.col("weight")).otherwise(F.col("total")).alias("total"), F.when(now, way).otherwise(F.col("path")).alias("path"),
-                )
-            made = written(held.withColumn("first", F.lit(first)), "layers")
-            tables.append(made)
-            last = made.where(F.col("layer") == layer)
-            if last.isEmpty():
-                break
-            held, first = part(made).drop("first").where(F.col("layer").isNull() | (F.col("layer") == layer)), layer + 1
-        whole = gathered(tables)
-        done = whole.where("layer >= first").select(*KEY, "layer", "total", "path")
-        rest = tables[-1].where("layer IS NULL").select(*KEY, "layer", "total", "path")
-        return keep(written(done.union(rest), "ordered"))
+def _ordered(nodes: DataFrame, edges: DataFrame, weight: Column) -> DataFrame:
+    """What ``chains.ordered`` tells of these nodes over ``edges``, whatever their kind."""
+    weighted = nodes.select(*KEY, weight.alias("weight")).groupBy(KEY).agg(F.max("weight").alias("weight"))
+    return chains.ordered(weighted.withColumn("cut", F.lit(False)), edges.select("graph", "src", "dst", "pos"))
 
 
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph, name, layer): 0 for nodes without hard needs, else one more than the highest; null on or behind a cycle."""
-    return _ordered(nodes, hard(edges), F.lit(0.0), False).select(*KEY, "layer")
+    return _ordered(nodes, hard(edges), F.lit(0.0)).select(*KEY, "layer")
 
 
 def cyclic_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that never become ready: on a cycle, or behind one. Soft edges count too."""
-    return _ordered(nodes, edges, F.lit(0.0), False).where("layer IS NULL").select(KEY)
+    return _ordered(nodes, edges, F.lit(0.0)).where("layer IS NULL").select(KEY)
 
 
 def prune_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -215,30 +170,46 @@ def expand_references(members: DataFrame, nodes: DataFrame, edges: DataFrame) ->
 
 def downstream(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph, name) of everything that can be reached from ``seeds`` along edges of any kind, the seeds included."""
-    with scope() as keep:
-        needs = written(edges.select("graph", "src", "dst"), "needs")
-        tables = [keep(written(seeds.select(KEY).distinct(), "reach"))]
-        part = dealt(needs, tables[0])
-        while not tables[-1].isEmpty():
-            front = part(tables[-1]).withColumnRenamed("name", "src")
-            nexts = part(needs).join(front, ["graph", "src"]).select("graph", F.col("dst").alias("name")).distinct()
-            tables.append(keep(written(nexts.join(part(gathered(tables)), KEY, "left_anti"), "reach")))
-        return gathered(tables)
+    needs = edges.select("graph", "src", "dst", F.lit(0).alias("pos"))
+    ends = needs.select("graph", F.explode(F.array("src", "dst")).alias("name"), F.lit(False).alias("start"))
+    nodes = ends.union(seeds.select(*KEY, F.lit(True))).groupBy(KEY).agg(F.max("start").alias("start"))
+    made = chains.nearest(nodes.withColumns({"weight": F.lit(0.0), "closed": F.lit(False)}), needs)
+    return made.where("dist IS NOT NULL").select(KEY)
 
 
-def longest_paths(nodes: DataFrame, edges: DataFrame, weight_col: str) -> DataFrame:
-    """(graph, name, layer, total, path): for each node the heaviest path of hard edges that ends there.
+def heaviest(nodes: DataFrame, edges: DataFrame, weight_col: str) -> DataFrame:
+    """(graph, name, layer, total, before): how heavy the heaviest path of hard edges is that ends at a node, and its last need.
 
     Of needs that tie, the one that is listed last is taken. Nodes on or behind a cycle are left out.
     """
-    return _ordered(nodes, hard(edges), F.coalesce(weight_col, F.lit(0.0)).cast("double"), True).where("layer IS NOT NULL")
+    return _heaviest(nodes, edges, weight_col).where("layer IS NOT NULL").select(*KEY, "layer", "total", "before")
+
+
+def _heaviest(nodes: DataFrame, edges: DataFrame, weight_col: str) -> DataFrame:
+    return _ordered(nodes, hard(edges), F.coalesce(weight_col, F.lit(0.0)).cast("double"))
+
+
+def longest_paths(nodes: DataFrame, edges: DataFrame, weight_col: str) -> DataFrame:
+    """``heaviest`` with the whole ``path`` of each node: as many names as all paths have together. For graphs that aren't deep."""
+    made = _heaviest(nodes, edges, weight_col)
+    paths = chains.in_order(chains.ways(made, made.where("layer IS NOT NULL").select("graph", F.col("name").alias("end"))), ["graph", "end"])
+    return made.join(paths.withColumnRenamed("end", "name"), KEY).select(*KEY, "layer", "total", "path")
+
+
+def critical_nodes(nodes: DataFrame, edges: DataFrame, weight_col: str) -> DataFrame:
+    """(graph, name, total, step, place): the nodes of the heaviest path of each graph, a row for each, and its total.
+
+    Of ends that tie, the first by layer and name. Falling steps, then rising places are the path's order.
+    """
+    made = _heaviest(nodes, edges, weight_col)
+    best = F.min(F.struct((-F.col("total")).alias("less"), "layer", "name")).alias("best")
+    ends = made.where("layer IS NOT NULL").groupBy("graph").agg(best).select("graph", F.col("best.name").alias("end"), (-F.col("best.less")).alias("total"))
+    return chains.ways(made, ends).join(ends, ["graph", "end"]).select(*KEY, "total", "step", "place")
 
 
 def critical_path(nodes: DataFrame, edges: DataFrame, weight_col: str) -> DataFrame:
-    """(graph, total, path): the heaviest path of each graph; of ends that tie, the first by layer and name."""
-    ends = longest_paths(nodes, edges, weight_col)
-    best = F.min(F.struct((-F.col("total")).alias("less"), "layer", "name", "path")).alias("best")
-    return ends.groupBy("graph").agg(best).select("graph", (-F.col("best.less")).alias("total"), "best.path")
+    """(graph, total, path): ``critical_nodes`` as an array for each graph."""
+    return chains.in_order(critical_nodes(nodes, edges, weight_col), ["graph", "total"])
 
 
 def mermaid(nodes: DataFrame, edges: DataFrame, direction: str = "TD") -> DataFrame:

@@ -59,6 +59,41 @@ def page(df: DataFrame, order: Sequence[Column], limit: int = 100, offset: int =
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def deep_page(df: DataFrame, order: Sequence[str], limit: int = 100, offset: int = 0, rows: int = 1_000_000, sample: int = 4096, parts: int = 64) -> DataFrame:
+    """``page`` for an offset far behind: rising ``order`` (nulls first), which should be total, without a sort of all rows.
+
+    A sample of about so many rows gives splitters, which bound how much is read again and not what is found: rows are
+    counted exactly between them, and only those of the parts that the page lies in are kept, until about ``rows`` are left
+    to be sorted. Each turn is two scans, nothing is shuffled but counts, and the splitters reach Parquet as a filter on the
+    first column.
+    """
+    skip, n, key = offset, df.count(), F.struct(*order)
+    while n > rows:
+        drawn = df.select(*order).sample(min(1.0, sample / n), 7).na.drop().orderBy(*order).collect()
+        cuts = list(dict.fromkeys(tuple(drawn[k * len(drawn) // parts]) for k in range(1, parts))) if drawn else []
+        if not cuts:
+            break
+        values = [F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, cut)]) for cut in cuts]
+        part = F.size(F.filter(F.array(*values), lambda cut: cut <= key))
+        counts = dict(df.groupBy(part.alias("part")).count().collect())
+        at, first = 0, 0
+        while at + counts.get(first, 0) <= skip and first < len(cuts):
+            at, first = at + counts.get(first, 0), first + 1
+        last, end = first, at + counts.get(first, 0)
+        while end < skip + limit and last < len(cuts):
+            last += 1
+            end += counts.get(last, 0)
+        if end - at >= n:
+            break
+        kept, column = (part >= first) & (part <= last), F.col(order[0])
+        if first > 0:
+            kept &= column >= F.lit(cuts[first - 1][0])
+        if last < len(cuts):
+            kept &= column.isNull() | (column <= F.lit(cuts[last][0])) if first == 0 else column <= F.lit(cuts[last][0])
+        df, skip, n = df.where(kept), skip - at, end - at
+    return page(df, [F.col(c) for c in order], limit, skip)
+
+
 def group_threads(df: DataFrame, subject_col: str, key_col: str, order_col: str) -> DataFrame:
     """(subject, n, first_key, last_key, latest): rows grouped by their normalised subject; empty ones share a label."""
     normal = normalize_subject(F.coalesce(F.col(subject_col), F.lit("")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators import graphs
+from sparkloom.operators import graphs, scans
 
 
 def seconds(stamp: str | Column) -> Column:
@@ -54,23 +54,19 @@ def wait_times(runs: DataFrame, edges: DataFrame) -> DataFrame:
     return runs.join(ready, ["run_id", "name"], "left").select("run_id", "name", F.coalesce(wait, F.lit(0.0)).alias("wait"))
 
 
-def parallelism(spans: DataFrame, by: list[str] | None = None) -> DataFrame:
+def parallelism(spans: DataFrame, by: list[str] | None = None, rows: int = scans.ROWS) -> DataFrame:
     """Peak and average of how many spans (``begin``, ``end`` in seconds) are open at once, for each of ``by``.
 
     Ends come before begins at the same moment; spans without length don't count. The average is the spans' total over
     the time from the first begin to the last end. Changes are summed for each moment first, so a moment at which a
-    great many spans begin is one row.
+    great many spans begin is one row; moments are swept in parts of about so many ``rows``, so a run may hold all spans.
     """
     by = by or ["run_id"]
     open_ = spans.where(F.col("end") > F.col("begin"))
-    change = lambda at, up: F.struct(F.col(at).alias("at"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"))
-    points = open_.select(*by, F.explode(F.array(change("begin", 1), change("end", 0))).alias("p"))
-    moments = points.groupBy(*by, "p.at").agg(F.sum("p.up").alias("up"), F.sum("p.down").alias("down"))
-    order = Window.partitionBy(*by).orderBy("at")
-    level = F.sum(F.col("up") - F.col("down")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    swept = moments.withColumn("level", level)
+    change = lambda at, by_one: F.struct(F.col(at).alias("at"), F.lit(by_one).alias("change"))
+    points = open_.select(*by, F.explode(F.array(change("begin", 1), change("end", -1))).alias("p")).select(*by, "p.at", "p.change")
+    peaks = scans.peaks(points, by, "at", F.col("change"), rows)
     totals = open_.groupBy(*by).agg(F.sum(F.col("end") - F.col("begin")).alias("area"), F.min("begin").alias("first"), F.max("end").alias("last"))
-    peaks = swept.groupBy(*by).agg(F.max("level").alias("peak"))
     return peaks.join(totals, by).select(*by, "peak", (F.col("area") / (F.col("last") - F.col("first"))).alias("average"))
 
 
@@ -97,7 +93,7 @@ def critical_path(runs: DataFrame, edges: DataFrame) -> DataFrame:
 def profile(runs: DataFrame, edges: DataFrame) -> DataFrame:
     """A row for each task: status, duration, attempts, wait, hard needs and whether it is on the critical path."""
     needs = graphs.hard(edges).groupBy("run_id", F.col("dst").alias("name")).agg(F.array_sort(F.collect_list(F.struct("pos", "src"))).alias("n"))
-    path = critical_path(runs, edges).select("run_id", F.explode("path").alias("name"), F.lit(True).alias("critical"))
+    path = graphs.critical_nodes(*as_graph(runs, edges), "duration").select(F.col("graph").alias("run_id"), "name", F.lit(True).alias("critical"))
     joined = runs.join(wait_times(runs, edges), ["run_id", "name"]).join(needs, ["run_id", "name"], "left").join(path, ["run_id", "name"], "left")
     return joined.select(
         "run_id", "name", "status", F.coalesce("duration", F.lit(0.0)).alias("duration"), "attempts", "wait", F.coalesce(F.col("n.src"), F.array().cast("array<string>")).alias("needs"),
@@ -107,7 +103,8 @@ def profile(runs: DataFrame, edges: DataFrame) -> DataFrame:
 
 def run_profile(runs: DataFrame, edges: DataFrame) -> DataFrame:
     """A row for each run: wall, critical, efficiency (critical / wall, 0 for no wall), peak and average parallelism, waits."""
-    critical = critical_path(runs, edges).select("run_id", F.col("total").alias("critical"))
+    totals = graphs.heaviest(*as_graph(runs, edges), "duration")
+    critical = totals.groupBy(F.col("graph").alias("run_id")).agg(F.max("total").alias("critical"))
     waits = wait_times(runs, edges).groupBy("run_id").agg(F.sum("wait").alias("waiting"))
     joined = wall_clock(runs).join(critical, "run_id", "left").join(parallelism(run_spans(runs)), "run_id", "left").join(waits, "run_id", "left")
     share = F.when(F.col("wall") > 0, F.coalesce("critical", F.lit(0.0)) / F.col("wall")).otherwise(0.0)
@@ -122,9 +119,9 @@ def gantt(runs: DataFrame, edges: DataFrame) -> DataFrame:
     """
     waits = wait_times(runs, edges)
     nodes = runs.join(waits, ["run_id", "name"]).withColumn("span", F.coalesce("duration", F.lit(0.0)) + F.col("wait")).withColumnRenamed("run_id", "graph")
-    ends = graphs.longest_paths(nodes, edges.withColumnRenamed("run_id", "graph"), "span").select(F.col("graph").alias("run_id"), "name", F.col("total").alias("end"))
+    ends = graphs.heaviest(nodes, edges.withColumnRenamed("run_id", "graph"), "span").select(F.col("graph").alias("run_id"), "name", F.col("total").alias("end"))
     bars = ends.join(durations(runs), ["run_id", "name"]).withColumn("begin", F.col("end") - F.col("duration"))
-    run = Window.partitionBy("run_id")
-    first, whole = F.min("begin").over(run), F.max("end").over(run) - F.min("begin").over(run)
-    pct = lambda c: F.coalesce(F.try_divide(c, whole) * 100, F.lit(0.0))
-    return bars.select("run_id", "name", "begin", "end", F.round(pct(F.col("begin") - first), 4).alias("left_pct"), F.round(pct(F.col("end") - F.col("begin")), 4).alias("width_pct"))
+    whole = bars.groupBy("run_id").agg(F.min("begin").alias("first"), (F.max("end") - F.min("begin")).alias("whole"))
+    bars = bars.join(whole, "run_id")
+    pct = lambda c: F.coalesce(F.try_divide(c, F.col("whole")) * 100, F.lit(0.0))
+    return bars.select("run_id", "name", "begin", "end", F.round(pct(F.col("begin") - F.col("first")), 4).alias("left_pct"), F.round(pct(F.col("end") - F.col("begin")), 4).alias("width_pct"))

@@ -14,7 +14,8 @@ import uuid
 import weakref
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from sparkloom.errors import NoSharedFolder
 
@@ -73,6 +74,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return made
 
 
+def counted(df: DataFrame, label: str, which: Column | None = None) -> tuple[DataFrame, int]:
+    """``written``, and how many rows there are, or how many of them ``which`` holds for: counted as they are written."""
+    seen = Observation()
+    made = written(df.observe(seen, (F.count("*") if which is None else F.count_if(which)).alias("n")), label)
+    return made, seen.get["n"]
+
+
 def gathered(tables: list[DataFrame]) -> DataFrame:
     """All rows of tables of one schema that ``written`` made, as one scan: plans don't grow with their number."""
     return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[_paths[t] for t in tables])

@@ -11,16 +11,14 @@ import contextlib
 import datetime
 import inspect
 import io
-import logging
-import random
-import time
 import uuid
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, fields, replace
+from functools import reduce
 from graphlib import CycleError, TopologicalSorter
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from sparkloom.errors import BindingError, CyclicGraph, DuplicateStep, MissingInput, StepFailed
 
@@ -30,60 +28,20 @@ EDGES = "run_id string, src string, dst string, kind string, pos int"
 
 
 EVENTS = "run_id string, name string, status string, attempts int, error string, duration double, reason string, ts timestamp"
-log = logging.getLogger("sparkloom")
 
 
 class Context(Mapping):
     """Annotates a parameter that gets the results of all needs of a step at once, by their names."""
 
 
-@dataclass(frozen=True)
-class Retry:
-    """How often a step is tried, after which errors, and how long it waits before the next attempt.
-
-    Before attempt n + 1 it waits ``delay * backoff ** (n - 1)`` seconds and up to ``jitter`` more. Spark repeats failed
-    tasks by itself; this is for steps that fail as a whole, such as a source that isn't there yet.
-    """
-
-    attempts: int = 1
-    delay: float = 0.0
-    backoff: float = 1.0
-    jitter: float = 0.0
-    on: tuple[type[BaseException], ...] = (Exception,)
-
-    def __post_init__(self) -> None:
-        if self.attempts < 1 or min(self.delay, self.backoff, self.jitter) < 0:
-            raise ValueError("a step needs at least one attempt, and waits no less than 0 seconds")
-
-    def wait(self, attempt: int) -> float:
-        return self.delay * self.backoff ** (attempt - 1) + random.uniform(0, self.jitter)
-
-
-@dataclass(frozen=True)
-class Hooks:
-    """Called around a step: before it runs, with its result, or with the error it failed with for good.
-
-    What a hook raises is logged and changes nothing. A result is a lazy DataFrame: a hook that counts it runs a job;
-    ``df.observe`` in the step itself counts rows along the way.
-    """
-
-    before: Callable[[Step], None] | None = None
-    after: Callable[[Step, Any], None] | None = None
-    failed: Callable[[Step, BaseException], None] | None = None
-
-    def call(self, name: str, *args: Any) -> None:
-        try:
-            if hook := getattr(self, name):
-                hook(*args)
-        except Exception as e:
-            log.warning("hook %s of step %s raised %r", name, args[0].name, e)
-
-
 @dataclass(frozen=True)
 class Step:
     """One step. ``soft`` needs may be missing or skipped: they then give their value in ``defaults``, else None.
 
-    ``needs`` are steps it needs besides those that its parameters name; it sees them through a parameter annotated
+    ``attempts`` is how often it may be tried, at once one after the other, as long as ``again`` says so of the error: Spark
+    repeats failed tasks by itself, and a source that has to be waited for is a matter for whoever starts runs.
+    ``measures`` are aggregates by name that Spark works out while the result is first computed (``df.observe``), without a
+    job of their own; ``Report.measured`` has them then. ``needs`` are steps it needs besides those that its parameters name; it sees them through a parameter annotated
     ``Context`` or through ``**kwargs``.
     """
 
@@ -96,8 +54,8 @@ class Step:
     when: tuple[Condition, ...] = ()
     tags: tuple[str, ...] = ()
     attempts: int = 1
-    retry: Retry | None = None  # in place of ``attempts``
-    hooks: Hooks = Hooks()
+    again: Callable[[Exception], bool] | None = None
+    measures: Mapping[str, Column] = field(default_factory=dict)
     tolerate_skips: bool = False
     continue_on_error: bool = False
     store: bool = False  # write the result to the run's state, and take it from there next time
@@ -109,18 +67,14 @@ class Step:
         if self.attempts < 1:
             raise ValueError("a step needs at least one attempt")
 
-    @property
-    def tries(self) -> Retry:
-        return self.retry or Retry(self.attempts)
-
 
 @dataclass(frozen=True)
 class Defaults:
     """What steps of a pipeline have where they say nothing themselves."""
 
-    retry: Retry | None = None
+    attempts: int = 1
     tags: tuple[str, ...] = ()
-    hooks: Hooks = Hooks()
+    measures: Mapping[str, Column] = field(default_factory=dict)
     tolerate_skips: bool = False
     continue_on_error: bool = False
     store: bool = False
@@ -138,6 +92,26 @@ def template(fn: Callable, **options: Any) -> Callable[..., Step]:
     return lambda name, **more: Step(name, fn, **(options | more))
 
 
+def each(name: str, fn: Callable, items: Iterable[Any], parameter: str = "item", gather: Callable[[dict[str, Any]], Any] | None = None, **options: Any) -> list[Step]:
+    """A step ``name_k`` for each item, which ``fn`` gets as its ``parameter``, and a step ``name`` with the results of all.
+
+    ``gather`` makes one result of them, by step (of those that weren't skipped); without it rows are put together. Spark
+    sees the parts of a union as one query: for items that are rows, use a join instead.
+    """
+    parts = [Step(f"{name}_{k}", fn, static={parameter: item}, **options) for k, item in enumerate(items)]
+
+    def together(**given: Any) -> Any:
+        there = {n: v for n, v in given.items() if v is not None}
+        return gather(there) if gather else reduce(DataFrame.unionByName, there.values()) if there else None
+
+    return [*parts, Step(name, together, needs=tuple(p.name for p in parts), tolerate_skips=True)]
+
+
+def in_turn(*steps: Step) -> list[Step]:
+    """Steps that each need the one before, besides what their parameters name."""
+    return [s if not k else replace(s, needs=(*s.needs, steps[k - 1].name)) for k, s in enumerate(steps)]
+
+
 def sql_step(name: str, query: str, needs: Iterable[str], **options: Any) -> Step:
     """A step in SQL text; the steps it needs are what ``{name}`` stands for in the text."""
     needs = tuple(needs)
@@ -189,6 +163,11 @@ class Report:
     values: dict[str, Any]
     edges: list[tuple]
     events: list[dict] = field(default_factory=list)
+    observed: dict[str, Observation] = field(default_factory=dict)
+
+    def measured(self, name: str) -> dict[str, Any]:
+        """A step's ``measures``: waits for the first action on its result."""
+        return self.observed[name].get
 
     def __getitem__(self, name: str) -> Any:
         return self.values[name]
@@ -224,9 +203,9 @@ class Report:
 
 
 def _takes_all(p: inspect.Parameter) -> bool:
-    """Whether a parameter is annotated as the mapping of all needs, by the class or by its name."""
+    """Whether a parameter is annotated as the mapping of all needs: ``Context`` or any ``Mapping``, by the class or by its name."""
     named = p.annotation if isinstance(p.annotation, str) else getattr(p.annotation, "__name__", "")
-    return p.annotation is Context or named.rpartition(".")[2] == "Context"
+    return named.partition("[")[0].rpartition(".")[2] in ("Context", "Mapping")
 
 
 class Pipeline:
@@ -251,10 +230,7 @@ class Pipeline:
         s, plain = self.steps[name], Step("plain", lambda: None)
         if self.defaults is None:
             return s
-        own = {f.name: getattr(self.defaults, f.name) for f in fields(Defaults) if getattr(s, f.name) == getattr(plain, f.name)}
-        if s.attempts > 1:
-            own.pop("retry", None)
-        return replace(s, **own)
+        return replace(s, **{f.name: getattr(self.defaults, f.name) for f in fields(Defaults) if getattr(s, f.name) == getattr(plain, f.name)})
 
     def _needs(self, s: Step) -> dict[str, str]:
         """Steps it needs, and whether hard or soft."""
@@ -291,28 +267,18 @@ class Pipeline:
             at[n] = 1 + max((at[x] for x, kind in self._needs(self.steps[n]).items() if kind == "hard"), default=-1)
         return [sorted(n for n in at if at[n] == k) for k in range(max(at.values(), default=-1) + 1)]
 
-    def binding(self, name: str) -> str:
-        """Where a step's parameters get their values from, as text."""
-        s, parts = self.steps[name], []
-        needs = self._needs(s)
-        for p in inspect.signature(s.fn).parameters.values():
-            if p.kind is p.VAR_KEYWORD:
-                parts.append("**all needs")
-            elif p.name in s.static:
-                parts.append(f"{p.name}={s.static[p.name]!r}")
-            elif p.name in needs:
-                parts.append(f"{p.name}=<{needs[p.name]} {p.name}>")
-            elif _takes_all(p):
-                parts.append(f"{p.name}=<all needs>")
-            else:
-                parts.append(f"{p.name}=<session>" if p.name == "spark" else f"{p.name}=<default>")
-        return f"{name}({', '.join(parts)})"
+    def bindings(self) -> list[tuple[str, str, str, str]]:
+        """(step, parameter, source, kind), sorted: what every value comes from. Kinds are hard and soft (needs), static and session."""
+        asked = {n: set(inspect.signature(s.fn).parameters) for n, s in self.steps.items()}
+        needs = {(dst, src if src in asked[dst] else "(all needs)", src, kind) for src, dst, kind, _ in self.edges()}
+        static = {(n, key, str(value), "static") for n, s in self.steps.items() for key, value in s.static.items()}
+        return sorted(needs | static | {(n, "spark", "spark", "session") for n, names in asked.items() if "spark" in names - set(self.steps[n].static)})
 
     def dry_run(self, spark: SparkSession | None = None) -> str:
         """What a run would do, without doing it: layers and bindings; with a session, the plans of the last steps too."""
-        lines = [f"{len(self.steps)} steps in {len(self.layers())} layers"]
+        lines, told = [f"{len(self.steps)} steps in {len(self.layers())} layers"], self.bindings()
         for k, layer in enumerate(self.layers(), 1):
-            lines += [f"layer {k}", *(f"  {self.binding(n)}" for n in layer)]
+            lines += [f"layer {k}", *(f"  {n}: " + ", ".join(f"{p} from {source} ({kind})" for step_, p, source, kind in told if step_ == n) for n in layer)]
         used = {src for src, *_ in self.edges()}
         for n in [n for n in self.order if n not in used] if spark is not None else []:
             made = self.plan(spark, n)
@@ -384,13 +350,13 @@ class Pipeline:
 
         A step is skipped if a condition doesn't hold (one that raises doesn't), or if a hard need was skipped or
         failed; a stored result counts as met. Results that aren't stored stay lazy: their cost, and any error in their
-        data, comes with the first action on them. Tasks that fail are repeated by Spark; ``retry`` repeats a step.
+        data, comes with the first action on them.
         """
         report = Report(uuid.uuid4().hex, [], {}, self.edges())
         status: dict[str, str] = {}
 
         def tell(row: dict, **more: Any) -> None:
-            event = {c.split()[0]: row.get(c.split()[0]) for c in EVENTS.split(", ")} | {"ts": datetime.datetime.now()} | more
+            event = {c.split()[0]: row.get(c.split()[0]) for c in EVENTS.split(", ")} | {"ts": datetime.datetime.now(datetime.timezone.utc)} | more
             report.events.append(event)
             if listener is not None:
                 listener(event)
@@ -398,9 +364,9 @@ class Pipeline:
         try:
             for n in self.order:
                 s = self.resolved(n)
-                row = {"run_id": report.run_id, "name": n, "tags": list(s.tags), "started_at": datetime.datetime.now(), "attempts": 0}
-                self._settle(spark, s, state, report.values, status, row, lambda row=row: tell(row, status="running"))
-                row["finished_at"] = datetime.datetime.now()
+                row = {"run_id": report.run_id, "name": n, "tags": list(s.tags), "started_at": datetime.datetime.now(datetime.timezone.utc), "attempts": 0}
+                self._settle(spark, s, state, report, status, row, lambda row=row: tell(row, status="running"))
+                row["finished_at"] = datetime.datetime.now(datetime.timezone.utc)
                 row["duration"] = (row["finished_at"] - row["started_at"]).total_seconds()
                 status[n] = row["status"]
                 report.rows.append(row)
@@ -412,7 +378,8 @@ class Pipeline:
                 state.commit()
         return report
 
-    def _settle(self, spark: SparkSession, s: Step, state: Any, values: dict[str, Any], status: dict[str, str], row: dict, begin: Callable[[], None]) -> None:
+    def _settle(self, spark: SparkSession, s: Step, state: Any, report: Report, status: dict[str, str], row: dict, begin: Callable[[], None]) -> None:
+        values = report.values
         inputs = self._inputs(s, values)
         key = s.name if s.cache_key is None else f"{s.name}:{s.cache_key(inputs)}"
         held = state.load(key) if state is not None and s.store else None
@@ -433,18 +400,15 @@ class Pipeline:
                 row |= {"status": "skipped", "reason": "condition"}
                 return
         begin()
-        s.hooks.call("before", s)
-        while True:
+        while row.get("status") is None:
             row["attempts"] += 1
             try:
                 made = self._call(spark, s, values)
+                if s.measures and isinstance(made, DataFrame):
+                    report.observed[s.name] = Observation(s.name)
+                    made = made.observe(report.observed[s.name], *[e.alias(n) for n, e in s.measures.items()])
                 values[s.name] = state.save(key, made) if state is not None and s.store else made
                 row["status"] = "success"
-                s.hooks.call("after", s, values[s.name])
-                return
             except Exception as e:
-                if row["attempts"] >= s.tries.attempts or not isinstance(e, s.tries.on):
+                if row["attempts"] >= s.attempts or (s.again is not None and not s.again(e)):
                     row |= {"status": "failed", "error": str(e)[:2000], "cause": e}
-                    s.hooks.call("failed", s, e)
-                    return
-            time.sleep(s.tries.wait(row["attempts"]))

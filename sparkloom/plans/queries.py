@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 from functools import reduce
 
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
 from sparkloom.operators import cycles, dispatch, graphs, overlaps, relational, runs
-from sparkloom.plans.pipeline import Context, Defaults, Pipeline, Retry, Step, all_of, any_of, first_value, negate, non_empty, present, sql_step, template
-from sparkloom.session import shared_dir
+from sparkloom.plans.pipeline import Context, Defaults, Pipeline, Step, all_of, any_of, each, first_value, in_turn, negate, non_empty, present, sql_step, template
+from sparkloom.session import counted, shared_dir
 from sparkloom.sources import files
 from sparkloom.sources.mail import parse_mails
 from sparkloom.sources.state import TableState
@@ -179,7 +180,7 @@ def order_steps(sf_dir: str) -> Pipeline:
     return Pipeline(
         make("urgent", static={"priority": "1-URGENT"}), make("low", static={"priority": "5-LOW"}), empty,
         Step("counts", counts, needs=("low", "none", "urgent")),
-        Step("flaky", flaky, retry=Retry(5, delay=0.0, on=(OSError,))),
+        Step("flaky", flaky, attempts=5, again=lambda e: isinstance(e, OSError)),
         Step("never", same("none"), needs=("none",), when=(non_empty("none"),)),
         Step("behind", lambda never: never), Step("anyway", same("behind"), needs=("behind",), when=(negate(present("behind")),), tolerate_skips=True),
         Step("largest", largest, soft=("never",), static={"floor": 1000.0}),
@@ -189,42 +190,76 @@ def order_steps(sf_dir: str) -> Pipeline:
     )
 
 
-@query("""
-    SELECT * FROM (VALUES ('after_broken', 'skipped', 0, 'plain'), ('anyway', 'success', 1, 'plain'), ('behind', 'skipped', 0, 'plain'), ('broken', 'failed', 2, 'plain'), ('counts', 'success', 1, 'plain'), ('flaky', 'success', 3, 'plain'),
-      ('largest', 'success', 1, 'plain'), ('low', 'success', 1, 'source'), ('many', 'success', 1, 'plain'), ('never', 'skipped', 0, 'plain'), ('none', 'success', 1, 'source'), ('one', 'success', 1, 'plain'), ('urgent', 'success', 1, 'source')) t(name, status, attempts, tags)
-""")
+def priority_steps(spark: SparkSession, sf_dir: str) -> Pipeline:
+    """A step for each order priority that the table has. The table also decides which are skipped, how often they are tried and what fails."""
+    tried: dict[str, int] = {}
+    found = [r[0] for r in table(spark, sf_dir, "orders").select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()]
+    of = lambda df, item: df.where(F.col("o_orderpriority") == item)
+
+    def part(orders: DataFrame, item: str) -> DataFrame:
+        """Isn't there before as many attempts as its number of orders says."""
+        tried[item] = tried.get(item, 0) + 1
+        if tried[item] <= of(orders, item).count() % 3:
+            raise OSError("not there yet")
+        return of(orders, item).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("largest"))
+
+    def odd(orders: DataFrame) -> DataFrame:
+        if of(orders, found[-1]).count() % 2:
+            raise ValueError("an odd number")
+        return orders
+
+    def totals(part: DataFrame, odd: DataFrame | None) -> DataFrame:
+        return part.agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).withColumn("even", F.lit(odd is not None))
+
+    parts = each("part", part, found, attempts=3, again=lambda e: isinstance(e, OSError), tags=("part",), measures={"rows": F.count("*")})
+    parts = [s if s.name == "part" else replace(s, when=(lambda inputs, item=s.static["item"]: 5 * of(inputs["orders"], item).count() >= inputs["orders"].count(),)) for s in parts]
+    last = in_turn(Step("odd", odd, attempts=2, continue_on_error=True), Step("after_odd", lambda odd: odd), Step("behind", lambda spark: spark.range(1)))
+    return Pipeline(Step("orders", lambda spark: table(spark, sf_dir, "orders")), *parts, *last, Step("totals", totals, soft=("odd",)), defaults=Defaults(tags=("plain",)))
+
+
+_PRIORITIES = """
+    p AS (SELECT o_orderpriority AS item, count(*) AS n, 'part_' || (row_number() OVER (ORDER BY o_orderpriority) - 1) AS name FROM orders GROUP BY o_orderpriority),
+    l AS (SELECT n % 2 = 1 AS odd FROM p ORDER BY item DESC LIMIT 1),
+    s AS (SELECT 'orders' AS name, 'success' AS status, 1 AS attempts UNION ALL SELECT 'part', 'success', 1 UNION ALL SELECT 'totals', 'success', 1
+          UNION ALL SELECT name, CASE WHEN 5 * n >= (SELECT count(*) FROM orders) THEN 'success' ELSE 'skipped' END, CASE WHEN 5 * n >= (SELECT count(*) FROM orders) THEN 1 + n % 3 ELSE 0 END FROM p
+          UNION ALL SELECT 'odd', CASE WHEN odd THEN 'failed' ELSE 'success' END, CASE WHEN odd THEN 2 ELSE 1 END FROM l
+          UNION ALL SELECT unnest(['after_odd', 'behind']), CASE WHEN odd THEN 'skipped' ELSE 'success' END, CASE WHEN odd THEN 0 ELSE 1 END FROM l)
+"""
+
+
+@query(f"WITH {_PRIORITIES} SELECT name, status, attempts::INTEGER AS attempts, CASE WHEN name LIKE 'part\\__%' ESCAPE '\\' THEN 'part' ELSE 'plain' END AS tags FROM s")
 def step_statuses(spark, sf_dir):
-    report = order_steps(sf_dir).run(spark)
+    report = priority_steps(spark, sf_dir).run(spark)
     return report.runs(spark).select("name", "status", "attempts", F.array_join("tags", ",").alias("tags"))
 
 
-@query("""
-    SELECT name, status, count(*) AS n FROM (
-      SELECT unnest(['anyway', 'broken', 'counts', 'flaky', 'largest', 'low', 'many', 'none', 'one', 'urgent']) AS name, 'running' AS status
-      UNION ALL SELECT unnest(['anyway', 'counts', 'flaky', 'largest', 'low', 'many', 'none', 'one', 'urgent']), 'success' UNION ALL SELECT 'broken', 'failed' UNION ALL SELECT unnest(['after_broken', 'behind', 'never']), 'skipped')
-    GROUP BY ALL
-""")
+@query(f"WITH {_PRIORITIES} SELECT name, status, count(*) AS n FROM (SELECT name, status FROM s UNION ALL SELECT name, 'running' FROM s WHERE status <> 'skipped') GROUP BY ALL")
 def step_events(spark, sf_dir):
-    report = order_steps(sf_dir).run(spark)
+    report = priority_steps(spark, sf_dir).run(spark)
     return report.task_events(spark).groupBy("name", "status").agg(F.count("*").alias("n"))
 
 
-@query("""
-    SELECT * FROM (VALUES ('low', 'counts', 'hard'), ('none', 'counts', 'hard'), ('urgent', 'counts', 'hard'), ('urgent', 'flaky', 'hard'), ('none', 'never', 'hard'), ('never', 'behind', 'hard'), ('behind', 'anyway', 'hard'),
-      ('urgent', 'largest', 'hard'), ('never', 'largest', 'soft'), ('urgent', 'broken', 'hard'), ('broken', 'after_broken', 'hard'), ('urgent', 'one', 'hard'), ('one', 'many', 'hard'), ('none', 'many', 'hard')) t(src, dst, kind)
+@query(f"""
+    WITH {_PRIORITIES} SELECT 'orders' AS src, name AS dst, 'hard' AS kind FROM p UNION ALL SELECT name, 'part', 'hard' FROM p
+    UNION ALL SELECT * FROM (VALUES ('orders', 'odd', 'hard'), ('odd', 'after_odd', 'hard'), ('after_odd', 'behind', 'hard'), ('part', 'totals', 'hard'), ('odd', 'totals', 'soft'))
 """)
 def step_edges(spark, sf_dir):
-    return order_steps(sf_dir).tables(spark)[1].select("src", "dst", "kind")
+    return priority_steps(spark, sf_dir).tables(spark)[1].select("src", "dst", "kind")
 
 
-@query("""
-    SELECT * FROM (VALUES (0, 'low(spark=<session>, priority=''5-LOW'')'), (0, 'none(spark=<session>, priority=''no such'')'), (0, 'urgent(spark=<session>, priority=''1-URGENT'')'), (1, 'broken(urgent=<hard urgent>)'),
-      (1, 'counts(ctx=<all needs>)'), (1, 'flaky(urgent=<hard urgent>)'), (1, 'largest(urgent=<hard urgent>, never=<soft never>, floor=1000.0)'), (1, 'never(**all needs)'), (1, 'one(urgent=<hard urgent>)'),
-      (2, 'after_broken(broken=<hard broken>)'), (2, 'behind(never=<hard never>)'), (2, 'many(**all needs)'), (3, 'anyway(**all needs)')) t(layer, binding)
+@query(f"""
+    WITH {_PRIORITIES} SELECT name AS step, 'item' AS parameter, item AS source, 'static' AS kind FROM p UNION ALL SELECT name, 'orders', 'orders', 'hard' FROM p UNION ALL SELECT 'part', '(all needs)', name, 'hard' FROM p
+    UNION ALL SELECT * FROM (VALUES ('orders', 'spark', 'spark', 'session'), ('odd', 'orders', 'orders', 'hard'), ('after_odd', 'odd', 'odd', 'hard'), ('behind', '(all needs)', 'after_odd', 'hard'), ('behind', 'spark', 'spark', 'session'),
+                                     ('totals', 'part', 'part', 'hard'), ('totals', 'odd', 'odd', 'soft'))
 """)
 def step_bindings(spark, sf_dir):
-    p = order_steps(sf_dir)
-    return spark.createDataFrame([(k, p.binding(n)) for k, layer in enumerate(p.layers()) for n in layer], "layer int, binding string")
+    return spark.createDataFrame(priority_steps(spark, sf_dir).bindings(), "step string, parameter string, source string, kind string")
+
+
+@query(f"WITH {_PRIORITIES} SELECT coalesce(sum(n), 0)::BIGINT AS n, count(*) AS kinds, (SELECT NOT odd FROM l) AS even FROM p WHERE 5 * n >= (SELECT count(*) FROM orders)")
+def step_fan_out(spark, sf_dir):
+    """Parts that are skipped leave the rest to be put together; a soft need that failed is nothing."""
+    return priority_steps(spark, sf_dir).run(spark)["totals"]
 
 
 @query("""
@@ -241,18 +276,21 @@ def step_soft_default(spark, sf_dir):
 
 
 @query("""
-    SELECT * FROM (VALUES (1, 'orders', 'success'), (1, 'totals', 'success'), (2, 'orders', 'success'), (2, 'totals', 'cached'), (3, 'orders', 'success'), (3, 'totals', 'success')) t(run, name, status)
+    SELECT run, name, status, CASE WHEN run = 3 THEN (SELECT count(*) FROM orders WHERE o_totalprice > 150000) ELSE (SELECT count(*) FROM orders) END AS n, (SELECT count(DISTINCT o_orderstatus) FROM orders) AS kinds
+    FROM (VALUES (1, 'orders', 'success'), (1, 'totals', 'success'), (2, 'orders', 'success'), (2, 'totals', 'cached'), (3, 'orders', 'success'), (3, 'totals', 'success')) t(run, name, status)
 """)
 def stored_steps(spark, sf_dir):
-    """A step's stored result is taken up by the next run, until it is cleared."""
+    """A step's stored result is taken up by the next run, although its input is another one by then, until it is cleared."""
     state = TableState(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}")
-    orders = Step("orders", lambda spark: table(spark, sf_dir, "orders"))
     totals = Step("totals", lambda orders: orders.groupBy("o_orderstatus").agg(F.count("*").alias("n")), store=True, cache_key=lambda inputs: "by-status")
     made = []
     for k in (1, 2, 3):
         if k == 3:
             state.clear()
-        made.append(Pipeline(orders, totals).run(spark, state).runs(spark).select(F.lit(k).alias("run"), "name", "status"))
+        least = 150_000 if k > 1 else 0
+        report = Pipeline(Step("orders", lambda spark, least=least: table(spark, sf_dir, "orders").where(F.col("o_totalprice") > least)), totals).run(spark, state)
+        value = report["totals"].agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+        made.append(report.runs(spark).select(F.lit(k).alias("run"), "name", "status").crossJoin(F.broadcast(value)))  # one row
     return reduce(DataFrame.union, made)
 
 
@@ -266,13 +304,15 @@ def merged_pipelines(spark, sf_dir):
     return both.plan(spark, "large").unionByName(both.plan(spark, "other_large"))
 
 
-@query("SELECT 0::BIGINT AS left_over, 25::BIGINT AS before")
+@query("SELECT l_returnflag, l_linestatus, count(*) AS before, 0::BIGINT AS left_over FROM lineitem GROUP BY ALL")
 def delete_all(spark, sf_dir):
     path = f"{shared_dir(spark)}/deleted-{uuid.uuid4().hex}"
-    table(spark, sf_dir, "nation").write.parquet(path)
-    before = spark.read.parquet(path).count()
+    by = ["l_returnflag", "l_linestatus"]
+    table(spark, sf_dir, "lineitem").select("l_orderkey", *by).write.parquet(path)
+    held, _ = counted(spark.read.parquet(path).groupBy(*by).agg(F.count("*").alias("before")), "before")
     files.delete_all(spark, path)
-    return spark.read.parquet(path).agg(F.count("n_name").alias("left_over")).withColumn("before", F.lit(before))
+    left = spark.read.parquet(path).groupBy(*by).agg(F.count("l_orderkey").alias("left_over"))
+    return held.join(left, by, "left").na.fill(0, ["left_over"])
 
 
 @query("SELECT replace(p_name, ' ', '-') AS name, p_size || '.' || p_partkey AS version FROM part WHERE p_partkey % 2 = 0")
@@ -1067,12 +1107,12 @@ def overlapping_tasks(spark, sf_dir):
     return pairs.select("run_id", F.col("left.name").alias("first"), F.col("right.name").alias("second"), shared.alias("shared_us"))
 
 
-@query(f"WITH {_RUNS} SELECT a.run_id, a.name, z.f AS last_finish FROM r a ASOF LEFT JOIN (SELECT DISTINCT run_id, f FROM r) z ON a.run_id = z.run_id AND a.b >= z.f")
+@query(f"WITH {_RUNS} SELECT a.run_id, a.name, coalesce(z.f, 0) AS last_finish FROM r a ASOF LEFT JOIN (SELECT DISTINCT run_id, f FROM r) z ON a.run_id = z.run_id AND a.b >= z.f")
 def last_finish(spark, sf_dir):
     made = event_runs(spark, sf_dir)
     starts = made.select("run_id", "name", micros("started_at").alias("at"))
     ends = made.select("run_id", micros("finished_at").alias("at"), micros("finished_at").alias("finish"))
-    return overlaps.as_of(starts, ends, ["run_id"], "at", "finish", name="last_finish", rows=PART).select("run_id", "name", "last_finish")
+    return overlaps.as_of(starts, ends, ["run_id"], "at", "finish", name="last_finish", rows=PART).select("run_id", "name", F.coalesce("last_finish", F.lit(0)).alias("last_finish"))
 
 
 @query("SELECT l_shipdate, l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_shipdate, l_orderkey, l_linenumber LIMIT 500 OFFSET (SELECT count(*) // 2 FROM lineitem)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkloom.errors import BindingError, CyclicGraph, DuplicateStep, MissingInput, StateError, StepFailed
 from sparkloom.operators import graphs
 from sparkloom.operators import runs as run_operators
-from sparkloom.plans.pipeline import Context, Defaults, Hooks, Pipeline, Retry, Step, all_of, any_of, first_value, negate, non_empty, present, sql_step, step, template
+from sparkloom.plans.pipeline import Context, Defaults, Pipeline, Step, all_of, any_of, each, first_value, in_turn, negate, non_empty, present, sql_step, step, template
 from sparkloom.sources.state import SessionState, TableState
 
 
@@ -150,7 +152,7 @@ def test_merged_pipelines_rename_their_steps(spark):
     assert rows(graphs.layers(nodes, edges).select("name", "layer")) == [("more_double", 1), ("more_numbers", 0), ("numbers", 0), ("squares", 1)]
 
 
-def test_retries_wait_and_look_at_the_error(spark):
+def test_another_attempt_depends_on_the_error(spark):
     tried = []
 
     def flaky(spark):
@@ -159,37 +161,30 @@ def test_retries_wait_and_look_at_the_error(spark):
             raise OSError("not there yet")
         return spark.range(1)
 
-    report = Pipeline(Step("flaky", flaky, retry=Retry(5, delay=0.01, backoff=2.0, on=(OSError,)))).run(spark)
-    assert report.row("flaky")["attempts"] == 3 and report.row("flaky")["duration"] >= 0.03
+    report = Pipeline(Step("flaky", flaky, attempts=5, again=lambda e: isinstance(e, OSError))).run(spark)
+    assert report.row("flaky")["attempts"] == 3
     tried.clear()
     with pytest.raises(StepFailed):
-        Pipeline(Step("flaky", flaky, retry=Retry(5, on=(KeyError,)))).run(spark)
+        Pipeline(Step("flaky", flaky, attempts=5, again=lambda e: isinstance(e, KeyError))).run(spark)
     assert len(tried) == 1
-    assert [Retry(4, 0.5, 3.0).wait(n) for n in (1, 2, 3)] == [0.5, 1.5, 4.5] and 1 <= Retry(2, 1.0, jitter=2.0).wait(1) <= 3
-    for wrong in ({"attempts": 0}, {"delay": -1}, {"backoff": -0.1}, {"jitter": -2}):
-        with pytest.raises(ValueError):
-            Retry(**wrong)
 
 
 def test_defaults_fill_only_what_a_step_leaves_open(spark):
-    retry = Retry(2)
-    p = Pipeline(numbers, Step("own", lambda spark: spark.range(1), attempts=3), Step("plain", lambda spark: spark.range(1)), defaults=Defaults(retry=retry, tags=("all",), continue_on_error=True))
+    p = Pipeline(numbers, Step("own", lambda spark: spark.range(1), attempts=3), Step("plain", lambda spark: spark.range(1)), defaults=Defaults(attempts=2, tags=("all",), continue_on_error=True))
     assert p.resolved("numbers").tags == ("in",) and p.resolved("plain").tags == ("all",)
-    assert p.resolved("own").tries.attempts == 3 and p.resolved("plain").tries is retry and p.resolved("own").continue_on_error
+    assert p.resolved("own").attempts == 3 and p.resolved("plain").attempts == 2 and p.resolved("own").continue_on_error
     assert p.only("plain").resolved("plain").tags == ("all",)
     assert p.run(spark).row("plain")["tags"] == ["all"]
 
 
-def test_hooks_and_events_come_once_each(spark):
-    seen, heard = [], []
-    hooks = Hooks(before=lambda s: seen.append(("before", s.name)), after=lambda s, value: seen.append((s.name, value.count())), failed=lambda s, e: seen.append((s.name, str(e))))
-    angry = Hooks(after=lambda s, value: 1 / 0)
+def test_measures_come_with_the_first_action_and_events_once_each(spark):
+    heard = []
     steps = [
-        Step("good", lambda spark: spark.range(4), hooks=hooks), Step("bad", lambda spark: 1 / 0, hooks=hooks, attempts=2, continue_on_error=True),
-        Step("behind", lambda bad: bad, hooks=hooks), Step("calm", lambda spark: spark.range(1), hooks=angry),
+        Step("good", lambda spark: spark.range(4), measures={"rows": F.count("*"), "top": F.max("id")}), Step("bad", lambda spark: 1 / 0, attempts=2, continue_on_error=True),
+        Step("behind", lambda bad: bad), Step("calm", lambda spark: spark.range(1)),
     ]
     report = Pipeline(*steps).run(spark, listener=heard.append)
-    assert seen == [("before", "good"), ("good", 4), ("before", "bad"), ("bad", "division by zero")]
+    assert report["good"].where("id > 1").count() == 2 and report.measured("good") == {"rows": 4, "top": 3}
     assert heard == report.events
     got = sorted((e["name"], e["status"]) for e in heard)
     assert got == [("bad", "failed"), ("bad", "running"), ("behind", "skipped"), ("calm", "running"), ("calm", "success"), ("good", "running"), ("good", "success")]
@@ -199,6 +194,18 @@ def test_hooks_and_events_come_once_each(spark):
     assert report.to_dict()["steps"]["bad"]["attempts"] == 2
 
 
+def test_a_step_for_each_item_and_steps_in_turn(spark):
+    made = each("square", lambda numbers, item: numbers.selectExpr(f"id * {item} AS x"), [2, 3])
+    p = Pipeline(numbers, *made, Step("top", lambda square: square.agg(F.max("x"))))
+    assert [s.name for s in made] == ["square_0", "square_1", "square"] and p.plan(spark, "top").first()[0] == 12
+    gated = [Step(s.name, s.fn, static=s.static, when=(lambda inputs, n=s.static.get("item"): n == 2,)) if s.static else s for s in made]
+    assert Pipeline(numbers, *gated).run(spark)["square"].count() == 5
+    several = each("n", lambda spark, item: spark.range(item), [1, 2], gather=lambda given: {n: df.count() for n, df in given.items()})
+    assert Pipeline(*several).run(spark)["n"] == {"n_0": 1, "n_1": 2}
+    chain = Pipeline(*in_turn(Step("c", lambda spark: 1), Step("b", lambda spark: 2), Step("a", lambda b, c: b + c)))
+    assert chain.order == ["c", "b", "a"] and chain.run(spark)["a"] == 3
+
+
 def test_a_context_has_all_needs(spark):
     def both(ctx: Context, extra=1):
         return ctx["numbers"].union(ctx["squares"].toDF("id")), sorted(ctx)
@@ -206,10 +213,15 @@ def test_a_context_has_all_needs(spark):
     def rest(**given):
         return sorted(given)
 
+    def mapped(given: Mapping[str, object], numbers):
+        return sorted(given)
+
+    assert Pipeline(numbers, squares, Step("mapped", mapped, needs=("squares",))).run(spark)["mapped"] == ["numbers", "squares"]
+
     p = Pipeline(numbers, squares, Step("both", both, needs=("numbers", "squares")), Step("rest", rest, needs=("both",), soft=("numbers",)))
     report = p.run(spark)
     assert report["both"][0].count() == 10 and report["both"][1] == ["numbers", "squares"] and report["rest"] == ["both", "numbers"]
-    assert p.binding("both") == "both(ctx=<all needs>, extra=<default>)" and p.binding("rest") == "rest(**all needs)"
+    assert p.bindings()[:3] == [("both", "(all needs)", "numbers", "hard"), ("both", "(all needs)", "squares", "hard"), ("numbers", "spark", "spark", "session")]
     with pytest.raises(MissingInput):
         Pipeline(Step("x", both, needs=("nowhere",)))
 
@@ -220,7 +232,7 @@ def test_a_dry_run_tells_layers_bindings_and_plans(spark):
     p = Pipeline(numbers, squares, total, late, Step("fixed", lambda spark, n: spark.range(n), static={"n": 7}))
     assert p.layers() == [["fixed", "numbers"], ["squares"], ["total"], ["late"]]
     told = p.dry_run()
-    assert "5 steps in 4 layers" in told and "late(total=<hard total>, numbers=<soft numbers>)" in told and "fixed(spark=<session>, n=7)" in told
+    assert "5 steps in 4 layers" in told and "late: numbers from numbers (soft), total from total (hard)" in told and "fixed: n from 7 (static), spark from spark (session)" in told
     assert not ran and "Range" in p.dry_run(spark)
 
 

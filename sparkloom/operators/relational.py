@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import contains_like, normalize_subject
+from sparkloom.operators import scans
 
 #: Fixed value: the thread of mails without a subject.
 NO_SUBJECT = "(无主题)"
@@ -109,6 +110,13 @@ def threads_with_members(df: DataFrame, subject_col: str, order_col: str, key_co
     return named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
+def whole_threads(df: DataFrame, subject_col: str, order_col: str, key_col: str, rows: int = scans.ROWS) -> DataFrame:
+    """All members of each thread with their ``place``, oldest first (nulls before); a thread may hold all rows."""
+    normal = normalize_subject(F.coalesce(F.col(subject_col), F.lit("")))
+    named = df.withColumn("thread", F.when(normal == "", NO_SUBJECT).otherwise(normal))
+    return scans.running(named, ["thread"], [order_col, key_col], place="place", rows=rows)
+
+
 def lookup_by_id(df: DataFrame, key_col: str, value: object) -> DataFrame:
     return df.where(F.col(key_col) == F.lit(value))
 

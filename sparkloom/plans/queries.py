@@ -23,9 +23,12 @@ from sparkloom.plans.pipeline import Context, Defaults, Pipeline, Step, all_of,
 from sparkloom.session import counted, shared_dir
 from sparkloom.sources import files
 from sparkloom.sources.mail import parse_mails
+from sparkloom.sources.search_index import TextIndex
 from sparkloom.sources.state import TableState
+from sparkloom.sources.versioned import VersionedTable
 from sparkloom.streaming import task_events
 
+PART = 2_000  # rows of a part where tables are scanned in parts, so that small ones are several parts too
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -383,6 +386,26 @@ def thread_members(spark, sf_dir):
     return relational.threads_with_members(_subjects(spark, sf_dir), "subject", "p_size", "p_partkey", 3).select("thread", "p_partkey", "place")
 
 
+@query(f"SELECT subject AS thread, p_partkey, row_number() OVER (PARTITION BY subject ORDER BY p_size, p_partkey) AS place FROM ({_THREADS})")
+def whole_threads(spark, sf_dir):
+    return relational.whole_threads(_subjects(spark, sf_dir), "subject", "p_size", "p_partkey", rows=PART).select("thread", "p_partkey", "place")
+
+
+_NEEDLES = ["%licen_e%", "XY_z%qq", "Ab", "example.org"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS keyword, doc_id, lang FROM documents WHERE text ILIKE '%{n}%' AND (doc_id % 9 <> 4 OR doc_id % 27 = 4)" for n in _NEEDLES))
+def indexed_search(spark, sf_dir):
+    """Documents stored in two turns, some of them deleted, and some of those added again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    index = TextIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "doc_id", "text")
+    index.add(docs.where("doc_id % 2 = 0"), blocks=16)
+    index.add(docs.where("doc_id % 2 = 1"), blocks=16)
+    index.delete(docs.where("doc_id % 9 = 4").select("doc_id"))
+    index.add(docs.where("doc_id % 27 = 4"), blocks=4)
+    return reduce(DataFrame.union, [index.search(n).select(F.lit(n).alias("keyword"), "doc_id", "lang") for n in _NEEDLES])
+
+
 # -- archive: upsert, import, retention, names -----------------------------------------------------------------------
 
 
@@ -395,6 +418,21 @@ def upsert_latest(spark, sf_dir):
     return relational.upsert_latest(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), ["user_id", "event_type"], "event_id")
 
 
+@query("""
+    SELECT 1 AS version, user_id, event_type, max(event_id) AS event_id, count(*) OVER () AS n FROM events WHERE event_id % 2 = 0 GROUP BY user_id, event_type
+    UNION ALL SELECT 3, user_id, event_type, max(event_id), count(*) OVER () FROM events WHERE user_id % 50 <> 7 AND (event_id % 2 = 0 OR user_id % 100 < 10) GROUP BY user_id, event_type
+""")
+def table_versions(spark, sf_dir):
+    """A table as it was first, and after an upsert of some users and the deletion of others."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    held = VersionedTable(spark, f"{shared_dir(spark)}/versioned-{uuid.uuid4().hex}", ["user_id", "event_type"], 32)
+    held.upsert(events.where("event_id % 2 = 0"), "event_id")
+    held.upsert(events.where("user_id % 100 < 10"), "event_id")
+    held.delete(events.where("user_id % 50 = 7"))
+    of = lambda version: held.read(version).select(F.lit(version).alias("version"), "user_id", "event_type", "event_id", F.lit(held.read(version).count()).alias("n"))
+    return of(1).union(of(3))
+
+
 _CHANGES = """
     SELECT i.o_orderkey, i.h AS file_hash, CASE WHEN s.k IS NULL THEN 'new' WHEN s.h <> i.h THEN 'updated' ELSE 'unchanged' END AS change
     FROM (SELECT o_orderkey, md5(o_orderstatus || o_orderpriority) AS h FROM orders) i
@@ -985,9 +1023,6 @@ def gantt(spark, sf_dir):
 
 # -- one run, or one graph, that holds everything: swept in parts, walked in few rounds -----------------------------
 
-PART = 2_000  # rows of a part in these queries, so that small tables are several parts too
-
-
 def one_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_runs(spark, sf_dir).withColumn("run_id", F.lit(1))
 

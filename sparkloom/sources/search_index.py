@@ -6,7 +6,7 @@ between its wildcards, tell the blocks that can have it; only those are read, an
 rows are those of a scan. A keyword of rare trigrams reads few blocks, one of frequent ones reads them all.
 
 Documents are added as new blocks; nothing that is there is written again. Deleted ids are noted with the newest block of
-that moment, so a document that is added again later counts. Trigrams are taken from the list of a text's characters, in
+that moment, so a document that is added again later counts. Trigrams are taken by one pass of a pattern that looks ahead, in
 the JVM, and a block has a trigram once however many of its documents do.
 """
 
@@ -25,11 +25,7 @@ GRAM = 3
 
 def trigrams(text: Column) -> Column:
     """The distinct trigrams of a lower-cased text, as an array."""
-    chars = F.regexp_extract_all(F.lower(text), F.lit("(?s)."), F.lit(0))  # whole characters, those beyond 16 bits too
-    joined = lambda x, y: F.concat(x, y)
-    two = F.zip_with(chars, F.slice(chars, 2, F.length(text)), joined)
-    three = F.zip_with(two, F.slice(chars, 3, F.length(text)), joined)  # null at the end, where the others are longer
-    return F.when(F.length(text) >= GRAM, F.array_distinct(F.filter(three, lambda gram: gram.isNotNull())))
+    return F.when(F.length(text) >= GRAM, F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=({'.' * GRAM}))"), F.lit(1))))
 
 
 class TextIndex:

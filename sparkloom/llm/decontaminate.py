@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.llm import bloom
 from sparkloom.llm import words as W
 from sparkloom.llm._common import field, map_texts, scope, written
 
@@ -225,17 +226,14 @@ def _bloom(classes: DataFrame, seed_words: int) -> np.ndarray:
 
     counted = map_texts(classes, "id", "text", [field("n", "bigint")], lambda: lambda texts: {"row": [0], "n": [len(seeds_of(texts))]} if texts else {"row": [], "n": []})
     n = counted.agg(F.sum("n")).first()[0] or 0
-    bits = min(29, max(12, int(np.ceil(np.log2(max(1, n) * 64)))))
+    bits = bloom.size(n, 29)
 
     def places(texts: list[str | None]) -> dict:
         at = np.unique(_bits(seeds_of(texts), bits).ravel())
         return {"row": np.zeros(len(at), np.int64), "place": at.astype(np.int64)}
 
     set_ = map_texts(classes, "id", "text", [field("place", "bigint")], lambda: places)
-    packed = set_.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS INT))")).alias("mask")).toPandas()
-    made = np.zeros(1 << (bits - 6), np.uint64)
-    made[packed["at"].to_numpy(np.int64)] = packed["mask"].to_numpy(np.int64).view(np.uint64)
-    return made
+    return bloom.packed(set_, bits)
 
 
 def _candidates(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, seed_words: int) -> DataFrame:

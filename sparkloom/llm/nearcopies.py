@@ -8,8 +8,11 @@ Words and shingles are those of ``simhash``, ``words`` neighbouring words each;
 shingles' XXH64 hashes, and texts of one set (among them all without a word) are one representative. Two sets of a and b
 shingles of at least 0.8 share 4/9 of a + b or more, and so at least 0.8 n, n the larger size. In any order that holds
 for all shingles, all but ``0.8 n - extra`` of them are then among the first ``0.2 n + extra`` of each, and only those
-are shuffled. The order puts shingles last that many documents of a bounded sample hold; the sample decides how much is
-compared, never what is found.
+are shuffled. The order is that of the hashes, with the shingles of crowds last: where ``HOT`` or more sets have a shingle
+in their first ones, ``TAKEN`` of those sets are looked at as a whole, and what ``OFTEN`` or more of all looked at hold
+goes last. So texts that share a template but not 0.8 meet at what is their own, which is nowhere. What is looked at is
+spread over all crowds, however many there are; it decides how much is compared, never what is found. A Bloom filter of
+at most 32 MB holds the shingles of crowds: one that is too small puts others last too, for all texts alike.
 
 Pairs that meet often enough are verified on their whole sets. Those that meet in a ball and neighbours among those that
 meet at a shingle come first, in ``ORDERS`` orders (in later ones ``NEIGHBOURS`` of other components on either side); what
@@ -22,16 +25,21 @@ is to stay it is the one with the smallest id (nulls last); of rows that share t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.llm import bloom
 from sparkloom.llm._common import field, map_texts, scope, small, written
 from sparkloom.llm.simhash import SEED, components, links, majority, shingle_hashes
+from sparkloom.session import counted
 
 
 def shingles(text: str | None, words: int = 5, seed: int = SEED) -> np.ndarray:
@@ -44,28 +52,42 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"t1": F.xxhash64("text"), "t2": F.hash("text")})
 
 
-def _common(docs: DataFrame, words: int, sample: int, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles, ascending, that at least 3 texts of a sample hold, and how many do; the ``most`` that most hold."""
-    part = min(1.0, sample / max(1, docs.count()))
-    near = docs.where(F.pmod("t1", F.lit(1_000_003)) <= part * 1_000_003).dropDuplicates(["t1"])
+HOT, TAKEN, OFTEN = 16, 8, 3
+BITS = 28  # base-2 logarithm of the filter's bits at most
 
-    sets = map_texts(near, "t1", "text", [field("own", "array<bigint>")], lambda: lambda texts: {"own": [shingles(t, words).view(np.int64) for t in texts]})
-    counts = sets.select(F.explode("own").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n >= 3")
-    rows = counts.orderBy(F.desc("n"), "shingle").limit(most).toPandas()
-    held = rows["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(held)
-    return held[order], rows["n"].to_numpy(np.int64)[order]
 
+def _sets(texts: DataFrame, key: str, words: int) -> DataFrame:
+    """(key, own): the whole set of each text."""
+    return map_texts(texts, key, "text", [field("own", "array<bigint>")], lambda: lambda found: {"own": [shingles(t, words).view(np.int64) for t in found]})
 
-def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, extra: int) -> DataFrame:
+
+def _crowds(docs: DataFrame, rows: DataFrame, words: int) -> np.ndarray | None:
+    """A Bloom filter of the shingles that several of a crowd hold, if there is any.
+
+    Crowds are told by every second shingle of ``rows(s1, s2, t1, t2, prefix)``; each gives the sets whose hashes come
+    first in one of ``TAKEN`` orders, a partial aggregate, so no task sees a whole crowd.
+    """
+    prefixes = rows.where("prefix IS NOT NULL").select("s1", "s2", F.struct("t1", "t2").alias("text"), F.explode("prefix").alias("shingle")).where("shingle & 1 = 0")
+    hot, n = counted(prefixes.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("shingle"), "hot")
+    if not n:
+        return None
+    taken = [F.min(F.struct(F.xxhash64("s1", "s2", F.lit(k)).alias("h"), "s1", "s2", "text")).alias(f"c{k}") for k in range(TAKEN)]
+    chosen = prefixes.join(small(hot), "shingle").groupBy("shingle").agg(*taken).select(F.explode(F.array(*[f"c{k}" for k in range(TAKEN)])).alias("c"))
+    chosen = written(chosen.groupBy("c.s1", "c.s2").agg(F.min("c.text").alias("text")).select("text.*").distinct(), "chosen")
+    texts = docs.join(small(chosen), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    held = _sets(texts, "t1", words).select(F.explode("own").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    common, n = counted(held.select("hash"), "common")
+    return bloom.of_hashes(common, n, BITS) if n else None
+
+
+def _prefixes(docs: DataFrame, words: int, extra: int, last: Broadcast | None = None) -> DataFrame:
     """(id, s1, s2, n, fp, prefix, t1, t2), one row for each row of ``docs``; s1 and s2 are equal for equal sets.
 
-    Each task gives the prefix of a set once, so copies of a text aren't sent again and again.
+    Shingles in the filter ``last`` go last. Each task gives the prefix of a set once, so copies of a text aren't sent
+    again and again.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def make():
-        held, n_held = sent.value
         seen: set[bytes] = set()
 
         def found(texts: list[str | None]) -> dict:
@@ -83,11 +105,9 @@ def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int
                 if len(seen) >= 100_000:
                     seen.clear()
                 seen.add(digest)
-                rank = np.zeros(n, np.int64)
-                if len(held) and n:
-                    at = np.minimum(np.searchsorted(held, own), len(held) - 1)
-                    rank = np.where(held[at] == own, n_held[at], 0)
-                out["prefix"].append(own[np.lexsort((own, rank))][: n - max(0, (4 * n + 4) // 5 - extra)].view(np.int64))
+                if last is not None:
+                    own = own[np.argsort(bloom.holds(last.value, own), kind="stable")]
+                out["prefix"].append(own[: n - max(0, (4 * n + 4) // 5 - extra)].view(np.int64))
             both = np.frombuffer(b"".join(out["s"]), np.int64).reshape(-1, 2)
             return out | {"s1": np.ascontiguousarray(both[:, 0]), "s2": np.ascontiguousarray(both[:, 1]), "fp": np.array(out["fp"], np.uint64).view(np.int64)}
 
@@ -97,6 +117,28 @@ def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int
     return map_texts(docs, "id", "text", fields, make, carry=["t1", "t2"])
 
 
+def _ordered(docs: DataFrame, rows: DataFrame, words: int, extra: int) -> DataFrame:
+    """(s1, s2, prefix) with the shingles of crowds last. Only texts that have one in their prefix are read again."""
+    first = rows.where("prefix IS NOT NULL").select("s1", "s2", "t1", "t2", "prefix")
+    filter_ = _crowds(docs, rows, words)
+    if filter_ is None:
+        return first.select("s1", "s2", "prefix")
+    sent = docs.sparkSession.sparkContext.broadcast(filter_)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column("prefix")
+            ends = prefix.offsets.to_numpy()
+            hit = bloom.holds(sent.value, prefix.values.to_numpy(zero_copy_only=False).view(np.uint64))
+            sums = np.concatenate([[0], np.cumsum(hit)])
+            yield batch.append_column("hit", pa.array(sums[ends[1:]] > sums[ends[:-1]]))
+
+    marked = written(first.mapInArrow(mark, "s1 long, s2 long, t1 long, t2 int, prefix array<bigint>, hit boolean"), "marked")
+    again = written(marked.where("hit").select("t1", "t2").distinct(), "again")
+    anew = _prefixes(docs.join(small(again), ["t1", "t2"], "left_semi"), words, extra, sent).where("prefix IS NOT NULL")
+    return marked.where("NOT hit").select("s1", "s2", "prefix").union(anew.select("s1", "s2", "prefix"))
+
+
 def _in_balls(reps: DataFrame) -> DataFrame:
     """Pairs (a, b) of representatives: those of equal fingerprints with their first, and the first ones of neighbouring fingerprints."""
     first = reps.groupBy("fp").agg(F.min("uid").alias("first"))
@@ -162,10 +204,10 @@ def _neighbours(shared: DataFrame, turn: int, width: int) -> DataFrame:
     return met.select(*[F.when(rises, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in ends])
 
 
-def _named(docs: DataFrame, words: int, extra: int, sample: int) -> DataFrame:
+def _named(docs: DataFrame, words: int, extra: int) -> DataFrame:
     """(id, t1, t2, component_id, first) for the rows of ``docs(id, text, t1, t2)``; the row ``first`` is the one to stay."""
     with scope() as keep:
-        rows = written(_prefixes(docs, _common(docs, words, sample), words, extra).withColumn("uid", F.monotonically_increasing_id()), "prefixes")
+        rows = written(_prefixes(docs, words, extra).withColumn("uid", F.monotonically_increasing_id()), "prefixes")
         low = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("uid").alias("row")))
         own = F.min_by(F.struct("t1", "t2", "n", "fp"), "uid")
         groups = rows.groupBy("s1", "s2").agg(low.alias("low"), F.min("uid").alias("uid"), own.alias("own"))
@@ -173,7 +215,7 @@ def _named(docs: DataFrame, words: int, extra: int, sample: int) -> DataFrame:
 
         order = Window.partitionBy("shingle").orderBy("s1", "s2")
         other = lambda move: F.coalesce((move("s1").over(order) != F.col("s1")) | (move("s2").over(order) != F.col("s2")), F.lit(False))
-        met = rows.select("s1", "s2", F.explode("prefix").alias("shingle")).withColumn("other", other(F.lag) | other(F.lead))
+        met = _ordered(docs, rows, words, extra).select("s1", "s2", F.explode("prefix").alias("shingle")).withColumn("other", other(F.lag) | other(F.lead))
         several = met.where("other").select("shingle", "s1", "s2").distinct()
         shared = written(several.join(reps.select("s1", "s2", "uid", "n"), ["s1", "s2"]).select("shingle", "uid", "n"), "shared")
         least = F.least(F.lit(extra), F.ceil(4 * F.col("n") / 5))
@@ -181,8 +223,7 @@ def _named(docs: DataFrame, words: int, extra: int, sample: int) -> DataFrame:
         able = written(reps.select("uid", "t1", "t2", "fp").join(able, "uid"), "able")
         shared = written(shared.join(small(able).select("uid"), "uid", "left_semi"), "shared")
         texts = docs.join(small(able).select("t1", "t2"), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))
-        sets = map_texts(texts.join(small(able), ["t1", "t2"]), "uid", "text", [field("own", "array<bigint>")], lambda: lambda ts: {"own": [shingles(t, words).view(np.int64) for t in ts]})
-        sets = written(sets, "sets")
+        sets = written(_sets(texts.join(small(able), ["t1", "t2"]), "uid", words), "sets")
 
         steps = _in_balls(able).union(_often(_neighbours(shared.withColumn("root", F.col("uid")), 0, 1), extra, 2)).distinct()
         found, last = written(_verified(written(steps, "pairs"), sets), "links"), None
@@ -203,22 +244,22 @@ def _named(docs: DataFrame, words: int, extra: int, sample: int) -> DataFrame:
         return keep(written(made.select("id", "t1", "t2", F.col("low.id").alias("component_id"), (F.col("uid") == F.col("low.row")).alias("first")), "named"))
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, extra: int = 8, sample: int = 16_000) -> DataFrame:
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, extra: int = 8) -> DataFrame:
     """Return id and component_id (the smallest id reachable over links), one row for each row of ``docs``.
 
     A null id is never the smallest; a component has a null name only if all of its ids are null.
     """
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return _named(_keys(given), words, extra, sample).select(F.col("id").alias(id_col), "component_id")
+    return _named(_keys(given), words, extra).select(F.col("id").alias(id_col), "component_id")
 
 
-def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, extra: int = 8, sample: int = 16_000) -> DataFrame:
+def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, extra: int = 8) -> DataFrame:
     """The rows of ``docs`` less all but one of each group of near copies."""
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     id_at, text_at = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
     given = _keys(plain.withColumns({"id": F.col(id_at), "text": F.col(text_at).cast("string")}))
     with scope() as keep:
-        named = _named(given.select("id", "text", "t1", "t2"), words, extra, sample)
+        named = _named(given.select("id", "text", "t1", "t2"), words, extra)
         keys = named.groupBy("id", "t1", "t2").agg(F.max("first").alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1")
         keys = written(keys, "keys")
         gone, again = keep(written(keys.where("NOT stays").drop("stays", "n"), "gone")), keep(written(keys.where("stays").drop("stays", "n"), "again"))

@@ -74,3 +74,45 @@ def test_near_copies_of_odd_tables(spark):
     assert nearcopies.near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     got = nearcopies.near_copies(spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "A b c"), (None, "z")], "doc_id long, text string"))
     assert sorted(map(repr, map(tuple, got.collect()))) == ["(1, 1)", "(1, 1)", "(None, 1)", "(None, None)"]
+
+
+def template_texts(n, shared=200, words=320, seed=5):
+    """Texts of one template, about 0.44 alike: ``shared`` words of all, the rest of their own."""
+    rng = random.Random(seed)
+    base = [f"t{k}" for k in range(shared)]
+    return [(i, " ".join(base + [f"p{rng.randrange(10**9)}" for _ in range(words - shared)])) for i in range(n)]
+
+
+def test_texts_of_a_template_are_not_paired(spark, monkeypatch):
+    """Compared pairs follow the number of texts, not its square; near copies within the crowd are still linked."""
+    compared = []
+    verified = nearcopies._verified
+    monkeypatch.setattr(nearcopies, "_verified", lambda pairs, sets: compared.append(pairs.count()) or verified(pairs, sets))
+    for n in (300, 1200):
+        del compared[:]
+        texts = template_texts(n)
+        edited = [(n + i, t.rsplit(" ", 6)[0] + f" x{i} y{i}") for i, t in texts[::30]]
+        docs = spark.createDataFrame(texts + edited, "doc_id long, text string").repartition(4)
+        got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs).collect()}
+        assert got == {i: i - n if i >= n else i for i in got} and len(got) == n + len(edited)
+        assert sum(compared) <= n, (n, compared)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_crowds_equal_brute_force(spark, seed):
+    """Templates of every likeness around 0.8, short texts and passages of many, with copies in other cases."""
+    rng = random.Random(seed)
+    texts = []
+    for size, own in ((60, 2), (60, 6), (60, 12), (12, 1), (200, 18)):
+        base = [f"b{size}.{own}.{k}" for k in range(size)]
+        for _ in range(30):
+            one = list(base)
+            for _ in range(rng.randint(0, own)):
+                one[rng.randrange(size)] = f"w{rng.randrange(10**6)}"
+            texts.append(" ".join(one if rng.random() < 0.8 else [w.upper() for w in one]))
+    passage = " ".join(f"s{k}" for k in range(80))
+    texts += [passage + " " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(rng.choice([5, 15, 25, 60]))) for _ in range(40)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == plain_components(rows)

@@ -14,7 +14,7 @@ Repeated rows of documents give a row each.
 
 The benchmark is the query set: it is split into blocks of no more than ``block_chars`` characters (or one item), each
 block is broadcast and documents are scanned against it. Where there are several blocks, documents are first scanned once
-against a Bloom filter of all seeds (64 bits for each seed, 64 MB at most), and the blocks see only what passes. A seed that many
+against a Bloom filter of all seeds (64 bits for each seed, 64 MB at most), and the blocks see only what passes (whole lines are in the filter too, for items shorter than a seed). A seed that many
 documents hold costs nothing beyond those documents, and a seed that many items hold is compared once for each document.
 Documents are never shuffled.
 """
@@ -35,7 +35,8 @@ from pyspark.sql import types as T
 
 from sparkloom.llm import bloom
 from sparkloom.llm import words as W
-from sparkloom.llm._common import field, map_texts, scope, written
+from sparkloom.llm._common import field, map_texts, scope, small, written
+from sparkloom.session import gathered
 
 
 def _windows(tokens: list, used: list[bool], size: int) -> list[tuple[int, int]]:
@@ -217,30 +218,40 @@ def _bits(seeds: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(x >> np.uint64(s)) & np.uint64((1 << bits) - 1) for x in (seeds, more) for s in (0, 32)])
 
 
-def _bloom(classes: DataFrame, seed_words: int) -> np.ndarray:
-    """A Bloom filter of all seeds, built on Spark a word of 64 bits at a time."""
+def _keys(texts: list[str | None], seed_words: int, lines: bool, short: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of all seeds and, if ``short``, of whole lines that are shorter than one; without ``lines`` a text is one line."""
+    own = W.split(texts)
+    at, hashes = W.grams(own.hash, own.text, seed_words)
+    owners, found = [own.text[at]], [hashes]
+    if short:
+        parts = [(t or "").split("\n") if lines else [t] for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+        own = W.split([x for p in parts for x in p])
+        count = np.bincount(own.text, minlength=len(owner))
+        for n in range(1, seed_words):
+            at, hashes = W.grams(own.hash, own.text, n)
+            whole = count[own.text[at]] == n
+            owners.append(owner[own.text[at[whole]]])
+            found.append(W.mix(hashes[whole] + np.uint64(n)))
+    return np.concatenate(owners), np.concatenate(found)
 
-    def seeds_of(texts: list[str | None]) -> np.ndarray:
-        own = W.split(texts)
-        return W.grams(own.hash, own.text, seed_words)[1]
 
-    counted = map_texts(classes, "id", "text", [field("n", "bigint")], lambda: lambda texts: {"row": [0], "n": [len(seeds_of(texts))]} if texts else {"row": [], "n": []})
-    n = counted.agg(F.sum("n")).first()[0] or 0
-    bits = bloom.size(n, 29)
+def _bloom(classes: DataFrame, seed_words: int) -> np.ndarray:
+    """A Bloom filter of the seeds of all items, and of whole items that are shorter."""
+    keys = lambda texts: _keys(texts, seed_words, False, True)[1]
+    counted = map_texts(classes, "id", "text", [field("n", "bigint")], lambda: lambda texts: {"row": [0], "n": [len(keys(texts))]} if texts else {"row": [], "n": []})
+    bits = bloom.size(counted.agg(F.sum("n")).first()[0] or 0, 29)
 
     def places(texts: list[str | None]) -> dict:
-        at = np.unique(_bits(seeds_of(texts), bits).ravel())
+        at = np.unique(_bits(keys(texts), bits).ravel())
         return {"row": np.zeros(len(at), np.int64), "place": at.astype(np.int64)}
 
-    set_ = map_texts(classes, "id", "text", [field("place", "bigint")], lambda: places)
-    return bloom.packed(set_, bits)
+    return bloom.packed(map_texts(classes, "id", "text", [field("place", "bigint")], lambda: places), bits)
 
 
 def _candidates(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, seed_words: int) -> DataFrame:
-    """The rows of ``docs`` that may hold a seed of any item: (id, text), written."""
+    """The rows of ``docs`` that may hold a seed of any item, or a line that is a short one: (id, text)."""
     short = not classes.where(F.col("words") < seed_words).isEmpty()
-    if short:
-        return docs.select(id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(_bloom(classes, seed_words))
 
     def make():
@@ -248,19 +259,18 @@ def _candidates(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
         bits = int(len(words)).bit_length() - 1 + 6
 
         def passing(texts: list[str | None]) -> dict:
-            own = W.split(texts)
-            at, hashes = W.grams(own.hash, own.text, seed_words)
-            hit = np.ones(len(at), bool)
+            owner, hashes = _keys(texts, seed_words, True, short)
+            hit = np.ones(len(hashes), bool)
             for place in _bits(hashes, bits):
                 left = np.flatnonzero(hit)
                 place = place[left]
                 hit[left] = (words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
-            rows = np.unique(own.text[at[hit]])
+            rows = np.unique(owner[hit])
             return {"row": rows, text_col: [texts[i] for i in rows.tolist()]}
 
         return passing
 
-    return written(map_texts(docs, id_col, text_col, [field(text_col, "string")], make), "candidates")
+    return map_texts(docs, id_col, text_col, [field(text_col, "string")], make)
 
 
 def _blocks(classes: DataFrame, block_chars: int) -> Iterator[tuple[list, list[int], list[str]]]:
@@ -300,7 +310,7 @@ def find_leaks(
     arrow_type = spark.createDataFrame([], T.StructType([T.StructField("id", id_type)])).toArrow().schema.field(0).type
     fields = [T.StructField("item_id", id_type), field("n_items", "bigint"), field("item_words", "int"), field("matched_words", "int"), field("longest_tile", "int"), field("tiles", "array<int>")]
     chars = classes.agg(F.sum(F.length("text"))).first()[0] or 0
-    rows = docs if chars <= block_chars else _candidates(docs, classes, id_col, text_col, seed_words)
+    rows = docs if chars <= block_chars else written(_candidates(docs, classes, id_col, text_col, seed_words), "candidates")
 
     def scan(given: tuple[list, list[int], list[str]]) -> DataFrame:
         sent = spark.sparkContext.broadcast(given)
@@ -330,33 +340,43 @@ def find_leaks(
 def without_leaks(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", seed_words: int = 5, coverage: float = 0.6, block_chars: int = 4_000_000
 ) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item: row by row, so ids don't matter; a block after the other takes its leaks out."""
+    """The rows of ``docs`` that hold no benchmark item: by their texts, so ids don't matter.
+
+    One block is one pass. Several are a pass through the filter, matches of every distinct text that is left with each
+    block, and a pass that leaves out rows whose texts (two 64-bit hashes) were found.
+    """
     spark = docs.sparkSession
-    kept = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     text_at = f"c{docs.columns.index(text_col)}"
 
-    def clean(rows: DataFrame, given: tuple[list, list[int], list[str]]) -> DataFrame:
+    def matched(rows: DataFrame, key: str, text: str, given: tuple[list, list[int], list[str]], leaks: bool) -> DataFrame:
+        """The rows that hold an item of the block, or those that hold none."""
         sent = spark.sparkContext.broadcast(given)
 
         def make():
             block = Block(*sent.value, seed_words)
 
-            def stay(texts: list[str | None]) -> dict:
-                left = np.ones(len(texts), bool)
-                left[block.match(texts, coverage)["row"]] = False
-                return {"row": np.flatnonzero(left)}
+            def chosen(texts: list[str | None]) -> dict:
+                found = np.zeros(len(texts), bool)
+                found[block.match(texts, coverage)["row"]] = True
+                return {"row": np.flatnonzero(found == leaks)}
 
-            return stay
+            return chosen
 
-        first = next((c for c in rows.columns if c != text_at), text_at)
-        return map_texts(rows, first, text_at, [], make, carry=[c for c in rows.columns if c != first]).select(*rows.columns)
+        return map_texts(rows, key, text, [], make, carry=[] if leaks else [c for c in rows.columns if c != key]).select(*([key] if leaks else rows.columns))
 
     with scope() as keep:
         classes = _classes(benchmark, item_id_col, item_text_col)
-        last = None
-        for block in _blocks(classes, block_chars):  # a table between two blocks, so that no task holds several
-            if last is not None:
-                kept = written(clean(kept, last), "clean")
-            last = block
-        keep(kept)
-    return (kept if last is None else clean(kept, last)).toDF(*docs.columns)
+        chars = classes.agg(F.sum(F.length("text"))).first()[0]
+        if chars is None:
+            return docs
+        if chars <= block_chars:
+            first = next((c for c in plain.columns if c != text_at), text_at)
+            return matched(plain, first, text_at, next(_blocks(classes, block_chars)), False).toDF(*docs.columns)
+        text = F.col(text_at).cast("string")
+        keyed = plain.withColumn("key", F.struct(F.xxhash64(text).alias("low"), F.xxhash64(F.lit(1), text).alias("high")))
+        passed = _candidates(keyed.select("key", text.alias("text")), classes, "key", "text", seed_words)
+        passed = written(passed.groupBy("key").agg(F.first("text").alias("text")), "candidates")
+        found = [written(matched(passed, "key", "text", block, True), "leaks") for block in _blocks(classes, block_chars)]
+        leaks = keep(written(gathered(found).distinct(), "leaks"))
+        return keyed.join(small(leaks), "key", "left_anti").drop("key").toDF(*docs.columns)

@@ -135,3 +135,31 @@ def test_words_hash_alike_wherever_they_stand():
     assert a.text.tolist() == [0] * 6 + [3] * 3
     at, grams = W.grams(a.hash, a.text, 2)
     assert len(at) == 7 and len(np.unique(grams)) == 7
+
+
+def test_any_number_of_blocks_is_two_passes(spark):
+    """Rows are read once through the filter and once to leave leaks out; short items stay behind the filter."""
+    rng = random.Random(4)
+    say = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    items = [(k, " ".join(say(20))) for k in range(24)] + [(90, "short one"), (91, "Short  one!")]
+    docs = [(i, " ".join(say(30) + (items[i % 24][1].split() if i % 6 == 0 else []))) for i in range(180)]
+    docs += [(500, "here\nSHORT one.\nthere"), (501, "a short one here"), (502, None), (503, ""), (0, docs[0][1])]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def clean(block_chars):
+        frame = spark.createDataFrame(docs, "doc_id long, text string").mapInArrow(count, "doc_id long, text string")
+        before = seen.value
+        left = rows(decontaminate.without_leaks(frame, spark.createDataFrame(items, "item_id long, text string"), block_chars=block_chars))
+        return left, seen.value - before
+
+    one, few, many = clean(10_000_000), clean(1000), clean(60)
+    assert one[0] == few[0] == many[0] == sorted((d for d in docs if d[0] != 500 and (d[0] % 6 or d[0] >= 500)), key=repr)
+    assert one[1] == len(docs) and few[1] == many[1] == 2 * len(docs)
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    pairs = [rows(decontaminate.find_leaks(frame, bench, block_chars=n).select("doc_id", "item_id", "matched_words")) for n in (10_000_000, 60)]
+    assert pairs[0] == pairs[1] and any(p[0] == 500 for p in pairs[0])

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SHIFTS = (0, 12, 24, 32)  # where the bits of a hash begin that tell a place
+
 
 def size(n: int, most: int) -> int:
     """The base-2 logarithm of a filter's bits."""
@@ -25,17 +27,17 @@ def packed(places: DataFrame, bits: int) -> np.ndarray:
 
 
 def of_hashes(hashes: DataFrame, n: int, most: int) -> np.ndarray:
-    """A filter of the ``n`` rows of ``hashes(hash)``, each with a bit from its low half and one from its high half."""
+    """A filter of the ``n`` rows of ``hashes(hash)``, each with a bit from every one of ``SHIFTS``."""
     bits = size(n, most)
-    halves = F.array(F.col("hash"), F.shiftrightunsigned("hash", 32))
-    return packed(hashes.select(F.explode(halves).alias("half")).select(F.col("half").bitwiseAND(F.lit((1 << bits) - 1)).alias("place")), bits)
+    parts = F.array(*[F.shiftrightunsigned("hash", k) for k in SHIFTS])
+    return packed(hashes.select(F.explode(parts).alias("part")).select(F.col("part").bitwiseAND(F.lit((1 << bits) - 1)).alias("place")), bits)
 
 
 def holds(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which unsigned hashes a filter of ``of_hashes`` lets pass."""
     mask = np.uint64((len(words) << 6) - 1)
     hit = np.ones(len(hashes), bool)
-    for shift in (0, 32):
+    for shift in SHIFTS:
         place = hashes >> np.uint64(shift) & mask
         hit &= (words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
     return hit

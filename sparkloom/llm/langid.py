@@ -12,8 +12,14 @@ A text that is null or has no letter is ``und`` with score 0 and not accepted. A
 it is accepted if both its cosine and its lead over the best centroid of another language reach ``reject`` times what
 nearly all sampled texts of that centroid and about that length have: the ``LOW`` quantile, taken for each power of two
 of n-grams over the sampled texts and their beginnings (of the whole language, where a centroid has few), and less where
-few texts were sampled. Without training rows everything is ``und``. Texts are read whole; repeated rows have rows of
-their own, with equal results. A carried column that is called like a result gives way to it.
+few texts were sampled. Languages that weren't learned but are related to one that was are turned away by what strangers
+reach: were a text's own language not learned, the next one would be named, with its lead over the third. Of such leads
+towards a language, the ``STRANGE`` quantile and ``APART`` of the way from there to the median of the language's own texts
+has to be reached too, as far as nearly all own texts reach it (where three languages or more were learned).
+
+At most ``languages`` distinct languages are learned; more are an error, as centroids of each go through the driver.
+Without training rows everything is ``und``. Texts are read whole; repeated rows have rows of their own, with equal
+results. A carried column that is called like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -41,9 +47,11 @@ LOW = 0.01
 CUTS = (8, 16, 32, 64, 128, 256, 512, 1024, 2048)  # characters of the beginnings that floors are taken from
 SIZES = 40  # powers of two of n-grams
 LEAST = 0.05  # of a language's points, in each of its clusters
+STRANGE = 0.95
+APART = 0.15
 OWN = 50  # sampled texts of one size from which on a centroid has floors of its own
 _WHOLE = float(1 << 24)  # parts of vectors are whole multiples of its inverse
-_LOGS = np.log1p(np.arange(1 << 16)).astype(np.float32)  # higher counts weigh no more
+_LOGS = np.log1p(np.arange(1 << 16)).astype(np.float32)
 
 
 class Model(NamedTuple):
@@ -52,6 +60,7 @@ class Model(NamedTuple):
     centroids: np.ndarray  # in whole multiples
     floors: np.ndarray  # for each centroid and size: the cosine that nearly all its sampled texts reach
     leads: np.ndarray  # the same of the lead over other languages
+    apart: np.ndarray  # the lead that keeps related languages out
 
 
 def term_counts(texts: list[str | None]) -> np.ndarray:
@@ -74,7 +83,11 @@ def term_counts(texts: list[str | None]) -> np.ndarray:
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    weighted = _LOGS[np.minimum(counts, len(_LOGS) - 1)] * idf
+    logs = _LOGS[np.minimum(counts, len(_LOGS) - 1)]
+    beyond = counts >= len(_LOGS)
+    if beyond.any():
+        logs[beyond] = np.log1p(counts[beyond])
+    weighted = logs * idf
     norm = np.sqrt((weighted * weighted).sum(axis=1, keepdims=True))
     return weighted / np.where(norm > 0, norm, 1)
 
@@ -88,16 +101,35 @@ def vectors(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
     return _weighted(term_counts(texts), idf)
 
 
-def nearest(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each text its nearest centroid, the cosine, the lead over other languages (1 if there are none) and the size."""
+def _compared(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the cosine with every centroid, and the size."""
     counts = term_counts(texts)
     cosines = _whole(_weighted(counts, model.idf)) @ model.centroids.T / (_WHOLE * _WHOLE)
+    return cosines, np.log2(np.maximum(counts.sum(axis=1), 1)).astype(np.int64)
+
+
+def _lead(cosines: np.ndarray, languages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text its nearest centroid, the cosine and the lead over other languages (1 if there are none)."""
     best = np.argmax(cosines, axis=1)
     score = np.clip(cosines[np.arange(len(best)), best], 0, 1)
-    names = np.unique(model.languages, return_inverse=True)[1]
+    names = np.unique(languages, return_inverse=True)[1]
     other = np.where(names[best][:, None] == names[None, :], -1, cosines).max(axis=1)
-    lead = np.where(other < 0, 1.0, score - other)
-    return best, score, lead, np.log2(np.maximum(counts.sum(axis=1), 1)).astype(np.int64)
+    return best, score, np.where(other < 0, 1.0, score - other)
+
+
+def nearest(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text its nearest centroid, the cosine, the lead over other languages (1 if there are none) and the size."""
+    cosines, size = _compared(texts, model)
+    return *_lead(cosines, model.languages), size
+
+
+def _measured(texts: list[str | None], model: Model) -> tuple[np.ndarray, ...]:
+    """``nearest``, and the centroid that would be nearest without the text's language, with its lead then."""
+    cosines, size = _compared(texts, model)
+    best, score, lead = _lead(cosines, model.languages)
+    names = np.unique(model.languages, return_inverse=True)[1]
+    second, _, ahead = _lead(np.where(names[best][:, None] == names[None, :], -1, cosines), model.languages)
+    return best, score, lead, size, second, ahead
 
 
 def _blocks(texts: list) -> Iterator[list]:
@@ -173,29 +205,38 @@ def _floors(sampled: DataFrame, model: Model) -> Model:
     def make():
         def measure(texts: list[str]) -> dict:
             cuts = [(i, t[:n]) for i, t in enumerate(texts) for n in (*[c for c in CUTS if c < len(t)], len(t))]
-            found = [nearest([t for _, t in block], sent.value) for block in _blocks(cuts)]
-            best, score, lead, size = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
-            pred = [sent.value.languages[k] for k in best.tolist()]
-            return {"row": [i for i, _ in cuts], "pred": pred, "centroid": best.astype(np.int64), "score": score, "lead": lead, "size": size.astype(np.int64)}
+            found = [_measured([t for _, t in block], sent.value) for block in _blocks(cuts)]
+            best, score, lead, size, second, ahead = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 6
+            named = lambda at: [sent.value.languages[k] for k in at.tolist()]
+            made = {"pred": named(best), "centroid": best.astype(np.int64), "score": score, "lead": lead, "size": size.astype(np.int64), "next": named(second), "ahead": ahead}
+            return {"row": [i for i, _ in cuts], **made}
 
         return measure
 
-    fields = [field("pred", "string"), field("centroid", "bigint"), field("score", "double"), field("lead", "double"), field("size", "bigint")]
-    own = map_texts(sampled, "lang", "text", fields, make, 1 << 18).where("lang = pred")
-    lows = [F.count("*").alias("n"), *[F.expr(f"percentile({c}, {LOW})").alias(c) for c in ("score", "lead")]]
+    fields = [field("pred", "string"), field("centroid", "bigint"), field("score", "double"), field("lead", "double"), field("size", "bigint"), field("next", "string"), field("ahead", "double")]
+    own = written(map_texts(sampled, "lang", "text", fields, make, 1 << 18).where("lang = pred"), "measured")
+    lows = [F.count("*").alias("n"), *[F.expr(f"percentile({c}, {q})").alias(a) for c, q, a in (("score", LOW, "score"), ("lead", LOW, "lead"), ("lead", 0.5, "middle"))]]
     low = own.rollup("lang", "size", "centroid").agg(*lows).where("size IS NOT NULL")
-    both = np.zeros((len(model.languages), 2, SIZES))
+    both = np.zeros((len(model.languages), 3, SIZES))
     for r in low.orderBy("size", F.col("centroid").asc_nulls_first(), "lang").collect():  # a language before its centroids
         trust = r["n"] / (r["n"] + 20)  # few texts are nearer to centroids of their own than others will be
         for k, name in enumerate(model.languages):
             if name == r["lang"] and (r["centroid"] is None or r["centroid"] == k and r["n"] >= OWN):
-                both[k, :, r["size"] :] = np.array([[r["score"]], [r["lead"]]]) * trust
-    return model._replace(floors=both[:, 0], leads=both[:, 1])
+                both[k, :, r["size"] :] = np.array([[r["score"]], [r["lead"]], [r["middle"]]]) * trust
+    strange = np.zeros((len(model.languages), SIZES))
+    if len(set(model.languages)) > 2:
+        high = own.groupBy("next", "size").agg(F.count("*").alias("n"), F.expr(f"percentile(ahead, {STRANGE})").alias("ahead"))
+        for r in high.orderBy("size", "next").collect():
+            strange[[name == r["next"] for name in model.languages], r["size"] :] = r["ahead"] * r["n"] / (r["n"] + 20)
+    apart = np.minimum(both[:, 1], strange + APART * (both[:, 2] - strange)) * (strange > 0)
+    return model._replace(floors=both[:, 0], leads=both[:, 1], apart=apart)
 
 
-def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_language: int = 4, sample: int = 500) -> Model:
+def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_language: int = 4, sample: int = 500, languages: int = 1000) -> Model:
     """Learn from the rows of ``train`` whose text and language aren't null."""
     rows = train.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    if rows.select(lang_col).distinct().limit(languages + 1).count() > languages:
+        raise ValueError(f"{lang_col} has more than {languages} distinct values")
     df, n = document_frequencies(rows, text_col)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     sampled = written(_sample(rows, text_col, lang_col, sample), "sampled")
@@ -211,7 +252,7 @@ def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per
 
     found = sorted(with_vectors.groupBy("lang").applyInPandas(centroids, "lang string, centroid binary").collect(), key=lambda r: (r["lang"], r["centroid"]))
     made = _whole(np.stack([np.frombuffer(r["centroid"], np.float32) for r in found])) if found else np.zeros((0, BUCKETS))
-    model = Model(idf, [r["lang"] for r in found], made, np.zeros((len(found), SIZES)), np.zeros((len(found), SIZES)))
+    model = Model(idf, [r["lang"] for r in found], made, *np.zeros((3, len(found), SIZES)))
     return _floors(sampled, model) if found else model
 
 
@@ -230,7 +271,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                     known = bool(own.languages) and bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
                     languages.append(own.languages[k] if known else UNKNOWN)
                     scores.append(score if known else 0.0)
-                    accepted.append(known and score >= reject * own.floors[k, n] and ahead >= reject * own.leads[k, n])
+                    accepted.append(known and score >= reject * own.floors[k, n] and ahead >= max(reject * own.leads[k, n], own.apart[k, n]))
             return {"lang_pred": languages, "score": scores, "accepted": accepted}
 
         return name

@@ -21,12 +21,12 @@ from sparkloom.functions import text as X
 from sparkloom.operators import cycles, dispatch, graphs, overlaps, relational, runs
 from sparkloom.plans.pipeline import Context, Defaults, Pipeline, Step, all_of, any_of, each, first_value, in_turn, negate, non_empty, present, sql_step, template
 from sparkloom.session import counted, shared_dir
-from sparkloom.sources import files
+from sparkloom.sources import archive, files
 from sparkloom.sources.mail import parse_mails
 from sparkloom.sources.search_index import TextIndex
 from sparkloom.sources.state import TableState
 from sparkloom.sources.versioned import VersionedTable
-from sparkloom.streaming import task_events
+from sparkloom.streaming import live, task_events
 
 PART = 2_000  # rows of a part where tables are scanned in parts, so that small ones are several parts too
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1156,6 +1156,22 @@ def deep_page(spark, sf_dir):
     return relational.deep_page(lines, ["l_shipdate", "l_orderkey", "l_linenumber"], 500, lines.count() // 2, rows=PART)
 
 
+# -- archives --------------------------------------------------------------------------------------------------------
+
+
+@query("""
+    WITH m AS (SELECT doc_id, encode(rtrim('Subject: ' || coalesce(source, '') || chr(10) || chr(10) || coalesce(text, ''), chr(13) || chr(10))) AS content FROM documents)
+    SELECT coalesce(doc_id::VARCHAR, '-') AS envelope, md5(content) AS file_hash, octet_length(content) AS file_size FROM m
+""")
+def archive_messages(spark, sf_dir):
+    """All documents as messages of archives, one file for each partition, and the messages of these files."""
+    docs = table(spark, sf_dir, "documents")
+    content = F.concat(F.lit("Subject: "), F.coalesce("source", F.lit("")), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    out = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    archive.write_archive(docs.select(F.col("doc_id").cast("string").alias("envelope"), content.alias("content")), out)
+    return archive.read_archive(spark, out).select("envelope", F.md5("content").alias("file_hash"), "file_size")
+
+
 # -- streaming -------------------------------------------------------------------------------------------------------
 
 
@@ -1182,3 +1198,19 @@ def stream_status_counts(spark, sf_dir):
 def stream_without_repeats(spark, sf_dir):
     made = lambda df: task_events.without_repeats(df.union(df), ["event_id"], late="2 days").select("event_id", "user_id", "event_type")
     return _streamed(spark, sf_dir, made, "append")
+
+
+@query("""
+    WITH e AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events WHERE event_id IS NOT NULL AND ts IS NOT NULL),
+    l AS (SELECT user_id, event_id, event_type, ms, count(*) OVER (PARTITION BY user_id) AS events FROM e
+          QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+    SELECT user_id::VARCHAR AS task, event_id AS seq, event_type AS status, ms AS "at", events,
+           coalesce(event_type NOT IN ('purchase', 'signup'), true) AND ms + 3600000 <= (SELECT max(ms) FROM e) - 600000 AS stuck
+    FROM l
+""")
+def stream_live_tasks(spark, sf_dir):
+    def made(events: DataFrame) -> DataFrame:
+        task = events.select(F.lit("all").alias("run_id"), F.col("user_id").alias("task"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.lit(None).cast("int").alias("attempts"), "ts")
+        return live.watch(task, stuck=3600, keep=1e9, final=("purchase", "signup"))
+
+    return live.current(_streamed(spark, sf_dir, made, "update")).select("task", "seq", "status", "at", "events", "stuck")

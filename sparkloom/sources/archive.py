@@ -21,7 +21,7 @@ def _characters(content: Column) -> Column:
 def read_archive(spark: SparkSession, path: str, *, line_end: str = "\n", glob: str = "*") -> DataFrame:
     """(file_path, envelope, content, file_size) of each message below ``path``; ``file_size`` is that of its content.
 
-    The content is bytes, without the line ends and empty lines that close a message, its own among them. Empty files
+    Envelopes are text (bytes that are no UTF-8 become U+FFFD). The content is bytes, without the line ends and empty lines that close a message, its own among them. Empty files
     hold none. Messages that are alike are rows of their own.
     """
     scan = spark.read.option("lineSep", f"{line_end}{line_end}From ").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
@@ -33,12 +33,12 @@ def read_archive(spark: SparkSession, path: str, *, line_end: str = "\n", glob:
     body = F.when(F.col("ends") > 0, F.expr(f"substring(part, ends + {len(line_end)})")).otherwise("")
     cut = whole.withColumn("ends", ends).select("file_path", head.alias("envelope"), body.alias("body"))
     content = F.encode(F.regexp_replace("body", r"(?dm)^>(>*From )", "$1"), _BYTES)
-    return cut.select("file_path", F.decode(F.encode("envelope", _BYTES), "UTF-8").alias("envelope"), content.alias("content")).withColumn("file_size", F.octet_length("content").cast("long"))
+    return cut.select("file_path", F.make_valid_utf8(F.encode("envelope", _BYTES).cast("string")).alias("envelope"), content.alias("content")).withColumn("file_size", F.octet_length("content").cast("long"))
 
 
 def write_archive(messages: DataFrame, path: str, *, envelope_col: str = "envelope", content_col: str = "content") -> None:
     """A file for each partition; null content is an empty message, a null or empty envelope ``-``. Line ends in envelopes become spaces."""
     envelope = F.regexp_replace(F.coalesce(F.nullif(F.col(envelope_col).cast("string"), F.lit("")), F.lit("-")), r"[\r\n]+", " ")
     body = F.regexp_replace(_characters(F.coalesce(F.col(content_col).cast("binary"), F.lit(b""))), r"(?dm)^(>*From )", ">$1")
-    line = F.concat(F.lit("From "), F.decode(F.encode(envelope, "UTF-8"), _BYTES), F.lit("\n"), body, F.lit("\n"))
+    line = F.concat(F.lit("From "), _characters(envelope), F.lit("\n"), body, F.lit("\n"))
     messages.select(F.encode(line, _BYTES).cast("string").alias("value")).write.option("lineSep", "\n").text(path)

@@ -41,6 +41,10 @@ def test_odd_archives(spark, tmp_path):
     (tmp_path / "head").write_bytes(b"From only an envelope\n")
     got = archive.read_archive(spark, str(tmp_path)).selectExpr("envelope", "cast(content AS string)", "file_size")
     assert rows(got) == [("a", "no empty line at the end", 24), ("only an envelope", "", 0)]
+    (tmp_path / "bytes").mkdir()
+    (tmp_path / "bytes" / "x").write_bytes(b"From \xff\n\xfe\n\nFrom b\n\x85>From\n\n")
+    got = archive.read_archive(spark, f"{tmp_path}/bytes")
+    assert sorted((r["envelope"], bytes(r["content"])) for r in got.collect()) == [("b", b"\x85>From"), ("\ufffd", b"\xfe")]
     (tmp_path / "dos").mkdir()
     (tmp_path / "dos" / "x").write_bytes(b"From a\r\none\r\n\r\nFrom b\r\ntwo\r\n\r\n")
     got = archive.read_archive(spark, f"{tmp_path}/dos", line_end="\r\n").selectExpr("envelope", "cast(content AS string)", "file_size")

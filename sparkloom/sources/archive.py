@@ -21,8 +21,8 @@ def _characters(content: Column) -> Column:
 def read_archive(spark: SparkSession, path: str, *, line_end: str = "\n", glob: str = "*") -> DataFrame:
     """(file_path, envelope, content, file_size) of each message below ``path``; ``file_size`` is that of its content.
 
-    Envelopes are text (bytes that are no UTF-8 become U+FFFD). The content is bytes, without the line ends and empty lines that close a message, its own among them. Empty files
-    hold none. Messages that are alike are rows of their own.
+    Envelopes are text (bytes that are no UTF-8 become U+FFFD). The content is bytes, without the line ends and empty lines
+    that close a message, its own among them. Empty files hold none. Messages that are alike are rows of their own.
     """
     scan = spark.read.option("lineSep", f"{line_end}{line_end}From ").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
     parts = scan.text(path).select(F.col("_metadata.file_path").alias("file_path"), _characters(F.col("value")).alias("part"))

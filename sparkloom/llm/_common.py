@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.session import remove, scope, small_batches, written  # noqa: F401
+from sparkloom.session import empty, remove, scope, small_batches, written  # noqa: F401
 
 
 def keyed_text(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
@@ -79,9 +79,11 @@ def map_texts(
         function = make()
         for rows, texts in text_chunks(batches, max_bytes):
             columns = function(texts)
-            if "row" in columns:
-                rows = rows.take(pa.array(columns["row"], pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), *(to_arrow(columns[f.name], f.dataType) for f in fields), *(rows.column(place[c]) for c in carry)], names=names)
+            held = [rows.column(0), *(rows.column(place[c]) for c in carry)]
+            if "row" in columns:  # what isn't carried isn't repeated: a text of many lines would be copied for each of them
+                at = pa.array(columns["row"], pa.int64())
+                held = [c.take(at) for c in held]
+            yield pa.RecordBatch.from_arrays([held[0], *(to_arrow(columns[f.name], f.dataType) for f in fields), *held[1:]], names=names)
         pa.default_memory_pool().release_unused()  # the worker lives on and may have nothing to do with Arrow next
 
     return keyed_text(docs, id_col, text_col, own).mapInArrow(apply, schema)

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from sparkloom.llm import bloom
 from sparkloom.llm import words as W
-from sparkloom.llm._common import field, map_texts, scope, small, written
+from sparkloom.llm._common import empty, field, map_texts, scope, small, written
 from sparkloom.session import gathered
 
 
@@ -307,7 +307,7 @@ def find_leaks(
     spark = docs.sparkSession
     classes = _classes(benchmark, item_id_col, item_text_col)
     id_type = benchmark.schema[item_id_col].dataType
-    arrow_type = spark.createDataFrame([], T.StructType([T.StructField("id", id_type)])).toArrow().schema.field(0).type
+    arrow_type = empty(spark, T.StructType([T.StructField("id", id_type)])).toArrow().schema.field(0).type
     fields = [T.StructField("item_id", id_type), field("n_items", "bigint"), field("item_words", "int"), field("matched_words", "int"), field("longest_tile", "int"), field("tiles", "array<int>")]
     chars = classes.agg(F.sum(F.length("text"))).first()[0] or 0
     rows = docs if chars <= block_chars else written(_candidates(docs, classes, id_col, text_col, seed_words), "candidates")

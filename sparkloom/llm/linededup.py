@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm._common import carried, field, id_field, keyed_text, map_texts, small_batches, text_chunks, written
+from sparkloom.llm._common import carried, empty, field, id_field, keyed_text, map_texts, small_batches, text_chunks, written
 
 SPACE = " \t\n\x0b\x0c\r"
 SALTS = 32
@@ -165,9 +165,9 @@ def empty_index(like: DataFrame, id_col: str = "doc_id", *, min_chars: int = 20,
     spark = like.sparkSession
     key = [field("h1", "bigint"), field("h2", "bigint")]
     return LineIndex(
-        spark.createDataFrame([], T.StructType([id_field(like, id_col), *key])),
-        spark.createDataFrame([], T.StructType([*key, field("n_docs", "bigint"), id_field(like, id_col, "last_id")])),
-        spark.createDataFrame([], _FILTERS),
+        empty(spark, T.StructType([id_field(like, id_col), *key])),
+        empty(spark, T.StructType([*key, field("n_docs", "bigint"), id_field(like, id_col, "last_id")])),
+        empty(spark, _FILTERS),
         shards, min_chars, min_docs,
     )
 

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.errors import NoSharedFolder
 
@@ -74,6 +75,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return made
 
 
+def empty(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
+    """A table without rows, made by the JVM alone: ``createDataFrame`` of a list starts Python workers on the executors."""
+    fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def counted(df: DataFrame, label: str, which: Column | None = None) -> tuple[DataFrame, int]:
     """``written``, and how many rows there are, or how many of them ``which`` holds for: counted as they are written."""
     seen = Observation()

@@ -170,6 +170,23 @@ def test_line_dedup_of_odd_tables(spark):
     assert got == sorted([(1, 1), (1, 1), (2, 0), (None, 0)], key=repr)  # ids 1, 2 and null are three documents
 
 
+def test_line_keys_do_not_copy_the_text_for_each_line(spark):
+    lines = [f"{i} is a line of its own in a long text" for i in range(20_000)]
+    text = "\n".join(lines)  # 0.9 MB: 18 GB, if each key came with it
+    found = linededup.line_keys(frame_of(spark, [(1, text), (2, lines[7])]))
+    assert found.groupBy("id").count().orderBy("id").collect() == [(1, 20_000), (2, 1)]
+    out = linededup.dedup_lines(frame_of(spark, [(1, text), (2, lines[7]), (3, lines[7])]))
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in out.collect()) == [(1, 20_000, 1), (2, 1, 1), (3, 1, 0)]
+
+
+def test_an_empty_index_needs_no_python_workers(spark):
+    index = linededup.empty_index(frame_of(spark, []))
+    for table in (index.holders, index.counts, index.filters):
+        assert table.count() == 0 and "ExistingRDD" not in table._jdf.queryExecution().toString()
+    assert index.counts.dtypes == [("h1", "bigint"), ("h2", "bigint"), ("n_docs", "bigint"), ("last_id", "bigint")]
+    assert index.filters.dtypes == [("shard", "int"), ("level", "int"), ("slots", "binary")]
+
+
 def test_query_equals_hash_of_kept_text(spark, sf):
     from sparkloom.llm import queries
 

@@ -18,11 +18,12 @@ def size(n: int, most: int) -> int:
 
 
 def packed(places: DataFrame, bits: int) -> np.ndarray:
-    """The words of the filter whose set bits are in ``places(place)``."""
+    """The words of the filter whose set bits are in ``places(place)``. They reach the driver as Arrow columns: as rows, a word takes some 500 bytes there."""
     mask = F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS INT))"))
-    rows = places.groupBy(F.shiftright("place", 6).alias("at")).agg(mask.alias("mask")).toPandas()
+    rows = places.groupBy(F.shiftright("place", 6).alias("at")).agg(mask.alias("mask")).toArrow()
     made = np.zeros(1 << (bits - 6), np.uint64)
-    made[rows["at"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
+    for batch in rows.to_batches():
+        made[batch.column("at").to_numpy()] = batch.column("mask").to_numpy().view(np.uint64)
     return made
 
 

@@ -14,6 +14,9 @@ goes last. So texts that share a template but not 0.8 meet at what is their own,
 spread over all crowds, however many there are; it decides how much is compared, never what is found. A Bloom filter of
 at most 32 MB holds the shingles of crowds: one that is too small puts others last too, for all texts alike.
 
+What the driver holds is bounded by that and by ``NUMBERS``. Texts that are read again are told by such a filter where there
+are more of them than that; what it lets pass besides is harmless, or goes in a join of the few rows that pass.
+
 Pairs that meet often enough are verified on their whole sets. Those that meet in a ball and neighbours among those that
 meet at a shingle come first, in ``ORDERS`` orders (in later ones ``NEIGHBOURS`` of other components on either side); what
 they link needs no further comparison, so a large group of near copies isn't compared pair by pair. Then every pair of
@@ -30,6 +33,7 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
@@ -52,6 +56,45 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"t1": F.xxhash64("text"), "t2": F.hash("text")})
 
 
+NUMBERS = 1_000_000  # of a table that is broadcast, at most: the driver holds it several times over while it is sent
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its columns hold no more than ``NUMBERS`` numbers; else it is shuffled."""
+    return small(table, NUMBERS // len(table.columns))
+
+
+def _may_be_in(keys: DataFrame, n: int) -> Column:
+    """Whether a row's ``t1`` may be one of the ``n`` in ``keys``: a Bloom filter of at most 32 MB, which hardly any others pass."""
+    sent = keys.sparkSession.sparkContext.broadcast(bloom.of_hashes(keys.select(F.col("t1").alias("hash")), n, BITS))
+
+    @F.pandas_udf("boolean")
+    def passes(t1: pd.Series) -> pd.Series:
+        return pd.Series(bloom.holds(sent.value, t1.to_numpy(np.int64).view(np.uint64)))
+
+    return passes("t1")
+
+
+def _among(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``t1`` and ``t2`` are in ``keys``, written; of too many to be broadcast a few others too. No text is shuffled."""
+    n = keys.count()
+    if n * len(keys.columns) <= NUMBERS:
+        return docs.join(F.broadcast(keys), ["t1", "t2"], "left_semi")
+    return docs.where(_may_be_in(keys, n))
+
+
+def _matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """A semi or anti join with ``keys(id, t1, t2)``, written, in which nulls are equal; of too many to be broadcast only rows that may match are shuffled."""
+    n = keys.count()
+    named = keys.toDF("key id", "key t1", "key t2")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"key {c}")) for c in ("id", "t1", "t2")])
+    if n * len(keys.columns) <= NUMBERS:
+        return docs.join(F.broadcast(named), same, how)
+    may = _may_be_in(keys, n)
+    met = docs.where(may).join(named, same, how)
+    return met if how == "left_semi" else docs.where(~may).unionByName(met)
+
+
 HOT, TAKEN, OFTEN = 16, 8, 3
 BITS = 28  # base-2 logarithm of the filter's bits at most
 
@@ -72,9 +115,9 @@ def _crowds(docs: DataFrame, rows: DataFrame, words: int) -> np.ndarray | None:
     if not n:
         return None
     taken = [F.min(F.struct(F.xxhash64("s1", "s2", F.lit(k)).alias("h"), "s1", "s2", "text")).alias(f"c{k}") for k in range(TAKEN)]
-    chosen = prefixes.join(small(hot), "shingle").groupBy("shingle").agg(*taken).select(F.explode(F.array(*[f"c{k}" for k in range(TAKEN)])).alias("c"))
+    chosen = prefixes.join(_sent(hot), "shingle").groupBy("shingle").agg(*taken).select(F.explode(F.array(*[f"c{k}" for k in range(TAKEN)])).alias("c"))
     chosen = written(chosen.groupBy("c.s1", "c.s2").agg(F.min("c.text").alias("text")).select("text.*").distinct(), "chosen")
-    texts = docs.join(small(chosen), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    texts = _among(docs, chosen).groupBy("t1", "t2").agg(F.first("text").alias("text"))
     held = _sets(texts, "t1", words).select(F.explode("own").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
     common, n = counted(held.select("hash"), "common")
     return bloom.of_hashes(common, n, BITS) if n else None
@@ -135,7 +178,7 @@ def _ordered(docs: DataFrame, rows: DataFrame, words: int, extra: int) -> DataFr
 
     marked = written(first.mapInArrow(mark, "s1 long, s2 long, t1 long, t2 int, prefix array<bigint>, hit boolean"), "marked")
     again = written(marked.where("hit").select("t1", "t2").distinct(), "again")
-    anew = _prefixes(docs.join(small(again), ["t1", "t2"], "left_semi"), words, extra, sent).where("prefix IS NOT NULL")
+    anew = _prefixes(_among(docs, again), words, extra, sent).where("prefix IS NOT NULL")
     return marked.where("NOT hit").select("s1", "s2", "prefix").union(anew.select("s1", "s2", "prefix"))
 
 
@@ -149,8 +192,8 @@ def _in_balls(reps: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) of those ``pairs(a, b)``, written, whose sets are at least 0.8 alike."""
-    first = sets.toDF("a", "own").join(small(pairs), "a")
-    used = sets.join(small(pairs).select(F.col("b").alias("uid")), "uid", "left_semi").toDF("b", "other")
+    first = sets.toDF("a", "own").join(_sent(pairs), "a")
+    used = sets.join(_sent(pairs.select(F.col("b").alias("uid"))), "uid", "left_semi").toDF("b", "other")
     both = first.join(used, "b")
     shared = F.size(F.array_intersect("own", "other"))
     return both.where(9 * shared >= 4 * (F.size("own") + F.size("other"))).select("a", "b")
@@ -221,25 +264,25 @@ def _named(docs: DataFrame, words: int, extra: int) -> DataFrame:
         least = F.least(F.lit(extra), F.ceil(4 * F.col("n") / 5))
         able = shared.groupBy("uid", "n").agg(F.count("*").alias("times")).where(F.col("times") >= least).select("uid")
         able = written(reps.select("uid", "t1", "t2", "fp").join(able, "uid"), "able")
-        shared = written(shared.join(small(able).select("uid"), "uid", "left_semi"), "shared")
-        texts = docs.join(small(able).select("t1", "t2"), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))
-        sets = written(_sets(texts.join(small(able), ["t1", "t2"]), "uid", words), "sets")
+        shared = written(shared.join(_sent(able.select("uid")), "uid", "left_semi"), "shared")
+        texts = _among(docs, able.select("t1", "t2")).groupBy("t1", "t2").agg(F.first("text").alias("text"))
+        sets = written(_sets(texts.join(_sent(able.select("uid", "t1", "t2")), ["t1", "t2"]), "uid", words), "sets")
 
         steps = _in_balls(able).union(_often(_neighbours(shared.withColumn("root", F.col("uid")), 0, 1), extra, 2)).distinct()
         found, last = written(_verified(written(steps, "pairs"), sets), "links"), None
         for turn in range(1, ORDERS + 1):
-            roots = small(written(components(found).toDF("uid", "root"), "roots"))
+            roots = _sent(written(components(found).toDF("uid", "root"), "roots"))
             at = shared.join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
             several = at.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
             last = written(at.join(several, "shingle", "left_semi").select("shingle", "uid", "n", "root"), "mixed")
             if turn < ORDERS:
                 more = _verified(written(_often(_neighbours(last, turn, NEIGHBOURS), extra, 2), "pairs"), sets)
                 found = written(found.union(more), "links")
-        roots = small(written(components(found.union(_verified(written(_across(last, extra), "pairs"), sets))), "roots"))
+        roots = _sent(written(components(found.union(_verified(written(_across(last, extra), "pairs"), sets))), "roots"))
 
         rooted = reps.select("s1", "s2", "uid", "low").join(roots.withColumnRenamed("node", "uid"), "uid", "left")
         lowest = written(rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("lowest")), "lowest")
-        named = rooted.join(small(lowest), "root", "left").select("s1", "s2", F.coalesce("lowest", "low").alias("low"))
+        named = rooted.join(_sent(lowest), "root", "left").select("s1", "s2", F.coalesce("lowest", "low").alias("low"))
         made = rows.select("id", "t1", "t2", "uid", "s1", "s2").join(named, ["s1", "s2"])
         return keep(written(made.select("id", "t1", "t2", F.col("low.id").alias("component_id"), (F.col("uid") == F.col("low.row")).alias("first")), "named"))
 
@@ -263,9 +306,8 @@ def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         keys = named.groupBy("id", "t1", "t2").agg(F.max("first").alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1")
         keys = written(keys, "keys")
         gone, again = keep(written(keys.where("NOT stays").drop("stays", "n"), "gone")), keep(written(keys.where("stays").drop("stays", "n"), "again"))
-    same = lambda table: reduce(and_, [given[c].eqNullSafe(table[c]) for c in ("id", "t1", "t2")])
-    kept = given.join(small(gone), same(gone), "left_anti")
+    kept = _matched(given, gone, "left_anti")
     if not again.isEmpty():  # rows that are alike in id and text: one of them stays
-        once = given.join(small(again), same(again), "left_semi").dropDuplicates(["id", "t1", "t2"])
-        kept = kept.join(small(again), same(again), "left_anti").unionByName(once)
+        once = _matched(given, again, "left_semi").dropDuplicates(["id", "t1", "t2"])
+        kept = _matched(kept, again, "left_anti").unionByName(once)
     return kept.drop("id", "text", "t1", "t2").toDF(*docs.columns)

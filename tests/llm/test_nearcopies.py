@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
-from sparkloom.llm import nearcopies
+from sparkloom.llm import bloom, nearcopies
 
 
 def plain_set(text):
@@ -116,3 +118,35 @@ def test_crowds_equal_brute_force(spark, seed):
     rng.shuffle(rows)
     got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == plain_components(rows)
+
+
+@pytest.mark.parametrize("numbers", [0, 30])
+def test_nothing_large_is_broadcast(spark, edited, monkeypatch, numbers):
+    """Tables beyond ``NUMBERS`` aren't sent to the driver, filters stand for them: what is found and what stays is the same."""
+    sent, broadcast = [], nearcopies.F.broadcast
+    monkeypatch.setattr(nearcopies.F, "broadcast", lambda table: sent.append(table.count() * len(table.columns)) or broadcast(table))
+    monkeypatch.setattr(nearcopies, "NUMBERS", numbers, raising=False)
+    rows = edited + template_texts(60) + [(None, "x y"), (None, "x y"), (7, "twice"), (7, "twice"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = sorted(map(repr, map(tuple, nearcopies.without_copies(docs).collect())))
+    assert max(sent, default=0) <= numbers
+    monkeypatch.undo()
+    assert kept == sorted(map(repr, map(tuple, nearcopies.without_copies(docs).collect()))) and 0 < len(kept) < len(rows)
+    docs = spark.createDataFrame(edited, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(nearcopies, "NUMBERS", numbers, raising=False)
+    assert {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs).collect()} == plain_components(edited)
+
+
+def test_a_filter_reaches_the_driver_without_a_row_for_each_word(spark):
+    """Of a filter of 2 MB the driver's Python allocates little more than that; some 500 bytes for each of its 262,144 words before."""
+    hashes = spark.range(200_000).selectExpr("xxhash64(id) AS hash")
+    bloom.of_hashes(hashes.limit(10), 10, 24)  # whatever is imported for it
+    tracemalloc.start()
+    try:
+        made = bloom.of_hashes(hashes, 200_000, 24)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(made) == 1 << 18 and peak < 3 * made.nbytes, peak
+    held, other = (np.array([r[0] for r in spark.range(k, k + 5000).selectExpr("xxhash64(id)").collect()], np.int64).view(np.uint64) for k in (0, 200_000))
+    assert bloom.holds(made, held).all() and bloom.holds(made, other).mean() < 0.01

@@ -16,8 +16,17 @@ def normalize_subject(subject: Column) -> Column:
 
 
 def contains_like(text: Column, keyword: str) -> Column:
-    """Whether a text contains a keyword, case-insensitively; ``%`` and ``_`` are wildcards, a backslash is a backslash."""
-    return F.coalesce(F.ilike(text, F.lit("%" + keyword.replace("\\", "\\\\") + "%")), F.lit(False))
+    """Whether a text contains a keyword, case-insensitively; ``%`` and ``_`` are wildcards, a backslash is a backslash.
+
+    What ``ILIKE`` says, in one pass of the text: the pieces between ``%`` are looked for one after the other, each where it
+    comes first. ``ILIKE`` tries all places of all pieces, which grows with the square of a text's length for ``%word%`` between two more ``%``.
+    """
+    low, wanted = F.lower(text), F.lower(F.lit(keyword))
+    if not re.search("[%_]", keyword):
+        return F.coalesce(F.contains(low, wanted), F.lit(False))
+    quoted = F.regexp_replace(wanted, F.lit(r"[\\^$.|?*+()\[\]{}]"), F.lit(r"\\$0"))
+    pieces = F.regexp_replace(F.translate(quoted, "_", "."), F.lit("%+"), F.lit(r")(?>.*?"))
+    return F.coalesce(F.rlike(low, F.concat(F.lit("(?s)^(?>.*?"), pieces, F.lit(")"))), F.lit(False))
 
 
 # -- file names ------------------------------------------------------------------------------------------------------

@@ -6,21 +6,27 @@ between its wildcards, tell the blocks that can have it; only those are read, an
 rows are those of a scan. A keyword of rare trigrams reads few blocks, one of frequent ones reads them all.
 
 Documents are added as new blocks; nothing that is there is written again. Deleted ids are noted with the newest block of
-that moment, so a document that is added again later counts. Trigrams are taken by one pass of a pattern that looks ahead, in
-the JVM, and a block has a trigram once however many of its documents do.
+that moment, so a document that is added again later counts. A document's trigrams are taken as triples of code points, many
+texts at a time, and a task names a trigram once for each block, however many of the block's documents have it.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import contains_like
+from sparkloom.session import small_batches
 
 GRAM = 3
+HELD = 1 << 20  # trigrams of a block that a task holds before it hands them on
+TABLE = 1 << 27  # entries of a table of all triples of a batch's characters, at most; else triples are sorted
 
 
 def trigrams(text: Column) -> Column:
@@ -28,6 +34,57 @@ def trigrams(text: Column) -> Column:
     return F.when(F.length(text) >= GRAM, F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=({'.' * GRAM}))"), F.lit(1))))
 
 
+def _triples(texts: pa.Array) -> np.ndarray:
+    """The distinct triples of neighbouring code points within texts, 21 bits a code point, ascending."""
+    texts = texts.drop_null()
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or offsets[0] == offsets[-1]:
+        return np.zeros(0, np.int64)
+    held = texts.buffers()[2][offsets[0] : offsets[-1]]
+    points = np.frombuffer(str(held, "utf-8").encode("utf-32-le"), np.uint32)
+    begins = np.cumsum((np.frombuffer(held, np.uint8) & 0xC0) != 0x80)  # of characters, up to and including a byte
+    ends = np.concatenate([[0], begins])[offsets[1:] - offsets[0]]
+    inside = np.ones(len(points), bool)  # whether a triple begins here
+    inside[np.maximum(ends[ends > 0] - 1, 0)] = inside[np.maximum(ends[ends > 0] - 2, 0)] = False
+    known = np.zeros(0x110000, np.int64)
+    known[points] = 1
+    letters = np.flatnonzero(known)
+    known[letters] = np.arange(len(letters))
+    place, n = known[points], len(letters)
+    triples = ((place[:-2] * n + place[1:-1]) * n + place[2:])[inside[:-2]]
+    if n**3 <= TABLE:
+        there = np.zeros(n**3, bool)
+        there[triples] = True
+        triples = np.flatnonzero(there)
+    else:
+        triples = np.unique(triples)
+    return letters[triples // (n * n)] << 42 | letters[triples // n % n] << 21 | letters[triples % n]
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, gram) for batches of (block, lower-cased text)."""
+    held: dict[int, np.ndarray] = {}
+
+    def named(block: int) -> Iterator[pa.RecordBatch]:
+        triples = held.pop(block)
+        for k in range(0, len(triples), 50_000):
+            part = triples[k : k + 50_000]
+            points = np.stack([part >> 42, part >> 21 & 0x1FFFFF, part & 0x1FFFFF], 1).astype(np.uint32)
+            joined = points.tobytes().decode("utf-32-le")
+            grams = [joined[i : i + GRAM] for i in range(0, len(joined), GRAM)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), pa.array(grams, pa.string())], names=["block", "gram"])
+
+    for batch in batches:
+        blocks = batch.column(0).to_numpy()
+        for block in np.unique(blocks).tolist():
+            found = _triples(batch.column(1).filter(pa.array(blocks == block)))
+            held[block] = np.union1d(held[block], found) if block in held else found
+            if len(held[block]) > HELD:
+                yield from named(block)
+    for block in list(held):
+        yield from named(block)
+
+
 class TextIndex:
     """An index in a folder that driver and executors share; ``id_col`` and ``text_col`` are columns of the documents."""
 
@@ -54,7 +111,9 @@ class TextIndex:
         held = self._there("documents")
         if held is None:
             return
-        grams = held.where(F.col("block") >= base).select("block", F.explode(trigrams(F.col(self.text_col))).alias("gram")).distinct()
+        small_batches(self.spark)
+        texts = held.where(F.col("block") >= base).select("block", F.lower(self.text_col))
+        grams = texts.mapInArrow(_grams, "block int, gram string").distinct()
         grams.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("append").parquet(f"{self.folder}/grams")
 
     def delete(self, ids: DataFrame) -> None:

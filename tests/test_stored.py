@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import random
+import time
+
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from sparkloom.errors import StateError
 from sparkloom.functions.text import contains_like
+from sparkloom.sources import search_index
 from sparkloom.sources.search_index import TextIndex
 from sparkloom.sources.versioned import VersionedTable
 
@@ -96,3 +101,42 @@ def test_a_failed_write_leaves_the_old_version_and_vacuum_clears_up(spark, tmp_p
     gone = made.vacuum(keep=2)
     assert len(gone) == 1 and gone[0].startswith("data/") and made.read(1).count() == made.read().count() == 200
     assert made.vacuum() == ["versions/000000000001.json"] and made.versions() == [2] and made.read().count() == 200
+
+
+def test_a_keyword_is_looked_for_once_along_a_text(spark):
+    """As ``ILIKE`` finds it, whatever stands in keyword and text; long texts without it take no longer than others (minutes before)."""
+    texts = [*TEXTS, "xΑΣ_Β", "ας.β", "x.*y", "(a|b)$", "in the\nhay", "hay in", "q^2 {3} [z]", "$0\\1", "İx", "%%", "_"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    keywords = ["%", "%%", "_", "", "a_b", "%in%hay%", "in%hay", "hay%in", "ΑΣ_Β", "ας.β", "_Σ", "α%σ", ".*", "x._y", "(a_b)$", "^2 {%[Z]", "\\", "$0\\_", "i̇x%", "b%a"]
+    for keyword in keywords:
+        like = F.coalesce(F.ilike("text", F.lit("%" + keyword.replace("\\", "\\\\") + "%")), F.lit(False))
+        assert rows(df.where(contains_like(F.col("text"), keyword))) == rows(df.where(like)), keyword
+    long = spark.range(16).select(F.repeat(F.lit("licen "), 20_000).alias("text"))
+    began = time.monotonic()
+    assert long.where(contains_like(F.col("text"), "%licen_e%") | contains_like(F.col("text"), "li%ce_ %q")).count() == 0
+    assert time.monotonic() - began < 20
+
+
+def test_a_block_has_each_trigram_once_and_all_of_them(spark, tmp_path):
+    rng = random.Random(4)
+    docs = [(k, None if k % 17 == 0 else "".join(rng.choice("abÄ漢😀ß\n") for _ in range(rng.choice([0, 1, 2, 3, 40])))) for k in range(200)]
+    index = TextIndex(spark, str(tmp_path), "id", "text")
+    index.add(spark.createDataFrame(docs, "id int, text string").repartition(3), blocks=2)
+    low = {r["id"]: (r["low"] or "", r["block"]) for r in spark.read.parquet(f"{tmp_path}/documents").select("id", "block", F.lower("text").alias("low")).collect()}
+    want = sorted({(b, t[i : i + 3]) for t, b in low.values() for i in range(len(t) - 2)}, key=repr)
+    assert rows(spark.read.parquet(f"{tmp_path}/grams").select("block", "gram")) == want and len({b for b, _ in want}) == 2
+
+
+def test_triples_of_few_and_of_many_characters(monkeypatch):
+    """Batches are cut anywhere, and a task hands trigrams on when it holds many."""
+    rng = random.Random(5)
+    for table, most in ((1 << 27, 1 << 20), (0, 40)):
+        monkeypatch.setattr(search_index, "TABLE", table)
+        monkeypatch.setattr(search_index, "HELD", most)
+        batches, want = [], set()
+        for _ in range(50):
+            texts = [None if rng.random() < 0.1 else "".join(rng.choice("abc ä漢😀") for _ in range(rng.choice([0, 1, 2, 3, 9]))) for _ in range(8)]
+            blocks = [rng.randrange(3) for _ in texts]
+            want |= {(b, t[i : i + 3]) for b, t in zip(blocks, texts) if t for i in range(len(t) - 2)}
+            batches.append(pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(["pad", *texts], pa.string()).slice(1)], names=["block", "text"]))
+        assert {tuple(r.values()) for b in search_index._grams(batches) for r in b.to_pylist()} == want

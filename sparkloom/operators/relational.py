@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions.text import contains_like, normalize_subject
 from sparkloom.operators import scans
+from sparkloom.session import remove, written
 
 #: Fixed value: the thread of mails without a subject.
 NO_SUBJECT = "(无主题)"
@@ -60,38 +64,53 @@ def page(df: DataFrame, order: Sequence[Column], limit: int = 100, offset: int =
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def _before(order: Sequence[str], cut: Sequence[object], types: Sequence[T.DataType], after: bool = False) -> Column:
+    """Whether a row stands before (or after) a place in rising ``order``, nulls first; never null."""
+    beyond = F.lit(False)
+    for name, value, kind in reversed(list(zip(order, cut, types))):
+        at, known = F.col(name), F.lit(value).cast(kind)
+        if value is None:
+            beyond = at.isNotNull() | beyond if after else at.isNull() & beyond
+        else:
+            beyond = F.coalesce(at > known, F.lit(False)) | (at.eqNullSafe(known) & beyond) if after else F.coalesce(at < known, F.lit(True)) | (at.eqNullSafe(known) & beyond)
+    return beyond
+
+
 def deep_page(df: DataFrame, order: Sequence[str], limit: int = 100, offset: int = 0, rows: int = 1_000_000, sample: int = 4096, parts: int = 64) -> DataFrame:
     """``page`` for an offset far behind: rising ``order`` (nulls first), which should be total, without a sort of all rows.
 
-    A sample of about so many rows gives splitters, which bound how much is read again and not what is found: rows are
-    counted exactly between them, and only those of the parts that the page lies in are kept, until about ``rows`` are left
-    to be sorted. Each turn is two scans, nothing is shuffled but counts, and the splitters reach Parquet as a filter on the
-    first column.
+    A sample of about so many rows gives a place before and one after the page, further from it than chance, and than a part
+    of so many would be. In one scan the rows before both, between them and after them are counted exactly and those
+    between are written; where the page isn't all there, the rows of the ranges that it lies in are. They are looked at in
+    the same way, until about ``rows`` are left to be sorted: the sample bounds how much is read again and not what is
+    found. All rows are read twice, those left hardly count, and nothing is shuffled but the sample.
     """
-    skip, n, key = offset, df.count(), F.struct(*order)
-    while n > rows:
-        drawn = df.select(*order).sample(min(1.0, sample / n), 7).na.drop().orderBy(*order).collect()
-        cuts = list(dict.fromkeys(tuple(drawn[k * len(drawn) // parts]) for k in range(1, parts))) if drawn else []
-        if not cuts:
+    skip, n, own = offset, df.count(), None
+    types = [df.schema[c].dataType for c in order]
+    while n > rows and skip < n:
+        drawn = df.select(*order).sample(min(1.0, sample / n), 7).agg(F.sort_array(F.collect_list(F.struct(*order)))).first()[0]
+        margin = 1 + max(len(drawn) // parts, int(1.5 * len(drawn) ** 0.5))  # three standard deviations at least
+        first, last = skip * len(drawn) // n - margin, (skip + limit) * len(drawn) // n + margin
+        below = _before(order, drawn[first], types) if first >= 0 else F.lit(False)
+        above = _before(order, drawn[last], types, after=True) if last < len(drawn) else F.lit(False)
+        if first < 0 and last >= len(drawn):
             break
-        values = [F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, cut)]) for cut in cuts]
-        part = F.size(F.filter(F.array(*values), lambda cut: cut <= key))
-        counts = dict(df.groupBy(part.alias("part")).count().collect())
-        at, first = 0, 0
-        while at + counts.get(first, 0) <= skip and first < len(cuts):
-            at, first = at + counts.get(first, 0), first + 1
-        last, end = first, at + counts.get(first, 0)
-        while end < skip + limit and last < len(cuts):
-            last += 1
-            end += counts.get(last, 0)
-        if end - at >= n:
+        ranges, seen = [below, ~below & ~above, above], Observation()
+        made = written(df.observe(seen, *[F.count_if(r).alias(f"n{k}") for k, r in enumerate(ranges)]).where(ranges[1]), "page")
+        counts = [seen.get[f"n{k}"] for k in range(3)]
+        begin, end = min(skip, n - 1), min(skip + max(limit, 1), n) - 1  # the page's first and last row
+        met = [k for k in range(3) if sum(counts[:k]) <= end and begin < sum(counts[: k + 1])]
+        left = sum(counts[k] for k in met)
+        if left == n:
+            remove(made)
             break
-        kept, column = (part >= first) & (part <= last), F.col(order[0])
-        if first > 0:
-            kept &= column >= F.lit(cuts[first - 1][0])
-        if last < len(cuts):
-            kept &= column.isNull() | (column <= F.lit(cuts[last][0])) if first == 0 else column <= F.lit(cuts[last][0])
-        df, skip, n = df.where(kept), skip - at, end - at
+        if met != [1]:
+            remove(made)
+            made = written(df.where(reduce(or_, [ranges[k] for k in met])), "page")
+        if own is not None:
+            remove(own)
+        df = own = made
+        skip, n = skip - sum(counts[: met[0]]), left
     return page(df, [F.col(c) for c in order], limit, skip)
 
 

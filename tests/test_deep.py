@@ -188,3 +188,29 @@ def test_far_pages_equal_a_sort(spark):
     for offset in (0, 10, 1499, 2990, 5000):
         got = [tuple(r) for r in relational.deep_page(df, ["a", "b"], 20, offset, rows=200, sample=300, parts=8).collect()]
         assert got == table[offset : offset + 20]
+
+
+def test_far_pages_keep_few_rows_and_find_nulls(spark, monkeypatch):
+    """Each turn keeps a small share of the rows, also where most keys are null and where the first column says little."""
+    rng, kept, written = random.Random(8), [], relational.written
+    monkeypatch.setattr(relational, "written", lambda df, label: kept.append(made := written(df, label)) or made)
+    table = [(None if rng.random() < 0.7 else rng.choice([1.5, float("nan"), -2.0]), rng.choice([None, "a", "b", "ä"]), k) for k in range(20_000)]
+    df = spark.createDataFrame(table, "a double, b string, c int").repartition(4)
+    every = [tuple(map(str, r)) for r in df.orderBy("a", "b", "c").collect()]
+    for offset in (0, 30, 6_990, 10_000, 13_999, 17_003, 19_990, 20_000, 30_000):
+        del kept[:]
+        got = relational.deep_page(df, ["a", "b", "c"], 25, offset, rows=300, sample=2000, parts=16)
+        assert [tuple(map(str, r)) for r in got.collect()] == every[offset : offset + 25], offset
+        assert offset >= 20_000 or len(kept) > 0 and got.inputFiles()
+
+
+def test_a_far_page_is_found_when_the_sample_misleads(spark):
+    """A sample of rows that all stand elsewhere costs another scan, and nothing is lost; neither with ties all over."""
+    df = spark.range(5000).withColumn("a", (F.col("id") % 3).cast("int")).repartition(3)
+    every = [tuple(r) for r in df.select("a", "id").orderBy("a", "id").collect()]
+    for sample, parts in ((12, 2), (40, 1000), (5000, 5000)):
+        for offset, limit in ((0, 1), (1660, 20), (2500, 2000), (4990, 50), (10, 0)):
+            got = relational.deep_page(df.select("a", "id"), ["a", "id"], limit, offset, rows=50, sample=sample, parts=parts)
+            assert [tuple(r) for r in got.collect()] == every[offset : offset + limit]
+    ties = df.select(F.lit(1).alias("x"))
+    assert relational.deep_page(ties, ["x"], 10, 3000, rows=50).count() == 10
